@@ -56,3 +56,30 @@ def with_text(docs: DataFrame, text_col: str = "text"):
 def partitions(spark: SparkSession, least: int = 1) -> int:
     """The session's number of shuffle partitions."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+#: Rows of narrow keys that may be broadcast (about 16 MB); above, a sort-merge join does the same.
+BROADCAST_ROWS = 400_000
+
+
+def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A stored narrow table with the join hint that its counted size allows."""
+    rows = df.count() if rows is None else rows
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df.hint("merge")
+
+
+def columns_of(docs: DataFrame, *names: str) -> str:
+    """The schema string of some columns."""
+    return ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
+
+
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Column names that do not clash with the table's own."""
+    have = {c.lower() for c in docs.columns}
+    out = []
+    for n in names:
+        while n.lower() in have:
+            n = f"_{n}"
+        have.add(n.lower())
+        out.append(n)
+    return out

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, packing
+from . import bpe, line_dedup, packing, pii, quality_gam, quality_rules
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,10 +18,30 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_docs(spark, sf_dir), capacity=2048).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    model = quality_gam.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_gam.score(docs, model).withColumn("held_out", quality_gam.held_out()).select("doc_id", "held_out", "score", "predicted")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(_docs(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(_docs(spark, sf_dir), digests=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op4_bpe)}
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(_docs(spark, sf_dir))
+    counts = (F.size(F.filter("base_spans", lambda x, i=i: x["k"] == i)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS))
+    return found.select("doc_id", *counts, F.sha2(pii.spelled(F.col("base_spans")), 256).alias("base_sha256"), pii.spelled(F.col("spans")).alias("spans"))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(_docs(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_gam, op3_line_dedup, op4_bpe, op7_pii, op8_quality_rules)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE}
