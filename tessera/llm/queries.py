@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, packing, pii, quality_gam, quality_rules
+from . import bpe, line_dedup, near_dedup, packing, pii, quality_gam, quality_rules
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_docs(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_gam, op3_line_dedup, op4_bpe, op7_pii, op8_quality_rules)}
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_docs(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_gam, op3_line_dedup, op4_bpe, op7_pii, op8_quality_rules, op10_near_dedup)}
 
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE}
