@@ -15,6 +15,7 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import tokenizer_path, with_text
 
-#: Distinct pieces that a task keeps; then the table starts afresh. Bounds memory, never results.
-KEPT_PIECES = 150_000
+#: Distinct pieces, and distinct words, that a task keeps; then the table starts afresh. Bounds memory, never results.
+KEPT_PIECES = 300_000
 
 _loaded: dict[str, object] = {}
 
@@ -54,9 +55,11 @@ class PairIndexBPE:
         self.by_rank = {rank: (pair, new) for pair, (rank, new) in self.merge.items()}
         library = Tokenizer.from_file(path)
         self.normalise, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        self.kept: dict[str, bytes] = {}
+        self.ascii_words = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
+    def encode_words(self, words: list[str]) -> list[bytes]:
         vocab, merge = self.vocab, self.merge
         sym: list[int] = []
         starts = []
@@ -96,40 +99,76 @@ class PairIndexBPE:
             while sym[s] != -1:
                 ids.append(sym[s])
                 s = after[s]
-            out.append(ids)
+            out.append(struct.pack(f"<{len(ids)}I", *ids))
         return out
 
-    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
-        """Ids of texts without white space."""
-        parts: list[list] = []
-        index: dict[str, int] = {}
+    def words_of(self, pieces: list[str]) -> list[list[str]]:
+        """The words that the vocabulary's normaliser and pattern make of each piece, in the byte alphabet."""
+        out: list = [None] * len(pieces)
+        rest = []
+        for i, piece in enumerate(pieces):
+            if piece.isascii() and piece.isprintable():  # printable ASCII stands for itself in the byte alphabet
+                out[i] = [piece.lower()] if piece.isalpha() else self.ascii_words(piece.lower())
+            else:
+                rest.append(i)
+        if rest:
+            joined = self.normalise(" ".join([pieces[i] for i in rest]))
+            ends = [m.start() for m in re.finditer(" ", joined)] + [len(joined)]
+            if len(ends) == len(rest):  # else a piece holds white space beyond ASCII
+                found: list[list[str]] = [[] for _ in rest]
+                k = 0
+                for word, (at, _) in self.split(joined):
+                    while at >= ends[k]:
+                        k += 1
+                    found[k].append(word)
+            else:
+                found = [[w for w, _ in self.split(self.normalise(pieces[i]))] for i in rest]
+            for i, words in zip(rest, found, strict=True):
+                out[i] = words
+        return out
+
+    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of texts without ASCII white space, as little-endian 32-bit bytes."""
+        plain = [p for p in pieces if "<|" not in p or not self.cut.search(p)]
+        words = dict(zip(plain, self.words_of(plain), strict=True))
+        new = list({w for found in words.values() for w in found if w not in self.kept})
+        if len(self.kept) + len(new) > KEPT_PIECES:
+            self.kept.clear()
+            new = list({w for found in words.values() for w in found})
+        for word, ids in zip(new, self.encode_words(new), strict=True):
+            self.kept[word] = ids
+        get = self.kept.__getitem__
+        out = []
         for piece in pieces:
-            own: list = []
-            for text in self.cut.split(piece) if "<|" in piece else (piece,):
-                if text in self.special:
-                    own.append(-1 - self.special[text])
-                elif text:
-                    own += [index.setdefault(w, len(index)) for w, _ in self.split(self.normalise(text)) if w]
-            parts.append(own)
-        coded = self.encode_words(list(index))
-        return [[i for x in own for i in (coded[x] if x >= 0 else (-1 - x,))] for own in parts]
+            found = words.get(piece)
+            if found is not None:
+                out.append(get(found[0]) if len(found) == 1 else b"".join(map(get, found)))
+            else:  # it holds the string of a special token
+                parts = [x for x in self.cut.split(piece) if x]
+                out.append(b"".join(self.special[x].to_bytes(4, "little") if x in self.special else b"".join(self.encode_words(self.words_of([x])[0])) for x in parts))
+        return out
 
 
-class LibraryPieces:
-    """The same, encoded by the tokenizers library."""
+class LibraryPieces(PairIndexBPE):
+    """The same, with each word encoded by the tokenizers library's own model."""
 
     def __init__(self, path: str):
+        super().__init__(path)
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.model = Tokenizer.from_file(path).model
 
-    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch(pieces, add_special_tokens=False)]
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        tokenize = self.model.tokenize
+        return [struct.pack(f"<{len(t)}I", *[x.id for x in t]) for t in map(tokenize, words)]
 
 
-_SPACE = str.maketrans("\t\n\r\x0b\x0c", "     ")
+def cut_at_space(text: str) -> list[str]:
+    """Pieces between ASCII white space, some of them empty."""
+    for c in "\n\t\r\x0b\x0c":
+        if c in text:
+            text = text.replace(c, " ")
+    return text.split(" ")
 
 
 class Pieces:
@@ -142,13 +181,13 @@ class Pieces:
         self.encoder, self.kept = _loaded[key]
 
     def texts(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [t.translate(_SPACE).split(" ") for t in texts]
+        cut = [cut_at_space(t) for t in texts]
         new = list({p for words in cut for p in words if p not in self.kept})
         if len(self.kept) + len(new) > KEPT_PIECES:
             self.kept.clear()
             new = list({p for words in cut for p in words})
         for piece, ids in zip(new, self.encoder.encode_pieces(new), strict=True):
-            self.kept[piece] = np.asarray(ids, "<u4").tobytes()
+            self.kept[piece] = ids
         get = self.kept.__getitem__
         for words in cut:
             yield b"".join(map(get, words))
