@@ -6,11 +6,12 @@ by one of its tokens; a node that holds more than LEAF classes branches again by
 node selects. A pair at similarity 0.75 stays together somewhere in one tree with probability 0.89 at any depth
 (the extinction probability s of (1/4 + 3s/4)^2 = s is 1/9), so six trees miss it with probability 2e-6; the
 branching factor keeps the number of rows near linear. Nodes of at most LEAF classes are compared exhaustively.
-Nodes that no longer shrink hold mostly similar classes: they are cut into blocks, and every pair of blocks is a
-leaf, so nothing is capped.
+Nodes that no longer shrink hold mostly similar classes and become one candidate cluster each.
 
 Leaves compare tokens and give candidate clusters (spanning links, never all pairs). Within the clusters, links
-are confirmed on the full shingle sets, and the components of the confirmed links are the result.
+are confirmed on the full shingle sets, and the components of the confirmed links are the result. A cluster that
+is too large for one task is cut into blocks and every pair of blocks is compared; where that would copy a
+document too often, the leaves and the blocks of the dense nodes are compared instead. Nothing is capped.
 
 Edge cases: null, empty and blank texts have an empty set and are linked with nothing; texts of fewer than five
 words have one shingle, the whole sequence; repeated rows are one class; equal ids are one document; an empty
@@ -31,8 +32,9 @@ from pyspark.sql import functions as F
 from .common import columns_of, materialise, sized, with_text
 
 TOKENS, TREES, PATHS = 64, 6, 2
-#: Largest node, block of a dense node, candidate cluster that is confirmed at once, and most levels.
-LEAF, BLOCK, CLUSTER, LEVELS = 256, 128, 384, 12
+#: Largest node compared at once, largest cluster confirmed at once (and block of a larger one), largest number of
+#: blocks of a cluster, and most levels.
+LEAF, CLUSTER, BLOCKS, LEVELS = 384, 384, 32, 12
 #: A child this large a share of its parent is dense; tokens that must agree for a candidate (of 64, at 0.75: 48).
 DENSE, AGREE = 0.8, 32
 CHUNK = 1 << 22
@@ -63,19 +65,19 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def shingle_sets(texts: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of all texts, one after another, and the texts' offsets into them.
+def hashed_words(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts, and each text's first and last position in them.
 
-    Works on the UTF-8 bytes of the whole array: words are hashed by a polynomial over their bytes, shingles by
-    one over their words.
+    Works on the UTF-8 bytes of the whole array: a word is a run of bytes whose value in table is not 0, hashed
+    by a polynomial over those values.
     """
     c = _constants()
     texts = texts.cast(pa.large_string())
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]] if len(texts) else np.zeros(0, np.uint8)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
     ends = ends - ends[0]
     n = len(raw)
-    value = c["table"][raw]
+    value = table[raw]
     inside = np.concatenate([[False], value != 0, [False]])
     cut = np.zeros(n + 1, bool)
     cut[ends] = True
@@ -83,8 +85,13 @@ def shingle_sets(texts: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     stops = np.flatnonzero(inside[1:-1] & (~inside[2:] | cut[1:])) + 1
     total = np.concatenate([np.zeros(1, _U), np.cumsum(value * _powers(c["base"], n), dtype=_U)])
     words = _mix((total[stops] - total[starts]) * _powers(c["inverse"], n + 1)[starts] + (stops - starts).astype(_U))
-    first = np.searchsorted(starts, ends[:-1])
-    last = np.searchsorted(starts, ends[1:])
+    return words, np.searchsorted(starts, ends[:-1]), np.searchsorted(starts, ends[1:])
+
+
+def shingle_sets(texts: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of all texts, one after another, and the texts' offsets into them."""
+    c = _constants()
+    words, first, last = hashed_words(texts, c["table"])
     sets, at = [], [0]
     rolled = words.copy()
     for i in range(1, k):
@@ -187,12 +194,12 @@ def _lowest(linked: np.ndarray) -> np.ndarray:
 
 
 def _leaf_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, tile, id, low) of the classes that have a candidate partner in their leaf."""
-    for table, starts in whole_groups(batches, 2):
-        node, tile, ids = (table.column(i).to_numpy() for i in range(3))
+    """(node, id, low) of the classes that have a candidate partner in their leaf."""
+    for table, starts in whole_groups(batches, 1):
+        node, ids = (table.column(i).to_numpy() for i in range(2))
         if not len(ids):
             continue
-        tokens = np.frombuffer(b"".join(table.column(3).to_pylist()), "<u2").reshape(-1, TOKENS)
+        tokens = np.frombuffer(b"".join(table.column(2).to_pylist()), "<u2").reshape(-1, TOKENS)
         sizes = np.diff(starts)
         low = np.full(len(ids), -1)
         two = starts[:-1][sizes == 2]
@@ -209,7 +216,7 @@ def _leaf_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if some.any():
                 low[a : a + m] = np.where(some, _lowest(linked) + a, -1)
         keep = np.flatnonzero(low >= 0)
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (node, tile, ids)] + [pa.array(ids[low[keep]])], ["node", "tile", "id", "low"])
+        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (node, ids)] + [pa.array(ids[low[keep]])], ["node", "id", "low"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,22 +271,26 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
+def _tiles(blocks, own):
+    """The pairs of blocks, as numbers, that a member of block `own` takes part in."""
+    return F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda x: F.least(x, own) * blocks + F.greatest(x, own))
+
+
 def _candidates(classes: DataFrame) -> DataFrame:
-    """Stored leaf rows (node, tile, id, low) of all trees for classes (id, tokens, roots)."""
+    """Stored rows (node, n, id, low) of all trees for classes (id, tokens, roots).
+
+    Rows of one node and low are candidates for each other; n is the size of a dense node, 0 for a leaf.
+    """
     level = classes.select("id", F.explode("roots").alias("node"), F.lit(None).cast("long").alias("parent"))
     found = None
     for depth in range(LEVELS + 1):
-        counts = level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        counts = level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low")).filter("n > 1")
         nodes = materialise(level.join(counts.hint("merge"), "node"), "nodes")
         dense = (F.col("n") > LEAF) & (F.lit(depth == LEVELS) | (F.col("n") > DENSE * F.coalesce("parent", F.col("n") * 9)))
-        single = nodes.filter(f"n <= {LEAF}").select("node", F.lit(0).cast("long").alias("tile"), "id")
-        blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-        own = F.pmod(F.xxhash64("id", "node"), blocks)
-        tile = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda x: F.least(x, own) * blocks + F.greatest(x, own))
-        leaves = single.unionByName(nodes.filter(dense).select("node", F.explode(tile).alias("tile"), "id"))
-        leaves = leaves.join(classes.select("id", "tokens").hint("merge"), "id").select("node", "tile", "id", "tokens")
+        leaves = nodes.filter(f"n <= {LEAF}").select("node", "id").join(classes.select("id", "tokens").hint("merge"), "id").select("node", "id", "tokens")
         ids = columns_of(leaves, "id").replace("`id`", "")
-        part = leaves.repartition("node", "tile").sortWithinPartitions("node", "tile", "id").mapInArrow(_leaf_links, f"node long, tile long, id{ids}, low{ids}")
+        part = leaves.repartition("node").sortWithinPartitions("node", "id").mapInArrow(_leaf_links, f"node long, id{ids}, low{ids}")
+        part = part.select("node", F.lit(0).cast("long").alias("n"), "id", "low").unionByName(nodes.filter(dense).select("node", "n", "id", "low"))
         found = part if found is None else found.unionByName(part)
         more = nodes.filter((F.col("n") > LEAF) & ~dense)
         if depth == LEVELS or more.isEmpty():
@@ -297,15 +308,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(id, n_shingles, component_id, kept) for every row. The id must be an integer column."""
     kind = docs.schema[id_col].dataType.simpleString()
     signed = materialise(signatures(docs, id_col, text_col), "signed")
-    classes = materialise(signed.filter("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min_by(F.struct("id", "tokens", "roots"), "id").alias("x")).select("h1", "h2", "n_shingles", "x.*"), "classes")
+    classes = materialise(signed.filter("n_shingles > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n_shingles").agg(F.min_by(F.struct("id", "tokens", "roots"), "id").alias("x")).select("h1", "h2", "n_shingles", "x.*"), "classes")
     leaves = _candidates(classes)
     clusters = components(leaves.select("low", "id"))
     members = clusters.unionByName(clusters.select(F.col("low").alias("id"), "low").distinct())
     sizes = members.groupBy("low").agg(F.count(F.lit(1)).alias("n"))
     members = materialise(members.join(sizes.hint("merge"), "low"), "members")
-    small = members.filter(f"n <= {CLUSTER}").select(F.col("low").cast("long").alias("g"), F.lit(0).cast("long").alias("tile"), "id")
-    large = members.filter(f"n > {CLUSTER}").select("id")
-    groups = materialise(small.unionByName(leaves.join(large.hint("merge"), "id").select(F.col("node").alias("g"), F.xxhash64("tile", "low").alias("tile"), "id")), "groups")
+    blocks = F.ceil(F.col("n") / CLUSTER).cast("long")
+    own = F.pmod(F.xxhash64("id", "low"), blocks)
+    near = members.filter(F.col("n") <= BLOCKS * CLUSTER).select(F.col("low").cast("long").alias("g"), F.explode(_tiles(blocks, own)).alias("tile"), "id")
+    far = members.filter(F.col("n") > BLOCKS * CLUSTER).select("id")
+    blocks = F.greatest(F.ceil(F.col("n") / CLUSTER).cast("long"), F.lit(1))
+    own = F.pmod(F.xxhash64("id", "node"), blocks)
+    wide = leaves.join(far.hint("merge"), "id").select(F.col("node").alias("g"), F.explode(F.transform(_tiles(blocks, own), lambda t: F.xxhash64(t, "low"))).alias("tile"), "id")
+    groups = materialise(near.unionByName(wide), "groups")
     texts = docs.select(F.col(id_col).alias("id"), with_text(docs, text_col).alias("text")).filter(F.col(id_col).isNotNull())
     # one text for each class: its members have the id of the class, and equal ids are one document
     texts = texts.join(sized(materialise(groups.select("id").distinct(), "ids")), "id").dropDuplicates(["id"])
