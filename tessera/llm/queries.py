@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, near_dedup, packing, pii, quality_gam, quality_rules
+from . import bpe, line_dedup, lm_scoring, near_dedup, packing, pii, quality_gam, quality_rules, spotsigs, suffix_dedup
+from .common import materialise, sized
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +33,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(_docs(spark, sf_dir), digests=True)
 
 
+def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_likeness(_docs(spark, sf_dir))
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(_docs(spark, sf_dir), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(_docs(spark, sf_dir))
     counts = (F.size(F.filter("base_spans", lambda x, i=i: x["k"] == i)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS))
@@ -42,10 +51,33 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(_docs(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is what labels mark as good and not toxic."""
+    docs = _docs(spark, sf_dir)
+    good = materialise(spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select("doc_id", F.lit(True).alias("good")).distinct(), "good")
+    marked = docs.join(sized(good), "doc_id", "left")
+    counts = lm_scoring.models(lm_scoring.count_classes(marked, F.col("good")))
+    return lm_scoring.score(marked, counts, F.col("good"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_docs(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_quality_gam, op3_line_dedup, op4_bpe, op7_pii, op8_quality_rules, op10_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing,
+        op2_quality_gam,
+        op3_line_dedup,
+        op4_bpe,
+        op5_spotsigs,
+        op6_suffix_dedup,
+        op7_pii,
+        op8_quality_rules,
+        op9_lm_scoring,
+        op10_near_dedup,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE}
