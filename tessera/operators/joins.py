@@ -20,6 +20,7 @@ SELECT p.point_id, min_by(d.dest_id, struct_pack) AS dest_id, round(min(dist), 6
  SELECT p.point_id, d.dest_id, sqrt((p.x - d.x) * (p.x - d.x) + (p.y - d.y) * (p.y - d.y)) AS dist FROM t_point p JOIN (SELECT dest_id, x, y, {_CELL.format("x")} + i AS cx, {_CELL.format("y")} + j AS cy FROM t_dest
   CROSS JOIN (SELECT -1 AS i UNION ALL SELECT 0 UNION ALL SELECT 1) CROSS JOIN (SELECT -1 AS j UNION ALL SELECT 0 UNION ALL SELECT 1)) d ON {_CELL.format("p.x")} = d.cx AND {_CELL.format("p.y")} = d.cy) p WHERE dist <= 0.1e0) p GROUP BY p.point_id""".replace("min_by(d.dest_id, struct_pack)", "min_by(p.dest_id, p.struct_pack)").replace("SELECT p.point_id, d.dest_id, dist, dist AS struct_pack", "SELECT p.point_id, p.dest_id, dist, dist AS struct_pack"),
     "join_08_knn_in_group": "SELECT src, dst, round(d, 9) AS d FROM t_near",
+    "join_09_node_snap": "SELECT point_id, CASE WHEN d * 111000e0 <= 20000e0 THEN node END AS node, round(d, 6) AS d FROM t_snap",
     "join_10_od_pairs": "SELECT dest_type, count(*) AS pairs, round(avg(km), 6) AS mean_km FROM t_od GROUP BY dest_type",
     "join_11_mode_merge": """
 SELECT d.point_id, d.dest_id, CASE WHEN w.t IS NOT NULL AND (d.t IS NULL OR w.t < d.t) THEN 'walk' WHEN d.t IS NOT NULL THEN 'drive' END AS best_mode, round(CASE WHEN w.t < d.t THEN w.t ELSE coalesce(d.t, w.t) END, 6) AS combined

@@ -39,6 +39,7 @@ SELECT point_id, round(sd, 6) AS sd, round(least(greatest(value - 1.96e0 * sd, 0
 SELECT point_id, round(sqrt((x - 2.5e0) * (x - 2.5e0) + (y - 2.5e0) * (y - 2.5e0)) * 111e0, 6) AS planar_km,
  round(111e0 * sqrt((y - 2.5e0) * (y - 2.5e0) + (x - 2.5e0) * (x - 2.5e0) * cos(radians(2.5e0)) * cos(radians(2.5e0))), 6) AS equirect_km,
  round(2e0 * 6371e0 * asin(sqrt(sin(radians(y - 2.5e0) / 2e0) * sin(radians(y - 2.5e0) / 2e0) + cos(radians(y)) * cos(radians(2.5e0)) * sin(radians(x - 2.5e0) / 2e0) * sin(radians(x - 2.5e0) / 2e0))), 6) AS haversine_km FROM t_point""",
+    "prj_20_string_hash": "SELECT c_custkey, CAST(conv(substring(md5(c_name), 1, 8), 16, 10) AS BIGINT) AS h FROM t_customer",
     "prj_21_differential": "SELECT point_id, dest_id, round(walk_time / drive_time, 6) AS ratio, round(walk_time - drive_time, 6) AS diff, round(CASE WHEN drive_time > 0e0 AND walk_time / drive_time > 0e0 THEN ln(walk_time / drive_time) END, 6) AS log_ratio FROM t_od WHERE drive_time > 0e0",
     "prj_22_grades": """
 SELECT method, area_id, CASE WHEN 100e0 * gap / target < 5e0 THEN 'excellent' WHEN 100e0 * gap / target < 15e0 THEN 'good' ELSE 'poor' END AS grade, CASE WHEN target < 0.3e0 THEN 'low' WHEN target < 0.7e0 THEN 'medium' ELSE 'high' END AS bucket FROM t_metric""",

@@ -1,6 +1,13 @@
 """Sources and sinks as statements over tables: typed reads, lookups, alignment, materialisation keys."""
 
 PLANS = {
+    "src_01_area_polygons": "SELECT trim(CAST(area_id AS STRING)) AS area_key, seq, x, y FROM t_ring WHERE county_id = 2",
+    "src_07_destinations_or_literals": "SELECT dest_id, dest_type FROM t_dest WHERE dest_type = 'grocery' UNION ALL SELECT l.dest_id, l.dest_type FROM (SELECT CAST(-1 AS BIGINT) AS dest_id, 'grocery' AS dest_type UNION ALL SELECT -2, 'school') l LEFT ANTI JOIN (SELECT DISTINCT dest_type FROM t_dest) d ON l.dest_type = d.dest_type",
+    "src_09_road_polylines": "SELECT src AS road_id, row_number() OVER (PARTITION BY src ORDER BY dst) AS seq, n.x, n.y, CASE WHEN length > 500e0 THEN 'primary' ELSE 'local' END AS road_type FROM t_road r JOIN t_node n ON r.dst = n.node",
+    "src_12_footprints": """
+SELECT area_id, round(0.5e0 * abs(sum(x * y2 - x2 * y)), 6) AS area, round(sum((x + x2) * (x * y2 - x2 * y)) / (3e0 * sum(x * y2 - x2 * y)), 6) AS cx, round(sum((y + y2) * (x * y2 - x2 * y)) / (3e0 * sum(x * y2 - x2 * y)), 6) AS cy, count(*) AS vertices FROM (
+ SELECT a.area_id, a.x, a.y, b.x AS x2, b.y AS y2 FROM t_ring a JOIN t_ring b ON a.area_id = b.area_id AND b.seq = (a.seq + 1) % 4) GROUP BY area_id""",
+    "src_13_flood_zones": "SELECT area_id, CASE WHEN county_id % 2 = 0 THEN 'AE' ELSE 'X' END AS flood_zone, CAST(NULL AS DOUBLE) AS depth FROM t_area",
     "src_02_area_attributes": """
 SELECT area_id, county, CASE WHEN raw = -999e0 THEN NULL ELSE raw END AS value FROM (
  SELECT n.n_nationkey AS area_id, lower(trim(r.r_name)) AS county, CASE WHEN n.n_nationkey % 6 = 0 THEN -999e0 ELSE CAST(n.n_nationkey AS DOUBLE) / 25e0 END AS raw

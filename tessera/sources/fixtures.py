@@ -24,6 +24,17 @@ FROM t_nation n LEFT JOIN (SELECT area_id, avg(truth) AS target, count(*) AS n_p
     "subarea": """
 SELECT a.area_id * 10 + 2 * i.i + j.j AS subarea_id, a.area_id, a.minx + 0.5e0 * i.i AS minx, a.miny + 0.5e0 * j.j AS miny
 FROM t_area a CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1) i CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1) j""",
+    # corners of each area, counter-clockwise
+    "ring": """
+SELECT a.area_id, a.county_id, c.seq, a.minx + c.dx AS x, a.miny + c.dy AS y FROM t_area a CROSS JOIN (SELECT 0 AS seq, 0e0 AS dx, 0e0 AS dy UNION ALL SELECT 1, 1e0, 0e0 UNION ALL SELECT 2, 1e0, 1e0 UNION ALL SELECT 3, 0e0, 1e0) c""",
+    # road nodes on a lattice over the areas
+    "node": """
+SELECT p_partkey AS node, CAST(p_partkey % 14 AS DOUBLE) * 5e0 / 13e0 AS x, CAST(floor(CAST(p_partkey AS DOUBLE) / 14e0) AS DOUBLE) * 5e0 / 13e0 AS y FROM t_part WHERE p_partkey < 196""",
+    # the nearest road node of each point: cells of the lattice step and their neighbours, then the least distance
+    "snap": """
+SELECT point_id, area_id, min_by(node, d) AS node, min(d) AS d FROM (SELECT p.point_id, p.area_id, n.node, sqrt((p.x - n.x) * (p.x - n.x) + (p.y - n.y) * (p.y - n.y)) AS d FROM t_point p JOIN (
+ SELECT node, x, y, CAST(floor(x * 13e0 / 5e0 + 0.5e0) AS BIGINT) + i AS cx, CAST(floor(y * 13e0 / 5e0 + 0.5e0) AS BIGINT) + j AS cy FROM t_node CROSS JOIN (SELECT -1 AS i UNION ALL SELECT 0) CROSS JOIN (SELECT -1 AS j UNION ALL SELECT 0)) n
+ ON CAST(floor(p.x * 13e0 / 5e0) AS BIGINT) = n.cx AND CAST(floor(p.y * 13e0 / 5e0) AS BIGINT) = n.cy) GROUP BY point_id, area_id""",
     "dest": """
 SELECT s_suppkey AS dest_id, CASE s_suppkey % 3 WHEN 0 THEN 'employment' WHEN 1 THEN 'healthcare' ELSE 'grocery' END AS dest_type,
  5e0 * CAST((s_suppkey * 6007 + 13) % 997 AS DOUBLE) / 997e0 AS x, 5e0 * CAST((s_suppkey * 7001 + 29) % 991 AS DOUBLE) / 991e0 AS y,
