@@ -17,7 +17,8 @@ def _resized(docs: DataFrame, like: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
     model = quality_gam.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_gam.score(docs, model, keep=tuple(docs.columns)).filter("predicted = 1").select(*docs.columns)
+    scored = quality_gam.score(docs, model, keep=tuple(docs.columns))
+    return scored.filter(F.col(scored.columns[-1]) == 1).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

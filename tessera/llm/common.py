@@ -39,15 +39,6 @@ def materialise(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Delete the files of a materialised table that nothing will read again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in {os.path.dirname(f) for f in df.inputFiles()}:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def with_text(docs: DataFrame, text_col: str = "text"):
     """The text column with null as the empty string."""
     return F.coalesce(docs[text_col], F.lit(""))

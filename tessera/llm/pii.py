@@ -23,7 +23,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_text
+from .common import fresh, with_text
 
 KINDS = ("email", "ip", "card", "phone")
 #: Strict patterns, as possessive forms with the same matches: no deep recursion, no quadratic scan.
@@ -109,9 +109,10 @@ def _spans(text: Column, kind: str, wide: bool) -> Column:
 
 
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add _base (sorted strict spans that pass) and _other (the rest, without what overlaps a strict span)."""
+    """(_row, _text, _base, _other): the row as a struct, the sorted strict spans that pass, and the rest of the
+    spans without what overlaps one of those."""
     text = F.col("_text")
-    out = docs.withColumn("_text", with_text(docs, text_col))
+    out = docs.select(F.struct(*docs.columns).alias("_row"), with_text(docs, text_col).alias("_text"))
     out = out.withColumn("_strict", F.concat(*(_spans(text, k, False) for k in KINDS))).withColumn("_wide", F.concat(*(_spans(text, k, True) for k in KINDS)))
     out = out.withColumn("_base", F.sort_array(F.filter("_strict", lambda x: x["base"])))
     free = F.filter(F.concat(F.filter("_strict", lambda x: ~x["base"]), F.col("_wide")), lambda x: ~F.exists("_base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
@@ -210,17 +211,23 @@ def _decides(odds: dict[tuple[int, int, str], float], x: Column) -> Column:
     return score > 0
 
 
+def _found(docs: DataFrame, text_col: str, odds: dict[tuple[int, int, str], float] | None) -> DataFrame:
+    """(_row, _text, _base_spans, _spans)."""
+    found = candidates(docs, text_col)
+    odds = train(found) if odds is None else odds
+    bare = lambda spans: F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
+    found = found.withColumn("_base_spans", bare("_base"))
+    more = F.when(F.size("_other") > 0, bare(F.filter("_other", lambda x: (votes(x)[0] >= 0) & _decides(odds, x)))).otherwise(F.slice("_base_spans", 1, 0))
+    return found.select("_row", "_text", "_base_spans", F.sort_array(F.concat("_base_spans", more)).alias("_spans"))
+
+
 def find_pii(docs: DataFrame, text_col: str = "text", odds: dict[tuple[int, int, str], float] | None = None) -> DataFrame:
-    """Every row with base_spans and spans: sorted arrays of struct<s, k, e>, k an index of KINDS.
+    """Every row with base_spans and spans (made fresh if taken): sorted arrays of struct<s, k, e>, k in KINDS.
 
     Without a given model, one is trained on all rows first; that is a second pass over the texts.
     """
-    found = candidates(docs, text_col)
-    odds = train(found) if odds is None else odds
-    bare = lambda spans: F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e")))
-    found = found.withColumn("base_spans", bare("_base"))
-    more = F.when(F.size("_other") > 0, bare(F.filter("_other", lambda x: (votes(x)[0] >= 0) & _decides(odds, x)))).otherwise(F.slice("base_spans", 1, 0))
-    return found.withColumn("spans", F.sort_array(F.concat("base_spans", more))).drop("_base", "_other", "_text")
+    base, spans = fresh(docs, "base_spans", "spans")
+    return _found(docs, text_col, odds).select("_row.*", F.col("_base_spans").alias(base), F.col("_spans").alias(spans))
 
 
 def spelled(spans: Column) -> Column:
@@ -231,14 +238,15 @@ def spelled(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text", odds: dict[tuple[int, int, str], float] | None = None) -> DataFrame:
     """Every row with its spans replaced by <kind>; of spans that overlap, the earliest start is replaced."""
-    found = find_pii(docs, text_col, odds)
-    text = with_text(docs, text_col)
-    # the text between spans, each span named once; a span that starts before the previous one ended is dropped
-    clear = F.filter("spans", lambda x, i: (i == 0) | ~F.exists(F.slice("spans", F.greatest(i - 7, F.lit(1)), F.least(i, F.lit(8))), lambda b: b["e"] > x["s"]))
+    text = F.col("_text")
+    # a span that starts before an earlier one ended is dropped
+    none = F.struct(F.slice("_spans", 1, 0).alias("kept"), F.lit(0).alias("end"))
+    clear = F.aggregate("_spans", none, lambda a, x: F.when(x["s"] >= a["end"], F.struct(F.array_append(a["kept"], x).alias("kept"), x["e"].alias("end"))).otherwise(a), lambda a: a["kept"])
     names = F.array(*(F.lit(f"<{k}>") for k in KINDS))
 
     def rebuilt(kept: Column) -> Column:
         pieces = F.transform(kept, lambda x, i: F.concat(F.substring(text, F.coalesce(F.get(kept, i - 1)["e"], F.lit(0)) + 1, x["s"] - F.coalesce(F.get(kept, i - 1)["e"], F.lit(0))), F.get(names, x["k"])))
         return F.concat(F.array_join(pieces, ""), F.substring(text, F.get(kept, F.size(kept) - 1)["e"] + 1, F.length(text)))
 
-    return found.withColumn("_new", F.when(F.size("spans") > 0, _let(clear, rebuilt)).otherwise(text)).drop("spans", "base_spans").withColumn(text_col, F.col("_new")).drop("_new").select(*docs.columns)
+    done = _found(docs, text_col, odds).withColumn("_new", F.when(F.size("_spans") > 0, _let(clear, rebuilt)).otherwise(text))
+    return done.select(*(F.col("_new").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns))

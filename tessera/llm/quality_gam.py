@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import in_groups
-from .common import with_text
+from .common import fresh, with_text
 
 FEATURES = ("log_words", "word_length", "log_longest_word", "distinct_words", "top_word", "repeated_pairs", "repeated_neighbours", "duplicate_lines", "log_words_a_line", "line_ends", "symbols", "exclamation", "upper", "digits", "other_marks", "non_ascii")
 LABELLED_ROWS = 60_000
@@ -174,6 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
 
 
 def score(docs: DataFrame, model: Gam, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """keep's columns, score and predicted for every row."""
-    out = _mapped(docs, list(keep), text_col, ["score"], lambda x: [model.scores(x)])
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    """keep's columns, then score and predicted (made fresh if taken) for every row."""
+    scored, predicted = fresh(docs.select(*keep), "score", "predicted")
+    out = _mapped(docs, list(keep), text_col, [scored], lambda x: [model.scores(x)])
+    return out.withColumn(predicted, (F.col(scored) >= 0.5).cast("int"))
