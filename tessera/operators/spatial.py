@@ -16,7 +16,7 @@ PLANS = {
     "sps_05_moran_permutations": f"""
 WITH w AS ({_W}), z AS ({_Z}), p AS ({_PERMUTED}), observed AS (SELECT w.area_id, sum(w.w * a.z * b.z) AS top FROM w JOIN z a ON w.src = a.point_id JOIN z b ON w.dst = b.point_id GROUP BY w.area_id),
 draws AS (SELECT w.area_id, a.draw, sum(w.w * a.z * b.z) AS top FROM w JOIN p a ON w.src = a.point_id JOIN p b ON w.dst = b.point_id AND a.draw = b.draw GROUP BY w.area_id, a.draw)
-SELECT o.area_id, round((count_if(abs(d.top) >= abs(o.top)) + 1e0) / (count(*) + 1e0), 6) AS p, round((max(o.top) - avg(d.top)) / nullif(stddev_pop(d.top), 0e0), 4) AS zscore FROM observed o JOIN draws d ON o.area_id = d.area_id GROUP BY o.area_id""",
+SELECT o.area_id, round((count_if(abs(d.top) >= abs(o.top) - 1e-9) + 1e0) / (count(*) + 1e0), 6) AS p, round((max(o.top) - avg(d.top)) / nullif(round(stddev_pop(d.top), 9), 0e0), 4) AS zscore FROM observed o JOIN draws d ON o.area_id = d.area_id GROUP BY o.area_id""",
     "sps_06_local_moran": f"""
 WITH w AS ({_W}), z AS ({_Z}), v AS ({_VAR}), lag AS (SELECT w.src, sum(w.w * b.z) AS lag FROM w JOIN z b ON w.dst = b.point_id GROUP BY w.src)
 SELECT z.point_id, round(z.z * lag.lag / v.v, 6) AS local_i, CASE WHEN z.z > 0e0 AND lag.lag > 0e0 THEN 'HH' WHEN z.z < 0e0 AND lag.lag < 0e0 THEN 'LL' WHEN z.z > 0e0 THEN 'HL' ELSE 'LH' END AS quadrant FROM z JOIN lag ON z.point_id = lag.src JOIN v ON z.area_id = v.area_id""",

@@ -6,14 +6,14 @@ _DRAWS = "SELECT DISTINCT CAST(n_nationkey AS BIGINT) AS draw FROM t_nation"
 #: A bootstrap draw: each place of an area takes a row chosen by a hash of draw and place.
 _BOOT = f"""WITH rows_ AS (SELECT area_id, value, truth, row_number() OVER (PARTITION BY area_id ORDER BY point_id) - 1 AS i, count(*) OVER (PARTITION BY area_id) AS n FROM t_pred WHERE method = 'gradient' AND truth IS NOT NULL AND area_id < 6),
 picks AS (SELECT d.draw, r.area_id, ((r.i * 7919 + d.draw * 104729 + r.i * d.draw * 31) % 10007) % r.n AS i FROM rows_ r CROSS JOIN ({_DRAWS}) d),
-boot AS (SELECT p.draw, p.area_id, corr(r.value, r.truth) AS r, avg(r.truth) AS m, median(r.truth) AS mid FROM picks p JOIN rows_ r ON p.area_id = r.area_id AND p.i = r.i GROUP BY p.draw, p.area_id)"""
+boot AS (SELECT p.draw, p.area_id, CASE WHEN stddev_pop(r.value) > 1e-9 AND stddev_pop(r.truth) > 1e-9 THEN (avg(r.value * r.truth) - avg(r.value) * avg(r.truth)) / (stddev_pop(r.value) * stddev_pop(r.truth)) END AS r, avg(r.truth) AS m, median(r.truth) AS mid FROM picks p JOIN rows_ r ON p.area_id = r.area_id AND p.i = r.i GROUP BY p.draw, p.area_id)"""
 _RANKS = f"SELECT area_id, {average_rank('ancillary', 'area_id')} AS ra, {average_rank('truth', 'area_id')} AS rt, {average_rank('x', 'area_id')} AS rx FROM t_point WHERE ancillary IS NOT NULL AND truth IS NOT NULL"
 _USAGE = "SELECT f.feature, avg(f.value) AS m, stddev_pop(f.value) AS s, max(f.value) - min(f.value) AS spread, CASE WHEN stddev_pop(f.value) > 1e-9 AND stddev_pop(p.truth) > 1e-9 THEN (avg(f.value * p.truth) - avg(f.value) * avg(p.truth)) / (stddev_pop(f.value) * stddev_pop(p.truth)) END AS r FROM t_feature f JOIN t_point p ON f.point_id = p.point_id WHERE p.truth IS NOT NULL GROUP BY f.feature"
 PLANS = {
     "sta_01_pearson": "SELECT method, area_id, count(*) AS n, round(corr(value, truth), 6) AS r FROM t_pred WHERE truth IS NOT NULL AND method <> 'naive' GROUP BY method, area_id HAVING count(*) >= 10",
     "sta_03_spearman": f"SELECT area_id, round(corr(ra, rt), 6) AS rho FROM ({_RANKS}) GROUP BY area_id",
-    "sta_04_partial_spearman": f"SELECT area_id, round((xy - xz * yz) / sqrt((1e0 - xz * xz) * (1e0 - yz * yz)), 6) AS rho FROM (SELECT area_id, corr(ra, rt) AS xy, corr(ra, rx) AS xz, corr(rt, rx) AS yz FROM ({_RANKS}) GROUP BY area_id)",
-    "sta_05_partial_pearson": "SELECT area_id, round((xy - xz * yz) / sqrt((1e0 - xz * xz) * (1e0 - yz * yz)), 6) AS r FROM (SELECT area_id, corr(ancillary, truth) AS xy, corr(ancillary, y) AS xz, corr(truth, y) AS yz FROM t_point WHERE ancillary IS NOT NULL AND truth IS NOT NULL GROUP BY area_id)",
+    "sta_04_partial_spearman": f"SELECT area_id, round((xy - xz * yz) / nullif(sqrt(greatest((1e0 - xz * xz) * (1e0 - yz * yz), 0e0)), 0e0), 6) AS rho FROM (SELECT area_id, corr(ra, rt) AS xy, corr(ra, rx) AS xz, corr(rt, rx) AS yz FROM ({_RANKS}) GROUP BY area_id HAVING count(*) >= 20)",
+    "sta_05_partial_pearson": "SELECT area_id, round((xy - xz * yz) / nullif(sqrt(greatest((1e0 - xz * xz) * (1e0 - yz * yz), 0e0)), 0e0), 6) AS r FROM (SELECT area_id, corr(ancillary, truth) AS xy, corr(ancillary, y) AS xz, corr(truth, y) AS yz FROM t_point WHERE ancillary IS NOT NULL AND truth IS NOT NULL GROUP BY area_id HAVING count(*) >= 20)",
     "sta_06_component_correlations": "SELECT name, round(corr(c, income), 6) AS r FROM (SELECT 'orders' AS name, CAST(orders_n AS DOUBLE) AS c, income FROM t_counts UNION ALL SELECT 'f', CAST(n_f AS DOUBLE), income FROM t_counts UNION ALL SELECT 'urgent', CAST(n_urgent AS DOUBLE), income FROM t_counts) WHERE income IS NOT NULL GROUP BY name",
     "sta_07_bootstrap_ci": f"{_BOOT} SELECT area_id, round(percentile_cont(0.025) WITHIN GROUP (ORDER BY r), 5) AS lo, round(percentile_cont(0.975) WITHIN GROUP (ORDER BY r), 5) AS hi FROM boot WHERE r IS NOT NULL GROUP BY area_id",
     "sta_08_bootstrap_difference": f"{_BOOT} SELECT a.area_id, b.area_id AS other, round(avg(a.m - b.m), 6) AS diff, round(greatest(2e0 * least(avg(CASE WHEN a.m > b.m THEN 1e0 ELSE 0e0 END), avg(CASE WHEN a.m < b.m THEN 1e0 ELSE 0e0 END)), 1e0 / count(*)), 6) AS p FROM boot a JOIN boot b ON a.draw = b.draw AND a.area_id < b.area_id GROUP BY a.area_id, b.area_id",

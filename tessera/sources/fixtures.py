@@ -51,7 +51,7 @@ ON abs(a.r - b.r) + abs(a.c - b.c) = 1""",
     "counts": """
 SELECT p.subarea_id, min(p.area_id) AS area_id, count(DISTINCT p.point_id) AS total,
  count(o.o_orderkey) AS orders_n, CAST(sum(CASE WHEN o.o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS n_f,
- CAST(sum(CASE WHEN o.o_orderpriority LIKE '1%' THEN 1 ELSE 0 END) AS BIGINT) AS n_urgent, round(avg(o.o_totalprice), 2) AS income
+ CAST(sum(CASE WHEN o.o_orderpriority LIKE '1%' THEN 1 ELSE 0 END) AS BIGINT) AS n_urgent, round(avg(o.o_totalprice), 0) AS income
 FROM t_point p LEFT JOIN t_orders o ON o.o_custkey = p.point_id GROUP BY p.subarea_id""",
     "log": """
 SELECT ts, CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 'get' ELSE 'set' END AS operation,
