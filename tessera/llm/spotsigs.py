@@ -30,10 +30,10 @@ from .near_dedup import _constants, _mix, hashed_words
 CHAIN = 2
 #: Anchors: common words of English, German, French and Spanish.
 ANCHORS = (
-    "a an and are as at be but by for from had has have he her his i in is it its not of on or she that the their they this to was we were which will with you "
-    "aber als am an auch auf aus bei bin das dem den der des die durch ein eine einen einer er es für hat ich im in ist mit nach nicht noch nur oder sich sie sind so um und vom von vor war wie wir wird zu zum zur "
-    "au aux avec ce ces cette d dans de des du elle en est et il ils je l la le les leur lui mais ne nous on ou par pas plus pour qu que qui sa se ses son sont sur un une vous y "
-    "al como con de del el ella ellos en entre era es esta este esto ha hay la las lo los más mi muy no o para pero por que se si sin sobre su sus también te un una y ya"
+    "a an and are as at be by for from has have he his in is it not of on or that the this to was we were which will with you "
+    "auch auf aus das dem den der des die ein eine er es für ich im ist mit nicht sich sie sind und von wie zu "
+    "au avec ce dans de des du elle en est et il je la le les ne nous par pas plus pour que qui sa se son sur un une vous "
+    "al como con del el ella es esta ha los más no o para pero por su también te una y"
 ).split()
 _U = np.uint64
 
