@@ -24,10 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns_of, partitions, with_text
-from .near_dedup import _constants, _mix, hashed_words
+from .common import columns_of, materialise, partitions, with_text
+from .near_dedup import _constants, _mix, _tiles, components, hashed_words, whole_groups
 
-CHAIN = 2
+#: Content words of a chain, and sets that one group compares at once.
+CHAIN, LARGEST = 2, 512
 #: Anchors: common words of English, German, French and Spanish.
 ANCHORS = (
     "a an and are as at be by for from has have he his in is it not of on or that the this to was we were which will with you "
@@ -168,3 +169,59 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield made(held)
 
     return with_next(docs, id_col, text_col).mapInArrow(run, f"{columns_of(docs.select(F.col(id_col).alias('id')), 'id')}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumnRenamed("id", id_col)
+
+
+def _spanning(threshold: float):
+    """Links of each group (part, sig, tile) of rows sorted by set length, spanning its components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, starts in whole_groups(batches, 3):
+            ids, sets = table.column(4).to_numpy(), [np.frombuffer(x, "<u4") for x in table.column(5).to_pylist()]
+            lows, highs = [], []
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                label = list(range(a, b))
+                for i in range(a, b):
+                    for j in range(i + 1, b):
+                        if len(sets[j]) * threshold > len(sets[i]):
+                            break  # rows are sorted by length: no later set can reach the threshold
+                        if label[i - a] != label[j - a] and pruned_jaccard(sets[i], sets[j], threshold) >= threshold:
+                            lows.append(ids[i])
+                            highs.append(ids[j])
+                            old, new = label[j - a], label[i - a]
+                            label = [new if x == old else x for x in label]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(x, ids.dtype)) for x in (lows, highs)], ["low", "id"])
+
+    return run
+
+
+def near_classes(docs: DataFrame, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component_id) of every document with signatures: the classes of fingerprints linked at the threshold.
+
+    Sets are partitioned by length; a set meets those of its own and of the next longer partition that share one
+    of its rarest signatures, as many of them as any similar set must share one. Equal fingerprints are one class.
+    Groups beyond LARGEST sets are cut into blocks, and every pair of blocks is a group. Ids must be integers.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = signature_sets(batch.column(1))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([s.astype("i8") for s in sets], pa.list_(pa.int64())), pa.array([length_partition(len(s), threshold) for s in sets], pa.int64())],
+                ["id", "n", "raw", "sigs", "part"],
+            )
+
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), with_text(docs, text_col).alias("text")).mapInArrow(sign, f"id {kind}, n int, raw binary, sigs array<long>, part long")
+    signed = materialise(rows.filter("n > 0"), "signed")
+    classes = materialise(signed.groupBy("raw").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sigs").alias("sigs"), F.first("part").alias("part")), "classes")
+    each = classes.select("id", "n", "part", F.explode("sigs").alias("sig"))
+    ranked = each.join(each.groupBy("sig").agg(F.count(F.lit(1)).alias("df")).hint("merge"), "sig")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "sig"))
+    prefix = ranked.withColumn("k", place).filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("id", "n", "sig", F.explode(F.array("part", F.col("part") + 1)).alias("part"))
+    shared = materialise(prefix.join(prefix.groupBy("part", "sig").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").hint("merge"), ["part", "sig"]), "shared")
+    blocks = F.ceil(F.col("m") / LARGEST).cast("long")
+    tiled = shared.select("part", "sig", F.explode(_tiles(blocks, F.pmod(F.xxhash64("id"), blocks))).alias("tile"), "n", "id").join(classes.select("id", "raw").hint("merge"), "id")
+    groups = tiled.select("part", "sig", "tile", "n", "id", "raw").repartition("part", "sig", "tile").sortWithinPartitions("part", "sig", "tile", "n", "id")
+    linked = components(groups.mapInArrow(_spanning(threshold), f"low {kind}, id {kind}"))
+    of_class = classes.join(linked.hint("merge"), "id", "left").select("raw", F.coalesce("low", "id").alias("component_id"))
+    return signed.select("id", "raw").join(of_class.hint("merge"), "raw").select(F.col("id").alias(id_col), "component_id")

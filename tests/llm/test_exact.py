@@ -133,6 +133,32 @@ def test_spotsigs_pruning():
             assert abs(spotsigs.length_partition(len(a)) - spotsigs.length_partition(len(b))) <= 1
 
 
+@pytest.mark.parametrize("largest", [512, 4])
+def test_spotsigs_classes(spark, texts, largest, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(spotsigs, "LARGEST", largest)
+    docs = dict(texts)
+    for k, t in enumerate(near_copies(40, 120, 3)):
+        docs[10**6 + k] = t.replace("w1", "the w1")
+    ids = sorted(docs)
+    sets = dict(zip(ids, spotsigs.signature_sets(pa.array([docs[i] for i in ids])), strict=True))
+    parent = {i: i for i in ids if len(sets[i])}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if len(sets[a]) and len(sets[b]) and spotsigs.pruned_jaccard(sets[a], sets[b], 0.75) >= 0.75:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    got = spotsigs.near_classes(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: find(i) for i in parent}
+
+
 def covered(docs):
     seen, out = set(), []
     for raw in docs:
