@@ -1,8 +1,9 @@
 """BPE encoding and decoding with a pair occurrence index (operator 4), and token ids by library (operator 1).
 
-Text is cut at ASCII white space. Neither the normaliser nor the splitting pattern of the vocabulary looks
-across white space, so a piece between spaces always gets the same ids; each task encodes each distinct piece
-once and keeps a bounded table of them.
+Texts are cut into words as the vocabulary's normaliser and splitting pattern do; a word always gets the same ids,
+so each task encodes each distinct word once and keeps a bounded table of them. Texts of ASCII and precomposed
+Latin letters are cut by one expression with the same result; any others go through the library's normaliser and
+pattern.
 
 Edge cases: null or empty text has no ids and decodes to the empty string; the strings of special tokens in a
 text become their ids, as in the library; repeated rows give repeated results; an empty table gives an empty
@@ -25,8 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import tokenizer_path, with_text
 
-#: Distinct pieces, and distinct words, that a task keeps; then the table starts afresh. Bounds memory, never results.
-KEPT_PIECES = 300_000
+#: Distinct words that a task keeps; then the table starts afresh. Bounds memory, never results.
+KEPT_WORDS = 400_000
+#: Characters that normalising leaves alone but for case, and the splitting pattern over their lower case.
+_PLAIN = re.compile("[^\x00-\x7fÀ-ÖØ-öø-ÿ]")
+_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-z0-9ß-öø-ÿ]+")
 
 _loaded: dict[str, object] = {}
 
@@ -55,8 +59,6 @@ class PairIndexBPE:
         self.by_rank = {rank: (pair, new) for pair, (rank, new) in self.merge.items()}
         library = Tokenizer.from_file(path)
         self.normalise, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
-        self.kept: dict[str, bytes] = {}
-        self.ascii_words = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
 
     def encode_words(self, words: list[str]) -> list[bytes]:
@@ -102,54 +104,42 @@ class PairIndexBPE:
             out.append(struct.pack(f"<{len(ids)}I", *ids))
         return out
 
-    def words_of(self, pieces: list[str]) -> list[list[str]]:
-        """The words that the vocabulary's normaliser and pattern make of each piece, in the byte alphabet."""
-        out: list = [None] * len(pieces)
-        rest = []
-        for i, piece in enumerate(pieces):
-            if piece.isascii() and piece.isprintable():  # printable ASCII stands for itself in the byte alphabet
-                out[i] = [piece.lower()] if piece.isalpha() else self.ascii_words(piece.lower())
-            else:
-                rest.append(i)
-        if rest:
-            joined = self.normalise(" ".join([pieces[i] for i in rest]))
-            ends = [m.start() for m in re.finditer(" ", joined)] + [len(joined)]
-            if len(ends) == len(rest):  # else a piece holds white space beyond ASCII
-                found: list[list[str]] = [[] for _ in rest]
-                k = 0
-                for word, (at, _) in self.split(joined):
-                    while at >= ends[k]:
-                        k += 1
-                    found[k].append(word)
-            else:
-                found = [[w for w, _ in self.split(self.normalise(pieces[i]))] for i in rest]
-            for i, words in zip(rest, found, strict=True):
-                out[i] = words
-        return out
+    def words(self, text: str) -> list[str] | None:
+        """The words of a text, or None if the plain expression does not cover it."""
+        if "<|" in text or not (text.isascii() or _PLAIN.search(text) is None):
+            return None
+        return _WORDS.findall(text.lower())
 
-    def encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of texts without ASCII white space, as little-endian 32-bit bytes."""
-        plain = [p for p in pieces if "<|" not in p or not self.cut.search(p)]
-        words = dict(zip(plain, self.words_of(plain), strict=True))
-        new = list({w for found in words.values() for w in found if w not in self.kept})
-        if len(self.kept) + len(new) > KEPT_PIECES:
-            self.kept.clear()
-            new = list({w for found in words.values() for w in found})
-        for word, ids in zip(new, self.encode_words(new), strict=True):
-            self.kept[word] = ids
-        get = self.kept.__getitem__
+    def encode_other(self, text: str) -> bytes:
+        """Ids of any text, by the library's normaliser and pattern; special tokens' strings become their ids."""
         out = []
-        for piece in pieces:
-            found = words.get(piece)
-            if found is not None:
-                out.append(get(found[0]) if len(found) == 1 else b"".join(map(get, found)))
-            else:  # it holds the string of a special token
-                parts = [x for x in self.cut.split(piece) if x]
-                out.append(b"".join(self.special[x].to_bytes(4, "little") if x in self.special else b"".join(self.encode_words(self.words_of([x])[0])) for x in parts))
-        return out
+        for part in self.cut.split(text):
+            if part in self.special:
+                out.append(self.special[part].to_bytes(4, "little"))
+            elif part:
+                out += self.encode_words([w for w, _ in self.split(self.normalise(part)) if w])
+        return b"".join(out)
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The printable stand-in of every byte: itself if printable in Latin-1, else the next code point from 256."""
+    out, free = {}, 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255:
+            out[b] = chr(b)
+        else:
+            out[b], free = chr(free), free + 1
+    return out
 
 
-class LibraryPieces(PairIndexBPE):
+_ALPHABET = byte_alphabet()
+
+
+def in_byte_alphabet(word: str) -> str:
+    return word if word.isascii() and word.isprintable() else "".join([_ALPHABET[b] for b in word.encode()])
+
+
+class LibraryWords(PairIndexBPE):
     """The same, with each word encoded by the tokenizers library's own model."""
 
     def __init__(self, path: str):
@@ -163,16 +153,8 @@ class LibraryPieces(PairIndexBPE):
         return [struct.pack(f"<{len(t)}I", *[x.id for x in t]) for t in map(tokenize, words)]
 
 
-def cut_at_space(text: str) -> list[str]:
-    """Pieces between ASCII white space, some of them empty."""
-    for c in "\n\t\r\x0b\x0c":
-        if c in text:
-            text = text.replace(c, " ")
-    return text.split(" ")
-
-
-class Pieces:
-    """Ids of whole texts from a bounded table of distinct pieces; ids are little-endian 32-bit bytes."""
+class Words:
+    """Ids of whole texts, as little-endian 32-bit bytes, from a bounded table of distinct words."""
 
     def __init__(self, kind: type, path: str):
         key = f"{kind.__name__} {path}"
@@ -181,16 +163,16 @@ class Pieces:
         self.encoder, self.kept = _loaded[key]
 
     def texts(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [cut_at_space(t) for t in texts]
-        new = list({p for words in cut for p in words if p not in self.kept})
-        if len(self.kept) + len(new) > KEPT_PIECES:
+        found = [self.encoder.words(t) for t in texts]
+        have = set().union(*(w for w in found if w is not None))
+        new = list(have - self.kept.keys())
+        if len(self.kept) + len(new) > KEPT_WORDS:
             self.kept.clear()
-            new = list({p for words in cut for p in words})
-        for piece, ids in zip(new, self.encoder.encode_pieces(new), strict=True):
-            self.kept[piece] = ids
+            new = list(have)
+        self.kept.update(zip(new, self.encoder.encode_words([in_byte_alphabet(w) for w in new]), strict=True))
         get = self.kept.__getitem__
-        for words in cut:
-            yield b"".join(map(get, words))
+        for text, words in zip(texts, found, strict=True):
+            yield self.encoder.encode_other(text) if words is None else b"".join(map(get, words))
 
 
 def in_groups(ids: list, texts: list, most: int = 4_000_000) -> Iterator[tuple[list, list]]:
@@ -208,13 +190,13 @@ def in_groups(ids: list, texts: list, most: int = 4_000_000) -> Iterator[tuple[l
 def bpe_encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """Encode and decode whole texts: (id, n_tokens, ids, decoded), or with digests=True the SHA-256 of both.
 
-    Every task holds the vocabulary, one Arrow batch and KEPT_PIECES distinct pieces. No shuffle.
+    Every task holds the vocabulary, one Arrow batch and KEPT_WORDS distinct words. No shuffle.
     """
     path = path or tokenizer_path()
     kind = docs.schema[id_col].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Pieces(PairIndexBPE, path)
+        coder = Words(PairIndexBPE, path)
         token = coder.encoder.token
         for batch in batches:
             for ids, texts in in_groups(batch.column(0), batch.column(1).to_pylist()):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import LibraryPieces, Pieces, in_groups
+from .bpe import LibraryWords, Words, in_groups
 from .common import materialise, partitions, tokenizer_path, with_text
 
 #: An item of each length is dealt into so many groups a shuffle partition before it is ranked.
@@ -95,7 +95,7 @@ def token_pieces(docs: DataFrame, capacity: int, path: str | None = None, final_
     kind = docs.schema[id_col].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Pieces(LibraryPieces, path)
+        coder = Words(LibraryWords, path)
         last = np.asarray([final_id], "<u4").tobytes()
         for batch in batches:
             for own, texts in in_groups(batch.column(0), batch.column(1).to_pylist()):
