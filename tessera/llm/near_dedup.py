@@ -37,7 +37,7 @@ TOKENS, TREES, PATHS = 64, 6, 2
 LEAF, CLUSTER, BLOCKS, LEVELS = 384, 384, 32, 12
 #: A child this large a share of its parent is dense; tokens that must agree for a candidate (of 64, at 0.75: 48).
 DENSE, AGREE = 0.8, 32
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 
 _U = np.uint64
 

@@ -279,7 +279,9 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table, _ in whole_groups(batches, 1):
         if not table.num_rows:
             continue
-        doc, start = table.column(1).to_numpy(), table.column(2).to_numpy()
+        key, doc, start = (table.column(i).to_numpy() for i in range(3))
+        once = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1]))  # repeated rows
+        table, doc, start = table.filter(pa.array(once)), doc[once], start[once]
         pieces = table.column(3).to_pylist()
         size = np.array([len(p) + 1 for p in pieces])
         x = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
