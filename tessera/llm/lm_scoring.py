@@ -5,9 +5,11 @@ marks, the background model counts all documents. A document's score is its mean
 model less that under the background model; below zero it resembles the target. A document's own counts are
 taken out of both models while it is scored, so no document is scored by having been learned.
 
-The vocabulary is 2^WORD_BITS classes of word hashes and the pairs are counted in 2^PAIR_BITS classes, so both
-models have a fixed size and can be sent to every task, while the counts cover every token of the corpus. Each
-task adds up its own counts and sends one row for each class it met.
+Every distinct word and every distinct pair of neighbours of the whole corpus has its own counter: a row of a
+stored table that grows with the corpus and is never gathered. Grams are told apart by 63 bits of their hash and
+one bit that says word or pair. Texts are handled in parts of about PART_BYTES. A part gives one row for each
+gram in it, so that the commonest gram has one row a part at most, and the counts that a part needs come back to
+it by a join on the gram; a task holds the texts and the grams of one part.
 
 Edge cases: null and empty texts have no tokens and null scores; with no target document the target model is
 uniform; repeated rows count and are scored each; an empty table gives an empty table.
@@ -19,99 +21,171 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_text
-from .near_dedup import _chunks, _mix, hashed_words
+from .common import materialise, with_text
+from .near_dedup import _chunks, _constants, _mix, hashed_words
 from .spotsigs import _tables
 
-WORD_BITS, PAIR_BITS, PRIOR = 16, 18, 4.0
+#: Words in the smoothing's vocabulary are 2^WORD_BITS where the caller does not give their number.
+WORD_BITS, PRIOR = 16, 4.0
+PART_BYTES = 8 << 20
 _U = np.uint64
 
 
 def token_classes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word classes, pair classes (of a token and the one before) and each text's first and last token."""
+    """Hashes of the words (even) and of the pairs of a token and the one before (odd), and each text's first and last token."""
     words, first, last = hashed_words(texts, _tables()[0])
-    word = (words >> _U(64 - WORD_BITS)).astype(np.int64)
-    before = np.append(np.zeros(1, np.int64), word[:-1])[: len(word)]
-    pair = (_mix((before.astype(_U) << _U(WORD_BITS)) | word.astype(_U)) >> _U(64 - PAIR_BITS)).astype(np.int64)
-    return word, pair, first, last
+    before = np.append(np.zeros(1, _U), words[:-1])[: len(words)]
+    pair = _mix(before * _constants()["step"] + words) | _U(1)
+    return (words & ~_U(1)).view(np.int64), pair.view(np.int64), first, last
+
+
+def _starts(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """True at each text's first token."""
+    out = np.zeros(n, bool)
+    out[first[last > first]] = True
+    return out
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams and the sums of their (rows, 2) counts."""
+    grams, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+    counts = np.concatenate([c for _, c in parts])
+    return grams, np.stack([np.bincount(at, counts[:, j], len(grams)) for j in range(2)], 1).astype(np.int64)
 
 
 def count_classes(docs: DataFrame, target: Column, text_col: str = "text") -> DataFrame:
-    """(slot, target, background) over all documents; slots are the word classes, then the pair classes."""
+    """(gram, target, background) over all documents: a row for each distinct word and each distinct pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = (1 << WORD_BITS) + (1 << PAIR_BITS)
-        counts = np.zeros((2, size), np.int64)
+        held, size = [], 0
+
+        def rows() -> pa.RecordBatch:
+            grams, counts = _summed(held)
+            return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(counts[:, 0]), pa.array(counts[:, 1])], ["gram", "target", "background"])
+
         for batch in batches:
             for at, texts in _chunks(batch.column(1)):
                 marked = batch.column(0).slice(at, len(texts)).to_numpy(zero_copy_only=False).astype(bool)
                 word, pair, first, last = token_classes(texts)
-                inner = np.ones(len(word), bool)
-                inner[first[last > first]] = False  # a first token has none before it
+                inner = ~_starts(first, last, len(word))  # a first token has none before it
                 of = np.repeat(marked, last - first)
-                for row, mine in ((0, of), (1, np.ones(len(word), bool))):
-                    counts[row] += np.bincount(word[mine], minlength=size)
-                    counts[row] += np.bincount(pair[mine & inner] + (1 << WORD_BITS), minlength=size)
-        met = np.flatnonzero(counts[1])
-        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array(counts[0, met]), pa.array(counts[1, met])], ["slot", "target", "background"])
+                grams = np.concatenate([word, pair[inner]])
+                held.append(_summed([(grams, np.stack([np.concatenate([of, of[inner]]), np.ones(len(grams))], 1))]))
+                size += texts.nbytes
+                if size >= PART_BYTES:
+                    yield rows()
+                    held, size = [], 0
+        if held:
+            yield rows()
 
-    rows = docs.select(F.coalesce(target, F.lit(False)).alias("t"), with_text(docs, text_col).alias("text")).mapInArrow(run, "slot int, target long, background long")
-    return rows.groupBy("slot").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    rows = docs.select(F.coalesce(target, F.lit(False)).alias("t"), with_text(docs, text_col).alias("text")).mapInArrow(run, "gram long, target long, background long")
+    return rows.groupBy("gram").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
 
 
-def models(counts: DataFrame) -> np.ndarray:
-    """Counts of both models as a (2, classes) array: at most 2^WORD_BITS + 2^PAIR_BITS rows reach the driver."""
-    table = counts.toPandas()
-    out = np.zeros((2, (1 << WORD_BITS) + (1 << PAIR_BITS)), np.float64)
-    out[0, table["slot"]], out[1, table["slot"]] = table["target"], table["background"]
-    return out
+def models(counts: DataFrame) -> DataFrame:
+    """Counts of both models as a stored table."""
+    return materialise(counts, "grams")
+
+
+def vocabulary(counts: DataFrame) -> int:
+    """How many distinct words were counted."""
+    return max(1, counts.filter("gram % 2 = 0").count())
+
+
+def _parts(docs: DataFrame, target: Column, id_col: str, text_col: str) -> DataFrame:
+    """Stored rows (part, id, text, t): neighbouring rows of one task form parts of about PART_BYTES."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, size = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            for at, texts in _chunks(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), part)), *(c.slice(at, len(texts)) for c in batch.columns)], ["part", "id", "text", "t"])
+                size += texts.nbytes
+                if size >= PART_BYTES:
+                    part, size = part + 1, 0
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), with_text(docs, text_col).alias("text"), F.coalesce(target, F.lit(False)).alias("t"))
+    return materialise(rows.mapInArrow(run, f"part long, id {kind}, text string, t boolean"), "parts")
+
+
+def _grams_of_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, gram) for rows (part, text); a part that lies in two batches may repeat a gram."""
+    for batch in batches:
+        part = batch.column(0).to_numpy()
+        cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else part
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=len(part) > 0):
+            own = []
+            for _, texts in _chunks(batch.column(1).slice(a, b - a)):
+                word, pair, first, last = token_classes(texts)
+                own.append(np.unique(np.concatenate([word, pair[~_starts(first, last, len(word))]])))
+            grams = np.unique(np.concatenate(own))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), part[a])), pa.array(grams)], ["part", "gram"])
 
 
 def _own(of: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """How often each row's class occurs in its own document."""
+    """How often each row's class, a number under 2^32, occurs in its own document."""
     _, at, n = np.unique((of.astype(_U) << _U(32)) | classes.astype(_U), return_inverse=True, return_counts=True)
     return n[at].astype(np.float64)
 
 
-def losses(counts: np.ndarray, word: np.ndarray, pair: np.ndarray, starts: np.ndarray, of: np.ndarray, known: np.ndarray) -> np.ndarray:
+def losses(counts: np.ndarray, total: int, size: int, word: np.ndarray, pair: np.ndarray, starts: np.ndarray, of: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Natural-log loss of each token under one model without its own document.
 
-    starts marks tokens with none before them, of is a token's document, known tells whether the model counted it.
+    word and pair are places in counts, total the model's tokens and size its vocabulary; starts marks tokens with
+    none before them, of is a token's document, known tells whether the model counted it.
     """
-    v = 1 << WORD_BITS
-    before = np.append(np.zeros(1, np.int64), word[:-1])[: len(word)]
     same = _own(of, word)
-    tokens = counts[:v].sum(dtype=np.float64) - np.where(known, np.bincount(of, minlength=1)[of] if len(of) else 0, 0)
-    alone = (np.maximum(counts[word] - known * same, 0) + 1) / (np.maximum(tokens, 0) + v)
-    context = np.maximum(counts[before] - known * np.append(np.zeros(1, np.float64), same[:-1])[: len(word)], 0)
-    joint = np.minimum(np.maximum(counts[v + pair] - known * _own(of, np.where(starts, 1 << PAIR_BITS, pair)), 0), context)  # classes of pairs may collide
+    tokens = total - np.where(known, np.bincount(of, minlength=1)[of] if len(of) else 0, 0)
+    alone = (np.maximum(counts[word] - known * same, 0) + 1) / (np.maximum(tokens, 0) + size)
+    left = np.maximum(counts[word] - known * same, 0)
+    context = np.append(np.zeros(1, np.float64), left[:-1])[: len(word)]
+    joint = np.maximum(counts[pair] - known * _own(of, np.where(starts, len(counts), pair)), 0)
     return -np.log(np.where(starts, alone, (joint + PRIOR * alone) / (context + PRIOR)))
 
 
-def score(docs: DataFrame, counts: np.ndarray, target: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, target_loss, background_loss, difference) of every row; target as in count_classes."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    sent = docs.sparkSession.sparkContext.broadcast(counts)
+def score(docs: DataFrame, counts: DataFrame, target: Column, id_col: str = "doc_id", text_col: str = "text", size: int = 1 << WORD_BITS) -> DataFrame:
+    """(id, n_tokens, target_loss, background_loss, difference) of every row; target as in count_classes.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = sent.value
-        for batch in batches:
-            for at, texts in _chunks(batch.column(1)):
+    counts is the stored table of models(), size the number of words in the smoothing's vocabulary.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    sums = counts.filter("gram % 2 = 0").agg(F.sum("target"), F.sum("background")).first()
+    totals = [int(x or 0) for x in sums]
+    names = ["id", "n_tokens", "target_loss", "background_loss", "difference"]
+    schema = f"id {kind}, n_tokens long, target_loss double, background_loss double, difference double"
+
+    def run(rows: pa.Table, grams: pa.Table) -> pa.Table:
+        # the last place, without a count, is that of grams that no document had
+        gram, place = np.unique(grams.column("gram").to_numpy(), return_index=True)
+        both = [np.append(grams.column(c).to_numpy()[place], 0).astype(np.float64) for c in ("target", "background")]
+
+        def at(x: np.ndarray) -> np.ndarray:
+            i = np.searchsorted(gram, x)
+            return np.where(np.append(gram, 0)[i] == x, i, len(gram))
+
+        done = []
+        for batch in rows.combine_chunks().to_batches():
+            ids, all_texts, marks = (batch.column(batch.schema.get_field_index(c)) for c in ("id", "text", "t"))
+            for low, texts in _chunks(all_texts):
                 word, pair, first, last = token_classes(texts)
                 n = last - first
                 of = np.repeat(np.arange(len(n)), n)
-                marked = batch.column(2).slice(at, len(n)).to_numpy(zero_copy_only=False).astype(bool)
-                starts = np.zeros(len(word), bool)
-                starts[first[n > 0]] = True
+                marked = marks.slice(low, len(n)).to_numpy(zero_copy_only=False).astype(bool)
+                starts = _starts(first, last, len(word))
+                word, pair = at(word), at(pair)
                 mean = []
-                for row, known in zip(both, (marked[of], np.ones(len(of), bool)), strict=True):
-                    total = np.append(0.0, np.cumsum(losses(row, word, pair, starts, of, known), dtype=np.float64))
-                    mean.append((total[last] - total[first]) / np.maximum(n, 1))
+                for table, total, known in zip(both, totals, (marked[of], np.ones(len(of), bool)), strict=True):
+                    sums = np.append(0.0, np.cumsum(losses(table, total, size, word, pair, starts, of, known), dtype=np.float64))
+                    mean.append((sums[last] - sums[first]) / np.maximum(n, 1))
                 columns = [pa.array(x, pa.float64(), mask=n == 0) for x in (*mean, mean[0] - mean[1])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), pa.array(n, pa.int64()), *columns], ["id", "n_tokens", "target_loss", "background_loss", "difference"])
+                done.append(pa.RecordBatch.from_arrays([ids.slice(low, len(n)), pa.array(n, pa.int64()), *columns], names))
+        return pa.Table.from_batches(done, pa.schema([rows.schema.field("id"), ("n_tokens", pa.int64()), *((c, pa.float64()) for c in names[2:])]))
 
-    rows = docs.select(F.col(id_col).alias("id"), with_text(docs, text_col).alias("text"), F.coalesce(target, F.lit(False)).alias("t"))
-    return rows.mapInArrow(run, f"id {kind}, n_tokens long, target_loss double, background_loss double, difference double").withColumnRenamed("id", id_col)
+    parts = _parts(docs, target, id_col, text_col)
+    grams = parts.select("part", "text").mapInArrow(_grams_of_parts, "part long, gram long").join(counts.hint("merge"), "gram")
+    return parts.groupBy("part").cogroup(grams.groupBy("part")).applyInArrow(run, schema).withColumnRenamed("id", id_col)

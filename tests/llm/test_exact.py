@@ -272,6 +272,29 @@ def test_language_models(spark, sf, texts):
             assert n == got[i]["n_tokens"] and (n == 0 or abs(loss / n - got[i][name]) < 1e-4)
 
 
+def test_language_models_count_exact_ngrams(spark):
+    """More words and pairs than any fixed table of classes holds apart, against counts of the spelled-out grams."""
+    rng = np.random.default_rng(9)
+    words = {i: [f"w{x}" for x in rng.zipf(1.3, 3000) % 200_000] + [f"only{i}x{k}" for k in range(3000)] for i in range(40)}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in words.items()], "doc_id long, text string").repartition(5)
+    mark = F.col("doc_id") % 2 == 0
+    counts = lm_scoring.models(lm_scoring.count_classes(docs, mark))
+    v = len({x for w in words.values() for x in w})
+    pairs = {x for w in words.values() for x in zip(w, w[1:], strict=False)}
+    assert v > 1 << 16 and lm_scoring.vocabulary(counts) == v and counts.count() == v + len(pairs)
+    got = {r["doc_id"]: r for r in lm_scoring.score(docs, counts, mark, size=v).collect()}
+    for i in (0, 1, 20, 39):
+        for name, of in (("target_loss", [j for j in words if j % 2 == 0 and j != i]), ("background_loss", [j for j in words if j != i])):
+            one = Counter(x for j in of for x in words[j])
+            two = Counter(x for j in of for x in zip(words[j], words[j][1:], strict=False))
+            total, loss = sum(one.values()), 0.0
+            for k, w in enumerate(words[i]):
+                alone = (one[w] + 1) / (total + v)
+                u = words[i][k - 1]
+                loss -= np.log(alone if k == 0 else (two[u, w] + lm_scoring.PRIOR * alone) / (one[u] + lm_scoring.PRIOR))
+            assert abs(loss / len(words[i]) - got[i][name]) < 1e-9
+
+
 def exact_components(texts):
     upper = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
