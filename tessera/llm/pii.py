@@ -237,11 +237,18 @@ def spelled(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text_col: str = "text", odds: dict[tuple[int, int, str], float] | None = None) -> DataFrame:
-    """Every row with its spans replaced by <kind>; of spans that overlap, the earliest start is replaced."""
+    """Every row with its spans replaced by <kind>; spans that overlap are replaced as one, named by the first."""
     text = F.col("_text")
-    # a span that starts before an earlier one ended is dropped
-    none = F.struct(F.slice("_spans", 1, 0).alias("kept"), F.lit(0).alias("end"))
-    clear = F.aggregate("_spans", none, lambda a, x: F.when(x["s"] >= a["end"], F.struct(F.array_append(a["kept"], x).alias("kept"), x["e"].alias("end"))).otherwise(a), lambda a: a["kept"])
+    # _spans are sorted: each is given the furthest end up to it, and a union ends where the next span starts no earlier
+    ends = F.transform("_spans", lambda x, i: x["e"])
+    none = F.struct(F.slice(ends, 1, 0).alias("all"), F.lit(0).alias("end"))
+    reach = F.aggregate(ends, none, lambda a, e: F.struct(F.array_append(a["all"], F.greatest(a["end"], e)).alias("all"), F.greatest(a["end"], e).alias("end")), lambda a: a["all"])
+
+    def unions(reach: Column) -> Column:
+        heads = F.filter(F.transform("_spans", lambda x, i: F.struct(x["s"].alias("s"), x["k"].alias("k"), i.alias("i"))), lambda x: (x["i"] == 0) | (x["s"] >= F.get(reach, x["i"] - 1)))
+        return _let(heads, lambda h: F.transform(h, lambda x, j: F.struct(x["s"].alias("s"), x["k"].alias("k"), F.get(reach, F.coalesce(F.get(h, j + 1)["i"], F.size(reach)) - 1).alias("e"))))
+
+    clear = _let(reach, unions)
     names = F.array(*(F.lit(f"<{k}>") for k in KINDS))
 
     def rebuilt(kept: Column) -> Column:

@@ -225,6 +225,19 @@ def test_redaction_leaves_no_base_span(spark, sf):
     assert all(base_spans(r["text"]) == "" for r in left)
 
 
+def test_redaction_covers_the_union_of_overlapping_spans(spark):
+    cases = {
+        "+1 202 555 0143.john@x.com": "<phone>",
+        "card 4111 1111 1111 1111@mail.com, end": "card <card>, end",
+        "a@b.com +1 202 555 0143.john@x.com 1.2.3.4": "<email> <phone> <ip>",
+        "nothing": "nothing",
+        "": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.redact(docs, odds={}).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
 def test_em_tells_good_labelers_apart():
     after = pii.reliabilities({(0, (1, 1, 0)): 900, (0, (1, -1, 0)): 20, (0, (0, 1, 1)): 30, (0, (0, -1, -1)): 200, (0, (-1, -1, 0)): 300})
     assert after[0, (1, 1, 0)] > 0.9 and after[0, (-1, -1, 0)] < 0.1 and after[0, (0, -1, -1)] < 0.5
