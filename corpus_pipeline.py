@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import line_dedup, near_dedup, packing, pii, quality_gam
-from tessera.llm.common import materialise, sized
+from tessera.llm.common import fresh, materialise, sized
 
 
 def _resized(docs: DataFrame, like: DataFrame) -> DataFrame:
@@ -27,9 +27,17 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    kept = materialise(near_dedup.near_duplicates(docs).filter("kept").select("doc_id").distinct(), "kept")
-    return docs.join(sized(kept), "doc_id", "left_semi").select(*docs.columns)
+    """One row of each group of near copies: that with the smallest id, a null id after all others.
+
+    Each row is judged by its own text: null and repeated ids are rows like any other.
+    """
+    (row,) = fresh(docs, "_row")
+    rows = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = near_dedup.near_duplicates(rows, row).select(row, "component_id")
+    ids = rows.select(F.col(row), F.struct(F.col("doc_id").isNull(), "doc_id", row).alias("_order"))
+    first = found.join(ids.hint("merge"), row).groupBy("component_id").agg(F.min("_order").alias("_order"))
+    kept = materialise(first.select(F.col("_order")[row].alias(row)), "kept")
+    return rows.join(sized(kept), row, "left_semi").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

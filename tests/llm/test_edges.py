@@ -81,3 +81,14 @@ def test_pipeline_stages_keep_the_columns(spark, sf):
     assert counts[0] > counts[1] >= counts[2] > counts[3] == counts[4]
     ids = [r["doc_id"] for r in docs.collect()]
     assert len(set(ids)) == counts[4]
+
+
+def test_pipeline_near_duplicates_with_null_and_repeated_ids(spark, sf):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(1, text(1)), (2, text(1)), (None, text(1)), (None, text(2)), (None, text(3)), (None, text(3) + " more"), (7, text(4)), (7, text(5)), (8, text(5)), (3, text(6)), (9, text(7)), (9, text(6)), (4, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()]
+    near = [x for x in got if x[1] and x[1].startswith("w3x")]
+    assert len(near) == 1 and near[0] in rows
+    want = [(1, text(1)), (None, text(2)), (7, text(4)), (7, text(5)), (3, text(6)), (9, text(7)), (4, None), (None, "")]
+    assert sorted((x for x in got if x not in near), key=str) == sorted(want, key=str)
