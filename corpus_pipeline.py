@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that many sites share."""
-    return _resized(line_dedup.line_dedup(docs), docs)
+    """Texts without the lines that many sites share in different texts, however much of a text they are."""
+    return _resized(line_dedup.line_dedup(docs, most_lost=1.0, copies_vote=False), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

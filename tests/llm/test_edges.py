@@ -83,6 +83,17 @@ def test_pipeline_stages_keep_the_columns(spark, sf):
     assert len(set(ids)) == counts[4]
 
 
+def test_pipeline_lines_go_from_short_pages_and_copies_stay(spark, sf):
+    block = ["All rights reserved by the owners of this page.", "We use cookies to make this site work for you."]
+    short = [(i, "\n".join([block[0], f"own {i}", block[1]]), f"s{i}") for i in range(12)]
+    copies = [(100 + i, "a page that was\ncopied as a whole", f"t{i}") for i in range(15)]
+    few = [(200 + i, f"seldom seen\nown {200 + i}", f"u{i}") for i in range(9)]
+    docs = spark.createDataFrame([(*r, 0) for r in [*short, *copies, *few]], "doc_id long, text string, source string, n_chars int").repartition(3)
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.lines(spark, docs, sf).collect()}
+    want = {i: f"own {i}" for i, _, _ in short} | {i: t for i, t, _ in [*copies, *few]}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+
+
 def test_pipeline_near_duplicates_with_null_and_repeated_ids(spark, sf):
     text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
     rows = [(1, text(1)), (2, text(1)), (None, text(1)), (None, text(2)), (None, text(3)), (None, text(3) + " more"), (7, text(4)), (7, text(5)), (8, text(5)), (3, text(6)), (9, text(7)), (9, text(6)), (4, None), (None, "")]
