@@ -5,19 +5,22 @@ marks, the background model counts all documents. A document's score is its mean
 model less that under the background model; below zero it resembles the target. A document's own counts are
 taken out of both models while it is scored, so no document is scored by having been learned.
 
-Every distinct word and every distinct pair of neighbours of the whole corpus has its own counter: a row of a
-stored table that grows with the corpus and is never gathered. Grams are told apart by 63 bits of their hash and
-one bit that says word or pair. Texts are handled in parts of about PART_BYTES. A part gives one row for each
-gram in it, so that the commonest gram has one row a part at most, and the counts that a part needs come back to
-it by a join on the gram; a task holds the texts and the grams of one part.
+Every distinct word and every distinct pair of neighbours of the whole corpus is counted by itself; nothing that
+grows with the corpus is broadcast or gathered. Grams are told apart by 63 bits of a keyed hash and one bit that
+says word or pair. Texts are dealt into parts of about PART_BYTES, and the hash range into buckets, as many as
+the corpus has BUCKET_BYTES. A part sends each bucket its distinct grams there, sorted, with their counts; so the
+commonest gram comes once a part. The bucket adds them up and answers with the totals alone, in the order in
+which the part sent its grams. A task holds one part or one bucket.
 
 Edge cases: null and empty texts have no tokens and null scores; with no target document the target model is
-uniform; repeated rows count and are scored each; an empty table gives an empty table.
+uniform; repeated rows count and are scored each; an empty table gives an empty table; a text of more than
+PART_BYTES is a part of its own.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,167 +28,204 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, with_text
+from .common import materialise, partitions, with_text
 from .near_dedup import _chunks, _constants, _mix, hashed_words
-from .spotsigs import _tables
+from .spotsigs import WORDS
 
-#: Words in the smoothing's vocabulary are 2^WORD_BITS where the caller does not give their number.
-WORD_BITS, PRIOR = 16, 4.0
-PART_BYTES = 8 << 20
+#: Weight of the word's own probability beside the pair's counts.
+PRIOR = 4.0
+PART_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
 _U = np.uint64
 
 
-def token_classes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Counted:
+    """The parts of a corpus (part, size, rows), the totals of their grams (part, bucket, target, background), the
+    number of distinct words, and the tokens of both models."""
+
+    parts: DataFrame
+    totals: DataFrame
+    words: int
+    tokens: tuple[int, int]
+
+
+@dataclass(frozen=True)
+class Grams:
+    """Distinct grams of some texts in ascending order, and the place among them of each token's word and pair."""
+
+    grams: np.ndarray
+    word: np.ndarray
+    pair: np.ndarray  # len(grams) for a token with none before it
+    first: np.ndarray
+    last: np.ndarray
+
+
+def token_grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the words (even) and of the pairs of a token and the one before (odd), and each text's first and last token."""
-    words, first, last = hashed_words(texts, _tables()[0])
+    found = [hashed_words(part, WORDS) for _, part in _chunks(texts)]
+    words = np.concatenate([w for w, _, _ in found]) if found else np.zeros(0, _U)
+    shift = np.cumsum([0, *(len(w) for w, _, _ in found)])
+    first, last = (np.concatenate([np.zeros(0, np.int64), *(x[i] + s for x, s in zip(found, shift, strict=False))]) for i in (1, 2))
     before = np.append(np.zeros(1, _U), words[:-1])[: len(words)]
-    pair = _mix(before * _constants()["step"] + words) | _U(1)
-    return (words & ~_U(1)).view(np.int64), pair.view(np.int64), first, last
+    return words & ~_U(1), _mix(before * _constants()["step"] + words) | _U(1), first, last
+
 
+def distinct_grams(texts: pa.Array) -> Grams:
+    word, pair, first, last = token_grams(texts)
+    inner = np.ones(len(word), bool)  # a first token has none before it
+    inner[first[last > first]] = False
+    grams, at = np.unique(np.concatenate([word, pair[inner]]), return_inverse=True)
+    pairs = np.full(len(word), len(grams))
+    pairs[inner] = at[len(word) :]
+    return Grams(grams, at[: len(word)], pairs, first, last)
 
-def _starts(first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
-    """True at each text's first token."""
-    out = np.zeros(n, bool)
-    out[first[last > first]] = True
-    return out
 
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of unsigned 64-bit numbers, first bytes first: small numbers leave runs of zeros, which compress."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct grams and the sums of their (rows, 2) counts."""
-    grams, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
-    counts = np.concatenate([c for _, c in parts])
-    return grams, np.stack([np.bincount(at, counts[:, j], len(grams)) for j in range(2)], 1).astype(np.int64)
 
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
-def count_classes(docs: DataFrame, target: Column, text_col: str = "text") -> DataFrame:
-    """(gram, target, background) over all documents: a row for each distinct word and each distinct pair."""
+
+def _parts(docs: DataFrame, target: Column, id_col: str, text_col: str) -> DataFrame:
+    """Stored rows (part, size, rows): neighbouring rows (id, text, t) of one task, as a compressed Arrow stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        part, held, size = TaskContext.get().partitionId() << 32, [], 0
 
-        def rows() -> pa.RecordBatch:
-            grams, counts = _summed(held)
-            return pa.RecordBatch.from_arrays([pa.array(grams), pa.array(counts[:, 0]), pa.array(counts[:, 1])], ["gram", "target", "background"])
+        def stored() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(pa.Table.from_batches(held).combine_chunks())
+            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["part", "size", "rows"])
 
         for batch in batches:
             for at, texts in _chunks(batch.column(1)):
-                marked = batch.column(0).slice(at, len(texts)).to_numpy(zero_copy_only=False).astype(bool)
-                word, pair, first, last = token_classes(texts)
-                inner = ~_starts(first, last, len(word))  # a first token has none before it
-                of = np.repeat(marked, last - first)
-                grams = np.concatenate([word, pair[inner]])
-                held.append(_summed([(grams, np.stack([np.concatenate([of, of[inner]]), np.ones(len(grams))], 1))]))
+                held.append(batch.slice(at, len(texts)))
                 size += texts.nbytes
                 if size >= PART_BYTES:
-                    yield rows()
-                    held, size = [], 0
+                    yield stored()
+                    part, held, size = part + 1, [], 0
         if held:
-            yield rows()
-
-    rows = docs.select(F.coalesce(target, F.lit(False)).alias("t"), with_text(docs, text_col).alias("text")).mapInArrow(run, "gram long, target long, background long")
-    return rows.groupBy("gram").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
+            yield stored()
 
-def models(counts: DataFrame) -> DataFrame:
-    """Counts of both models as a stored table."""
-    return materialise(counts, "grams")
+    rows = docs.select(F.col(id_col).alias("id"), with_text(docs, text_col).alias("text"), F.coalesce(target, F.lit(False)).alias("t"))
+    return materialise(rows.mapInArrow(run, "part long, size long, rows binary"), "parts")
 
 
-def vocabulary(counts: DataFrame) -> int:
-    """How many distinct words were counted."""
-    return max(1, counts.filter("gram % 2 = 0").count())
+def _rows_of(stored: bytes) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    table = pa.ipc.open_stream(stored).read_all().combine_chunks()
+    ids, texts, marks = (table.column(i).combine_chunks() for i in range(3))
+    return ids, texts, marks.to_numpy(zero_copy_only=False).astype(bool)
 
 
-def _parts(docs: DataFrame, target: Column, id_col: str, text_col: str) -> DataFrame:
-    """Stored rows (part, id, text, t): neighbouring rows of one task form parts of about PART_BYTES."""
+def _sends(buckets: int):
+    """(part, bucket, grams, target, background): the grams as differences, the counts within the part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, size = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for at, texts in _chunks(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), part)), *(c.slice(at, len(texts)) for c in batch.columns)], ["part", "id", "text", "t"])
-                size += texts.nbytes
-                if size >= PART_BYTES:
-                    part, size = part + 1, 0
+            for part, stored in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                _, texts, marks = _rows_of(stored.as_py())
+                g = distinct_grams(texts)
+                places, of = np.concatenate([g.word, g.pair]), np.tile(np.repeat(marks, g.last - g.first), 2)
+                n = len(g.grams)
+                background, target = np.bincount(places, minlength=n + 1)[:n], np.bincount(places[of], minlength=n + 1)[:n]
+                bucket = (g.grams >> _U(32)) * _U(buckets) >> _U(32)
+                at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[:n])
+                cuts = list(zip(at.tolist(), [*at[1:].tolist(), n], strict=True)) if n else []
+                columns = [_planes(np.diff(g.grams[a:b], prepend=_U(0))) for a, b in cuts], [_planes(target[a:b]) for a, b in cuts], [_planes(background[a:b]) for a, b in cuts]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cuts), part)), pa.array(bucket[at].astype(np.int64)), *(pa.array(c, pa.binary()) for c in columns)], ["part", "bucket", "grams", "target", "background"])
+
+    return run
+
+
+def _added(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct grams of a bucket's rows, their two totals, each row's places among them, and where its places end."""
+    sent = [np.cumsum(_numbers(x), dtype=_U) for x in table.column("grams").to_pylist()]
+    grams, at = np.unique(np.concatenate(sent), return_inverse=True)
+    target, background = (np.bincount(at, np.concatenate([_numbers(x) for x in table.column(c).to_pylist()]).astype(np.float64), len(grams)).astype(np.int64) for c in ("target", "background"))
+    return grams, target, background, at, np.cumsum([0, *map(len, sent)])
+
+
+def _totals(table: pa.Table) -> pa.Table:
+    """Each part's totals in the order of its grams; the first row also has the bucket's distinct words and tokens."""
+    grams, target, background, at, ends = _added(table)
+    word = grams & _U(1) == 0
+    first = [[int(x), *[0] * (table.num_rows - 1)] for x in (word.sum(), target[word].sum(), background[word].sum())]
+    answers = [[_planes(c[at[a:b]]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)] for c in (target, background)]
+    columns = [table.column("part"), table.column("bucket"), *(pa.array(x, pa.binary()) for x in answers), *(pa.array(x, pa.int64()) for x in first)]
+    return pa.table(columns, ["part", "bucket", "target", "background", "words", "target_tokens", "background_tokens"])
+
+
+def _sent(parts: DataFrame) -> DataFrame:
+    size = parts.agg(F.sum("size")).first()[0] or 0
+    buckets = max(partitions(parts.sparkSession), -(-size // BUCKET_BYTES))
+    return parts.select("part", "rows").mapInArrow(_sends(buckets), "part long, bucket long, grams binary, target binary, background binary")
+
+
+def count(docs: DataFrame, target: Column, id_col: str = "doc_id", text_col: str = "text") -> Counted:
+    """Counts of both models over all documents; target is true for the documents of the target model."""
+    parts = _parts(docs, target, id_col, text_col)
+    totals = materialise(_sent(parts).groupBy("bucket").applyInArrow(_totals, "part long, bucket long, target binary, background binary, words long, target_tokens long, background_tokens long"), "totals")
+    sums = totals.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "target_tokens", "background_tokens"))).first()
+    return Counted(parts, totals.select("part", "bucket", "target", "background"), int(sums[0]), (int(sums[1]), int(sums[2])))
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), with_text(docs, text_col).alias("text"), F.coalesce(target, F.lit(False)).alias("t"))
-    return materialise(rows.mapInArrow(run, f"part long, id {kind}, text string, t boolean"), "parts")
-
-
-def _grams_of_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(part, gram) for rows (part, text); a part that lies in two batches may repeat a gram."""
-    for batch in batches:
-        part = batch.column(0).to_numpy()
-        cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else part
-        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)], strict=len(part) > 0):
-            own = []
-            for _, texts in _chunks(batch.column(1).slice(a, b - a)):
-                word, pair, first, last = token_classes(texts)
-                own.append(np.unique(np.concatenate([word, pair[~_starts(first, last, len(word))]])))
-            grams = np.unique(np.concatenate(own))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), part[a])), pa.array(grams)], ["part", "gram"])
-
-
-def _own(of: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """How often each row's class, a number under 2^32, occurs in its own document."""
-    _, at, n = np.unique((of.astype(_U) << _U(32)) | classes.astype(_U), return_inverse=True, return_counts=True)
+
+def gram_counts(docs: DataFrame, target: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(gram, target, background): a row for each distinct word (even) and each distinct pair (odd) of the corpus."""
+
+    def rows(table: pa.Table) -> pa.Table:
+        grams, one, two, _, _ = _added(table)
+        return pa.table([grams.view(np.int64), one, two], ["gram", "target", "background"])
+
+    return _sent(_parts(docs, target, id_col, text_col)).groupBy("bucket").applyInArrow(rows, "gram long, target long, background long")
+
+
+def _own(of: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """How often each token's gram, a place under 2^32, occurs in its own document."""
+    _, at, n = np.unique((of.astype(_U) << _U(32)) | place.astype(_U), return_inverse=True, return_counts=True)
     return n[at].astype(np.float64)
 
 
-def losses(counts: np.ndarray, total: int, size: int, word: np.ndarray, pair: np.ndarray, starts: np.ndarray, of: np.ndarray, known: np.ndarray) -> np.ndarray:
+def losses(counts: np.ndarray, tokens: np.ndarray, size: int, g: Grams, own_word: np.ndarray, own_pair: np.ndarray) -> np.ndarray:
     """Natural-log loss of each token under one model without its own document.
 
-    word and pair are places in counts, total the model's tokens and size its vocabulary; starts marks tokens with
-    none before them, of is a token's document, known tells whether the model counted it.
+    counts are the model's, by place; tokens are the model's without the token's document, size is the vocabulary's,
+    own_word and own_pair are the document's own counts as far as the model has them.
     """
-    same = _own(of, word)
-    tokens = total - np.where(known, np.bincount(of, minlength=1)[of] if len(of) else 0, 0)
-    alone = (np.maximum(counts[word] - known * same, 0) + 1) / (np.maximum(tokens, 0) + size)
-    left = np.maximum(counts[word] - known * same, 0)
-    context = np.append(np.zeros(1, np.float64), left[:-1])[: len(word)]
-    joint = np.maximum(counts[pair] - known * _own(of, np.where(starts, len(counts), pair)), 0)
-    return -np.log(np.where(starts, alone, (joint + PRIOR * alone) / (context + PRIOR)))
+    counts = np.append(counts, 0).astype(np.float64)
+    left = np.maximum(counts[g.word] - own_word, 0)
+    alone = (left + 1) / (np.maximum(tokens, 0) + size)
+    context = np.append(np.zeros(1), left[:-1])[: len(left)]
+    joint = np.maximum(counts[g.pair] - own_pair, 0)
+    return -np.log(np.where(g.pair == len(counts) - 1, alone, (joint + PRIOR * alone) / (context + PRIOR)))
 
 
-def score(docs: DataFrame, counts: DataFrame, target: Column, id_col: str = "doc_id", text_col: str = "text", size: int = 1 << WORD_BITS) -> DataFrame:
-    """(id, n_tokens, target_loss, background_loss, difference) of every row; target as in count_classes.
-
-    counts is the stored table of models(), size the number of words in the smoothing's vocabulary.
-    """
+def score(docs: DataFrame, target: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, target_loss, background_loss, difference) of every row; target is true for the target model's documents."""
     kind = docs.schema[id_col].dataType.simpleString()
-    sums = counts.filter("gram % 2 = 0").agg(F.sum("target"), F.sum("background")).first()
-    totals = [int(x or 0) for x in sums]
+    counted = count(docs, target, id_col, text_col)
+    size, totals = max(1, counted.words), counted.tokens
     names = ["id", "n_tokens", "target_loss", "background_loss", "difference"]
-    schema = f"id {kind}, n_tokens long, target_loss double, background_loss double, difference double"
-
-    def run(rows: pa.Table, grams: pa.Table) -> pa.Table:
-        # the last place, without a count, is that of grams that no document had
-        gram, place = np.unique(grams.column("gram").to_numpy(), return_index=True)
-        both = [np.append(grams.column(c).to_numpy()[place], 0).astype(np.float64) for c in ("target", "background")]
-
-        def at(x: np.ndarray) -> np.ndarray:
-            i = np.searchsorted(gram, x)
-            return np.where(np.append(gram, 0)[i] == x, i, len(gram))
-
-        done = []
-        for batch in rows.combine_chunks().to_batches():
-            ids, all_texts, marks = (batch.column(batch.schema.get_field_index(c)) for c in ("id", "text", "t"))
-            for low, texts in _chunks(all_texts):
-                word, pair, first, last = token_classes(texts)
-                n = last - first
-                of = np.repeat(np.arange(len(n)), n)
-                marked = marks.slice(low, len(n)).to_numpy(zero_copy_only=False).astype(bool)
-                starts = _starts(first, last, len(word))
-                word, pair = at(word), at(pair)
-                mean = []
-                for table, total, known in zip(both, totals, (marked[of], np.ones(len(of), bool)), strict=True):
-                    sums = np.append(0.0, np.cumsum(losses(table, total, size, word, pair, starts, of, known), dtype=np.float64))
-                    mean.append((sums[last] - sums[first]) / np.maximum(n, 1))
-                columns = [pa.array(x, pa.float64(), mask=n == 0) for x in (*mean, mean[0] - mean[1])]
-                done.append(pa.RecordBatch.from_arrays([ids.slice(low, len(n)), pa.array(n, pa.int64()), *columns], names))
-        return pa.Table.from_batches(done, pa.schema([rows.schema.field("id"), ("n_tokens", pa.int64()), *((c, pa.float64()) for c in names[2:])]))
 
-    parts = _parts(docs, target, id_col, text_col)
-    grams = parts.select("part", "text").mapInArrow(_grams_of_parts, "part long, gram long").join(counts.hint("merge"), "gram")
-    return parts.groupBy("part").cogroup(grams.groupBy("part")).applyInArrow(run, schema).withColumnRenamed("id", id_col)
+    def run(stored: pa.Table, answers: pa.Table) -> pa.Table:
+        ids, texts, marks = _rows_of(stored.column("rows")[0].as_py())
+        g = distinct_grams(texts)
+        by = np.argsort(answers.column("bucket").to_numpy())
+        n = g.last - g.first
+        of = np.repeat(np.arange(len(n)), n)
+        own = _own(of, g.word), _own(of, g.pair)
+        mean = []
+        for name, total, known in zip(("target", "background"), totals, (marks, np.ones(len(n), bool)), strict=True):
+            got = answers.column(name).to_pylist()
+            counts = np.concatenate([np.zeros(0, _U), *(_numbers(got[i]) for i in by)])
+            tokens = total - np.where(known, n, 0)
+            sums = np.append(0.0, np.cumsum(losses(counts, tokens[of], size, g, *(known[of] * x for x in own))))
+            mean.append((sums[g.last] - sums[g.first]) / np.maximum(n, 1))
+        columns = [pa.array(x, pa.float64(), mask=n == 0) for x in (*mean, mean[0] - mean[1])]
+        return pa.table([ids, pa.array(n, pa.int64()), *columns], names)
+
+    both = counted.parts.select("part", "rows").groupBy("part").cogroup(counted.totals.groupBy("part"))
+    return both.applyInArrow(run, f"id {kind}, n_tokens long, target_loss double, background_loss double, difference double").withColumnRenamed("id", id_col)

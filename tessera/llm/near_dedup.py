@@ -4,14 +4,17 @@ A document is the set of its distinct five-word shingles. Equal sets are one cla
 Each class has 64 MinHash tokens. Every one of TREES independent trees sends a class down two paths, each named
 by one of its tokens; a node that holds more than LEAF classes branches again by two tokens that a hash of the
 node selects. A pair at similarity 0.75 stays together somewhere in one tree with probability 0.89 at any depth
-(the extinction probability s of (1/4 + 3s/4)^2 = s is 1/9), so six trees miss it with probability 2e-6; the
-branching factor keeps the number of rows near linear. Nodes of at most LEAF classes are compared exhaustively.
-Nodes that no longer shrink hold mostly similar classes and become one candidate cluster each.
+(the extinction probability s of (1/4 + 3s/4)^2 = s is 1/9). The trees share the 64 tokens, so six of them miss a
+pair at exactly 0.75 with probability of about 2.3e-4 rather than (1/9)^6, and fewer above; the tests measure the
+recall. The branching factor keeps the number of rows near linear. Nodes of at most LEAF classes are compared
+exhaustively. Nodes that no longer shrink hold mostly similar classes and become one candidate cluster each.
 
 Leaves compare tokens and give candidate clusters (spanning links, never all pairs). Within the clusters, links
 are confirmed on the full shingle sets, and the components of the confirmed links are the result. A cluster that
-is too large for one task is cut into blocks and every pair of blocks is compared; where that would copy a
-document too often, the leaves and the blocks of the dense nodes are compared instead. Nothing is capped.
+is too large for one task is cut into blocks that a few of its members all join; every member that is then not in
+the cluster's main component is compared with the whole cluster, block by block. A pair that is not compared is
+already in one component, so no link between components is missed, and a large group of near copies costs its
+members about once. Words are told apart by a keyed 64-bit hash, shingles by 64 bits made of five of them.
 
 Edge cases: null, empty and blank texts have an empty set and are linked with nothing; texts of fewer than five
 words have one shingle, the whole sequence; repeated rows are one class; equal ids are one document; an empty
@@ -22,6 +25,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +37,9 @@ from pyspark.sql import functions as F
 from .common import columns_of, materialise, sized, with_text
 
 TOKENS, TREES, PATHS = 64, 6, 2
-#: Largest node compared at once, largest cluster confirmed at once (and block of a larger one), largest number of
-#: blocks of a cluster, and most levels.
-LEAF, CLUSTER, BLOCKS, LEVELS = 384, 384, 32, 12
+#: Largest node compared at once, largest cluster confirmed at once (and block of a larger one) in documents and in
+#: shingles, members that stand in all blocks of a cluster, and most levels.
+LEAF, CLUSTER, SHINGLES, HUBS, LEVELS = 384, 384, 2_000_000, 4, 12
 #: A child this large a share of its parent is dense; tokens that must agree for a candidate (of 64, at 0.75: 48).
 DENSE, AGREE = 0.8, 32
 CHUNK = 1 << 20
@@ -46,11 +51,11 @@ _U = np.uint64
 def _constants() -> dict[str, np.ndarray]:
     rng = np.random.default_rng(10)
     odd = lambda n: rng.integers(0, 1 << 63, n, dtype=_U) * _U(2) + _U(1)
-    table = odd(256)
-    table[65:91] = table[97:123]  # A-Z as a-z
-    table[[9, 10, 11, 12, 13, 32]] = 0
-    base = int(odd(1)[0])
-    return {"table": table, "base": _U(base), "inverse": _U(pow(base, -1, 1 << 64)), "step": odd(1)[0], "xor": odd(TOKENS), "mul": odd(TOKENS), "roots": rng.permutation(TOKENS)[: TREES * PATHS]}
+    return {"step": odd(1)[0], "xor": odd(TOKENS), "mul": odd(TOKENS), "roots": rng.permutation(TOKENS)[: TREES * PATHS]}
+
+
+#: Bytes of a text with A-Z as a-z; bytes.split() then cuts it at the separators of the word definition.
+LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -59,43 +64,44 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+class _WordHashes(dict):
+    """Keyed 64-bit hashes of words. Distinct short words are kept up to a bound, which costs time only."""
+
+    def __missing__(self, word: bytes) -> int:
+        out = int.from_bytes(blake2b(word, digest_size=8, key=b"words").digest(), "little")
+        if len(word) <= 40:
+            if len(self) >= 1 << 18:
+                self.clear()
+            self[word] = out
+        return out
+
 
+_known = _WordHashes()
 
-def hashed_words(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def hashed_words(texts: pa.Array, table: bytes = LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, and each text's first and last position in them.
 
-    Works on the UTF-8 bytes of the whole array: a word is a run of bytes whose value in table is not 0, hashed
-    by a polynomial over those values.
+    table maps every byte of the UTF-8 text to one of the text that is cut at white space.
     """
-    c = _constants()
     texts = texts.cast(pa.large_string())
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
-    ends = ends - ends[0]
-    n = len(raw)
-    value = table[raw]
-    inside = np.concatenate([[False], value != 0, [False]])
-    cut = np.zeros(n + 1, bool)
-    cut[ends] = True
-    starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[:-1]))
-    stops = np.flatnonzero(inside[1:-1] & (~inside[2:] | cut[1:])) + 1
-    total = np.concatenate([np.zeros(1, _U), np.cumsum(value * _powers(c["base"], n), dtype=_U)])
-    words = _mix((total[stops] - total[starts]) * _powers(c["inverse"], n + 1)[starts] + (stops - starts).astype(_U))
-    return words, np.searchsorted(starts, ends[:-1]), np.searchsorted(starts, ends[1:])
+    raw = memoryview(texts.buffers()[2] or b"")[ends[0] : ends[-1]].tobytes().translate(table)
+    at = (ends - ends[0]).tolist()
+    words = [raw[a:b].split() for a, b in zip(at, at[1:], strict=False)]
+    last = np.cumsum([len(w) for w in words], dtype=np.int64)
+    hashes = np.fromiter(map(_known.__getitem__, chain.from_iterable(words)), _U, int(last[-1]) if len(last) else 0)
+    return hashes, last - np.array([len(w) for w in words], np.int64), last
 
 
 def shingle_sets(texts: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts, one after another, and the texts' offsets into them."""
     c = _constants()
-    words, first, last = hashed_words(texts, c["table"])
+    words, first, last = hashed_words(texts)
     sets, at = [], [0]
     rolled = words.copy()
-    for i in range(1, k):
-        rolled[: len(words) - i] = rolled[: len(words) - i] * c["step"] + words[i:]
+    for i in range(1, min(k, len(words))):
+        rolled[:-i] = rolled[:-i] * c["step"] + words[i:]
     rolled = _mix(rolled)
     for a, b in zip(first.tolist(), last.tolist(), strict=True):
         if b - a >= k:
@@ -194,9 +200,9 @@ def _lowest(linked: np.ndarray) -> np.ndarray:
 
 
 def _leaf_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, id, low) of the classes that have a candidate partner in their leaf."""
+    """(id, low) of the classes that have a candidate partner in their leaf."""
     for table, starts in whole_groups(batches, 1):
-        node, ids = (table.column(i).to_numpy() for i in range(2))
+        ids = table.column(1).to_numpy()
         if not len(ids):
             continue
         tokens = np.frombuffer(b"".join(table.column(2).to_pylist()), "<u2").reshape(-1, TOKENS)
@@ -216,7 +222,7 @@ def _leaf_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if some.any():
                 low[a : a + m] = np.where(some, _lowest(linked) + a, -1)
         keep = np.flatnonzero(low >= 0)
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (node, ids)] + [pa.array(ids[low[keep]])], ["node", "id", "low"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[low[keep]])], ["id", "low"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,24 +283,22 @@ def _tiles(blocks, own):
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
-    """Stored rows (node, n, id, low) of all trees for classes (id, tokens, roots).
-
-    Rows of one node and low are candidates for each other; n is the size of a dense node, 0 for a leaf.
-    """
+    """Stored links (id, low) of all trees for classes (id, tokens, roots): rows of one low are candidates for each other."""
     level = classes.select("id", F.explode("roots").alias("node"), F.lit(None).cast("long").alias("parent"))
     found = None
     for depth in range(LEVELS + 1):
-        counts = level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low")).filter("n > 1")
+        # the counts are stored so that the join reads two plain shuffles, whose hot nodes AQE can split
+        counts = materialise(level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low")).filter("n > 1"), "counts")
         nodes = materialise(level.join(counts.hint("merge"), "node"), "nodes")
         dense = (F.col("n") > LEAF) & (F.lit(depth == LEVELS) | (F.col("n") > DENSE * F.coalesce("parent", F.col("n") * 9)))
         leaves = nodes.filter(f"n <= {LEAF}").select("node", "id").join(classes.select("id", "tokens").hint("merge"), "id").select("node", "id", "tokens")
         ids = columns_of(leaves, "id").replace("`id`", "")
-        part = leaves.repartition("node").sortWithinPartitions("node", "id").mapInArrow(_leaf_links, f"node long, id{ids}, low{ids}")
-        part = part.select("node", F.lit(0).cast("long").alias("n"), "id", "low").unionByName(nodes.filter(dense).select("node", "n", "id", "low"))
+        part = leaves.repartition("node").sortWithinPartitions("node", "id").mapInArrow(_leaf_links, f"id{ids}, low{ids}")
+        part = part.unionByName(nodes.filter(dense).select("id", "low"))
         found = part if found is None else found.unionByName(part)
         more = nodes.filter((F.col("n") > LEAF) & ~dense)
         if depth == LEVELS or more.isEmpty():
-            return materialise(found, "leaves")
+            return found
         first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(TOKENS))
         second = (first + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(TOKENS - 1))) % TOKENS
         level = (
@@ -304,29 +308,59 @@ def _candidates(classes: DataFrame) -> DataFrame:
         )
 
 
+def _blocks(members: float):
+    """Blocks of at most about `members` documents and SHINGLES shingles, from n documents with w shingles."""
+    return F.greatest(F.ceil(F.col("n") / members), F.ceil(F.col("w") / SHINGLES), F.lit(1)).cast("long")
+
+
+def _at(blocks, *key):
+    return F.pmod(F.xxhash64("id", *key), blocks)
+
+
+def _upto(n):
+    return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row. The id must be an integer column."""
     kind = docs.schema[id_col].dataType.simpleString()
     signed = materialise(signatures(docs, id_col, text_col), "signed")
     classes = materialise(signed.filter("n_shingles > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n_shingles").agg(F.min_by(F.struct("id", "tokens", "roots"), "id").alias("x")).select("h1", "h2", "n_shingles", "x.*"), "classes")
-    leaves = _candidates(classes)
-    clusters = components(leaves.select("low", "id"))
-    members = clusters.unionByName(clusters.select(F.col("low").alias("id"), "low").distinct())
-    sizes = members.groupBy("low").agg(F.count(F.lit(1)).alias("n"))
-    members = materialise(members.join(sizes.hint("merge"), "low"), "members")
-    blocks = F.ceil(F.col("n") / CLUSTER).cast("long")
-    own = F.pmod(F.xxhash64("id", "low"), blocks)
-    near = members.filter(F.col("n") <= BLOCKS * CLUSTER).select(F.col("low").cast("long").alias("g"), F.explode(_tiles(blocks, own)).alias("tile"), "id")
-    far = members.filter(F.col("n") > BLOCKS * CLUSTER).select("id")
-    blocks = F.greatest(F.ceil(F.col("n") / CLUSTER).cast("long"), F.lit(1))
-    own = F.pmod(F.xxhash64("id", "node"), blocks)
-    wide = leaves.join(far.hint("merge"), "id").select(F.col("node").alias("g"), F.explode(F.transform(_tiles(blocks, own), lambda t: F.xxhash64(t, "low"))).alias("tile"), "id")
-    groups = materialise(near.unionByName(wide), "groups")
+    clusters = components(_candidates(classes).select("low", "id"))
+    members = clusters.unionByName(clusters.select(F.col("low").alias("id"), "low").distinct()).join(classes.select("id", "n_shingles").hint("merge"), "id")
+    # in a cluster of several blocks, a few members stand in every block and hold the blocks together
+    hubs = F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64("id", F.lit(j)), "id"))["id"] for j in range(HUBS))))
+    sizes = members.groupBy("low").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"), hubs.alias("hubs"))
+    sizes = materialise(sizes.withColumn("blocks", _blocks(CLUSTER)), "sizes")
+    members = materialise(members.join(sizes.drop("hubs").hint("merge"), "low"), "members")
+    own = members.select(F.col("low").alias("g"), _at(F.col("blocks")).alias("tile"), "id")
+    extra = sizes.filter("blocks > 1").select(F.col("low").alias("g"), F.explode("hubs").alias("id"), "blocks").select("g", _upto(F.col("blocks")).alias("tile"), "id")
     texts = docs.select(F.col(id_col).alias("id"), with_text(docs, text_col).alias("text")).filter(F.col(id_col).isNotNull())
     # one text for each class: its members have the id of the class, and equal ids are one document
-    texts = texts.join(sized(materialise(groups.select("id").distinct(), "ids")), "id").dropDuplicates(["id"])
-    verify = groups.join(texts.hint("merge"), "id").select("g", "tile", "id", "text")
-    links = verify.repartition("g", "tile").sortWithinPartitions("g", "tile", "id").mapInArrow(_confirmed, f"low {kind}, id {kind}")
+    texts = texts.join(sized(materialise(members.select("id").distinct(), "ids")), "id").dropDuplicates(["id"])
+
+    def confirmed(groups: DataFrame) -> DataFrame:
+        rows = groups.join(texts.hint("merge"), "id").select("g", "tile", "id", "text")
+        return materialise(rows.repartition("g", "tile").sortWithinPartitions("g", "tile", "id").mapInArrow(_confirmed, f"low {kind}, id {kind}"), "links")
+
+    links = confirmed(materialise(own.unionByName(extra), "groups"))
+    # what the blocks leave apart from its cluster's main component meets every member of the cluster
+    wide = members.filter("blocks > 1")
+    if not wide.isEmpty():
+        so_far = components(links).withColumnRenamed("low", "c")
+        placed = materialise(wide.join(so_far.hint("merge"), "id", "left").withColumn("c", F.coalesce("c", "id")), "placed")
+        main = placed.groupBy("low", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("low").agg(F.max_by("c", F.struct("m", "c")).alias("main"))
+        rest = placed.join(sized(materialise(main, "main")), "low").filter("c != main").select("low", "id", "n_shingles")
+        few = rest.groupBy("low").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w")).withColumn("rows", _blocks(CLUSTER / 2)).select("low", "rows")
+        few = materialise(few, "few")
+        if not few.isEmpty():
+            whole = placed.withColumn("columns", _blocks(CLUSTER / 2)).join(sized(few), "low")
+            row, column = _at(F.col("rows"), F.lit(1)), _at(F.col("columns"), F.lit(2))
+            of_rest = whole.join(rest.select("id").hint("merge"), "id", "left_semi")
+            left = of_rest.select(F.col("low").alias("g"), "id", "columns", row.alias("i"), _upto(F.col("columns")).alias("j"))
+            right = whole.select(F.col("low").alias("g"), "id", "columns", column.alias("j"), _upto(F.col("rows")).alias("i"))
+            tiles = left.unionByName(right).select("g", (F.col("i") * F.col("columns") + F.col("j")).alias("tile"), "id")
+            links = links.unionByName(confirmed(materialise(tiles.distinct(), "groups")))
     final = components(links)
     of_class = classes.join(final.hint("merge"), "id", "left").select("h1", "h2", "n_shingles", F.coalesce("low", "id").alias("component_id"))
     out = signed.select("id", "h1", "h2", "n_shingles").join(of_class.hint("merge"), ["h1", "h2", "n_shingles"], "left")

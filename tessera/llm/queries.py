@@ -56,8 +56,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     good = materialise(spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select("doc_id", F.lit(True).alias("good")).distinct(), "good")
     marked = docs.join(sized(good), "doc_id", "left")
-    counts = lm_scoring.models(lm_scoring.count_classes(marked, F.col("good")))
-    return lm_scoring.score(marked, counts, F.col("good"), size=lm_scoring.vocabulary(counts))
+    return lm_scoring.score(marked, F.col("good"))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,20 +39,19 @@ ANCHORS = (
 _U = np.uint64
 
 
+#: Every ASCII character but letters and digits separates words; A-Z are a-z.
+WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
+
+
 @lru_cache(1)
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    table = _constants()["table"].copy()
-    marks = [b for b in range(128) if not chr(b).isalnum()]
-    table[marks] = 0
-    anchors, _, _ = hashed_words(pa.array([" ".join(sorted(set(ANCHORS)))]), table)
-    return table, np.sort(anchors)
+def _anchors() -> np.ndarray:
+    return np.sort(hashed_words(pa.array([" ".join(sorted(set(ANCHORS)))]), WORDS)[0])
 
 
 def signature_sets(texts: pa.Array) -> list[np.ndarray]:
     """The sorted distinct 32-bit signatures of each text."""
-    table, anchors = _tables()
-    step = _constants()["step"]
-    words, first, last = hashed_words(texts, table)
+    anchors, step = _anchors(), _constants()["step"]
+    words, first, last = hashed_words(texts, WORDS)
     at = np.searchsorted(anchors, words)
     anchor = np.zeros(len(words), bool)
     anchor[at < len(anchors)] = anchors[at[at < len(anchors)]] == words[at < len(anchors)]

@@ -35,7 +35,7 @@ def apply(name, docs):
         "pii": lambda: pii.find_pii(docs),
         "redact": lambda: pii.redact(docs),
         "rules": lambda: quality_rules.quality_rules(docs),
-        "lm": lambda: lm_scoring.score(docs, lm_scoring.models(lm_scoring.count_classes(docs, mark)), mark),
+        "lm": lambda: lm_scoring.score(docs, mark),
         "near": lambda: near_dedup.near_duplicates(docs),
     }[name]()
 

@@ -265,12 +265,11 @@ def test_rule_order_does_not_change_the_verdict(spark, sf):
 def test_language_models(spark, sf, texts):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     mark = F.col("doc_id") % 2 == 0
-    counts = lm_scoring.models(lm_scoring.count_classes(docs, mark))
-    got = {r["doc_id"]: r for r in lm_scoring.score(docs, counts, mark).collect()}
+    got = {r["doc_id"]: r for r in lm_scoring.score(docs, mark).collect()}
     import pyarrow as pa
 
-    v = 1 << lm_scoring.WORD_BITS
-    tokens = {i: lm_scoring.token_classes(pa.array([t]))[:2] for i, t in texts.items()}
+    tokens = {i: lm_scoring.token_grams(pa.array([t]))[:2] for i, t in texts.items()}
+    v = len({w for x, _ in tokens.values() for w in x.tolist()})
     for i in list(texts)[:25]:
         for name, of in (("target_loss", [j for j in texts if j % 2 == 0 and j != i]), ("background_loss", [j for j in texts if j != i])):
             one, two = Counter(), Counter()
@@ -285,17 +284,18 @@ def test_language_models(spark, sf, texts):
             assert n == got[i]["n_tokens"] and (n == 0 or abs(loss / n - got[i][name]) < 1e-4)
 
 
-def test_language_models_count_exact_ngrams(spark):
+def test_language_models_count_exact_ngrams(spark, monkeypatch):
     """More words and pairs than any fixed table of classes holds apart, against counts of the spelled-out grams."""
+    monkeypatch.setattr(lm_scoring, "PART_BYTES", 1 << 17)
+    monkeypatch.setattr(lm_scoring, "BUCKET_BYTES", 1 << 15)
     rng = np.random.default_rng(9)
     words = {i: [f"w{x}" for x in rng.zipf(1.3, 3000) % 200_000] + [f"only{i}x{k}" for k in range(3000)] for i in range(40)}
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in words.items()], "doc_id long, text string").repartition(5)
     mark = F.col("doc_id") % 2 == 0
-    counts = lm_scoring.models(lm_scoring.count_classes(docs, mark))
     v = len({x for w in words.values() for x in w})
     pairs = {x for w in words.values() for x in zip(w, w[1:], strict=False)}
-    assert v > 1 << 16 and lm_scoring.vocabulary(counts) == v and counts.count() == v + len(pairs)
-    got = {r["doc_id"]: r for r in lm_scoring.score(docs, counts, mark, size=v).collect()}
+    assert v > 1 << 16 and lm_scoring.count(docs, mark).words == v and lm_scoring.gram_counts(docs, mark).count() == v + len(pairs)
+    got = {r["doc_id"]: r for r in lm_scoring.score(docs, mark).collect()}
     for i in (0, 1, 20, 39):
         for name, of in (("target_loss", [j for j in words if j % 2 == 0 and j != i]), ("background_loss", [j for j in words if j != i])):
             one = Counter(x for j in of for x in words[j])
@@ -346,8 +346,8 @@ def near_copies(n, words, seed):
 
 @pytest.mark.parametrize("small", [False, True])
 def test_near_dedup(spark, texts, small, monkeypatch):
-    if small:  # every way through the tree: branching, dense nodes, blocks of clusters and of nodes
-        for name, value in (("LEAF", 6), ("CLUSTER", 5), ("BLOCKS", 2), ("LEVELS", 3)):
+    if small:  # every way through the tree: branching, dense nodes, blocks of clusters, members outside the main component
+        for name, value in (("LEAF", 6), ("CLUSTER", 5), ("HUBS", 1), ("LEVELS", 3)):
             monkeypatch.setattr(near_dedup, name, value)
     docs = dict(texts)
     for k, t in enumerate(near_copies(60, 120, 3) + near_copies(20, 40, 4) + ["same words here now"] * 3):
@@ -357,3 +357,45 @@ def test_near_dedup(spark, texts, small, monkeypatch):
     for r in got:
         i = r["doc_id"]
         assert (r["n_shingles"], r["component_id"], r["kept"]) == (len(sets[i]), want[i], want[i] == i)
+
+
+@pytest.mark.parametrize("n", range(7))
+def test_short_texts_alone(n):
+    import pyarrow as pa
+
+    sets, at = near_dedup.shingle_sets(pa.array([" ".join("abcdefg"[:n])]))
+    assert at.tolist() == [0, max(1, n - 4) if n else 0] and len(sets) == at[-1]
+
+
+def test_two_words_alone_in_a_partition(spark):
+    docs = spark.createDataFrame([(1, "hello world"), (2, "Hello  World"), (3, "a b c")], "doc_id long, text string").repartition(3, "doc_id")
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_words_on_which_polynomial_hashes_collide():
+    import pyarrow as pa
+
+    a, b = "a", "b"
+    for _ in range(10):  # the Thue-Morse word and its complement
+        a, b = a + b, b + a
+    for table in (near_dedup.LOWER, spotsigs.WORDS):
+        assert len(np.unique(near_dedup.hashed_words(pa.array([f"{a} {b}"]), table)[0])) == 2
+    assert len(np.unique(near_dedup.shingle_sets(pa.array([f"x y {a} z u", f"x y {b} z u"]))[0])) == 2
+
+
+def test_near_dedup_recall(spark):
+    """Four thousand planted pairs, most of them just above the threshold."""
+    rng = random.Random(8)
+    rows, pairs = [], []
+    while len(pairs) < 4000:
+        k = 2 * len(pairs)
+        words = [f"v{rng.randrange(10**9)}" for _ in range(100)]
+        other = list(words)
+        for at in rng.sample(range(5, 95), rng.randint(1, 4)):
+            other[at] = f"n{rng.randrange(10**9)}"
+        one, two = ({tuple(w[i : i + 5]) for i in range(96)} for w in (words, other))
+        if 100 * len(one & two) >= 75 * len(one | two):
+            pairs.append((k, k + 1))
+            rows += [(k, " ".join(words)), (k + 1, " ".join(other))]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert sum(got[b] == a for a, b in pairs) / len(pairs) > 0.995
