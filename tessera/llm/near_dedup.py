@@ -14,7 +14,7 @@ are confirmed on the full shingle sets, and the components of the confirmed link
 is too large for one task is cut into blocks that a few of its members all join; every member that is then not in
 the cluster's main component is compared with the whole cluster, block by block. A pair that is not compared is
 already in one component, so no link between components is missed, and a large group of near copies costs its
-members about once. Words are told apart by a keyed 64-bit hash, shingles by 64 bits made of five of them.
+members about once. Words are told apart by two polynomials modulo a prime (62 bits), shingles by 64 bits of five words.
 
 Edge cases: null, empty and blank texts have an empty set and are linked with nothing; texts of fewer than five
 words have one shingle, the whole sequence; repeated rows are one class; equal ids are one document; an empty
@@ -25,8 +25,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from hashlib import blake2b
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +52,20 @@ def _constants() -> dict[str, np.ndarray]:
     return {"step": odd(1)[0], "xor": odd(TOKENS), "mul": odd(TOKENS), "roots": rng.permutation(TOKENS)[: TREES * PATHS]}
 
 
-#: Bytes of a text with A-Z as a-z; bytes.split() then cuts it at the separators of the word definition.
-LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Prime modulus and two bases of the hashes of byte ranges.
+MERSENNE, BASES = _U((1 << 31) - 1), (1_288_490_189, 743_029_387)
+
+
+def byte_values(separators: list[int]) -> np.ndarray:
+    """A value for each byte: 0 for separators, A-Z as a-z, and odd numbers below 2^31 for the others."""
+    out = np.random.default_rng(31).permutation(1 << 12)[:256].astype(_U) * _U(1 << 18) + _U(1)
+    out[65:91] = out[97:123]
+    out[separators] = 0
+    return out
+
+
+#: Values of the word definition: A-Z are a-z, words end at the space and 09 to 0D.
+LOWER = byte_values([9, 10, 11, 12, 13, 32])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -64,34 +74,49 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-class _WordHashes(dict):
-    """Keyed 64-bit hashes of words. Distinct short words are kept up to a bound, which costs time only."""
-
-    def __missing__(self, word: bytes) -> int:
-        out = int.from_bytes(blake2b(word, digest_size=8, key=b"words").digest(), "little")
-        if len(word) <= 40:
-            if len(self) >= 1 << 18:
-                self.clear()
-            self[word] = out
-        return out
+@lru_cache(8)
+def _series(factor: int, n: int) -> np.ndarray:
+    """1, factor, factor^2, ... (n + 1 of them) modulo MERSENNE."""
+    out, power, modulus = np.ones(1, _U), factor, int(MERSENNE)
+    while len(out) <= n:  # each round doubles the series
+        out = np.concatenate([out, out * _U(power) % MERSENNE])
+        power = power * power % modulus
+    return out[: n + 1]
 
 
-_known = _WordHashes()
+def range_hashes(value: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """62-bit hashes of value[start:stop] of each range: two polynomials modulo MERSENNE over values below 2^31.
 
-
-def hashed_words(texts: pa.Array, table: bytes = LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    Different ranges of n bytes have one hash with probability (n / 2^31)^2, whatever their structure.
+    """
+    n = len(value)
+    size = CHUNK if n <= CHUNK else n
+    out = np.zeros(len(starts), _U)
+    for base in BASES:
+        x = value * _series(base, size)[:n]
+        total = np.concatenate([np.zeros(1, _U), np.cumsum((x & MERSENNE) + (x >> _U(31)), dtype=_U)])
+        down = _series(pow(base, -1, int(MERSENNE)), size)
+        out = out << _U(31) | (total[stops] - total[starts]) % MERSENNE * down[starts] % MERSENNE
+    return out
+
+
+def hashed_words(texts: pa.Array, table: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words of all texts, and each text's first and last position in them.
 
-    table maps every byte of the UTF-8 text to one of the text that is cut at white space.
+    Works on the UTF-8 bytes of the whole array: a word is a run of bytes whose value in table is not 0.
     """
     texts = texts.cast(pa.large_string())
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = memoryview(texts.buffers()[2] or b"")[ends[0] : ends[-1]].tobytes().translate(table)
-    at = (ends - ends[0]).tolist()
-    words = [raw[a:b].split() for a, b in zip(at, at[1:], strict=False)]
-    last = np.cumsum([len(w) for w in words], dtype=np.int64)
-    hashes = np.fromiter(map(_known.__getitem__, chain.from_iterable(words)), _U, int(last[-1]) if len(last) else 0)
-    return hashes, last - np.array([len(w) for w in words], np.int64), last
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    value = table[raw]
+    inside = np.concatenate([[False], value != 0, [False]])
+    cut = np.zeros(len(raw) + 1, bool)
+    cut[ends] = True
+    starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | cut[:-1]))
+    stops = np.flatnonzero(inside[1:-1] & (~inside[2:] | cut[1:])) + 1
+    words = _mix(range_hashes(value, starts, stops) + (stops - starts).astype(_U) * _U(0x9E3779B97F4A7C15))
+    return words, np.searchsorted(starts, ends[:-1]), np.searchsorted(starts, ends[1:])
 
 
 def shingle_sets(texts: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -226,10 +251,16 @@ def _leaf_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(low, id) of exact links: 100 * intersection >= 75 * union, spanning each component of a group."""
+    """Rows (low, id, g, mask) from rows (g, tile, id, text, hubs) sorted by (g, tile).
+
+    With low: an exact link, 100 * intersection >= 75 * union, spanning each component of a tile. Without: for a
+    tile with hubs, each member's mask of the hubs that its component in the tile holds.
+    """
     for table, starts in whole_groups(batches, 2):
         ids = table.column(2).to_numpy()
-        lows, highs = [], []
+        group = table.column(0).to_numpy()
+        hubs = table.column(4).to_pylist()
+        lows, highs, members, masks = [], [], [], []
         for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
             sets, at = shingle_sets(table.column(3).slice(a, b - a).combine_chunks())
             n = np.diff(at)
@@ -253,8 +284,24 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             far = np.flatnonzero(label != np.arange(m))
             lows.append(own[label[far]])
             highs.append(own[far])
-        if lows:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lows)), pa.array(np.concatenate(highs))], ["low", "id"])
+            if hubs[a]:
+                mask = np.zeros(m, np.int64)
+                for k, hub in enumerate(hubs[a]):
+                    mask |= np.isin(label, label[own == hub]).astype(np.int64) << k
+                members.append(np.arange(a, b))
+                masks.append(mask)
+        none = np.zeros(0, np.int64)
+        low, high, member, mask = (np.concatenate(x) if x else none for x in (lows, highs, members, masks))
+        n = len(low)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([low, ids[member]]).astype(ids.dtype), mask=np.arange(n + len(member)) >= n),
+                pa.array(np.concatenate([high, ids[member]]).astype(ids.dtype)),
+                pa.array(np.concatenate([np.zeros(n, np.int64), group[member]]).astype(group.dtype)),
+                pa.array(np.concatenate([np.zeros(n, np.int64), mask])),
+            ],
+            ["low", "id", "g", "mask"],
+        )
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -287,8 +334,7 @@ def _candidates(classes: DataFrame) -> DataFrame:
     level = classes.select("id", F.explode("roots").alias("node"), F.lit(None).cast("long").alias("parent"))
     found = None
     for depth in range(LEVELS + 1):
-        # the counts are stored so that the join reads two plain shuffles, whose hot nodes AQE can split
-        counts = materialise(level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low")).filter("n > 1"), "counts")
+        counts = level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("low")).filter("n > 1")
         nodes = materialise(level.join(counts.hint("merge"), "node"), "nodes")
         dense = (F.col("n") > LEAF) & (F.lit(depth == LEVELS) | (F.col("n") > DENSE * F.coalesce("parent", F.col("n") * 9)))
         leaves = nodes.filter(f"n <= {LEAF}").select("node", "id").join(classes.select("id", "tokens").hint("merge"), "id").select("node", "id", "tokens")
@@ -332,35 +378,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64("id", F.lit(j)), "id"))["id"] for j in range(HUBS))))
     sizes = members.groupBy("low").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"), hubs.alias("hubs"))
     sizes = materialise(sizes.withColumn("blocks", _blocks(CLUSTER)), "sizes")
-    members = materialise(members.join(sizes.drop("hubs").hint("merge"), "low"), "members")
-    own = members.select(F.col("low").alias("g"), _at(F.col("blocks")).alias("tile"), "id")
-    extra = sizes.filter("blocks > 1").select(F.col("low").alias("g"), F.explode("hubs").alias("id"), "blocks").select("g", _upto(F.col("blocks")).alias("tile"), "id")
+    members = members.join(sizes.withColumn("hubs", F.when(F.col("blocks") > 1, F.col("hubs"))).hint("merge"), "low")
+    members = materialise(members, "members")
     texts = docs.select(F.col(id_col).alias("id"), with_text(docs, text_col).alias("text")).filter(F.col(id_col).isNotNull())
     # one text for each class: its members have the id of the class, and equal ids are one document
     texts = texts.join(sized(materialise(members.select("id").distinct(), "ids")), "id").dropDuplicates(["id"])
 
     def confirmed(groups: DataFrame) -> DataFrame:
-        rows = groups.join(texts.hint("merge"), "id").select("g", "tile", "id", "text")
-        return materialise(rows.repartition("g", "tile").sortWithinPartitions("g", "tile", "id").mapInArrow(_confirmed, f"low {kind}, id {kind}"), "links")
-
-    links = confirmed(materialise(own.unionByName(extra), "groups"))
-    # what the blocks leave apart from its cluster's main component meets every member of the cluster
-    wide = members.filter("blocks > 1")
-    if not wide.isEmpty():
-        so_far = components(links).withColumnRenamed("low", "c")
-        placed = materialise(wide.join(so_far.hint("merge"), "id", "left").withColumn("c", F.coalesce("c", "id")), "placed")
-        main = placed.groupBy("low", "c").agg(F.count(F.lit(1)).alias("m")).groupBy("low").agg(F.max_by("c", F.struct("m", "c")).alias("main"))
-        rest = placed.join(sized(materialise(main, "main")), "low").filter("c != main").select("low", "id", "n_shingles")
-        few = rest.groupBy("low").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w")).withColumn("rows", _blocks(CLUSTER / 2)).select("low", "rows")
-        few = materialise(few, "few")
-        if not few.isEmpty():
-            whole = placed.withColumn("columns", _blocks(CLUSTER / 2)).join(sized(few), "low")
-            row, column = _at(F.col("rows"), F.lit(1)), _at(F.col("columns"), F.lit(2))
-            of_rest = whole.join(rest.select("id").hint("merge"), "id", "left_semi")
-            left = of_rest.select(F.col("low").alias("g"), "id", "columns", row.alias("i"), _upto(F.col("columns")).alias("j"))
-            right = whole.select(F.col("low").alias("g"), "id", "columns", column.alias("j"), _upto(F.col("rows")).alias("i"))
-            tiles = left.unionByName(right).select("g", (F.col("i") * F.col("columns") + F.col("j")).alias("tile"), "id")
-            links = links.unionByName(confirmed(materialise(tiles.distinct(), "groups")))
+        rows = materialise(groups, "groups").join(texts.hint("merge"), "id").select("g", "tile", "id", "text", "hubs")
+        return materialise(rows.repartition("g", "tile").sortWithinPartitions("g", "tile", "id").mapInArrow(_confirmed, f"low {kind}, id {kind}, g {kind}, mask long"), "links")
+
+    own = members.select(F.col("low").alias("g"), _at(F.col("blocks")).alias("tile"), "id", "hubs")
+    extra = sizes.filter("blocks > 1").select(F.col("low").alias("g"), "hubs", F.explode("hubs").alias("id"), "blocks").select("g", _upto(F.col("blocks")).alias("tile"), "id", "hubs")
+    found = confirmed(own.unionByName(extra).dropDuplicates(["g", "tile", "id"]))
+    links = found.filter("low IS NOT NULL").select("low", "id")
+    # members whose component in their block lacks the hub with most members meet every member of the cluster
+    seen = found.filter("low IS NULL").select("g", "id", "mask")
+    held = [F.sum(F.shiftright("mask", k).bitwiseAND(F.lit(1))) for k in range(HUBS)]
+    main = seen.groupBy("g").agg(F.array(*held).alias("n")).select("g", (F.array_position("n", F.array_max("n")) - 1).cast("int").alias("k"))
+    rest = seen.join(main.hint("merge"), "g").filter("shiftright(mask, k) % 2 = 0").select("g", "id").distinct()
+    rest = materialise(rest.join(members.select(F.col("low").alias("g"), "id", "n_shingles").hint("merge"), ["g", "id"]), "rest")
+    if not rest.isEmpty():
+        half = CLUSTER / 2
+        few = rest.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w")).withColumn("rows", _blocks(half)).select("g", "rows")
+        whole = members.withColumn("columns", _blocks(half)).select(F.col("low").alias("g"), "id", "columns").join(sized(materialise(few, "few")), "g")
+        left = whole.join(rest.select("g", "id").hint("merge"), ["g", "id"]).select("g", "id", "columns", _at(F.col("rows"), F.lit(1)).alias("i"), _upto(F.col("columns")).alias("j"))
+        right = whole.select("g", "id", "columns", _at(F.col("columns"), F.lit(2)).alias("j"), _upto(F.col("rows")).alias("i"))
+        tiles = left.unionByName(right).select("g", (F.col("i") * F.col("columns") + F.col("j")).alias("tile"), "id", F.lit(None).cast(f"array<{kind}>").alias("hubs"))
+        links = links.unionByName(confirmed(tiles.distinct()).select("low", "id"))
     final = components(links)
     of_class = classes.join(final.hint("merge"), "id", "left").select("h1", "h2", "n_shingles", F.coalesce("low", "id").alias("component_id"))
     out = signed.select("id", "h1", "h2", "n_shingles").join(of_class.hint("merge"), ["h1", "h2", "n_shingles"], "left")

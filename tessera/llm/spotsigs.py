@@ -25,22 +25,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import columns_of, materialise, partitions, with_text
-from .near_dedup import _constants, _mix, _tiles, components, hashed_words, whole_groups
+from .near_dedup import _constants, _mix, byte_values, components, hashed_words, whole_groups
 
 #: Content words of a chain, and sets that one group compares at once.
 CHAIN, LARGEST = 2, 512
+#: Text of one task when documents meet their neighbours: the tasks grow with the corpus.
+TASK_BYTES = 64 << 20
 #: Anchors: common words of English, German, French and Spanish.
 ANCHORS = (
-    "a an and are as at be by for from has have he his in is it not of on or that the this to was we were which will with you "
-    "auch auf aus das dem den der des die ein eine er es für ich im ist mit nicht sich sie sind und von wie zu "
-    "au avec ce dans de des du elle en est et il je la le les ne nous par pas plus pour que qui sa se son sur un une vous "
-    "al como con del el ella es esta ha los más no o para pero por su también te una y"
+    "a an and are as at be but by for from had has have he her his i in is it its not of on or she that the their they this to was we were which will with you "
+    "aber als am an auch auf aus bei bin das dem den der des die durch ein eine einen einer er es für hat ich im in ist mit nach nicht noch nur oder sich sie sind so um und vom von vor war wie wir wird zu zum zur "
+    "au aux avec ce ces cette d dans de des du elle en est et il ils je l la le les leur lui mais ne nous on ou par pas plus pour qu que qui sa se ses son sont sur un une vous y "
+    "al como con de del el ella ellos en entre era es esta este esto ha hay la las lo los más mi muy no o para pero por que se si sin sobre su sus también te un una y ya"
 ).split()
 _U = np.uint64
 
 
 #: Every ASCII character but letters and digits separates words; A-Z are a-z.
-WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
+WORDS = byte_values([b for b in range(128) if not chr(b).isalnum()])
 
 
 @lru_cache(1)
@@ -93,20 +95,21 @@ def pruned_jaccard(a: np.ndarray, b: np.ndarray, threshold: float = 0.0) -> floa
     return both / (small + large - both)
 
 
-def _bounds(docs: DataFrame, id_col: str, quantiles: int = 128) -> list[int]:
-    """At most `quantiles` ids that cut the id range into parts of about equal row counts."""
-    got = docs.agg(F.percentile_approx(F.col(id_col), [i / quantiles for i in range(quantiles + 1)], 2000).alias("q")).first()["q"]
-    return sorted(set(got or [0]))
+def _bounds(docs: DataFrame, id_col: str, text_col: str, quantiles: int = 128) -> tuple[list[int], int]:
+    """At most `quantiles` ids that cut the id range into parts of about equal row counts, and the bytes of all texts."""
+    got = docs.agg(F.percentile_approx(F.col(id_col), [i / quantiles for i in range(quantiles + 1)], 2000).alias("q"), F.sum(F.octet_length(text_col)).alias("n")).first()
+    return sorted(set(got["q"] or [0])), int(got["n"] or 0)
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (bucket, extra, id, text) such that, sorted, each row with extra = 0 stands before its next document.
 
     Ids are cut into buckets of consecutive ids, and the first document of each bucket is also added at the end
-    of the bucket before. So the texts are shuffled once and no bucket is a whole table.
+    of the bucket before. So the texts are shuffled once, and buckets and tasks grow with the texts.
     """
-    bounds = _bounds(docs, id_col)
-    parts = max(1, math.ceil(4 * partitions(docs.sparkSession) / len(bounds)))
+    bounds, size = _bounds(docs, id_col, text_col)
+    tasks = max(partitions(docs.sparkSession), math.ceil(size / TASK_BYTES))
+    parts = max(1, math.ceil(4 * tasks / len(bounds)))
     i = F.col("id")
     low = F.array(*(F.lit(int(b)).cast("long") for b in bounds))
     step = F.array(*(F.lit(max(1, -(-(b - a) // parts))).cast("long") for a, b in zip(bounds, [*bounds[1:], bounds[-1] + 1], strict=True)))
@@ -120,7 +123,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     both = rows.join(F.broadcast(before), rows["id"] == before["fid"], "left")
     own, extra = F.struct(F.col("bucket").alias("b"), F.lit(0).alias("x")), F.struct(F.col("to").alias("b"), F.lit(1).alias("x"))
     placed = both.select("id", "text", F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, extra))).alias("p"))
-    return placed.select(F.col("p.b").alias("bucket"), F.col("p.x").alias("extra"), "id", "text").repartition("bucket").sortWithinPartitions("bucket", "extra", "id", "text")
+    return placed.select(F.col("p.b").alias("bucket"), F.col("p.x").alias("extra"), "id", "text").repartition(tasks, "bucket").sortWithinPartitions("bucket", "extra", "id", "text")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,6 +173,11 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return with_next(docs, id_col, text_col).mapInArrow(run, f"{columns_of(docs.select(F.col(id_col).alias('id')), 'id')}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double").withColumnRenamed("id", id_col)
 
 
+def _tiles(blocks, own):
+    """The pairs of blocks, as numbers, that a member of block `own` takes part in."""
+    return F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda x: F.least(x, own) * blocks + F.greatest(x, own))
+
+
 def _spanning(threshold: float):
     """Links of each group (part, sig, tile) of rows sorted by set length, spanning its components."""
 
