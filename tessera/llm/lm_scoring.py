@@ -34,7 +34,7 @@ from .spotsigs import WORDS
 
 #: Weight of the word's own probability beside the pair's counts.
 PRIOR = 4.0
-PART_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
+PART_BYTES, BUCKET_BYTES = 3 << 20, 3 << 20
 _U = np.uint64
 
 
@@ -135,8 +135,10 @@ def _sends(buckets: int):
                 bucket = (g.grams >> _U(32)) * _U(buckets) >> _U(32)
                 at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])[:n])
                 cuts = list(zip(at.tolist(), [*at[1:].tolist(), n], strict=True)) if n else []
-                columns = [_planes(np.diff(g.grams[a:b], prepend=_U(0))) for a, b in cuts], [_planes(target[a:b]) for a, b in cuts], [_planes(background[a:b]) for a, b in cuts]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cuts), part)), pa.array(bucket[at].astype(np.int64)), *(pa.array(c, pa.binary()) for c in columns)], ["part", "bucket", "grams", "target", "background"])
+                for i in range(0, len(cuts), 32):
+                    some = cuts[i : i + 32]
+                    columns = [_planes(np.diff(g.grams[a:b], prepend=_U(0))) for a, b in some], [_planes(target[a:b]) for a, b in some], [_planes(background[a:b]) for a, b in some]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), part)), pa.array(bucket[[a for a, _ in some]].astype(np.int64)), *(pa.array(c, pa.binary()) for c in columns)], ["part", "bucket", "grams", "target", "background"])
 
     return run
 
