@@ -7,12 +7,13 @@ one key) of the same key need to meet. One shuffle of 40-byte rows brings them t
 content occurs earlier is settled there, and only different segments of one key go on with their bytes. Those
 are concatenated in batches of whole keys and suffix-sorted: suffixes smaller than their successors are sorted
 directly, the others are induced by scanning the buckets, and adjacent common prefixes of WINDOW bytes give the
-groups of equal windows. Segments of keys that more than HOT different segments share are compared window by
-window through an aggregation instead, so no key is one task.
+groups of equal windows. Segments of keys that very many different segments share are compared window by window
+through an aggregation instead, with the same result, so no key is one task.
 
 Edge cases: null and empty texts, and texts shorter than WINDOW, lose nothing; rows with equal ids are one
-document, and a place in it is not earlier than itself; rows with a null id are left whole; an empty table
-gives an empty table. Offsets are in UTF-8 bytes.
+document, and a place in it is not earlier than itself; where an id has several texts, the one of the least hash
+is the document and the others are left whole, as are rows with a null id; an empty table gives an empty table.
+Ids are integers. Offsets are in UTF-8 bytes.
 """
 
 from __future__ import annotations
@@ -25,11 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import materialise, sized, with_text
-from .near_dedup import CHUNK, _chunks, _mix, whole_groups
+from .near_dedup import CHUNK, _chunks, _mix, range_hashes, whole_groups
 
-WINDOW, GRAM, HOT = 100, 32, 4096
+WINDOW, GRAM = 100, 32
+#: A key with more open segments, or more bytes in them, is compared window by window.
+HOT, HOT_BYTES = 4096, 8 << 20
 GRAMS, SELF = WINDOW - GRAM + 1, 1 << 40
 _U = np.uint64
 
@@ -89,6 +93,7 @@ def segments(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     stop = np.minimum(stop, ends[of[first] + 1] - WINDOW + 1) if len(first) else stop[:0]
     size = stop - first + WINDOW - 1
     content = _mix((total[first + size] - total[first]) * down[first] + size.astype(_U))
+    content = _mix(content ^ range_hashes(raw.astype(_U) + _U(1), first, first + size))
     # a gram is some window's least if the largest of the least values around it is its own
     edge = np.zeros(GRAMS - 1, _U)
     least = np.flatnonzero(_sliding(np.maximum, np.concatenate([edge, np.where(valid, low, 0), edge]), GRAMS) == gram)
@@ -315,14 +320,25 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(["h1", "h2", "doc", "start"], h[:, 0], h[:, 1], np.full(len(h), d), s + np.arange(len(h)))
 
 
-def repeated_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, start, stop): byte intervals whose every byte is covered by a window that starts earlier elsewhere."""
-    texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), with_text(docs, text_col).alias("text"))
+def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (id, text, doc): doc is the id of a row that is judged, null for a null id and for the further texts of an id."""
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be an integer column, since smaller ids come earlier")
+    rows = docs.select(F.col(id_col).alias("id"), with_text(docs, text_col).alias("text"))
+    several = rows.groupBy("id").agg(F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high")).filter("low != high AND id IS NOT NULL")
+    several = materialise(several.select(F.col("id").alias("again"), "low"), "several")
+    rows = rows.join(sized(several), F.col("id") == F.col("again"), "left")
+    return rows.select("id", "text", F.when(F.col("again").isNull() | (F.xxhash64("text") == F.col("low")), F.col("id").cast("long")).alias("doc"))
+
+
+def repeated_intervals(judged: DataFrame) -> DataFrame:
+    """(doc, start, stop) for rows (doc, text): byte intervals whose every byte is covered by a window that starts earlier elsewhere."""
+    texts = judged.filter("doc IS NOT NULL").select("doc", "text")
     rows = texts.mapInArrow(_found, "key long, content long, doc long, start long, bytes long")
     sorted_rows = rows.repartition("key").sortWithinPartitions("key", "content", "doc", "start")
     found = materialise(sorted_rows.mapInArrow(_settled, "key long, doc long, start long, stop long"), "segments")
     open_ = found.filter("key IS NOT NULL")
-    hot = materialise(open_.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(f"n > {HOT}").select("key", F.lit(True).alias("hot")), "hot")
+    hot = materialise(open_.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("stop") - F.col("start")).alias("bytes")).filter(f"n > {HOT} OR bytes > {HOT_BYTES}").select("key", F.lit(True).alias("hot")), "hot")
     any_hot = not hot.isEmpty()
     wanted = open_.groupBy("doc").agg(F.collect_list(F.struct("key", "start", "stop")).alias("wanted"))
     needed = texts.join(sized(materialise(open_.select("doc").distinct(), "ids")), "doc")
@@ -340,9 +356,9 @@ def repeated_intervals(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept) for every row: kept holds the remaining bytes, or their SHA-256."""
-    gone = repeated_intervals(docs, id_col, text_col).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
-    texts = docs.select(F.col(id_col).alias("id"), with_text(docs, text_col).alias("text"))
-    joined = texts.join(gone.hint("merge"), texts["id"] == gone["doc"], "left").select("id", "text", "gone")
+    texts = _judged(docs, id_col, text_col)
+    gone = repeated_intervals(texts).groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
+    joined = texts.join(gone.hint("merge"), "doc", "left").select("id", "text", "gone")
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
