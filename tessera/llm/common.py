@@ -22,10 +22,12 @@ def tokenizer_path(name: str = WORD_BPE) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder name under the session's spark.checkpoint.dir.
 
-    Only where that setting is missing (tests, a laptop) a temporary folder stands in for it.
+    Only where that setting is missing on a single machine (tests, a laptop) a temporary folder stands in for it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
     return os.path.join(base, f"tessera-{uuid.uuid4().hex}")

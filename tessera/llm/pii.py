@@ -42,11 +42,22 @@ WIDE = {
 #: Cheap conditions without which a pattern cannot match.
 STRICT_NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){9}", "phone": r"\+[0-9]"}
 WIDE_NEEDS = {"email": r"(?:\[dot\]|\(dot\)| dot )", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f]", "card": r"[0-9]{4}[\x20./_-]{1,2}[0-9]{4}", "phone": r"[0-9]{3}[\x20.-][0-9]{4}"}
-#: Gazetteer and context words.
-TLDS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "eu", "ch", "at", "it", "nl")
-COUNTRY_CODES = ("1", "31", "33", "34", "39", "41", "43", "44", "49")
-ISSUERS = r"^(?:4[0-9]{15}|4[0-9]{18}|5[1-5][0-9]{14}|2[2-7][0-9]{14}|3[47][0-9]{13}|3[068][0-9]{12}|6[0-9]{15})$"
-CUES = {"email": "mail|contact|write|kontakt|correo|courriel", "ip": "\\bip\\b|host|server|addr", "card": "card|visa|master|amex|karte|carte|tarjeta", "phone": "phone|tel|call|fax|mobil|fon"}
+#: Gazetteer. Common generic top-level domains (country domains are any two letters), calling codes by
+#: zone as the international numbering plan assigns them, and issuer prefixes with their lengths.
+TLDS = (
+    "com|org|net|edu|gov|mil|int|info|biz|name|pro|aero|coop|museum|mobi|jobs|travel|tel|cat|asia|post|app|dev|blog|shop|store|online|site|tech|cloud|email|news|media|agency|xyz|club|live|world|today|life|"
+    "group|company|solutions|services|systems|network|digital|software|studio|design|academy|school|university|institute|foundation|health|care|law|bank|finance|example|test"
+)
+DOMAINS = f"^(?:[a-z]{{2}}|{TLDS})$"
+CALLING = "(?:1|7|2(?:0|7|[1-69][0-9])|3(?:[0-469]|[578][0-9])|4(?:[013-9]|2[0-9])|5(?:[1-8]|[09][0-9])|6(?:[0-6]|[7-9][0-9])|8(?:[1246]|[05789][0-9])|9(?:[0-58]|[679][0-9]))"
+ISSUERS = r"^(?:4[0-9]{15}|4[0-9]{18}|5[1-5][0-9]{14}|2[2-7][0-9]{14}|3[47][0-9]{13}|3[068][0-9]{12}|35[2-8][0-9]{13}|6011[0-9]{12}|64[4-9][0-9]{13}|65[0-9]{14}|62[0-9]{14,17}|(?:50|5[6-9]|6[37])[0-9]{12,17})$"
+#: Context words of English, German, French and Spanish that announce each kind.
+CUES = {
+    "email": "mail|contact|write|reach|address|inbox|send|kontakt|schreib|adresse|correo|escrib|contacto|courriel|écri|contactez",
+    "ip": "\\bip\\b|ipv[46]|host|server|addr|gateway|subnet|client|peer|rechner|servidor|serveur|adresse|dirección",
+    "card": "card|visa|master|amex|credit|debit|payment|karte|zahlung|carte|paiement|tarjeta|crédito|pago",
+    "phone": "phone|tel|call|fax|mobil|cell|ring|dial|fon|ruf|anruf|handy|appel|portable|teléfono|llam|móvil",
+}
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
 BLOCK = 128
 
@@ -132,10 +143,10 @@ def votes(x: Column) -> list[Column]:
     sign = lambda c: F.when(c, 1).otherwise(-1)
     checked = F.when(x["base"], 1).when(~x["wide"], -1).otherwise(_kind(x, {"email": F.lit(0), "ip": F.lit(1), "card": sign(_luhn(digits)), "phone": F.lit(0)}))
     listed = _kind(x, {
-        "email": sign(F.lower(F.regexp_extract(hit, "([A-Za-z]+)$", 1)).isin(*TLDS)),
+        "email": sign(F.lower(F.regexp_extract(hit, "([A-Za-z]+)$", 1)).rlike(DOMAINS)),
         "ip": F.when(hit.contains(":"), 1).otherwise(sign(~hit.rlike("^(?:0|127|22[4-9]|2[3-5][0-9])\\."))),
         "card": sign(digits.rlike(ISSUERS)),
-        "phone": F.when(hit.rlike("^\\+(?:" + "|".join(COUNTRY_CODES) + ")"), 1).when(x["wide"], sign(digits.rlike("^[2-9]"))).otherwise(0),
+        "phone": F.when(hit.startswith("+"), sign(digits.rlike(f"^{CALLING}"))).when(x["wide"], sign(digits.rlike("^[2-9]"))).otherwise(0),
     })
     cue = _kind(x, {k: F.when(F.lower(x["left"]).rlike(words), 1).otherwise(0) for k, words in CUES.items()})
     context = F.when(cue == 1, 1).when(x["left"].rlike("[A-Za-z0-9]$") | x["right"].rlike("^[A-Za-z0-9]"), -1).otherwise(0)

@@ -4,7 +4,8 @@ Shallow trees on one binned feature at a time are boosted cyclically and added u
 table; afterwards trees on the pairs of features that explain most of what is left fill two-way tables. A
 score is the sum of one entry per table, so scoring is vectorised additions.
 
-The fit uses at most `most_rows` labelled rows (a documented bound; a hash of the id chooses them). Scores use
+The fit uses at most `most_rows` labelled rows (a documented bound; the order of a hash of the id chooses them, and
+an id counts once). Scores use
 the text alone. Edge cases: null and empty texts get the features of an empty text and hence a score; without
 labels every score is 0.5; repeated rows are scored each; an empty table gives an empty table.
 """
@@ -165,11 +166,13 @@ def _mapped(docs: DataFrame, keep: list[str], text_col: str, names: list[str], o
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most_rows: int = LABELLED_ROWS) -> Gam:
     """Learn from labelled rows outside the held-out part. At most most_rows labels are broadcast and collected."""
     known = labels.select(F.col(id_col), F.col(label_col).cast("double").alias("_label")).filter(~held_out(id_col) & F.col("_label").isNotNull() & F.col(id_col).isNotNull())
-    rows = known.count()
-    if rows > most_rows:
-        known = known.filter(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(1_000_000 * most_rows / rows)).limit(most_rows)
+    known = known.groupBy(id_col).agg(F.max("_label").alias("_label"))
+    if known.count() > most_rows:
+        known = known.orderBy(F.xxhash64(id_col), id_col).limit(most_rows)
     texts = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(known), id_col)
-    table = _mapped(texts, ["_label"], text_col, list(FEATURES), lambda x: list(x.T)).toPandas()
+    # one row for each id, whatever its number of documents
+    made = _mapped(texts, [id_col, "_label"], text_col, list(FEATURES), lambda x: list(x.T))
+    table = made.groupBy(id_col).agg(F.min(F.struct("_label", *FEATURES)).alias("r")).select("r.*").toPandas()
     return fit_rows(table[list(FEATURES)].to_numpy(), table["_label"].to_numpy())
 
 

@@ -37,6 +37,11 @@ def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_likeness(_docs(spark, sf_dir))
 
 
+def spotsigs_near_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search over all fingerprints of operator 5: length partitions, shared rare signatures, pruned Jaccard."""
+    return spotsigs.near_classes(_docs(spark, sf_dir))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(_docs(spark, sf_dir), digest=True).withColumnRenamed("kept", "kept_sha256")
 
@@ -48,7 +53,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(_docs(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+    return quality_rules.quality_rules(_docs(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_lm_scoring,
         op10_near_dedup,
+        spotsigs_near_classes,
     )
 }
 
