@@ -123,6 +123,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Base statistics with base_failed and kept: whether neither the base rule nor any other rejects the text."""
     base = base_statistics(docs, id_col, text_col).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     n = docs.count()
-    some = docs.sample(min(1.0, 4 * SAMPLE_ROWS / max(1, n)), seed=8)
-    order = [rule for rule, _, _ in order_rules(base_statistics(some, id_col, text_col).filter("n_words >= 50 AND 100 * n_repeat_words <= 50 * n_words"), rules)]
+    # a bounded sample, cached so that the filter on its statistics does not compute them again and again
+    some = base_statistics(docs.sample(min(1.0, 4 * SAMPLE_ROWS / max(1, n)), seed=8), id_col, text_col).cache()
+    order = [rule for rule, _, _ in order_rules(some.filter("n_words >= 50 AND 100 * n_repeat_words <= 50 * n_words"), rules)]
+    some.unpersist()
     return base.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(~rejected(order)))
