@@ -12,9 +12,9 @@ exhaustively. Nodes that no longer shrink hold mostly similar classes and become
 Leaves compare tokens and give candidate clusters (spanning links, never all pairs). Within the clusters, links
 are confirmed on the full shingle sets, and the components of the confirmed links are the result. A cluster that
 is too large for one task is cut into blocks that a few of its members all join; every member that is then not in
-the cluster's main component is compared with the whole cluster, block by block. A pair that is not compared is
-already in one component, so no link between components is missed, and a large group of near copies costs its
-members about once. Words are told apart by two polynomials modulo a prime (62 bits), shingles by 64 bits of five words.
+the cluster's main component is compared with all its candidates, leaf by leaf. A candidate pair that is not
+compared is already in one component, so no link between components is missed, and a large group of near copies
+costs its members about once. Words are told apart by two polynomials modulo a prime (62 bits), shingles by 64 bits of five words.
 
 Edge cases: null, empty and blank texts have an empty set and are linked with nothing; texts of fewer than five
 words have one shingle, the whole sequence; repeated rows are one class; equal ids are one document; an empty
@@ -225,9 +225,9 @@ def _lowest(linked: np.ndarray) -> np.ndarray:
 
 
 def _leaf_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, low) of the classes that have a candidate partner in their leaf."""
+    """(node, id, low) of the classes that have a candidate partner in their leaf."""
     for table, starts in whole_groups(batches, 1):
-        ids = table.column(1).to_numpy()
+        node, ids = (table.column(i).to_numpy() for i in range(2))
         if not len(ids):
             continue
         tokens = np.frombuffer(b"".join(table.column(2).to_pylist()), "<u2").reshape(-1, TOKENS)
@@ -247,7 +247,7 @@ def _leaf_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if some.any():
                 low[a : a + m] = np.where(some, _lowest(linked) + a, -1)
         keep = np.flatnonzero(low >= 0)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[low[keep]])], ["id", "low"])
+        yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(ids[keep]), pa.array(ids[low[keep]])], ["node", "id", "low"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +330,7 @@ def _tiles(blocks, own):
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
-    """Stored links (id, low) of all trees for classes (id, tokens, roots): rows of one low are candidates for each other."""
+    """Stored rows (node, id, low) of all trees for classes (id, tokens, roots): rows of one node and low are candidates for each other."""
     level = classes.select("id", F.explode("roots").alias("node"), F.lit(None).cast("long").alias("parent"))
     found = None
     for depth in range(LEVELS + 1):
@@ -339,12 +339,12 @@ def _candidates(classes: DataFrame) -> DataFrame:
         dense = (F.col("n") > LEAF) & (F.lit(depth == LEVELS) | (F.col("n") > DENSE * F.coalesce("parent", F.col("n") * 9)))
         leaves = nodes.filter(f"n <= {LEAF}").select("node", "id").join(classes.select("id", "tokens").hint("merge"), "id").select("node", "id", "tokens")
         ids = columns_of(leaves, "id").replace("`id`", "")
-        part = leaves.repartition("node").sortWithinPartitions("node", "id").mapInArrow(_leaf_links, f"id{ids}, low{ids}")
-        part = part.unionByName(nodes.filter(dense).select("id", "low"))
+        part = leaves.repartition("node").sortWithinPartitions("node", "id").mapInArrow(_leaf_links, f"node long, id{ids}, low{ids}")
+        part = part.unionByName(nodes.filter(dense).select("node", "id", "low"))
         found = part if found is None else found.unionByName(part)
         more = nodes.filter((F.col("n") > LEAF) & ~dense)
         if depth == LEVELS or more.isEmpty():
-            return found
+            return materialise(found, "leaves")
         first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(TOKENS))
         second = (first + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(TOKENS - 1))) % TOKENS
         level = (
@@ -367,12 +367,33 @@ def _upto(n):
     return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
 
 
+def _of_leaves(leaves: DataFrame, rest: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
+    """Tiles (g, tile, id, hubs) in which every row of rest meets all its candidates (node, id, low).
+
+    Groups with the same members, which trees that share tokens make, count once. A group beyond one task, from a
+    node that is no leaf, is cut into blocks of its rows of rest and blocks of all its rows.
+    """
+    marked = leaves.join(rest.withColumn("open", F.lit(1)).hint("merge"), "id", "left").join(classes.select("id", "n_shingles").hint("merge"), "id")
+    opened = F.coalesce("open", F.lit(0))
+    sums = (F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"), F.sum(opened).alias("s"), F.sum(opened * F.col("n_shingles")).alias("v"), F.bit_xor(F.xxhash64("id")).alias("x"))
+    groups = marked.groupBy("node", "low").agg(*sums).filter("s > 0")
+    groups = groups.groupBy("n", "w", "x").agg(F.min(F.struct("node", "low", "s", "v")).alias("r")).select("n", "w", "r.*")
+    half, single = CLUSTER / 2, (F.col("n") <= CLUSTER) & (F.col("w") <= SHINGLES)
+    rows = F.when(single, F.lit(1).cast("long")).otherwise(F.greatest(F.ceil(F.col("s") / half), F.ceil(F.col("v") / SHINGLES)).cast("long"))
+    groups = groups.select("node", "low", F.when(single, F.lit(1).cast("long")).otherwise(_blocks(half)).alias("columns"), rows.alias("rows"))
+    whole = marked.join(materialise(groups, "chosen").hint("merge"), ["node", "low"]).withColumn("g", F.xxhash64("node", "low"))
+    left = whole.filter("open = 1").select("g", "id", "columns", _at(F.col("rows"), F.lit(1)).alias("i"), _upto(F.col("columns")).alias("j"))
+    right = whole.select("g", "id", "columns", _at(F.col("columns"), F.lit(2)).alias("j"), _upto(F.col("rows")).alias("i"))
+    return left.unionByName(right).select("g", (F.col("i") * F.col("columns") + F.col("j")).alias("tile"), "id", F.lit(None).cast(f"array<{kind}>").alias("hubs")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row. The id must be an integer column."""
     kind = docs.schema[id_col].dataType.simpleString()
     signed = materialise(signatures(docs, id_col, text_col), "signed")
     classes = materialise(signed.filter("n_shingles > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n_shingles").agg(F.min_by(F.struct("id", "tokens", "roots"), "id").alias("x")).select("h1", "h2", "n_shingles", "x.*"), "classes")
-    clusters = components(_candidates(classes).select("low", "id"))
+    leaves = _candidates(classes)
+    clusters = components(leaves.select("low", "id"))
     members = clusters.unionByName(clusters.select(F.col("low").alias("id"), "low").distinct()).join(classes.select("id", "n_shingles").hint("merge"), "id")
     # in a cluster of several blocks, a few members stand in every block and hold the blocks together
     hubs = F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64("id", F.lit(j)), "id"))["id"] for j in range(HUBS))))
@@ -386,26 +407,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def confirmed(groups: DataFrame) -> DataFrame:
         rows = materialise(groups, "groups").join(texts.hint("merge"), "id").select("g", "tile", "id", "text", "hubs")
-        return materialise(rows.repartition("g", "tile").sortWithinPartitions("g", "tile", "id").mapInArrow(_confirmed, f"low {kind}, id {kind}, g {kind}, mask long"), "links")
+        return materialise(rows.repartition("g", "tile").sortWithinPartitions("g", "tile", "id").mapInArrow(_confirmed, f"low {kind}, id {kind}, g long, mask long"), "links")
 
-    own = members.select(F.col("low").alias("g"), _at(F.col("blocks")).alias("tile"), "id", "hubs")
-    extra = sizes.filter("blocks > 1").select(F.col("low").alias("g"), "hubs", F.explode("hubs").alias("id"), "blocks").select("g", _upto(F.col("blocks")).alias("tile"), "id", "hubs")
+    own = members.select(F.col("low").cast("long").alias("g"), _at(F.col("blocks")).alias("tile"), "id", "hubs")
+    extra = sizes.filter("blocks > 1").select(F.col("low").cast("long").alias("g"), "hubs", F.explode("hubs").alias("id"), "blocks").select("g", _upto(F.col("blocks")).alias("tile"), "id", "hubs")
     found = confirmed(own.unionByName(extra).dropDuplicates(["g", "tile", "id"]))
     links = found.filter("low IS NOT NULL").select("low", "id")
-    # members whose component in their block lacks the hub with most members meet every member of the cluster
+    # members whose component in their block lacks the hub with most members meet all candidates of their leaves
     seen = found.filter("low IS NULL").select("g", "id", "mask")
     held = [F.sum(F.shiftright("mask", k).bitwiseAND(F.lit(1))) for k in range(HUBS)]
     main = seen.groupBy("g").agg(F.array(*held).alias("n")).select("g", (F.array_position("n", F.array_max("n")) - 1).cast("int").alias("k"))
-    rest = seen.join(main.hint("merge"), "g").filter("shiftright(mask, k) % 2 = 0").select("g", "id").distinct()
-    rest = materialise(rest.join(members.select(F.col("low").alias("g"), "id", "n_shingles").hint("merge"), ["g", "id"]), "rest")
+    rest = materialise(seen.join(main.hint("merge"), "g").filter("shiftright(mask, k) % 2 = 0").select("id").distinct(), "rest")
     if not rest.isEmpty():
-        half = CLUSTER / 2
-        few = rest.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w")).withColumn("rows", _blocks(half)).select("g", "rows")
-        whole = members.withColumn("columns", _blocks(half)).select(F.col("low").alias("g"), "id", "columns").join(sized(materialise(few, "few")), "g")
-        left = whole.join(rest.select("g", "id").hint("merge"), ["g", "id"]).select("g", "id", "columns", _at(F.col("rows"), F.lit(1)).alias("i"), _upto(F.col("columns")).alias("j"))
-        right = whole.select("g", "id", "columns", _at(F.col("columns"), F.lit(2)).alias("j"), _upto(F.col("rows")).alias("i"))
-        tiles = left.unionByName(right).select("g", (F.col("i") * F.col("columns") + F.col("j")).alias("tile"), "id", F.lit(None).cast(f"array<{kind}>").alias("hubs"))
-        links = links.unionByName(confirmed(tiles.distinct()).select("low", "id"))
+        links = links.unionByName(confirmed(_of_leaves(leaves, rest, classes, kind)).select("low", "id"))
     final = components(links)
     of_class = classes.join(final.hint("merge"), "id", "left").select("h1", "h2", "n_shingles", F.coalesce("low", "id").alias("component_id"))
     out = signed.select("id", "h1", "h2", "n_shingles").join(of_class.hint("merge"), ["h1", "h2", "n_shingles"], "left")
