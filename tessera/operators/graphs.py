@@ -2,30 +2,15 @@
 
 _BOTH = "SELECT src, dst, w FROM ({0}) UNION ALL SELECT dst, src, w FROM ({0})"
 _PAIRS = "SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst, 1e0 AS w FROM t_near"
-
-
-def bounded_paths(sources: str, cutoff: float, hops: int) -> str:
-    """SQL for shortest road lengths from sources (column src), at most cutoff long and so many edges."""
-    steps = ["d0 AS (SELECT src, src AS node, 0e0 AS cost FROM (" + sources + "))"]
-    for i in range(hops):
-        steps.append(f"d{i + 1} AS (SELECT src, node, min(cost) AS cost FROM (SELECT src, node, cost FROM d{i} UNION ALL SELECT d.src, r.dst, d.cost + r.length FROM d{i} d JOIN t_road r ON d.node = r.src WHERE d.cost + r.length <= {cutoff}e0) GROUP BY src, node)")
-    return "WITH " + ", ".join(steps) + f" SELECT src, node, cost FROM d{hops}"
-
-
-#: Road lengths between the nodes that points are snapped to.
-_NETWORK = bounded_paths("SELECT DISTINCT node AS src FROM t_snap", 1500, 4).replace(" SELECT src, node, cost FROM d4", ", paths AS (SELECT src, node, cost FROM d4)")
 PLANS = {
     "grf_01_knn_graph": _BOTH.format(_PAIRS),
-    "grf_02_geographic_edges": "SELECT src, dst, round(exp(-d / 0.3e0), 6) AS w FROM t_near WHERE d < 0.2e0",
+    "grf_02_geographic_edges": "SELECT src, dst, round(exp(-d * $metres / 300e0), 6) AS w FROM t_near WHERE nth <= 6 AND d * $metres < 1000e0",
     "grf_03_geographic_fallback": """
-SELECT n.src, n.dst FROM t_near n JOIN (SELECT area_id, CASE WHEN count(*) < 55 THEN 2 WHEN count(*) < 60 THEN 3 ELSE 4 END AS k FROM t_point GROUP BY area_id) a ON n.area_id = a.area_id
-JOIN (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY d, dst) AS nth FROM t_near) r ON r.src = n.src AND r.dst = n.dst WHERE r.nth <= a.k""",
+SELECT n.src, n.dst, round(CASE WHEN n.d * $metres < 1000e0 THEN exp(-n.d * $metres / 300e0) ELSE 1e0 END, 6) AS w FROM t_near16 n JOIN (SELECT area_id, CASE WHEN count(*) < 100 THEN 8 WHEN count(*) < 500 THEN 12 ELSE 16 END AS k FROM t_point GROUP BY area_id) a ON n.area_id = a.area_id
+JOIN (SELECT src, min(d) AS first_d FROM t_near16 GROUP BY src) f ON f.src = n.src WHERE n.nth <= a.k AND (n.d * $metres < 1000e0 OR f.first_d * $metres >= 1000e0 AND n.nth = 1)""",
     "grf_04_road_segments": """
 SELECT road, seq, round(sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y)) * 111000e0, 3) AS length FROM (SELECT road, seq, x, y, lead(x) OVER (PARTITION BY road ORDER BY seq) AS nx, lead(y) OVER (PARTITION BY road ORDER BY seq) AS ny FROM (
  SELECT point_id % 40 AS road, point_id AS seq, x, y FROM t_point)) WHERE nx IS NOT NULL""",
-    "grf_05_network_edges": _NETWORK + " SELECT DISTINCT a.point_id AS src, b.point_id AS dst, round(1e0 / (1e0 + d.cost / 500e0), 6) AS w FROM t_snap a JOIN paths d ON a.node = d.src JOIN t_snap b ON d.node = b.node AND a.area_id = b.area_id AND a.point_id <> b.point_id WHERE d.cost <= 1500e0",
-    "grf_06_road_knn": _NETWORK + " SELECT src, dst, nth FROM (SELECT n.src, n.dst, row_number() OVER (PARTITION BY n.src ORDER BY coalesce(d.cost, 1e9), n.d, n.dst) AS nth FROM t_near n JOIN t_snap a ON n.src = a.point_id JOIN t_snap b ON n.dst = b.point_id LEFT JOIN paths d ON d.src = a.node AND d.node = b.node) WHERE nth <= 2",
-    "grf_07_bounded_paths": bounded_paths("SELECT p_partkey AS src FROM t_part WHERE p_partkey < 196 AND p_partkey % 14 = 0", 1500, 5),
     "grf_08_merge_graphs": """
 SELECT a, b, kind, round(w, 6) AS w FROM (SELECT a, b, kind, w, row_number() OVER (PARTITION BY a, b ORDER BY rank_, w) AS nth FROM (
  SELECT least(src, dst) AS a, greatest(src, dst) AS b, 'network' AS kind, 1 AS rank_, length AS w FROM t_road UNION ALL SELECT least(src, dst), greatest(src, dst), 'geographic', 2, d FROM t_near)) WHERE nth = 1""",

@@ -2,7 +2,9 @@
 
 PLANS = {
     "prj_01_socioeconomic_defaults": """
-SELECT subarea_id, coalesce(income, 50000e0) AS income, coalesce(CAST(n_f AS DOUBLE), 0e0) AS poverty, coalesce(CASE WHEN n_urgent = 0 THEN NULL ELSE CAST(n_urgent AS DOUBLE) END, 5e0) AS unemployment FROM t_counts""",
+SELECT subarea_id, round(coalesce(n_f * 100e0 / nullif(orders_n, 0), 10e0), 6) AS pct_no_vehicle, round(coalesce(n_o * 100e0 / nullif(orders_n, 0), 15e0), 6) AS pct_poverty, round(coalesce(n_urgent * 100e0 / nullif(orders_n, 0), 5e0), 6) AS pct_unemployed,
+ round(coalesce(n_high * 100e0 / nullif(orders_n, 0), 10e0), 6) AS pct_no_hs_diploma, round(coalesce(n_medium * 100e0 / nullif(orders_n, 0), 12e0), 6) AS pct_uninsured, round(coalesce(n_cheap * 100e0 / nullif(orders_n, 0), 5e0), 6) AS pct_mobile_homes,
+ round(coalesce(n_p * 100e0 / nullif(orders_n, 0), 2e0), 6) AS pct_crowded, coalesce(CAST(nullif(total, 0) AS DOUBLE), 2000e0) AS population, coalesce(CAST(nullif(orders_n, 0) AS DOUBLE), 800e0) AS housing_units FROM t_counts""",
     "prj_02_area_target": """
 SELECT n.n_nationkey AS area_id, round(CASE WHEN a.target IS NULL OR a.target < 0e0 THEN 0.5e0 ELSE a.target END, 6) AS target FROM t_nation n LEFT JOIN (SELECT area_id, CASE WHEN area_id % 7 = 0 THEN -1e0 ELSE target END AS target FROM t_area WHERE area_id % 5 <> 0) a ON n.n_nationkey = a.area_id""",
     "prj_03_target_dispatch": """
@@ -11,19 +13,20 @@ SELECT 'property_value', a.area_id, round(coalesce(avg(p.ancillary / 100e0), 0.5
     "prj_04_truth_vector": "SELECT p.point_id, round(t.truth, 6) AS truth FROM t_point p LEFT JOIN (SELECT point_id, truth FROM t_point WHERE truth > 0.3e0) t ON p.point_id = t.point_id",
     "prj_05_area_context": "SELECT p.point_id, round(a.target, 6) AS target, CAST(a.n_points AS DOUBLE) / 10000e0 AS population FROM t_point p JOIN t_area a ON p.area_id = a.area_id",
     "prj_06_rates": """
-SELECT subarea_id, round(CASE WHEN orders_n > 0 THEN n_f / orders_n * 100e0 END, 6) AS f_rate, round(CASE WHEN orders_n > 0 THEN n_urgent / orders_n * 100e0 END, 6) AS urgent_rate, round(CASE WHEN orders_n > 0 THEN (n_f + n_urgent) / orders_n * 100e0 END, 6) AS either_rate, round(CASE WHEN total > 0 THEN orders_n / total END, 6) AS per_point FROM t_counts""",
+SELECT subarea_id, round(CASE WHEN orders_n > 0 THEN (n_f) / orders_n * 100e0 END, 6) AS f_rate, round(CASE WHEN orders_n > 0 THEN (n_o) / orders_n * 100e0 END, 6) AS o_rate, round(CASE WHEN orders_n > 0 THEN (n_p) / orders_n * 100e0 END, 6) AS p_rate, round(CASE WHEN orders_n > 0 THEN (n_urgent) / orders_n * 100e0 END, 6) AS urgent_rate, round(CASE WHEN orders_n > 0 THEN (n_high) / orders_n * 100e0 END, 6) AS high_rate, round(CASE WHEN orders_n > 0 THEN (n_medium) / orders_n * 100e0 END, 6) AS medium_rate, round(CASE WHEN orders_n > 0 THEN (n_low) / orders_n * 100e0 END, 6) AS low_rate, round(CASE WHEN orders_n > 0 THEN (n_urgent + n_high) / orders_n * 100e0 END, 6) AS pressing_rate, round(CASE WHEN orders_n > 0 THEN (n_high + n_medium + n_low) / orders_n * 100e0 END, 6) AS calm_rate, round(CASE WHEN orders_n > 0 THEN (n_cheap) / orders_n * 100e0 END, 6) AS cheap_rate, round(CASE WHEN orders_n > 0 THEN (n_dear) / orders_n * 100e0 END, 6) AS dear_rate, round(CASE WHEN total > 0 THEN (orders_n) / total * 100e0 END, 6) AS per_point FROM t_counts""",
     "prj_07_minority_share": "SELECT subarea_id, round(least((1e0 - n_f / nullif(orders_n, 0)) * 100e0 + coalesce(n_urgent / nullif(total, 0) * 100e0, 0e0), 100e0), 6) AS share FROM t_counts",
     "prj_08_building_encoder": """
-SELECT p_partkey, round(ln(1e0 + p_retailprice), 6) AS log_area, coalesce(CASE WHEN p_size % 9 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END, median(CASE WHEN p_size % 9 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END) OVER (), 6e0) AS vertices,
- CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN 1e0 ELSE 0e0 END AS residential FROM t_part""",
+WITH b AS (SELECT p_partkey, p_retailprice AS area, CASE WHEN p_size % 9 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS vertices, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_retailprice / (p_size * 10e0) END AS ratio, CASE WHEN p_size % 3 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) / 50e0 END AS acres, p_type FROM t_part),
+m AS (SELECT median(vertices) AS v, median(ratio) AS r FROM b)
+SELECT p_partkey, round(ln(1e0 + coalesce(area, 0e0)), 6) AS log_area, coalesce(vertices, m.v, 6e0) AS vertices, round(coalesce(ratio, m.r, 1e0), 6) AS build_land_ratio, round(coalesce(acres, 0e0), 6) AS acres, CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN 1e0 ELSE 0e0 END AS residential FROM b CROSS JOIN m""",
     "prj_09_land_use_bins": """
 SELECT p_partkey, CASE WHEN code >= 100 AND code < 200 THEN 1e0 ELSE 0e0 END AS lu_1, CASE WHEN code >= 200 AND code < 300 THEN 1e0 ELSE 0e0 END AS lu_2, CASE WHEN code >= 300 AND code < 400 THEN 1e0 ELSE 0e0 END AS lu_3,
  CASE WHEN code IS NULL OR code < 100 OR code >= 400 THEN 1e0 ELSE 0e0 END AS lu_other FROM (SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_size * 10 END AS code FROM t_part)""",
     "prj_10_one_hot": """
-SELECT point_id, CASE WHEN s = 'BUILDING' THEN 1e0 ELSE 0e0 END AS is_building, CASE WHEN s = 'MACHINERY' THEN 1e0 ELSE 0e0 END AS is_machinery, CASE WHEN s = 'AUTOMOBILE' THEN 1e0 ELSE 0e0 END AS is_automobile, CASE WHEN s = 'NONE' THEN 1e0 ELSE 0e0 END AS is_none
-FROM (SELECT c_custkey AS point_id, c_mktsegment AS s FROM t_customer)""",
+SELECT c_custkey AS point_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 1e0 ELSE 0e0 END AS is_building, CASE WHEN c_mktsegment = 'MACHINERY' THEN 1e0 ELSE 0e0 END AS is_machinery, CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 1e0 ELSE 0e0 END AS is_automobile,
+ CASE WHEN c_mktsegment = 'FURNITURE' THEN 1e0 ELSE 0e0 END AS is_furniture, CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 1e0 ELSE 0e0 END AS is_household FROM t_customer""",
     "prj_11_parcel_features": "SELECT p_partkey, round(ln(1e0 + coalesce(p_retailprice, 0e0)), 6) AS log_value, round(p_retailprice / nullif(p_size % 5, 0), 6) AS ratio FROM t_part",
-    "prj_13_coordinate_features": "SELECT point_id, round((x - avg(x) OVER ()) / stddev_pop(x) OVER (), 6) AS zx, round((y - avg(y) OVER ()) / stddev_pop(y) OVER (), 6) AS zy FROM t_point",
+    "prj_13_coordinate_features": "SELECT point_id, round((x - mx) / sx, 6) AS zx, round((y - my) / sy, 6) AS zy FROM t_point CROSS JOIN (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy FROM t_point)",
     "prj_14_non_finite_repair": """
 SELECT p_partkey, CASE WHEN isnan(v) THEN 0e0 WHEN v = CAST('Infinity' AS DOUBLE) THEN 999e0 WHEN v = CAST('-Infinity' AS DOUBLE) THEN -999e0 ELSE v END AS v
 FROM (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN CAST('NaN' AS DOUBLE) WHEN 1 THEN CAST('Infinity' AS DOUBLE) WHEN 2 THEN CAST('-Infinity' AS DOUBLE) ELSE p_retailprice END AS v FROM t_part)""",
@@ -43,4 +46,9 @@ SELECT point_id, round(sqrt((x - 2.5e0) * (x - 2.5e0) + (y - 2.5e0) * (y - 2.5e0
     "prj_21_differential": "SELECT point_id, dest_id, round(walk_time / drive_time, 6) AS ratio, round(walk_time - drive_time, 6) AS diff, round(CASE WHEN drive_time > 0e0 AND walk_time / drive_time > 0e0 THEN ln(walk_time / drive_time) END, 6) AS log_ratio FROM t_od WHERE drive_time > 0e0",
     "prj_22_grades": """
 SELECT method, area_id, CASE WHEN 100e0 * gap / target < 5e0 THEN 'excellent' WHEN 100e0 * gap / target < 15e0 THEN 'good' ELSE 'poor' END AS grade, CASE WHEN target < 0.3e0 THEN 'low' WHEN target < 0.7e0 THEN 'medium' ELSE 'high' END AS bucket FROM t_metric""",
+    "prj_12_drop_list": """
+SELECT regexp_extract(line, '^([a-z_]+) +(-[0-9.]+)%', 1) AS feature FROM (SELECT feature || '  ' || CAST(round(100e0 * r, 2) AS STRING) || '%' AS line FROM (SELECT f.feature, corr(f.value, p.truth) AS r FROM t_feature f JOIN t_point p ON f.point_id = p.point_id WHERE p.truth IS NOT NULL AND f.feature <> 'flat' GROUP BY f.feature)) WHERE regexp_extract(line, '^([a-z_]+) +(-[0-9.]+)%', 1) <> ''""",
+    "prj_13_noise_features": """
+SELECT point_id, round((x - mx) / sx, 6) AS zx, round((y - my) / sy, 6) AS zy, round(sqrt(-2e0 * ln(u)) * cos(2e0 * pi() * v), 6) AS noise_1, round(sqrt(-2e0 * ln(u)) * sin(2e0 * pi() * v), 6) AS noise_2 FROM (
+ SELECT point_id, x, y, (CAST(CAST(conv(substring(md5('u-' || CAST(point_id AS STRING)), 1, 8), 16, 10) AS BIGINT) AS DOUBLE) + 1e0) / 4294967297e0 AS u, CAST(CAST(conv(substring(md5('v-' || CAST(point_id AS STRING)), 1, 8), 16, 10) AS BIGINT) AS DOUBLE) / 4294967296e0 AS v FROM t_point) CROSS JOIN (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy FROM t_point)""",
 }

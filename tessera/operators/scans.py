@@ -18,10 +18,12 @@ SELECT r.r_name AS county, count(DISTINCT n.n_regionkey) AS codes, count(DISTINC
 SELECT hash, round((v - min(v) OVER ()) / (CASE WHEN max(v) OVER () = min(v) OVER () THEN 1e0 ELSE max(v) OVER () - min(v) OVER () END), 6) AS norm FROM (
  SELECT o_custkey AS hash, min_by(o_totalprice, o_orderkey) AS v FROM t_orders WHERE o_totalprice IS NOT NULL GROUP BY o_custkey)""",
     "src_05_job_blocks": """
-SELECT block, substring(block, length(block) - 3, 4) AS label, jobs, round(pay, 2) AS pay FROM (
- SELECT '37' || substring(CAST(1000000 + l_suppkey AS STRING), 2, 6) AS block, CAST(sum(l_quantity) AS BIGINT) AS jobs, sum(l_extendedprice) AS pay FROM t_lineitem WHERE l_returnflag LIKE 'A%' GROUP BY 1) WHERE jobs >= 10""",
+SELECT b.block, substring(b.block, length(b.block) - 3, 4) AS label, b.jobs, round(b.pay, 2) AS pay, round(b.taxes, 4) AS taxes, round(b.discounts, 4) AS discounts, round(d.x, 6) AS x, round(d.y, 6) AS y FROM (
+ SELECT '37' || substring(CAST(1000000 + l_suppkey AS STRING), 2, 6) AS block, min(l_suppkey) AS k, CAST(sum(l_quantity) AS BIGINT) AS jobs, sum(l_extendedprice) AS pay, sum(l_tax) AS taxes, sum(l_discount) AS discounts FROM t_lineitem WHERE l_returnflag LIKE 'A%' GROUP BY 1) b
+JOIN t_dest d ON b.k = d.dest_id WHERE b.jobs >= 10""",
     "src_06_poi": """
-SELECT row_number() OVER (ORDER BY p_partkey) AS dest_id, coalesce(nullif(trim(p_name), ''), 'poi') AS name, coalesce(NULL, p_retailprice / 1000e0) AS lon FROM t_part WHERE p_type = 'ECONOMY'""",
+SELECT row_number() OVER (ORDER BY p_partkey) AS dest_id, coalesce(nullif(trim(p_name), ''), 'poi') AS name, round(coalesce(lon, longitude), 6) AS lon FROM (
+ SELECT p_partkey, p_name, CASE WHEN p_size % 2 = 0 THEN p_retailprice / 1000e0 END AS lon, CASE WHEN p_size % 2 = 1 THEN CAST(p_size AS DOUBLE) END AS longitude FROM t_part WHERE p_type = 'ECONOMY')""",
     "src_08_point_enrichment": """
 SELECT p.point_id, p.area_id, a.n_orders, round(a.mean_price, 1) AS mean_price FROM t_point p LEFT JOIN (SELECT o_custkey, count(*) AS n_orders, avg(o_totalprice) AS mean_price FROM t_orders GROUP BY o_custkey) a ON p.point_id = a.o_custkey""",
     "src_10_chunk_merge": """
@@ -33,8 +35,8 @@ FROM t_point p LEFT JOIN (SELECT doc_id, CAST(min(quality) AS DOUBLE) AS v FROM
     "src_14_tag_extraction": """
 SELECT event_id, coalesce(event_type, 'yes') AS building, CAST(get_json_object(props, '$.k') AS BIGINT) AS tag FROM t_events WHERE get_json_object(props, '$.k') IS NOT NULL AND event_type <> 'error'""",
     "src_15_raster_sample": """
-SELECT p.point_id, coalesce(c.cover, -1) AS cover FROM (SELECT point_id, CAST(floor((x - 0.5e0) / 0.25e0) AS BIGINT) AS col, CAST(floor((y - 0.5e0) / 0.25e0) AS BIGINT) AS row_ FROM t_point) p
-LEFT JOIN (SELECT p_partkey % 16 AS col, CAST(floor(CAST(p_partkey AS DOUBLE) / 16e0) AS BIGINT) AS row_, p_size AS cover FROM t_part WHERE p_partkey < 256) c ON p.col = c.col AND p.row_ = c.row_""",
+SELECT p.point_id, coalesce(c.cover, -1) AS cover FROM (SELECT point_id, CAST(floor((x - 0.5e0) / (5e0 / w)) AS BIGINT) AS col, CAST(floor((y - 0.5e0) / (5e0 / w)) AS BIGINT) AS row_ FROM t_point CROSS JOIN t_lattice) p
+LEFT JOIN (SELECT p_partkey % w AS col, CAST(floor(CAST(p_partkey AS DOUBLE) / w) AS BIGINT) AS row_, p_size AS cover FROM t_part CROSS JOIN t_lattice) c ON p.col = c.col AND p.row_ = c.row_""",
     "src_16_ledger": """
 SELECT parcel, count(DISTINCT bill_year) AS years, min(bill_year) AS first_year FROM (SELECT upper(trim('m' || CAST(o_custkey % 10 AS STRING))) || '|' || CAST(o_custkey AS STRING) AS parcel, year(o_orderdate) AS bill_year FROM t_orders)
 WHERE bill_year BETWEEN 1995 AND 1997 GROUP BY parcel""",

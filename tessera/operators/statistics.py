@@ -2,11 +2,20 @@
 
 from .windows import average_rank
 
-_DRAWS = "SELECT DISTINCT CAST(n_nationkey AS BIGINT) AS draw FROM t_nation"
-#: A bootstrap draw: each place of an area takes a row chosen by a hash of draw and place.
-_BOOT = f"""WITH rows_ AS (SELECT area_id, value, truth, row_number() OVER (PARTITION BY area_id ORDER BY point_id) - 1 AS i, count(*) OVER (PARTITION BY area_id) AS n FROM t_pred WHERE method = 'gradient' AND truth IS NOT NULL AND area_id < 6),
-picks AS (SELECT d.draw, r.area_id, ((r.i * 7919 + d.draw * 104729 + r.i * d.draw * 31) % 10007) % r.n AS i FROM rows_ r CROSS JOIN ({_DRAWS}) d),
-boot AS (SELECT p.draw, p.area_id, CASE WHEN stddev_pop(r.value) > 1e-9 AND stddev_pop(r.truth) > 1e-9 THEN (avg(r.value * r.truth) - avg(r.value) * avg(r.truth)) / (stddev_pop(r.value) * stddev_pop(r.truth)) END AS r, avg(r.truth) AS m, median(r.truth) AS mid FROM picks p JOIN rows_ r ON p.area_id = r.area_id AND p.i = r.i GROUP BY p.draw, p.area_id)"""
+
+def _corr(a: str, b: str) -> str:
+    """SQL for a correlation that is null where a side does not vary."""
+    return f"CASE WHEN stddev_pop({a}) > 1e-9 AND stddev_pop({b}) > 1e-9 THEN (avg({a} * {b}) - avg({a}) * avg({b})) / (stddev_pop({a}) * stddev_pop({b})) END"
+
+
+#: Bootstrap: in each draw every place of an area takes the row that an md5 of draw, area and place points at.
+_ROWS = """rows_ AS (SELECT area_id, truth, v1, v2, row_number() OVER (PARTITION BY area_id ORDER BY point_id) - 1 AS i, count(*) OVER (PARTITION BY area_id) AS n FROM (
+ SELECT area_id, point_id, min(truth) AS truth, max(CASE WHEN method = 'gradient' THEN value END) AS v1, max(CASE WHEN method = 'dasymetric' THEN value END) AS v2 FROM t_pred WHERE truth IS NOT NULL GROUP BY area_id, point_id)),
+picks AS (SELECT d.draw, r.area_id, CAST(conv(substring(md5(CAST(d.draw AS STRING) || '-' || CAST(r.area_id AS STRING) || '-' || CAST(r.i AS STRING)), 1, 8), 16, 10) AS BIGINT) % r.n AS i FROM rows_ r CROSS JOIN t_draw d WHERE r.n >= {least})"""
+_SOME = "boot AS (SELECT p.draw, p.area_id, {what} FROM picks p JOIN rows_ r ON p.area_id = r.area_id AND p.i = r.i GROUP BY p.draw, p.area_id)"
+_BOOT = f"WITH {_ROWS.format(least=10)}, {_SOME.format(what=_corr('r.v1', 'r.truth') + ' AS r1, ' + _corr('r.v2', 'r.truth') + ' AS r2')}"
+_MEDIANS = f"WITH {_ROWS.format(least=2)}, {_SOME.format(what='median(r.truth) AS mid, median(r.v1) - median(r.truth) AS diff')}"
+_CI = "percentile_cont(0.025) WITHIN GROUP (ORDER BY {0})", "percentile_cont(0.975) WITHIN GROUP (ORDER BY {0})"
 _RANKS = f"SELECT area_id, {average_rank('ancillary', 'area_id')} AS ra, {average_rank('truth', 'area_id')} AS rt, {average_rank('x', 'area_id')} AS rx FROM t_point WHERE ancillary IS NOT NULL AND truth IS NOT NULL"
 _USAGE = "SELECT f.feature, avg(f.value) AS m, stddev_pop(f.value) AS s, max(f.value) - min(f.value) AS spread, CASE WHEN stddev_pop(f.value) > 1e-9 AND stddev_pop(p.truth) > 1e-9 THEN (avg(f.value * p.truth) - avg(f.value) * avg(p.truth)) / (stddev_pop(f.value) * stddev_pop(p.truth)) END AS r FROM t_feature f JOIN t_point p ON f.point_id = p.point_id WHERE p.truth IS NOT NULL GROUP BY f.feature"
 PLANS = {
@@ -15,12 +24,24 @@ PLANS = {
     "sta_04_partial_spearman": f"SELECT area_id, round((xy - xz * yz) / nullif(sqrt(greatest((1e0 - xz * xz) * (1e0 - yz * yz), 0e0)), 0e0), 6) AS rho FROM (SELECT area_id, corr(ra, rt) AS xy, corr(ra, rx) AS xz, corr(rt, rx) AS yz FROM ({_RANKS}) GROUP BY area_id HAVING count(*) >= 20)",
     "sta_05_partial_pearson": "SELECT area_id, round((xy - xz * yz) / nullif(sqrt(greatest((1e0 - xz * xz) * (1e0 - yz * yz), 0e0)), 0e0), 6) AS r FROM (SELECT area_id, corr(ancillary, truth) AS xy, corr(ancillary, y) AS xz, corr(truth, y) AS yz FROM t_point WHERE ancillary IS NOT NULL AND truth IS NOT NULL GROUP BY area_id HAVING count(*) >= 20)",
     "sta_06_component_correlations": "SELECT name, round(corr(c, income), 6) AS r FROM (SELECT 'orders' AS name, CAST(orders_n AS DOUBLE) AS c, income FROM t_counts UNION ALL SELECT 'f', CAST(n_f AS DOUBLE), income FROM t_counts UNION ALL SELECT 'urgent', CAST(n_urgent AS DOUBLE), income FROM t_counts) WHERE income IS NOT NULL GROUP BY name",
-    "sta_07_bootstrap_ci": f"{_BOOT} SELECT area_id, round(percentile_cont(0.025) WITHIN GROUP (ORDER BY r), 5) AS lo, round(percentile_cont(0.975) WITHIN GROUP (ORDER BY r), 5) AS hi FROM boot WHERE r IS NOT NULL GROUP BY area_id",
-    "sta_08_bootstrap_difference": f"{_BOOT} SELECT a.area_id, b.area_id AS other, round(avg(a.m - b.m), 6) AS diff, round(greatest(2e0 * least(avg(CASE WHEN a.m > b.m THEN 1e0 ELSE 0e0 END), avg(CASE WHEN a.m < b.m THEN 1e0 ELSE 0e0 END)), 1e0 / count(*)), 6) AS p FROM boot a JOIN boot b ON a.draw = b.draw AND a.area_id < b.area_id GROUP BY a.area_id, b.area_id",
-    "sta_09_bootstrap_median": f"{_BOOT} SELECT area_id, round(percentile_cont(0.025) WITHIN GROUP (ORDER BY mid), 6) AS lo, round(percentile_cont(0.975) WITHIN GROUP (ORDER BY mid), 6) AS hi FROM boot GROUP BY area_id",
-    "sta_10_interval_overlap": f"{_BOOT}, ci AS (SELECT area_id, percentile_cont(0.025) WITHIN GROUP (ORDER BY m) AS lo, percentile_cont(0.975) WITHIN GROUP (ORDER BY m) AS hi FROM boot GROUP BY area_id) SELECT a.area_id, b.area_id AS other, a.lo <= b.hi AND b.lo <= a.hi AS overlap FROM ci a JOIN ci b ON a.area_id < b.area_id",
-    "sta_11_signal_bearing": "SELECT area_id, feature, CASE WHEN stddev_pop(value) < 1e-10 THEN false WHEN abs(avg(value)) < 1e-8 THEN true ELSE stddev_pop(value) / abs(avg(value)) >= 0.05e0 END AS signal FROM t_feature GROUP BY area_id, feature",
-    "sta_12_feature_spearman": f"SELECT area_id, feature, round(corr(rv, rt), 6) AS rho FROM (SELECT area_id, feature, {average_rank('value', 'area_id, feature')} AS rv, {average_rank('truth', 'area_id, feature')} AS rt FROM (SELECT f.*, p.truth FROM t_feature f JOIN t_point p ON f.point_id = p.point_id WHERE p.truth IS NOT NULL AND f.feature <> 'flat')) GROUP BY area_id, feature HAVING count(*) >= 50",
+    "sta_07_bootstrap_ci": f"{_BOOT} SELECT area_id, count(*) AS draws, round({_CI[0].format('r1')}, 6) AS lo, round({_CI[1].format('r1')}, 6) AS hi FROM boot WHERE r1 IS NOT NULL GROUP BY area_id",
+    "sta_08_bootstrap_difference": f"""
+{_BOOT}, seen AS (SELECT area_id, {_corr('v1', 'truth')} - {_corr('v2', 'truth')} AS diff FROM rows_ GROUP BY area_id),
+ci AS (SELECT b.area_id, max(s.diff) AS diff, {_CI[0].format('b.r1 - b.r2')} AS lo, {_CI[1].format('b.r1 - b.r2')} AS hi, greatest(avg(CASE WHEN abs(b.r1 - b.r2 - s.diff) >= abs(s.diff) - 1e-9 THEN 1e0 ELSE 0e0 END), 1e0 / count(*)) AS p
+ FROM boot b JOIN seen s ON b.area_id = s.area_id WHERE b.r1 IS NOT NULL AND b.r2 IS NOT NULL AND s.diff IS NOT NULL GROUP BY b.area_id)
+SELECT area_id, round(diff, 6) AS diff, round(lo, 6) AS lo, round(hi, 6) AS hi, round(p, 6) AS p, lo > 0e0 OR hi < 0e0 AS significant FROM ci""",
+    "sta_09_bootstrap_median": f"""
+{_MEDIANS} SELECT area_id, round({_CI[0].format('mid')}, 6) AS lo, round({_CI[1].format('mid')}, 6) AS hi, round({_CI[0].format('diff')}, 6) AS diff_lo, round({_CI[1].format('diff')}, 6) AS diff_hi FROM boot GROUP BY area_id""",
+    "sta_10_interval_overlap": f"""
+{_BOOT}, ci AS (SELECT area_id, {_CI[0].format('r1')} AS lo1, {_CI[1].format('r1')} AS hi1, {_CI[0].format('r2')} AS lo2, {_CI[1].format('r2')} AS hi2 FROM boot WHERE r1 IS NOT NULL AND r2 IS NOT NULL GROUP BY area_id)
+SELECT area_id, lo1 <= hi2 AND lo2 <= hi1 AS overlap, lo1 > 0e0 OR hi1 < 0e0 AS first_separable, lo2 > 0e0 OR hi2 < 0e0 AS second_separable FROM ci""",
+    "sta_11_signal_bearing": """
+SELECT area_id, feature, CASE WHEN s < 1e-10 THEN false WHEN flags = n THEN least(ones, n - ones) >= 0.05e0 * n WHEN abs(m) < 1e-8 THEN true ELSE s / abs(m) >= 0.05e0 END AS signal FROM (
+ SELECT area_id, feature, stddev_pop(value) AS s, avg(value) AS m, count(*) AS n, count_if(value = 0e0 OR value = 1e0) AS flags, count_if(value = 1e0) AS ones FROM t_feature GROUP BY area_id, feature)""",
+    "sta_12_feature_spearman": f"""
+SELECT area_id, feature, round(corr(rv, rt), 6) AS rho FROM (SELECT area_id, feature, {average_rank('value', 'area_id, feature')} AS rv, {average_rank('truth', 'area_id, feature')} AS rt FROM (
+ SELECT f.*, p.truth FROM t_feature f JOIN t_point p ON f.point_id = p.point_id JOIN (SELECT area_id, feature FROM t_feature GROUP BY area_id, feature HAVING stddev_pop(value) >= 1e-10 AND (abs(avg(value)) < 1e-8 OR stddev_pop(value) / abs(avg(value)) >= 0.05e0)) s
+  ON f.area_id = s.area_id AND f.feature = s.feature WHERE p.truth IS NOT NULL)) GROUP BY area_id, feature HAVING count(*) >= 50""",
     "sta_13_rank_consistency": "SELECT feature, count(*) AS areas, round(median(r), 6) AS middle, round(percentile_cont(0.75) WITHIN GROUP (ORDER BY r) - percentile_cont(0.25) WITHIN GROUP (ORDER BY r), 6) AS iqr, count_if(r > 0e0) AS positive, count_if(r < 0e0) AS negative FROM (SELECT f.feature, f.area_id, corr(f.value, p.truth) AS r FROM t_feature f JOIN t_point p ON f.point_id = p.point_id WHERE p.truth IS NOT NULL AND f.feature <> 'flat' GROUP BY f.feature, f.area_id) GROUP BY feature HAVING count(*) >= 5",
     "sta_14_sign_test": """
 WITH k AS (SELECT feature, count_if(r > 0e0) AS pos, count(*) AS n FROM (SELECT f.feature, f.area_id, corr(f.value, p.truth) AS r FROM t_feature f JOIN t_point p ON f.point_id = p.point_id WHERE p.truth IS NOT NULL AND f.feature <> 'flat' GROUP BY f.feature, f.area_id) GROUP BY feature),
@@ -39,7 +60,17 @@ SELECT k.feature, max(k.pos) AS pos, round(least(1e0, 2e0 * sum(exp(a.f - b.f -
 SELECT round(r, 6) AS r, round((rxy * rxy + rqy * rqy - 2e0 * rxy * rqy * rxq) / (1e0 - rxq * rxq), 5) AS r2_quadratic FROM (SELECT corr(x, truth) AS r, corr(x, truth) AS rxy, corr(x * x, truth) AS rqy, corr(x, x * x) AS rxq FROM (SELECT x - floor(x) AS x, truth FROM t_point WHERE truth IS NOT NULL))""",
     "sta_26_stability": "SELECT 'rmse' AS metric, round(avg(rmse), 6) AS mean, round(stddev_samp(rmse), 6) AS sd, round(max(rmse) - min(rmse), 6) AS spread, max(rmse) - min(rmse) < 0.02e0 AS stable FROM t_metric WHERE method = 'gradient' UNION ALL SELECT 'gap', round(avg(gap), 6), round(stddev_samp(gap), 6), round(max(gap) - min(gap), 6), max(gap) - min(gap) < 0.01e0 FROM t_metric WHERE method = 'gradient'",
     "mlr_05_heldout_feature_target": "SELECT area_id, round(avg(z), 6) AS target_z, round(avg(z) * max(s) + max(m), 6) AS target FROM (SELECT area_id, (value - avg(value) OVER ()) / stddev_pop(value) OVER () AS z, avg(value) OVER () AS m, stddev_pop(value) OVER () AS s FROM t_feature WHERE feature = 'ancillary') GROUP BY area_id",
-    "mlr_10_inductive_evaluation": "SELECT method, round(corr(m, t), 6) AS r, round(avg(abs(m - t)), 6) AS mae, round(sqrt(avg((m - t) * (m - t))), 6) AS rmse FROM (SELECT method, area_id, avg(value) + 0.001e0 * area_id AS m, min(target) AS t FROM t_pred WHERE area_id % 4 = 0 GROUP BY method, area_id) GROUP BY method HAVING count(*) >= 3",
-    "mlr_11_loss_terms": "SELECT method, round(avg((m - t) * (m - t)), 9) AS constraint_mse, round(avg(greatest(0e0, 0.05e0 - s)), 6) AS variation_hinge, round(avg(over), 6) AS bounds FROM (SELECT method, area_id, avg(value) AS m, min(target) AS t, stddev_pop(value) AS s, avg(greatest(value - 1e0, 0e0) + greatest(-value, 0e0)) AS over FROM t_pred GROUP BY method, area_id) GROUP BY method",
-    "mlr_12_convergence_check": "SELECT method, round(avg(e), 6) AS mean_error, avg(e) < 20e0 AS converged FROM (SELECT method, area_id, 100e0 * abs(avg(value) - min(target)) / min(target) AS e FROM t_pred GROUP BY method, area_id) GROUP BY method",
+    "mlr_10_inductive_evaluation": """
+SELECT method, part, count(*) AS areas, round(corr(m, t), 6) AS r, round(avg(abs(m - t)), 6) AS mae, round(sqrt(avg((m - t) * (m - t))), 6) AS rmse FROM (
+ SELECT method, area_id, avg(value * (0.5e0 + truth)) AS m, min(target) AS t, CASE WHEN CAST(conv(substring(md5('split-' || CAST(area_id AS STRING)), 1, 8), 16, 10) AS BIGINT) % 5 = 0 THEN 'test' ELSE 'train' END AS part FROM t_pred WHERE truth IS NOT NULL GROUP BY method, area_id)
+ GROUP BY method, part HAVING count(*) >= 3""",
+    "mlr_11_loss_terms": """
+WITH area AS (SELECT method, area_id, avg(value) AS m, min(target) AS t, stddev_pop(value) AS s, max(value) - min(value) AS span, avg(greatest(value - 1e0, 0e0) + greatest(-value, 0e0)) AS over FROM t_pred GROUP BY method, area_id),
+sub AS (SELECT method, avg((m - t) * (m - t)) AS mse FROM (SELECT method, subarea_id, avg(value) AS m, avg(truth) AS t FROM t_pred WHERE truth IS NOT NULL GROUP BY method, subarea_id) GROUP BY method),
+pairs AS (SELECT method, avg(greatest(0e0, 0.01e0 - (value - before))) AS hinge FROM (SELECT method, value, lag(value) OVER (PARTITION BY method, subarea_id ORDER BY truth, point_id) AS before FROM t_pred WHERE truth IS NOT NULL) WHERE before IS NOT NULL GROUP BY method)
+SELECT a.method, round(avg((a.m - a.t) * (a.m - a.t)), 9) AS constraint_mse, round(avg(greatest(0e0, 0.05e0 - a.s)), 6) AS variation_hinge, round(avg(a.over), 6) AS bounds, round(avg(greatest(0e0, 0.2e0 - a.span)), 6) AS range_hinge, round(max(p.hinge), 6) AS ordering_hinge, round(max(s.mse), 9) AS subarea_mse
+FROM area a JOIN sub s ON a.method = s.method JOIN pairs p ON a.method = p.method GROUP BY a.method""",
+    "mlr_12_convergence_check": """
+SELECT p.method, round(max(c.mean_error), 6) AS mean_error, max(c.mean_error) < 20e0 AS converged, round(corr(p.value, f.m), 6) AS r_mean_feature FROM t_pred p JOIN (SELECT point_id, avg(value) AS m FROM t_feature GROUP BY point_id) f ON p.point_id = f.point_id
+JOIN (SELECT method, avg(e) AS mean_error FROM (SELECT method, area_id, 100e0 * abs(avg(value) - min(target)) / min(target) AS e FROM t_pred GROUP BY method, area_id) GROUP BY method) c ON p.method = c.method GROUP BY p.method""",
 }

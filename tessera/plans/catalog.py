@@ -1,42 +1,114 @@
 """Named plans: SQL statements over logical tables (t_<name>), bound to DataFrames by the caller.
 
     run(spark, "dis_03_dasymetric", point=points, area=areas)
+    run(spark, "sta_07_bootstrap_ci", params={"draws": 200}, pred=predictions)
 
 Any logical table that is not given is derived from the others by its definition in sources.fixtures, so a plan
-over points and areas needs only these two.
+over points and areas needs only these two. Nearest neighbours are built by grid cells instead of their definition,
+which states the same result. Numbers written as $name are parameters, with the defaults below.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.neighbours import nearest
 from ..operators import PLANS
 from ..sources.fixtures import BASE, VIEWS
 
-_NAME = re.compile(r"\bt_([a-z_]+)\b")
+_NAME = re.compile(r"\bt_([a-z_0-9]+)\b")
+_PARAM = re.compile(r"\$([a-z_0-9]+)")
+
+#: Defaults of the plans' parameters.
+DEFAULTS: dict[str, float | int] = {
+    "draws": 1000,
+    "permutations": 999,
+    "alpha": 0.05,
+    "area": 12,
+    "least_points": 5,
+    "metres": 1110.0,
+    "walk_minutes": 15.0,
+    "target_low": 0.3,
+    "target_high": 0.7,
+    "complete_points": 50,
+}
 
 
 def tables_of(sql: str) -> list[str]:
     return list(dict.fromkeys(_NAME.findall(sql)))
 
 
-def run(spark: SparkSession, name: str, **tables: DataFrame) -> DataFrame:
-    """The plan's result as a DataFrame; nothing is computed before an action."""
-    return bound(spark, PLANS[name], dict(tables))
+def filled(sql: str, params: dict[str, float | int] | None = None) -> str:
+    """The statement with its parameters as numbers; doubles keep an exponent in every dialect."""
+    known = DEFAULTS | (params or {})
+
+    def number(m: re.Match) -> str:
+        v = known[m[1]]
+        return repr(v) if isinstance(v, int) else f"{float(v)!r}e0"
+
+    return _PARAM.sub(number, sql)
+
+
+def run(spark: SparkSession, name: str, params: dict[str, float | int] | None = None, **tables: DataFrame) -> DataFrame:
+    """The plan's result as a DataFrame over the given tables."""
+    return bound(spark, PLANS[name], dict(tables), params)
 
 
-def bound(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> DataFrame:
+def bound(spark: SparkSession, sql: str, tables: dict[str, DataFrame], params: dict[str, float | int] | None = None) -> DataFrame:
     for t in tables_of(sql):
         if t not in tables:
-            tables[t] = bound(spark, VIEWS[t], tables)
-    return spark.sql(_NAME.sub(r"{\1}", sql), **{t: tables[t] for t in tables_of(sql)})
+            tables[t] = BUILT[t](spark, tables) if t in BUILT else bound(spark, VIEWS[t], tables, params)
+    return spark.sql(_NAME.sub(r"{\1}", filled(sql, params)), **{t: tables[t] for t in tables_of(sql)})
+
+
+def _near16(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+    points = bound(spark, "SELECT point_id, area_id, x, y FROM t_point", tables)
+    return nearest(points, points, 16, "point_id", "point_id", "area_id", same=True)
+
+
+def _snap(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+    points, nodes = (bound(spark, f"SELECT * FROM t_{t}", tables) for t in ("point", "node"))
+    found = nearest(points, nodes, 1, "point_id", "node").select(F.col("src").alias("point_id"), F.col("dst").alias("node"), "d")
+    return points.select("point_id", "area_id").join(found.hint("merge"), "point_id").select("point_id", "area_id", "node", "d")
+
+
+def _near_dest(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+    points, dests = (bound(spark, f"SELECT * FROM t_{t}", tables) for t in ("point", "dest"))
+    return nearest(points, dests, 20, "point_id", "dest_id").select(F.col("src").alias("point_id"), F.col("dst").alias("dest_id"), "d", "nth")
+
+
+def _local(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+    """The nearest destinations of each type for every area's centre."""
+    areas, dests = (bound(spark, f"SELECT * FROM t_{t}", tables) for t in ("extent", "dest"))
+    kinds = dests.select("dest_type").distinct()
+    centres = areas.select("area_id", F.col("cx").alias("x"), F.col("cy").alias("y")).join(F.broadcast(kinds))  # a few types
+    centres = centres.withColumn("key", F.concat_ws("/", "area_id", "dest_type"))
+    found = nearest(centres, dests, 20, "key", "dest_id", "dest_type")
+    known = found.select(F.split("src", "/")[0].cast("bigint").alias("area_id"), F.col("dst").alias("dest_id"), "d")
+    known = known.join(F.broadcast(areas.select("area_id", "extent")) if areas.count() < 100_000 else areas.select("area_id", "extent").hint("merge"), "area_id").filter("d <= 1.5 * extent")
+    return known.join(dests.hint("merge"), "dest_id").select(F.col("area_id").cast(areas.schema["area_id"].dataType), "dest_id", "dest_type", "x", "y")
+
+
+BUILT: dict[str, Callable[[SparkSession, dict[str, DataFrame]], DataFrame]] = {"near16": _near16, "snap": _snap, "near_dest": _near_dest, "local": _local}
+
+
+def opened(spark: SparkSession, folder: str, sql: str) -> dict[str, DataFrame]:
+    """The base tables below a statement, from the star schema's Parquet files."""
+    return {t: spark.read.parquet(f"{folder}/{t}.parquet") for t in needed(sql)}
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The plan over the star schema's Parquet files; only the tables that it needs are opened."""
-    return bound(spark, PLANS[name], {t: spark.read.parquet(f"{folder}/{t}.parquet") for t in needed(PLANS[name])})
+    return table(spark, folder, PLANS[name])
+
+
+def table(spark: SparkSession, folder: str, sql: str) -> DataFrame:
+    """Any statement over logical tables of the star schema's Parquet files."""
+    return bound(spark, sql, opened(spark, folder, sql))
 
 
 def needed(sql: str) -> list[str]:
@@ -58,7 +130,7 @@ def portable(sql: str) -> str:
                 order.append(t)
 
     visit(sql)
-    plain = lambda s: _NAME.sub(lambda m: m[0] if m[1] in VIEWS else m[1], s)
+    plain = lambda s: _NAME.sub(lambda m: m[0] if m[1] in VIEWS else m[1], filled(s))
     head = ", ".join(f"t_{t} AS ({plain(VIEWS[t])})" for t in order)
     body = plain(sql).strip()
     if head and body.upper().startswith("WITH "):

@@ -27,31 +27,64 @@ FROM t_area a CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1) i CROSS JOIN (SELECT
     # corners of each area, counter-clockwise
     "ring": """
 SELECT a.area_id, a.county_id, c.seq, a.minx + c.dx AS x, a.miny + c.dy AS y FROM t_area a CROSS JOIN (SELECT 0 AS seq, 0e0 AS dx, 0e0 AS dy UNION ALL SELECT 1, 1e0, 0e0 UNION ALL SELECT 2, 1e0, 1e0 UNION ALL SELECT 3, 0e0, 1e0) c""",
-    # road nodes on a lattice over the areas
+    "lattice": """
+SELECT CAST(ceil(sqrt(CAST(max(p_partkey) + 1 AS DOUBLE))) AS BIGINT) AS w FROM t_part""",
+    # rings of polygons: a subarea has a notch in its upper side and a hole; their segments; cells that each may cover
+    "corner": """
+SELECT s.subarea_id AS poly_id, s.area_id, c.ring, c.seq, s.minx + c.dx AS x, s.miny + c.dy AS y FROM t_subarea s CROSS JOIN (
+ SELECT 0 AS ring, 0 AS seq, 0e0 AS dx, 0e0 AS dy UNION ALL SELECT 0, 1, 0.5e0, 0e0 UNION ALL SELECT 0, 2, 0.5e0, 0.5e0 UNION ALL SELECT 0, 3, 0.3e0, 0.4e0 UNION ALL SELECT 0, 4, 0e0, 0.5e0
+ UNION ALL SELECT 1, 0, 0.1e0, 0.1e0 UNION ALL SELECT 1, 1, 0.2e0, 0.1e0 UNION ALL SELECT 1, 2, 0.15e0, 0.2e0) c""",
+    "segment": """
+SELECT poly_id, area_id, x AS x1, y AS y1, coalesce(lead(x) OVER (PARTITION BY poly_id, ring ORDER BY seq), first_value(x) OVER (PARTITION BY poly_id, ring ORDER BY seq)) AS x2,
+ coalesce(lead(y) OVER (PARTITION BY poly_id, ring ORDER BY seq), first_value(y) OVER (PARTITION BY poly_id, ring ORDER BY seq)) AS y2 FROM t_corner""",
+    "polycell": """
+SELECT b.poly_id, b.cx + i.i AS cx, b.cy + j.j AS cy FROM (SELECT poly_id, CAST(floor(min(x) * 2e0) AS BIGINT) AS cx, CAST(floor(max(x) * 2e0) AS BIGINT) AS cx2, CAST(floor(min(y) * 2e0) AS BIGINT) AS cy, CAST(floor(max(y) * 2e0) AS BIGINT) AS cy2 FROM t_corner GROUP BY poly_id) b
+CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1) i CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1) j WHERE b.cx + i.i <= b.cx2 AND b.cy + j.j <= b.cy2""",
+    # points inside polygons: cells as equi-join key, then the parity of a ray's crossings, so holes and notches count
+    "inside": """
+SELECT p.point_id, s.poly_id FROM t_point p JOIN t_polycell c ON CAST(floor(p.x * 2e0) AS BIGINT) = c.cx AND CAST(floor(p.y * 2e0) AS BIGINT) = c.cy JOIN t_segment s ON c.poly_id = s.poly_id
+GROUP BY p.point_id, s.poly_id HAVING sum(CASE WHEN (s.y1 > p.y) <> (s.y2 > p.y) AND p.x < (s.x2 - s.x1) * (p.y - s.y1) / (s.y2 - s.y1) + s.x1 THEN 1 ELSE 0 END) % 2 = 1""",
+    # numbers of bootstrap draws and of permutations
+    "draw": """
+SELECT explode(sequence(1, $draws)) AS draw""",
+    "shuffle": """
+SELECT explode(sequence(1, $permutations)) AS draw""",
+    # road nodes on a square lattice over the areas, one for each part
     "node": """
-SELECT p_partkey AS node, CAST(p_partkey % 14 AS DOUBLE) * 5e0 / 13e0 AS x, CAST(floor(CAST(p_partkey AS DOUBLE) / 14e0) AS DOUBLE) * 5e0 / 13e0 AS y FROM t_part WHERE p_partkey < 196""",
-    # the nearest road node of each point: cells of the lattice step and their neighbours, then the least distance
+SELECT p.p_partkey AS node, CAST(p.p_partkey % g.w AS DOUBLE) * 5e0 / (g.w - 1e0) AS x, CAST(floor(CAST(p.p_partkey AS DOUBLE) / g.w) AS DOUBLE) * 5e0 / (g.w - 1e0) AS y FROM t_part p CROSS JOIN t_lattice g""",
+    # the nearest road node of each point
     "snap": """
-SELECT point_id, area_id, min_by(node, d) AS node, min(d) AS d FROM (SELECT p.point_id, p.area_id, n.node, sqrt((p.x - n.x) * (p.x - n.x) + (p.y - n.y) * (p.y - n.y)) AS d FROM t_point p JOIN (
- SELECT node, x, y, CAST(floor(x * 13e0 / 5e0 + 0.5e0) AS BIGINT) + i AS cx, CAST(floor(y * 13e0 / 5e0 + 0.5e0) AS BIGINT) + j AS cy FROM t_node CROSS JOIN (SELECT -1 AS i UNION ALL SELECT 0) CROSS JOIN (SELECT -1 AS j UNION ALL SELECT 0)) n
- ON CAST(floor(p.x * 13e0 / 5e0) AS BIGINT) = n.cx AND CAST(floor(p.y * 13e0 / 5e0) AS BIGINT) = n.cy) GROUP BY point_id, area_id""",
+SELECT point_id, area_id, node, d FROM (SELECT p.point_id, p.area_id, n.node, sqrt((p.x - n.x) * (p.x - n.x) + (p.y - n.y) * (p.y - n.y)) AS d,
+ row_number() OVER (PARTITION BY p.point_id ORDER BY (p.x - n.x) * (p.x - n.x) + (p.y - n.y) * (p.y - n.y), n.node) AS nth FROM t_point p CROSS JOIN t_node n) WHERE nth = 1""",
     "dest": """
 SELECT s_suppkey AS dest_id, CASE s_suppkey % 3 WHEN 0 THEN 'employment' WHEN 1 THEN 'healthcare' ELSE 'grocery' END AS dest_type,
  5e0 * CAST((s_suppkey * 6007 + 13) % 997 AS DOUBLE) / 997e0 AS x, 5e0 * CAST((s_suppkey * 7001 + 29) % 991 AS DOUBLE) / 991e0 AS y,
  CAST(50 + s_suppkey * 37 % 6000 AS BIGINT) AS employees FROM t_supplier""",
-    "od": """
+    # bounding boxes of areas, and the 20 destinations of each type nearest to their centres, within three extents across
+    "extent": """
+SELECT area_id, (min(x) + max(x)) / 2e0 AS cx, (min(y) + max(y)) / 2e0 AS cy, greatest(max(x) - min(x), max(y) - min(y)) AS extent, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM t_point GROUP BY area_id""",
+    "local": """
+SELECT area_id, dest_id, dest_type, x, y FROM (SELECT a.area_id, d.dest_id, d.dest_type, d.x, d.y, a.extent, sqrt((a.cx - d.x) * (a.cx - d.x) + (a.cy - d.y) * (a.cy - d.y)) AS d,
+ row_number() OVER (PARTITION BY a.area_id, d.dest_type ORDER BY (a.cx - d.x) * (a.cx - d.x) + (a.cy - d.y) * (a.cy - d.y), d.dest_id) AS nth FROM t_extent a CROSS JOIN t_dest d) WHERE nth <= 20 AND d <= 1.5e0 * extent""",
+    "od_all": """
 SELECT point_id, dest_id, dest_type, dx, dy, km, km / 5e0 * 60e0 AS walk_time, km / 30e0 * 60e0 AS drive_time,
  CASE WHEN km >= 2e0 AND km <= 15e0 THEN km / 15e0 * 60e0 + 10e0 ELSE km / 5e0 * 60e0 * 1.5e0 END AS transit_time
 FROM (SELECT p.point_id, d.dest_id, d.dest_type, d.x - p.x AS dx, d.y - p.y AS dy, sqrt((p.x - d.x) * (p.x - d.x) + (p.y - d.y) * (p.y - d.y)) * 6e0 AS km FROM t_point p CROSS JOIN t_dest d)""",
+    "od": """
+SELECT point_id, dest_id, dest_type, dx, dy, km, km / 5e0 * 60e0 AS walk_time, km / 30e0 * 60e0 AS drive_time,
+ CASE WHEN km >= 2e0 AND km <= 15e0 THEN km / 15e0 * 60e0 + 10e0 ELSE km / 5e0 * 60e0 * 1.5e0 END AS transit_time
+FROM (SELECT p.point_id, d.dest_id, d.dest_type, d.x - p.x AS dx, d.y - p.y AS dy, sqrt((p.x - d.x) * (p.x - d.x) + (p.y - d.y) * (p.y - d.y)) * 6e0 AS km FROM t_point p JOIN t_local d ON p.area_id = d.area_id)""",
     "road": """
-SELECT a.n AS src, b.n AS dst, 300e0 + CAST((least(a.n, b.n) * 37 + greatest(a.n, b.n) * 11) % 401 AS DOUBLE) AS length
-FROM (SELECT p_partkey n, CAST(floor(CAST(p_partkey AS DOUBLE) / 14e0) AS BIGINT) r, p_partkey % 14 c FROM t_part WHERE p_partkey < 196) a
-JOIN (SELECT p_partkey n, CAST(floor(CAST(p_partkey AS DOUBLE) / 14e0) AS BIGINT) r, p_partkey % 14 c FROM t_part WHERE p_partkey < 196) b
-ON abs(a.r - b.r) + abs(a.c - b.c) = 1""",
+SELECT a.node AS src, b.node AS dst, 300e0 + CAST((least(a.node, b.node) * 37 + greatest(a.node, b.node) * 11) % 401 AS DOUBLE) AS length
+FROM (SELECT p.p_partkey AS node, step_ AS step, p.p_partkey % g.w AS c, g.w FROM t_part p CROSS JOIN t_lattice g CROSS JOIN (SELECT 0 AS step_ UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3)) a
+JOIN (SELECT p_partkey AS node FROM t_part) b ON b.node = a.node + CASE a.step WHEN 0 THEN 1 WHEN 1 THEN -1 WHEN 2 THEN a.w ELSE -a.w END AND (a.step > 1 OR a.step = 0 AND a.c < a.w - 1 OR a.step = 1 AND a.c > 0)""",
     "counts": """
 SELECT p.subarea_id, min(p.area_id) AS area_id, count(DISTINCT p.point_id) AS total,
  count(o.o_orderkey) AS orders_n, CAST(sum(CASE WHEN o.o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS n_f,
- CAST(sum(CASE WHEN o.o_orderpriority LIKE '1%' THEN 1 ELSE 0 END) AS BIGINT) AS n_urgent, round(avg(o.o_totalprice), 0) AS income
+ CAST(sum(CASE WHEN o.o_orderpriority LIKE '1%' THEN 1 ELSE 0 END) AS BIGINT) AS n_urgent,
+ CAST(sum(CASE WHEN o.o_orderstatus = 'O' THEN 1 ELSE 0 END) AS BIGINT) AS n_o, CAST(sum(CASE WHEN o.o_orderstatus = 'P' THEN 1 ELSE 0 END) AS BIGINT) AS n_p, CAST(sum(CASE WHEN o.o_orderpriority LIKE '2%' THEN 1 ELSE 0 END) AS BIGINT) AS n_high,
+ CAST(sum(CASE WHEN o.o_orderpriority LIKE '3%' THEN 1 ELSE 0 END) AS BIGINT) AS n_medium, CAST(sum(CASE WHEN o.o_orderpriority LIKE '4%' OR o.o_orderpriority LIKE '5%' THEN 1 ELSE 0 END) AS BIGINT) AS n_low,
+ CAST(sum(CASE WHEN o.o_totalprice < 100000e0 THEN 1 ELSE 0 END) AS BIGINT) AS n_cheap, CAST(sum(CASE WHEN o.o_totalprice >= 200000e0 THEN 1 ELSE 0 END) AS BIGINT) AS n_dear, round(avg(o.o_totalprice), 0) AS income
 FROM t_point p LEFT JOIN t_orders o ON o.o_custkey = p.point_id GROUP BY p.subarea_id""",
     "log": """
 SELECT ts, CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 'get' ELSE 'set' END AS operation,
@@ -75,13 +108,22 @@ UNION ALL SELECT area_id, point_id, 'block_count', CAST(point_id % 7 AS DOUBLE)
 UNION ALL SELECT area_id, point_id, 'flat', 1e0 FROM t_point""",
     # accessibility of each point by destination type
     "access": """
-SELECT point_id, dest_type, min(drive_time) AS min_time, avg(drive_time) AS mean_time, count_if(drive_time <= 5e0) AS count_5, count_if(drive_time <= 10e0) AS count_10, count_if(drive_time <= 15e0) AS count_15,
- percentile_cont(0.9) WITHIN GROUP (ORDER BY drive_time) AS p90 FROM t_od GROUP BY point_id, dest_type""",
-    # the four nearest points of the own area
-    "near": """
-SELECT src, dst, area_id, d FROM (SELECT a.point_id AS src, b.point_id AS dst, a.area_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d,
+SELECT point_id, dest_type, min(drive_time) AS min_time, avg(drive_time) AS mean_time, median(drive_time) AS median_time, count_if(drive_time <= 5e0) AS count_5, count_if(drive_time <= 10e0) AS count_10, count_if(drive_time <= 15e0) AS count_15,
+ percentile_cont(0.9) WITHIN GROUP (ORDER BY drive_time) AS p90, avg(transit_time) AS mean_transit, least(greatest((avg(walk_time) - avg(drive_time)) / avg(walk_time), -0.2e0), 1e0) AS drive_advantage,
+ CASE WHEN count(*) < 2 THEN 0e0 ELSE least(stddev_pop(drive_time) / (avg(drive_time) + 1e-8), 1e0) END AS dispersion, CASE WHEN count(*) < 2 THEN 0e0 ELSE least((max(drive_time) - min(drive_time)) / (avg(drive_time) + 1e-8), 2e0) END AS time_range FROM t_od GROUP BY point_id, dest_type""",
+    # the ten base features, with the strict percentile of the mean time among all points
+    "base": """
+SELECT a.*, CAST(rank() OVER (PARTITION BY dest_type ORDER BY round(mean_time, 6)) - 1 AS DOUBLE) / count(*) OVER (PARTITION BY dest_type) AS percentile FROM t_access a""",
+    "near_dest": """
+SELECT point_id, dest_id, d, nth FROM (SELECT p.point_id, d.dest_id, sqrt((p.x - d.x) * (p.x - d.x) + (p.y - d.y) * (p.y - d.y)) AS d,
+ row_number() OVER (PARTITION BY p.point_id ORDER BY (p.x - d.x) * (p.x - d.x) + (p.y - d.y) * (p.y - d.y), d.dest_id) AS nth FROM t_point p CROSS JOIN t_dest d) WHERE nth <= 20""",
+    "near16": """
+SELECT src, dst, area_id, d, nth FROM (SELECT a.point_id AS src, b.point_id AS dst, a.area_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d,
  row_number() OVER (PARTITION BY a.point_id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.point_id) AS nth
- FROM t_point a JOIN t_point b ON a.area_id = b.area_id AND a.point_id <> b.point_id) WHERE nth <= 4""",
+ FROM t_point a JOIN t_point b ON a.area_id = b.area_id AND a.point_id <> b.point_id) WHERE nth <= 16""",
+    # the sixteen and the eight nearest points of the own area
+    "near": """
+SELECT src, dst, area_id, d, nth FROM t_near16 WHERE nth <= 8""",
     # recovery of the truth by area and method
     "metric": """
 SELECT method, area_id, min(target) AS target, count(*) AS n, CASE WHEN stddev_pop(value) > 1e-9 AND stddev_pop(truth) > 1e-9 THEN (avg(value * truth) - avg(value) * avg(truth)) / (stddev_pop(value) * stddev_pop(truth)) END AS r, sqrt(avg((value - truth) * (value - truth))) AS rmse, avg(abs(value - truth)) AS mae, stddev_pop(value) AS sd,

@@ -26,3 +26,18 @@ def append_new(trials: DataFrame, path: str, keys: list[str]) -> None:
     if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
         trials = trials.join(spark.read.parquet(path).select(*keys).distinct().hint("merge"), keys, "left_anti")
     trials.dropDuplicates(keys).write.mode("append").parquet(path)
+
+
+def results(tables: dict[str, DataFrame], path: str) -> DataFrame:
+    """Write each table as CSV with a header under path, and their row counts and means as one JSON table.
+
+    Returns (name, rows, columns), counted from what was written.
+    """
+    out = None
+    for name, df in tables.items():
+        df.write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+        back = df.sparkSession.read.option("header", True).schema(df.schema).csv(f"{path}/{name}")
+        part = back.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("name"), "rows", F.lit(len(df.columns)).alias("columns"))
+        out = part if out is None else out.unionByName(part)
+    out.write.mode("overwrite").json(f"{path}/summary.json")
+    return out.sparkSession.read.schema(out.schema).json(f"{path}/summary.json")
