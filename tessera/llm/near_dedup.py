@@ -11,10 +11,11 @@ exhaustively. Nodes that no longer shrink hold mostly similar classes and become
 
 Leaves compare tokens and give candidate clusters (spanning links, never all pairs). Within the clusters, links
 are confirmed on the full shingle sets, and the components of the confirmed links are the result. A cluster that
-is too large for one task is cut into blocks that a few of its members all join; every member that is then not in
-the cluster's main component is compared with all its candidates, leaf by leaf. A candidate pair that is not
-compared is already in one component, so no link between components is missed, and a large group of near copies
-costs its members about once. Words are told apart by two polynomials modulo a prime (62 bits), shingles by 64 bits of five words.
+is too large for one task is cut into blocks that a few of its members all join; what is then not in the cluster's
+main component is compared with all members, block by block, or all pairs of blocks are compared if that makes
+fewer rows. A pair that is not compared is already in one component, so no link between components is missed. A
+large group of near copies costs its members about once; a large cluster of many small components costs its
+members once for each block. Words are told apart by two polynomials modulo a prime (62 bits), shingles by 64 bits of five words.
 
 Edge cases: null, empty and blank texts have an empty set and are linked with nothing; texts of fewer than five
 words have one shingle, the whole sequence; repeated rows are one class; equal ids are one document; an empty
@@ -344,7 +345,7 @@ def _candidates(classes: DataFrame) -> DataFrame:
         found = part if found is None else found.unionByName(part)
         more = nodes.filter((F.col("n") > LEAF) & ~dense)
         if depth == LEVELS or more.isEmpty():
-            return materialise(found, "leaves")
+            return found
         first = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(TOKENS))
         second = (first + 1 + F.pmod(F.xxhash64("node", F.lit(2)), F.lit(TOKENS - 1))) % TOKENS
         level = (
@@ -367,24 +368,24 @@ def _upto(n):
     return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
 
 
-def _of_leaves(leaves: DataFrame, rest: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
-    """Tiles (g, tile, id, hubs) in which every row of rest meets all its candidates (node, id, low).
+def _open_tiles(members: DataFrame, rest: DataFrame, kind: str) -> DataFrame:
+    """Tiles (g, tile, id, hubs) in which all pairs of blocks of a cluster meet, or all rows of rest and all members.
 
-    Groups with the same members, which trees that share tokens make, count once. A group beyond one task, from a
-    node that is no leaf, is cut into blocks of its rows of rest and blocks of all its rows.
+    Whichever makes fewer rows for the cluster: each leaves no pair out that could join two components.
     """
-    marked = leaves.join(rest.withColumn("open", F.lit(1)).hint("merge"), "id", "left").join(classes.select("id", "n_shingles").hint("merge"), "id")
-    opened = F.coalesce("open", F.lit(0))
-    sums = (F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"), F.sum(opened).alias("s"), F.sum(opened * F.col("n_shingles")).alias("v"), F.bit_xor(F.xxhash64("id")).alias("x"))
-    groups = marked.groupBy("node", "low").agg(*sums).filter("s > 0")
-    groups = groups.groupBy("n", "w", "x").agg(F.min(F.struct("node", "low", "s", "v")).alias("r")).select("n", "w", "r.*")
-    half, single = CLUSTER / 2, (F.col("n") <= CLUSTER) & (F.col("w") <= SHINGLES)
-    rows = F.when(single, F.lit(1).cast("long")).otherwise(F.greatest(F.ceil(F.col("s") / half), F.ceil(F.col("v") / SHINGLES)).cast("long"))
-    groups = groups.select("node", "low", F.when(single, F.lit(1).cast("long")).otherwise(_blocks(half)).alias("columns"), rows.alias("rows"))
-    whole = marked.join(materialise(groups, "chosen").hint("merge"), ["node", "low"]).withColumn("g", F.xxhash64("node", "low"))
-    left = whole.filter("open = 1").select("g", "id", "columns", _at(F.col("rows"), F.lit(1)).alias("i"), _upto(F.col("columns")).alias("j"))
-    right = whole.select("g", "id", "columns", _at(F.col("columns"), F.lit(2)).alias("j"), _upto(F.col("rows")).alias("i"))
-    return left.unionByName(right).select("g", (F.col("i") * F.col("columns") + F.col("j")).alias("tile"), "id", F.lit(None).cast(f"array<{kind}>").alias("hubs")).distinct()
+    half = CLUSTER / 2
+    few = rest.groupBy("g").agg(F.count(F.lit(1)).alias("s"), F.sum("n_shingles").alias("v"))
+    rows = F.greatest(F.ceil(F.col("s") / half), F.ceil(F.col("v") / SHINGLES)).cast("long")
+    whole = members.filter("blocks > 1").withColumn("columns", _blocks(half)).withColumn("g", F.col("low").cast("long")).join(sized(materialise(few, "few")), "g").withColumn("rows", rows)
+    whole = whole.withColumn("pairs", F.col("n") * (F.col("blocks") - 1) <= F.col("s") * F.col("columns") + F.col("n") * F.col("rows"))
+    own, blocks = F.col("own"), F.col("blocks")
+    others = F.filter(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda x: x != own)
+    two = whole.filter("pairs").withColumn("own", _at(blocks)).select("g", F.explode(F.transform(others, lambda x: F.least(x, own) * blocks + F.greatest(x, own))).alias("tile"), "id")
+    row, column = _at(F.col("rows"), F.lit(1)), _at(F.col("columns"), F.lit(2))
+    left = whole.filter("NOT pairs").join(rest.select("g", "id").hint("merge"), ["g", "id"]).select("g", "id", "columns", row.alias("i"), _upto(F.col("columns")).alias("j"))
+    right = whole.filter("NOT pairs").select("g", "id", "columns", column.alias("j"), _upto(F.col("rows")).alias("i"))
+    open_ = left.unionByName(right).select("g", (F.col("i") * F.col("columns") + F.col("j")).alias("tile"), "id").distinct()
+    return two.unionByName(open_).withColumn("hubs", F.lit(None).cast(f"array<{kind}>"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -392,8 +393,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = docs.schema[id_col].dataType.simpleString()
     signed = materialise(signatures(docs, id_col, text_col), "signed")
     classes = materialise(signed.filter("n_shingles > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n_shingles").agg(F.min_by(F.struct("id", "tokens", "roots"), "id").alias("x")).select("h1", "h2", "n_shingles", "x.*"), "classes")
-    leaves = _candidates(classes)
-    clusters = components(leaves.select("low", "id"))
+    clusters = components(_candidates(classes).select("low", "id"))
     members = clusters.unionByName(clusters.select(F.col("low").alias("id"), "low").distinct()).join(classes.select("id", "n_shingles").hint("merge"), "id")
     # in a cluster of several blocks, a few members stand in every block and hold the blocks together
     hubs = F.array_distinct(F.array(*(F.min(F.struct(F.xxhash64("id", F.lit(j)), "id"))["id"] for j in range(HUBS))))
@@ -413,13 +413,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     extra = sizes.filter("blocks > 1").select(F.col("low").cast("long").alias("g"), "hubs", F.explode("hubs").alias("id"), "blocks").select("g", _upto(F.col("blocks")).alias("tile"), "id", "hubs")
     found = confirmed(own.unionByName(extra).dropDuplicates(["g", "tile", "id"]))
     links = found.filter("low IS NOT NULL").select("low", "id")
-    # members whose component in their block lacks the hub with most members meet all candidates of their leaves
+    # what lacks the hub with most members, in its component in its block, may have links across the blocks
     seen = found.filter("low IS NULL").select("g", "id", "mask")
     held = [F.sum(F.shiftright("mask", k).bitwiseAND(F.lit(1))) for k in range(HUBS)]
     main = seen.groupBy("g").agg(F.array(*held).alias("n")).select("g", (F.array_position("n", F.array_max("n")) - 1).cast("int").alias("k"))
-    rest = materialise(seen.join(main.hint("merge"), "g").filter("shiftright(mask, k) % 2 = 0").select("id").distinct(), "rest")
+    rest = seen.join(main.hint("merge"), "g").filter("shiftright(mask, k) % 2 = 0").select("g", "id").distinct()
+    rest = materialise(rest.join(members.select(F.col("low").cast("long").alias("g"), "id", "n_shingles").hint("merge"), ["g", "id"]), "rest")
     if not rest.isEmpty():
-        links = links.unionByName(confirmed(_of_leaves(leaves, rest, classes, kind)).select("low", "id"))
+        links = links.unionByName(confirmed(_open_tiles(members, rest, kind)).select("low", "id"))
     final = components(links)
     of_class = classes.join(final.hint("merge"), "id", "left").select("h1", "h2", "n_shingles", F.coalesce("low", "id").alias("component_id"))
     out = signed.select("id", "h1", "h2", "n_shingles").join(of_class.hint("merge"), ["h1", "h2", "n_shingles"], "left")
