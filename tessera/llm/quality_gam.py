@@ -160,7 +160,8 @@ def _mapped(docs: DataFrame, keep: list[str], text_col: str, names: list[str], o
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, len(part)) for c in batch.columns[:-1]), *(pa.array(c, pa.float64()) for c in made)], [*keep, *names])
                 at += len(part)
 
-    return docs.select(*keep, with_text(docs, text_col).alias("_text")).mapInArrow(run, schema)
+    (text,) = fresh(docs, "text")
+    return docs.select(*keep, with_text(docs, text_col).alias(text)).mapInArrow(run, schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", most_rows: int = LABELLED_ROWS) -> Gam:

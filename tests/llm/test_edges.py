@@ -1,5 +1,8 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
+import re
+from collections import defaultdict
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +106,79 @@ def test_pipeline_near_duplicates_with_null_and_repeated_ids(spark, sf):
     assert len(near) == 1 and near[0] in rows
     want = [(1, text(1)), (None, text(2)), (7, text(4)), (7, text(5)), (3, text(6)), (9, text(7)), (4, None), (None, "")]
     assert sorted((x for x in got if x not in near), key=str) == sorted(want, key=str)
+
+
+@pytest.fixture(scope="module")
+def labelled(spark, tmp_path_factory):
+    """A folder with labels for the odd rows, and with none."""
+    folder = tmp_path_factory.mktemp("labels")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_stages_on_odd_rows(spark, docs, labelled, stage, empty):
+    of = dict(corpus_pipeline.STAGES)[stage]
+    table = docs.filter("doc_id < -5") if empty else docs
+    out = of(spark, table, labelled)
+    rows = out.collect()
+    if stage != "packed":
+        assert out.columns == docs.columns
+    if empty:
+        assert rows == []
+    elif stage in ("lines", "personal_data"):
+        assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r["doc_id"]) for r in docs.collect())
+    else:
+        assert rows
+
+
+def test_pipeline_against_brute_force(spark, sf):
+    """Every stage's decisions on its own input, by plain Python."""
+    from tokenizers import Tokenizer
+
+    from tessera.llm.common import tokenizer_path
+
+    from test_exact import base_spans, exact_components
+
+    given = spark.read.parquet(f"{sf}/documents.parquet")
+    after = {}
+    docs = given
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+        after[name] = docs.collect()
+    rows = lambda name: {r["doc_id"]: r for r in after[name]}
+    before = {r["doc_id"]: r for r in given.collect()}
+    model = quality_gam.fit(given, spark.read.parquet(f"{sf}/labels.parquet"))
+    import numpy as np
+
+    scores = model.scores(np.array([quality_gam.features(r["text"] or "") for r in before.values()]))
+    assert set(rows("quality")) == {i for i, s in zip(before, scores, strict=True) if s >= 0.5}
+    votes = defaultdict(set)
+    site = {}
+    for r in rows("quality").values():
+        t = r["text"] or ""
+        site[t] = min(site.get(t, r["source"] or ""), r["source"] or "")
+    for t, s in site.items():
+        for line in t.split("\n"):
+            if line.strip(" "):
+                votes[line].add(s)
+    for i, r in rows("quality").items():
+        assert rows("lines")[i]["text"] == "\n".join(x for x in (r["text"] or "").split("\n") if len(votes.get(x, ())) < 10)
+    sets, component = exact_components({i: r["text"] or "" for i, r in rows("lines").items()})
+    assert set(rows("near_duplicates")) == {i for i, c in component.items() if i == c}
+    for i, r in rows("near_duplicates").items():
+        got = rows("personal_data")[i]["text"]
+        assert base_spans(got) == "" and r["n_chars"] == len(r["text"] or "")
+        kept = re.split("<(?:email|ip|card|phone)>", got)
+        at = 0
+        for piece in kept:  # what is left stands in the text, in order
+            at = r["text"].index(piece, at) + len(piece)
+    library = Tokenizer.from_file(tokenizer_path())
+    library.no_truncation()
+    library.no_padding()
+    sizes, bins = defaultdict(int), defaultdict(int)
+    for r in after["packed"]:
+        sizes[r["doc_id"]] += r["length"]
+        bins[r["sequence_id"]] += r["length"]
+    assert sizes == {i: len(library.encode(r["text"], add_special_tokens=False).ids) + 1 for i, r in rows("personal_data").items()} and max(bins.values()) <= 2048
