@@ -1,5 +1,7 @@
 """Accessibility features: grouped aggregations over origin-destination pairs."""
 
+from ..sources.ranks import placed
+
 _TIMES = "(SELECT point_id, dest_type, least(walk_time, drive_time, transit_time) AS t, walk_time AS w, drive_time AS d, transit_time AS tr, dx, dy, km FROM t_od)"
 _TYPES = ("employment", "healthcare", "grocery")
 _BASE = ("min_time", "mean_time", "median_time", "count_5", "count_10", "count_15", "drive_advantage", "dispersion", "time_range", "percentile")
@@ -24,8 +26,7 @@ SELECT point_id, dest_type, round(min(drive_time), 6) AS min_time, round(avg(dri
 SELECT point_id, dest_type, round(least(greatest((aw - ad) / aw, -0.2e0), 1e0), 6) AS drive_advantage FROM (SELECT point_id, dest_type, avg(CASE WHEN walk_time > 0e0 AND drive_time > 0e0 THEN walk_time END) AS aw, avg(CASE WHEN walk_time > 0e0 AND drive_time > 0e0 THEN drive_time END) AS ad FROM t_od GROUP BY point_id, dest_type)""",
     "acc_04_dispersion": """
 SELECT point_id, dest_type, round(CASE WHEN count(*) < 2 THEN 0e0 ELSE least(stddev_pop(drive_time) / (avg(drive_time) + 1e-8), 1e0) END, 6) AS dispersion, round(CASE WHEN count(*) < 2 THEN 0e0 ELSE least((max(drive_time) - min(drive_time)) / (avg(drive_time) + 1e-8), 2e0) END, 6) AS time_range FROM t_od GROUP BY point_id, dest_type""",
-    "acc_05_strict_percentile": """
-SELECT point_id, dest_type, round(CAST(rank() OVER (PARTITION BY dest_type ORDER BY m) - 1 AS DOUBLE) / count(*) OVER (PARTITION BY dest_type), 6) AS percentile FROM (SELECT point_id, dest_type, round(avg(drive_time), 6) AS m FROM t_od GROUP BY point_id, dest_type)""",
+    "acc_05_strict_percentile": f"SELECT point_id, dest_type, round(CAST(below AS DOUBLE) / n, 6) AS percentile FROM ({placed('(SELECT point_id, dest_type, round(avg(drive_time), 6) AS m FROM t_od GROUP BY point_id, dest_type)', 'm', 'dest_type')})",
     "acc_06_fallback_row": """
 SELECT p.point_id, round(coalesce(a.min_time, 120e0), 6) AS min_time, round(coalesce(a.mean_time, 120e0), 6) AS mean_time, round(coalesce(a.median_time, 120e0), 6) AS median_time, coalesce(a.count_5, 0) AS count_5, coalesce(a.count_10, 0) AS count_10, coalesce(a.count_15, 0) AS count_15,
  round(coalesce(a.drive_advantage, 0.5e0), 6) AS drive_advantage, round(coalesce(a.dispersion, 0.5e0), 6) AS dispersion, round(coalesce(a.time_range, 0e0), 6) AS time_range, round(coalesce(a.percentile, 0.5e0), 6) AS percentile FROM t_point p LEFT JOIN (SELECT * FROM t_base WHERE dest_type = 'grocery') a ON p.point_id = a.point_id""",

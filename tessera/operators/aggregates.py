@@ -44,7 +44,7 @@ SELECT feature, round(m, 6) AS mean_drop, round(s, 6) AS sd_drop, areas, row_num
     "agg_22_metric_summary": "SELECT method, round(median(r), 6) AS middle, round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS sd, count_if(r > 0.3e0) AS over_30, count_if(r > 0.5e0) AS over_50, round(median(rmse), 6) AS err FROM t_metric WHERE sd > 1e-9 GROUP BY method",
     "agg_23_lift_summary": "SELECT m.method, round(median(m.rmse - b.rmse), 6) AS lift, count_if(m.rmse < b.rmse) AS beats FROM t_metric m JOIN t_metric b ON m.area_id = b.area_id AND b.method = 'naive' WHERE m.method <> 'naive' GROUP BY m.method",
     "agg_24_log_hit_rate": "SELECT cache_type, count(*) AS n, round(avg(CASE WHEN hit THEN 1e0 ELSE 0e0 END), 6) AS hit_rate FROM t_log WHERE operation = 'get' GROUP BY cache_type",
-    "agg_24_log_top_keys": "SELECT cache_key, n FROM (SELECT cache_key, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, cache_key) AS nth FROM t_log GROUP BY cache_key) WHERE nth <= 10",
+    "agg_24_log_top_keys": "SELECT cache_key, count(*) AS n FROM t_log GROUP BY cache_key ORDER BY n DESC, cache_key LIMIT 10",
     "agg_24_log_hourly": "SELECT date_trunc('hour', ts) AS hour, operation, count(*) AS n FROM t_log GROUP BY 1, 2",
     "agg_25_pair_preflight": """
 SELECT subarea_id, count_if(step = 0) AS n, round(min(lo), 6) AS lo, round(max(lo), 6) AS hi, CAST(sum(CASE WHEN step = 0 AND lo IS NOT NULL THEN n ELSE 0 END) AS BIGINT) AS pairs FROM (SELECT subarea_id, step, lo, sum(step) OVER (PARTITION BY subarea_id ORDER BY place, step DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM (

@@ -15,8 +15,8 @@ SELECT area_id, county, CASE WHEN raw = -999e0 THEN NULL ELSE raw END AS value F
     "src_03_county_lookup": """
 SELECT r.r_name AS county, count(DISTINCT n.n_regionkey) AS codes, count(DISTINCT n.n_regionkey) = 1 AS is_unique FROM t_nation n JOIN t_region r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name""",
     "src_04_property_values": """
-SELECT hash, round((v - min(v) OVER ()) / (CASE WHEN max(v) OVER () = min(v) OVER () THEN 1e0 ELSE max(v) OVER () - min(v) OVER () END), 6) AS norm FROM (
- SELECT o_custkey AS hash, min_by(o_totalprice, o_orderkey) AS v FROM t_orders WHERE o_totalprice IS NOT NULL GROUP BY o_custkey)""",
+WITH p AS (SELECT o_custkey AS hash, min_by(o_totalprice, o_orderkey) AS v FROM t_orders WHERE o_totalprice IS NOT NULL GROUP BY o_custkey)
+SELECT p.hash, round((p.v - r.lo) / (CASE WHEN r.hi = r.lo THEN 1e0 ELSE r.hi - r.lo END), 6) AS norm FROM p CROSS JOIN (SELECT min(v) AS lo, max(v) AS hi FROM p) r""",
     "src_05_job_blocks": """
 SELECT b.block, substring(b.block, length(b.block) - 3, 4) AS label, b.jobs, round(b.pay, 2) AS pay, round(b.taxes, 4) AS taxes, round(b.discounts, 4) AS discounts, round(d.x, 6) AS x, round(d.y, 6) AS y FROM (
  SELECT '37' || substring(CAST(1000000 + l_suppkey AS STRING), 2, 6) AS block, min(l_suppkey) AS k, CAST(sum(l_quantity) AS BIGINT) AS jobs, sum(l_extendedprice) AS pay, sum(l_tax) AS taxes, sum(l_discount) AS discounts FROM t_lineitem WHERE l_returnflag LIKE 'A%' GROUP BY 1) b
@@ -48,5 +48,5 @@ SELECT point_id, max(CASE WHEN feature = 'ancillary' THEN round(value, 6) END) A
     "snk_04_trial_ledger": """
 SELECT m.method, m.area_id, round(m.rmse, 6) AS rmse FROM t_metric m LEFT ANTI JOIN (SELECT 'naive' AS method, n_nationkey AS area_id FROM t_nation WHERE n_nationkey % 2 = 0) done ON m.method = done.method AND m.area_id = done.area_id""",
     "snk_05_content_key": """
-SELECT area_id, md5(string_agg(k, ',') WITHIN GROUP (ORDER BY k)) AS content_key FROM (SELECT area_id, CAST(CAST(round(x * 1e6, 0) AS BIGINT) AS STRING) || ':' || CAST(CAST(round(y * 1e6, 0) AS BIGINT) AS STRING) AS k FROM t_point) GROUP BY area_id""",
+SELECT area_id, md5(string_agg(h, ',') WITHIN GROUP (ORDER BY cell, h)) AS content_key FROM (SELECT area_id, cell, md5(string_agg(k, ',') WITHIN GROUP (ORDER BY k)) AS h FROM (SELECT area_id, CAST(floor(x * 64e0) AS BIGINT) * 100000 + CAST(floor(y * 64e0) AS BIGINT) AS cell, CAST(CAST(round(x * 1e6, 0) AS BIGINT) AS STRING) || ':' || CAST(CAST(round(y * 1e6, 0) AS BIGINT) AS STRING) AS k FROM t_point) GROUP BY area_id, cell) GROUP BY area_id""",
 }

@@ -59,7 +59,8 @@ SELECT k.feature, max(k.pos) AS pos, round(least(1e0, 2e0 * sum(exp(a.f - b.f -
     "sta_25_quadratic_fit": """
 SELECT round(r, 6) AS r, round((rxy * rxy + rqy * rqy - 2e0 * rxy * rqy * rxq) / (1e0 - rxq * rxq), 5) AS r2_quadratic FROM (SELECT corr(x, truth) AS r, corr(x, truth) AS rxy, corr(x * x, truth) AS rqy, corr(x, x * x) AS rxq FROM (SELECT x - floor(x) AS x, truth FROM t_point WHERE truth IS NOT NULL))""",
     "sta_26_stability": "SELECT 'rmse' AS metric, round(avg(rmse), 6) AS mean, round(stddev_samp(rmse), 6) AS sd, round(max(rmse) - min(rmse), 6) AS spread, max(rmse) - min(rmse) < 0.02e0 AS stable FROM t_metric WHERE method = 'gradient' UNION ALL SELECT 'gap', round(avg(gap), 6), round(stddev_samp(gap), 6), round(max(gap) - min(gap), 6), max(gap) - min(gap) < 0.01e0 FROM t_metric WHERE method = 'gradient'",
-    "mlr_05_heldout_feature_target": "SELECT area_id, round(avg(z), 6) AS target_z, round(avg(z) * max(s) + max(m), 6) AS target FROM (SELECT area_id, (value - avg(value) OVER ()) / stddev_pop(value) OVER () AS z, avg(value) OVER () AS m, stddev_pop(value) OVER () AS s FROM t_feature WHERE feature = 'ancillary') GROUP BY area_id",
+    "mlr_05_heldout_feature_target": """
+SELECT f.area_id, round(avg((f.value - g.m) / g.s), 6) AS target_z, round(avg((f.value - g.m) / g.s) * max(g.s) + max(g.m), 6) AS target FROM t_feature f CROSS JOIN (SELECT avg(value) AS m, stddev_pop(value) AS s FROM t_feature WHERE feature = 'ancillary') g WHERE f.feature = 'ancillary' GROUP BY f.area_id""",
     "mlr_10_inductive_evaluation": """
 SELECT method, part, count(*) AS areas, round(corr(m, t), 6) AS r, round(avg(abs(m - t)), 6) AS mae, round(sqrt(avg((m - t) * (m - t))), 6) AS rmse FROM (
  SELECT method, area_id, avg(value * (0.5e0 + truth)) AS m, min(target) AS t, CASE WHEN CAST(conv(substring(md5('split-' || CAST(area_id AS STRING)), 1, 8), 16, 10) AS BIGINT) % 5 = 0 THEN 'test' ELSE 'train' END AS part FROM t_pred WHERE truth IS NOT NULL GROUP BY method, area_id)

@@ -1,5 +1,7 @@
 """Ranks, scaling, quantile bins and top-k by window functions."""
 
+from ..sources.ranks import placed
+
 
 def average_rank(value: str, scope: str = "") -> str:
     """SQL for the percentile rank with ties averaged and nulls left out."""
@@ -25,7 +27,7 @@ def composite(themes: tuple[tuple[str, ...], ...], core: tuple[str, ...], key: s
 
 
 PLANS = {
-    "win_01_percentile_rank": f"SELECT point_id, round({average_rank('truth')}, 9) AS pctl FROM t_point",
+    "win_01_percentile_rank": f"SELECT p.point_id, round((r.below + 1 + (r.ties - 1) / 2e0) / r.n, 9) AS pctl FROM t_point p LEFT JOIN ({placed('t_point', 'truth')}) r ON p.point_id = r.point_id",
     "win_02_composite_index": composite(_THEMES, _CORE, "subarea_id", "t_counts"),
     "win_03_county_scope": f"SELECT c.subarea_id, round({average_rank('c.income', 'a.county_id')}, 6) AS in_county, round({average_rank('c.income')}, 6) AS national FROM t_counts c JOIN t_area a ON c.area_id = a.area_id",
     "win_04_cume_dist": "SELECT subarea_id, round(cume_dist() OVER (ORDER BY income), 9) AS share FROM t_counts",
@@ -36,7 +38,7 @@ r AS (SELECT area_id, bin, row_number() OVER (PARTITION BY bin ORDER BY md5('7-'
 SELECT area_id, bin, place <= 10 AND nth <= 2 AS from_bin FROM (SELECT area_id, bin, nth, row_number() OVER (ORDER BY CASE WHEN nth <= 2 THEN 0 ELSE 1 END, md5('top-' || CAST(area_id AS STRING)), area_id) AS place FROM r) WHERE place <= 12""",
     "win_06_percentile_positions": "SELECT DISTINCT p.p, t.area_id FROM (SELECT 5 + 10 * i AS p FROM (SELECT DISTINCT n_nationkey % 10 AS i FROM t_nation)) p JOIN (SELECT area_id, row_number() OVER (ORDER BY target, area_id) - 1 AS pos, count(*) OVER () AS n FROM t_area) t ON t.pos = CAST(floor(p.p / 100e0 * (t.n - 1) + 0.5e0) AS BIGINT)",
     "win_07_fixed_quintile": "SELECT point_id, CASE WHEN truth <= 0.2e0 THEN 'q1' WHEN truth <= 0.4e0 THEN 'q2' WHEN truth <= 0.6e0 THEN 'q3' WHEN truth <= 0.8e0 THEN 'q4' WHEN truth <= 1e0 THEN 'q5' END AS quintile FROM t_point",
-    "win_08_access_quintile": "SELECT point_id, CAST(least(floor((row_number() OVER (ORDER BY ancillary, point_id) - 1) / floor(count(*) OVER () / 5e0)), 4e0) AS INT) AS quintile FROM t_point WHERE ancillary IS NOT NULL",
+    "win_08_access_quintile": f"SELECT point_id, CAST(least(floor((below + row_number() OVER (PARTITION BY g_, cell_, v_ ORDER BY point_id) - 1) / floor(n / 5e0)), 4e0) AS INT) AS quintile FROM ({placed('t_point', 'ancillary')})",
     "win_09_tercile": "SELECT point_id, CASE WHEN ancillary >= hi THEN 2 WHEN ancillary >= lo THEN 1 ELSE 0 END AS tercile FROM t_point CROSS JOIN (SELECT percentile_cont(0.33) WITHIN GROUP (ORDER BY ancillary) AS lo, percentile_cont(0.67) WITHIN GROUP (ORDER BY ancillary) AS hi FROM t_point) WHERE ancillary IS NOT NULL",
     "win_10_min_spread": "SELECT method, area_id, round(CASE WHEN count(*) < 4 THEN 0e0 ELSE greatest(0e0, 0.001e0 - avg(gap)) END, 9) AS hinge FROM (SELECT method, area_id, value - lag(value) OVER (PARTITION BY method, area_id ORDER BY value) AS gap FROM t_pred) GROUP BY method, area_id",
     "win_11_robust_scale": """

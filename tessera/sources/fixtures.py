@@ -6,6 +6,8 @@ with an exponent so that they are doubles in every SQL dialect.
 
 from __future__ import annotations
 
+from .ranks import placed
+
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "labels", "documents", "embeddings", "pages", "benchmark", "conversations")
 
 VIEWS = {
@@ -112,8 +114,8 @@ SELECT point_id, dest_type, min(drive_time) AS min_time, avg(drive_time) AS mean
  percentile_cont(0.9) WITHIN GROUP (ORDER BY drive_time) AS p90, avg(transit_time) AS mean_transit, least(greatest((avg(walk_time) - avg(drive_time)) / avg(walk_time), -0.2e0), 1e0) AS drive_advantage,
  CASE WHEN count(*) < 2 THEN 0e0 ELSE least(stddev_pop(drive_time) / (avg(drive_time) + 1e-8), 1e0) END AS dispersion, CASE WHEN count(*) < 2 THEN 0e0 ELSE least((max(drive_time) - min(drive_time)) / (avg(drive_time) + 1e-8), 2e0) END AS time_range FROM t_od GROUP BY point_id, dest_type""",
     # the ten base features, with the strict percentile of the mean time among all points
-    "base": """
-SELECT a.*, CAST(rank() OVER (PARTITION BY dest_type ORDER BY round(mean_time, 6)) - 1 AS DOUBLE) / count(*) OVER (PARTITION BY dest_type) AS percentile FROM t_access a""",
+    "base": f"""
+SELECT point_id, dest_type, min_time, mean_time, median_time, count_5, count_10, count_15, p90, mean_transit, drive_advantage, dispersion, time_range, CAST(below AS DOUBLE) / n AS percentile FROM ({placed("t_access", "round(mean_time, 6)", "dest_type")})""",
     "near_dest": """
 SELECT point_id, dest_id, d, nth FROM (SELECT p.point_id, d.dest_id, sqrt((p.x - d.x) * (p.x - d.x) + (p.y - d.y) * (p.y - d.y)) AS d,
  row_number() OVER (PARTITION BY p.point_id ORDER BY (p.x - d.x) * (p.x - d.x) + (p.y - d.y) * (p.y - d.y), d.dest_id) AS nth FROM t_point p CROSS JOIN t_dest d) WHERE nth <= 20""",
