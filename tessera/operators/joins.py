@@ -8,7 +8,8 @@ PLANS = {
     # t_inside: cells as equi-join key, then a ray's crossings of the rings
     "join_04_point_in_polygon_left": "SELECT p.point_id, i.poly_id AS subarea_id, i.poly_id IS NULL AS unmatched FROM t_point p LEFT JOIN t_inside i ON p.point_id = i.point_id",
     "join_05_one_polygon_per_point": "SELECT point_id, subarea_id FROM (SELECT point_id, poly_id AS subarea_id, row_number() OVER (PARTITION BY point_id ORDER BY poly_id) AS nth FROM t_inside) WHERE nth = 1",
-    "join_06_first_match": "SELECT p.point_id, min_by('zone' || CAST(i.poly_id % 4 AS STRING), i.poly_id) AS zone FROM t_point p LEFT JOIN t_inside i ON p.point_id = i.point_id GROUP BY p.point_id",
+    "join_06_first_match": """
+SELECT p.point_id, min_by(z.flood_zone, i.poly_id) AS zone, coalesce(min_by(z.in_sfha, i.poly_id), false) AS in_sfha FROM t_point p LEFT JOIN t_inside i ON p.point_id = i.point_id LEFT JOIN t_zone z ON i.poly_id = z.zone_id GROUP BY p.point_id""",
     # cells of the search radius: each destination is copied to its 3 x 3 neighbours, then it is an equi join
     "join_07_nearest_within": f"""
 SELECT point_id, min_by(dest_id, dist) AS dest_id, round(min(dist), 6) AS dist FROM (

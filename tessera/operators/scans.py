@@ -7,7 +7,7 @@ PLANS = {
     "src_12_footprints": """
 SELECT area_id, round(0.5e0 * abs(sum(x * y2 - x2 * y)), 6) AS area, round(sum((x + x2) * (x * y2 - x2 * y)) / (3e0 * sum(x * y2 - x2 * y)), 6) AS cx, round(sum((y + y2) * (x * y2 - x2 * y)) / (3e0 * sum(x * y2 - x2 * y)), 6) AS cy, count(*) AS vertices FROM (
  SELECT a.area_id, a.x, a.y, b.x AS x2, b.y AS y2 FROM t_ring a JOIN t_ring b ON a.area_id = b.area_id AND b.seq = (a.seq + 1) % 4) GROUP BY area_id""",
-    "src_13_flood_zones": "SELECT area_id, CASE WHEN county_id % 2 = 0 THEN 'AE' ELSE 'X' END AS flood_zone, CAST(NULL AS DOUBLE) AS depth FROM t_area",
+    "src_13_flood_zones": "SELECT zone_id, flood_zone, in_sfha, CAST(NULL AS DOUBLE) AS depth FROM t_zone",
     "src_02_area_attributes": """
 SELECT area_id, county, CASE WHEN raw = -999e0 THEN NULL ELSE raw END AS value FROM (
  SELECT n.n_nationkey AS area_id, lower(trim(r.r_name)) AS county, CASE WHEN n.n_nationkey % 6 = 0 THEN -999e0 ELSE CAST(n.n_nationkey AS DOUBLE) / 25e0 END AS raw

@@ -88,6 +88,9 @@ SELECT p.subarea_id, min(p.area_id) AS area_id, count(DISTINCT p.point_id) AS to
  CAST(sum(CASE WHEN o.o_orderpriority LIKE '3%' THEN 1 ELSE 0 END) AS BIGINT) AS n_medium, CAST(sum(CASE WHEN o.o_orderpriority LIKE '4%' OR o.o_orderpriority LIKE '5%' THEN 1 ELSE 0 END) AS BIGINT) AS n_low,
  CAST(sum(CASE WHEN o.o_totalprice < 100000e0 THEN 1 ELSE 0 END) AS BIGINT) AS n_cheap, CAST(sum(CASE WHEN o.o_totalprice >= 200000e0 THEN 1 ELSE 0 END) AS BIGINT) AS n_dear, round(avg(o.o_totalprice), 0) AS income
 FROM t_point p LEFT JOIN t_orders o ON o.o_custkey = p.point_id GROUP BY p.subarea_id""",
+    # flood zones are the subareas' polygons
+    "zone": """
+SELECT subarea_id AS zone_id, area_id, CASE WHEN n_f * 2 > orders_n THEN 'AE' WHEN n_urgent * 5 > orders_n THEN 'A' ELSE 'X' END AS flood_zone, n_f * 2 > orders_n AS in_sfha FROM t_counts""",
     "log": """
 SELECT ts, CASE WHEN event_type IN ('view', 'click', 'purchase') THEN 'get' ELSE 'set' END AS operation,
  CASE WHEN user_id % 2 = 0 THEN 'absolute' ELSE 'differential' END AS cache_type, user_id AS cache_key, value > 10e0 AS hit, value, props FROM t_events""",
