@@ -83,7 +83,7 @@ SELECT g.method, round(max(g.r), 6) AS pooled_r, round(max(g.rmse), 6) AS pooled
 WITH c AS (SELECT p.method, p.area_id, p.point_id, round(p.value, 9) AS v, CAST(coalesce(o.n, 0) AS DOUBLE) AS n, p.x FROM t_pred p LEFT JOIN (SELECT o_custkey, count(*) AS n FROM t_orders GROUP BY o_custkey) o ON p.point_id = o.o_custkey WHERE p.method <> 'naive'),
 k AS (SELECT method, area_id, n, {average_rank("v", "method, area_id")} AS rv, {average_rank("n", "method, area_id")} AS rn, {average_rank("x", "method, area_id")} AS rx, CASE WHEN n > 0e0 THEN 1e0 ELSE 0e0 END AS any_ FROM c),
 r AS (SELECT method, area_id, {_corr('rv', 'rn')} AS xy, {_corr('rv', 'rx')} AS xz, {_corr('rn', 'rx')} AS yz, {_corr('rv', 'any_')} AS flag FROM k GROUP BY method, area_id HAVING count(*) >= 20),
-p AS (SELECT method, area_id, (xy - xz * yz) / nullif(sqrt(greatest((1e0 - xz * xz) * (1e0 - yz * yz), 0e0)), 0e0) AS rho, flag FROM r)
+p AS (SELECT method, area_id, CASE WHEN (1e0 - xz * xz) * (1e0 - yz * yz) > 1e-9 THEN (xy - xz * yz) / sqrt((1e0 - xz * xz) * (1e0 - yz * yz)) END AS rho, flag FROM r)
 SELECT method, count(rho) AS areas, round(median(rho), 6) AS middle, round(percentile_cont(0.75) WITHIN GROUP (ORDER BY rho) - percentile_cont(0.25) WITHIN GROUP (ORDER BY rho), 6) AS iqr, count_if(rho > 0e0) AS positive, round(median(flag), 6) AS flag_middle FROM p WHERE rho IS NOT NULL GROUP BY method""",
     "val_22_suite_checklist": f"""
 WITH a AS (SELECT corr(p.truth, i.idx) AS r FROM t_point p JOIN ({_INDEX}) i ON p.point_id = i.point_id WHERE p.truth IS NOT NULL), b AS (SELECT avg(CASE WHEN m.rmse < n.rmse THEN 1e0 ELSE 0e0 END) AS share FROM t_metric m JOIN t_metric n ON m.area_id = n.area_id AND m.method = 'dasymetric' AND n.method = 'naive'),
