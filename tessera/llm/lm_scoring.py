@@ -35,18 +35,21 @@ from .spotsigs import WORDS
 #: Weight of the word's own probability beside the pair's counts.
 PRIOR = 4.0
 PART_BYTES, BUCKET_BYTES = 3 << 20, 3 << 20
+#: Text of the parts (or of a share of all grams as large) that one task of a shuffle gets.
+TASK_BYTES = 64 << 20
 _U = np.uint64
 
 
 @dataclass(frozen=True)
 class Counted:
     """The parts of a corpus (part, size, rows), the totals of their grams (part, bucket, target, background), the
-    number of distinct words, and the tokens of both models."""
+    number of distinct words, the tokens of both models, and the tasks that a shuffle of the parts should have."""
 
     parts: DataFrame
     totals: DataFrame
     words: int
     tokens: tuple[int, int]
+    tasks: int
 
 
 @dataclass(frozen=True)
@@ -161,18 +164,25 @@ def _totals(table: pa.Table) -> pa.Table:
     return pa.table(columns, ["part", "bucket", "target", "background", "words", "target_tokens", "background_tokens"])
 
 
-def _sent(parts: DataFrame) -> DataFrame:
+def _tasks(parts: DataFrame) -> tuple[int, int]:
+    """The buckets and the tasks of a shuffle: both grow with the texts."""
     size = parts.agg(F.sum("size")).first()[0] or 0
-    buckets = max(partitions(parts.sparkSession), -(-size // BUCKET_BYTES))
-    return parts.select("part", "rows").mapInArrow(_sends(buckets), "part long, bucket long, grams binary, target binary, background binary")
+    least = partitions(parts.sparkSession)
+    return max(least, -(-size // BUCKET_BYTES)), max(least, -(-size // TASK_BYTES))
+
+
+def _sent(parts: DataFrame, buckets: int, tasks: int) -> DataFrame:
+    rows = parts.select("part", "rows").mapInArrow(_sends(buckets), "part long, bucket long, grams binary, target binary, background binary")
+    return rows.repartition(tasks, "bucket")
 
 
 def count(docs: DataFrame, target: Column, id_col: str = "doc_id", text_col: str = "text") -> Counted:
     """Counts of both models over all documents; target is true for the documents of the target model."""
     parts = _parts(docs, target, id_col, text_col)
-    totals = materialise(_sent(parts).groupBy("bucket").applyInArrow(_totals, "part long, bucket long, target binary, background binary, words long, target_tokens long, background_tokens long"), "totals")
+    buckets, tasks = _tasks(parts)
+    totals = materialise(_sent(parts, buckets, tasks).groupBy("bucket").applyInArrow(_totals, "part long, bucket long, target binary, background binary, words long, target_tokens long, background_tokens long"), "totals")
     sums = totals.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "target_tokens", "background_tokens"))).first()
-    return Counted(parts, totals.select("part", "bucket", "target", "background"), int(sums[0]), (int(sums[1]), int(sums[2])))
+    return Counted(parts, totals.select("part", "bucket", "target", "background"), int(sums[0]), (int(sums[1]), int(sums[2])), tasks)
 
 
 def gram_counts(docs: DataFrame, target: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -182,7 +192,8 @@ def gram_counts(docs: DataFrame, target: Column, id_col: str = "doc_id", text_co
         grams, one, two, _, _ = _added(table)
         return pa.table([grams.view(np.int64), one, two], ["gram", "target", "background"])
 
-    return _sent(_parts(docs, target, id_col, text_col)).groupBy("bucket").applyInArrow(rows, "gram long, target long, background long")
+    parts = _parts(docs, target, id_col, text_col)
+    return _sent(parts, *_tasks(parts)).groupBy("bucket").applyInArrow(rows, "gram long, target long, background long")
 
 
 def _own(of: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -229,5 +240,6 @@ def score(docs: DataFrame, target: Column, id_col: str = "doc_id", text_col: str
         columns = [pa.array(x, pa.float64(), mask=n == 0) for x in (*mean, mean[0] - mean[1])]
         return pa.table([ids, pa.array(n, pa.int64()), *columns], names)
 
-    both = counted.parts.select("part", "rows").groupBy("part").cogroup(counted.totals.groupBy("part"))
+    texts, answers = counted.parts.select("part", "rows").repartition(counted.tasks, "part"), counted.totals.repartition(counted.tasks, "part")
+    both = texts.groupBy("part").cogroup(answers.groupBy("part"))
     return both.applyInArrow(run, f"id {kind}, n_tokens long, target_loss double, background_loss double, difference double").withColumnRenamed("id", id_col)
