@@ -76,3 +76,22 @@ def fresh(docs: DataFrame, *names: str) -> list[str]:
         have.add(n.lower())
         out.append(n)
     return out
+
+
+def integer_vectors(table: DataFrame, scale: int, vector_col: str, *keys: str, dims: int | None = None) -> DataFrame:
+    """(keys, v): the vectors whose components are all finite, each component x as the integer floor(scale * x).
+
+    Null vectors, vectors of other than `dims` components and those with a null, infinite or NaN component are left
+    out; so are those with an integer beyond +-2^26, whose squared distances need not fit a long.
+    """
+    v = F.col(vector_col)
+    whole = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 2.0**26 / scale))
+    found = table.filter(v.isNotNull() & whole & (F.size(v) == dims if dims is not None else F.lit(True)))
+    return found.select(*keys, F.transform(v, lambda x: F.floor(F.lit(float(scale)) * x).cast("int")).alias("v"))
+
+
+def rows_of(column, width: int):
+    """An Arrow column of lists of `width` integers as an (n, width) array of int64."""
+    import numpy as np
+
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, width)

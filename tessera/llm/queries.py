@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, lm_scoring, near_dedup, packing, pii, quality_gam, quality_rules, spotsigs, suffix_dedup
+from . import bpe, centroids, line_dedup, lm_scoring, near_dedup, packing, pii, quality_gam, quality_rules, spotsigs, suffix_dedup, vector_codes, warc
 from .common import materialise, sized
 
 
@@ -68,6 +68,19 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_docs(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))[0]
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,8 +94,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_lm_scoring,
         op10_near_dedup,
+        op11_vector_codes,
+        op12_warc,
+        op13_centroids,
         spotsigs_near_classes,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE, "op11_vector_codes": vector_codes.oracle(), "op12_warc": warc.ORACLE, "op13_centroids": centroids.oracle()}
