@@ -1,11 +1,11 @@
-"""Nearest neighbours by grid cells: exact, without all pairs of a group."""
+"""Nearest neighbours and neighbours within a distance by grid cells: exact, without all pairs of a group."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.stored import sized, stored
+from ..sources.stored import BROADCAST_ROWS, sized, stored
 
 #: Points of an average cell of the finest grid, and how much coarser each further pass is.
 PER_CELL, COARSER = 8, 4
@@ -54,3 +54,61 @@ def nearest(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: s
             break
         wider *= COARSER
     return found.withColumnRenamed("g", group) if group else found.drop("g")
+
+
+def _offsets(split: int, half: bool = False) -> list[tuple[int, int]]:
+    """Cells (i, j) away that a point within `split` cell sides can lie in; with half, one of each opposite pair."""
+    gap = lambda i: max(abs(i) - 1, 0)
+    around = range(-split, split + 1)
+    return [(i, j) for i in around for j in around if gap(i) ** 2 + gap(j) ** 2 <= split**2 and (not half or i > 0 or i == 0 and j >= 0)]
+
+
+def within(left: DataFrame, right: DataFrame, radius: float, left_id: str, right_id: str, split: int = 3) -> DataFrame:
+    """Rows (src, dst, dx, dy) for every row of left and of right that lie no further apart than radius.
+
+    Both have x and y; rows without them meet nothing. Cells have radius / split sides; right rows, which should be the
+    fewer, are copied to all cells within the radius and meet left rows by an equi join: in memory if their copies are
+    few, else by a sort-merge join whose heavy cells adaptive execution splits. No row of left is copied.
+    """
+    side, offsets = radius / split, _offsets(split)
+    cell = lambda v: F.floor(F.col(v) / side)
+    there = stored(right.filter("x IS NOT NULL AND y IS NOT NULL").select(F.col(right_id).alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by")))
+    copies = there.withColumn("o", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets))))
+    copies = copies.select("dst", "bx", "by", (cell("bx") + F.col("o.i")).alias("cx"), (cell("by") + F.col("o.j")).alias("cy"))
+    copies = F.broadcast(copies) if there.count() * len(offsets) <= BROADCAST_ROWS else copies.hint("merge")
+    own = left.filter("x IS NOT NULL AND y IS NOT NULL").select(F.col(left_id).alias("src"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("cx"), cell("y").alias("cy"))
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    return own.join(copies, ["cx", "cy"]).filter(dx * dx + dy * dy <= radius * radius).select("src", "dst", dx.alias("dx"), dy.alias("dy"))
+
+
+def band(points: DataFrame, radius: float, key: str, group: str | None = None) -> DataFrame:
+    """Rows (src, dst, d), or (src, dst, group, d), of all other points no further away than radius, of the own group.
+
+    A self join by cells of the radius: each pair meets once, in the cell of its first point, and is emitted both ways.
+    """
+    cell = lambda v: F.floor(F.col(v) / radius)
+    g = F.col(group) if group else F.lit(0)
+    own = points.filter("x IS NOT NULL AND y IS NOT NULL").select(F.col(key).alias("a"), g.alias("g"), F.col("x").alias("ax"), F.col("y").alias("ay"), cell("x").alias("cx"), cell("y").alias("cy"))
+    offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in _offsets(1, half=True)))
+    other = own.select(F.col("a").alias("b"), "g", F.col("ax").alias("bx"), F.col("ay").alias("by"), "cx", "cy", F.explode(offsets).alias("o"))
+    other = other.select("b", "g", "bx", "by", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"), ((F.col("o.i") == 0) & (F.col("o.j") == 0)).alias("same"))
+    d2 = (F.col("ax") - F.col("bx")) * (F.col("ax") - F.col("bx")) + (F.col("ay") - F.col("by")) * (F.col("ay") - F.col("by"))
+    met = own.join(other.hint("merge"), ["g", "cx", "cy"]).filter(~F.col("same") | (F.col("a") < F.col("b"))).withColumn("d", F.sqrt(d2)).filter(F.col("d") <= radius)
+    both = F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))))
+    out = met.select(both.alias("e"), "g", "d").select("e.src", "e.dst", *([F.col("g").alias(group)] if group else []), "d")
+    return out
+
+
+def lonely(left: DataFrame, right: DataFrame, radius: float, kinds: DataFrame, kind: str, split: int = 3) -> DataFrame:
+    """Rows of left x kinds, stored, that may have no row of right of that kind within radius.
+
+    A point has one for certain if its own cell or one of the eight around holds a row of the kind: with sides of a
+    third of the radius no two points there are further apart. kinds is a small table (a broadcast of a few types).
+    """
+    side = radius / split
+    cell = lambda v: F.floor(F.col(v) / side)
+    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    near = right.filter("x IS NOT NULL AND y IS NOT NULL").select(kind, cell("x").alias("cx"), cell("y").alias("cy")).distinct().select(kind, "cx", "cy", around.alias("o"))
+    near = stored(near.select(kind, (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy")).distinct())
+    rows = left.filter("x IS NOT NULL AND y IS NOT NULL").join(F.broadcast(kinds)).withColumns({"cx": cell("x"), "cy": cell("y")})
+    return stored(rows.join(sized(near), [kind, "cx", "cy"], "left_anti").drop("cx", "cy"))

@@ -1,4 +1,9 @@
-"""Accessibility features: grouped aggregations over origin-destination pairs."""
+"""Accessibility features: grouped aggregations over origin-destination pairs.
+
+t_od has every destination within reach by car ($reach minutes) and the nearest of a type that has none there, so
+nearest times and counts up to the reach are over all destinations; means, quantiles and shares are over the pairs
+within reach, over all with a large reach.
+"""
 
 from ..sources.ranks import placed
 
@@ -43,7 +48,9 @@ SELECT point_id, round(CASE WHEN sum(n) < 4 THEN 0e0 ELSE -sum(n / all_n * log2(
 SELECT point_id, round(CASE WHEN n < 10 THEN 0.5e0 WHEN t10 = 0e0 THEN 1e0 ELSE least(greatest((t90 - t10) / t10 / 5e0, 0e0), 1e0) END, 6) AS gradient FROM (
  SELECT point_id, max(n) AS n, max(CASE WHEN nth = CAST(floor(n / 10) AS BIGINT) + 1 THEN t END) AS t10, max(CASE WHEN nth = least(n, CAST(floor(9 * n / 10) AS BIGINT) + 1) THEN t END) AS t90 FROM (
   SELECT point_id, drive_time AS t, row_number() OVER (PARTITION BY point_id ORDER BY drive_time, dest_id) AS nth, count(*) OVER (PARTITION BY point_id) AS n FROM t_od WHERE dest_type = 'healthcare') GROUP BY point_id)""",
-    "acc_11_concentration": "SELECT point_id, dest_type, round(CAST(count_if(drive_time <= 5e0) AS DOUBLE) / nullif(count_if(drive_time <= 30e0), 0), 6) AS near_share, round(CAST(count_if(drive_time <= 5e0) AS DOUBLE) / count(*), 6) AS all_share FROM t_od GROUP BY point_id, dest_type",
+    "acc_11_concentration": """
+SELECT o.point_id, o.dest_type, round(n5 / nullif(n30, 0e0), 6) AS near_share, round(n5 / d.n, 6) AS all_share FROM (SELECT point_id, dest_type, CAST(count_if(drive_time <= 5e0) AS DOUBLE) AS n5, CAST(count_if(drive_time <= 30e0) AS DOUBLE) AS n30 FROM t_od GROUP BY point_id, dest_type) o
+JOIN (SELECT dest_type, CAST(count(*) AS DOUBLE) AS n FROM t_dest GROUP BY dest_type) d ON o.dest_type = d.dest_type""",
     "acc_12_walkability": "SELECT point_id, dest_type, round(avg(CASE WHEN walk_time <= 20e0 THEN 1e0 ELSE 0e0 END), 6) AS share_20, max(CASE WHEN walk_time <= 15e0 THEN 1 ELSE 0 END) AS any_15, round(CAST(count_if(walk_time <= 15e0 AND drive_time <= 5e0) AS DOUBLE) / nullif(count_if(drive_time <= 5e0), 0), 6) AS viable FROM t_od GROUP BY point_id, dest_type",
     "acc_13_impedance": "SELECT point_id, dest_type, round(sum(exp(-0.1e0 * drive_time)), 6) AS access FROM t_od GROUP BY point_id, dest_type",
     "acc_14_connectivity": "SELECT point_id, dest_type, round(CASE count(*) WHEN 0 THEN 0.5e0 WHEN 1 THEN 0e0 ELSE least(greatest(stddev_pop(drive_time) / avg(drive_time), 0e0), 1e0) END, 6) AS connectivity FROM t_od GROUP BY point_id, dest_type",

@@ -9,7 +9,7 @@ JOIN (SELECT d.draw, p.area_id, p.z, row_number() OVER (PARTITION BY d.draw, p.a
 _VAR = f"SELECT area_id, avg(z * z) AS v, count(*) AS n FROM ({_Z}) GROUP BY area_id"
 PLANS = {
     "sps_01_knn_weights": f"SELECT src, dst, round(w, 9) AS w FROM ({_W})",
-    "sps_02_threshold_weights": "SELECT n.src, n.dst, 1e0 AS w FROM t_near n CROSS JOIN (SELECT percentile_cont(0.5) WITHIN GROUP (ORDER BY kth) AS cut FROM (SELECT src, max(d) AS kth FROM t_near GROUP BY src)) c WHERE n.d > 0e0 AND n.d <= c.cut",
+    "sps_02_threshold_weights": "SELECT src, dst, round(1e0 / count(*) OVER (PARTITION BY src), 9) AS w FROM t_band WHERE d > 0e0",
     "sps_03_inverse_distance_weights": "SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 6) AS w FROM (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, 0.5e0 / d AS w FROM t_near WHERE d > 0e0 UNION ALL SELECT dst, src, 0.5e0 / d FROM t_near WHERE d > 0e0) GROUP BY src, dst)",
     "sps_04_moran": f"SELECT m.area_id, round(CASE WHEN v.v < 1e-12 THEN 0e0 ELSE m.top / v.v END, 6) AS moran FROM ({_MORAN.format(w=_W, z=_Z)}) m JOIN ({_VAR}) v ON m.area_id = v.area_id",
     "sps_05_moran_permutations": f"""

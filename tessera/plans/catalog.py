@@ -4,8 +4,8 @@
     run(spark, "sta_07_bootstrap_ci", params={"draws": 200}, pred=predictions)
 
 Any logical table that is not given is derived from the others by its definition in sources.fixtures, so a plan
-over points and areas needs only these two. Nearest neighbours are built by grid cells instead of their definition,
-which states the same result. Numbers written as $name are parameters, with the defaults below.
+over points and areas needs only these two. Tables of neighbours, pairs within reach and points in polygons are built by
+cells instead of their definition, which states the same result over all pairs. Numbers written as $name are parameters, with the defaults below.
 """
 
 from __future__ import annotations
@@ -16,9 +16,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.neighbours import nearest
+from ..functions.neighbours import band, lonely, nearest, within
+from ..functions.polygons import contains
 from ..operators import PLANS
-from ..sources.fixtures import BASE, VIEWS
+from ..sources.fixtures import BASE, MINUTES, TIMES, VIEWS
+from ..sources.stored import BROADCAST_ROWS
 
 _NAME = re.compile(r"\bt_([a-z_0-9]+)\b")
 _PARAM = re.compile(r"\$([a-z_0-9]+)")
@@ -35,9 +37,13 @@ DEFAULTS: dict[str, float | int] = {
     "target_low": 0.3,
     "target_high": 0.7,
     "complete_points": 50,
+    "reach": 30.0,
 }
 
 
+Params = dict[str, float | int]
+
+
 def tables_of(sql: str) -> list[str]:
     return list(dict.fromkeys(_NAME.findall(sql)))
 
@@ -48,11 +54,16 @@ def filled(sql: str, params: dict[str, float | int] | None = None) -> str:
 
     def number(m: re.Match) -> str:
         v = known[m[1]]
-        return repr(v) if isinstance(v, int) else f"{float(v)!r}e0"
+        return repr(v) if isinstance(v, int) else _double(v)
 
     return _PARAM.sub(number, sql)
 
 
+def _double(v: float) -> str:
+    text = repr(float(v))
+    return text if "e" in text else f"{text}e0"
+
+
 def run(spark: SparkSession, name: str, params: dict[str, float | int] | None = None, **tables: DataFrame) -> DataFrame:
     """The plan's result as a DataFrame over the given tables."""
     return bound(spark, PLANS[name], dict(tables), params)
@@ -61,27 +72,27 @@ def run(spark: SparkSession, name: str, params: dict[str, float | int] | None =
 def bound(spark: SparkSession, sql: str, tables: dict[str, DataFrame], params: dict[str, float | int] | None = None) -> DataFrame:
     for t in tables_of(sql):
         if t not in tables:
-            tables[t] = BUILT[t](spark, tables) if t in BUILT else bound(spark, VIEWS[t], tables, params)
+            tables[t] = BUILT[t](spark, tables, DEFAULTS | (params or {})) if t in BUILT else bound(spark, VIEWS[t], tables, params)
     return spark.sql(_NAME.sub(r"{\1}", filled(sql, params)), **{t: tables[t] for t in tables_of(sql)})
 
 
-def _near16(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+def _near16(spark: SparkSession, tables: dict[str, DataFrame], params: Params) -> DataFrame:
     points = bound(spark, "SELECT point_id, area_id, x, y FROM t_point", tables)
     return nearest(points, points, 16, "point_id", "point_id", "area_id", same=True)
 
 
-def _snap(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+def _snap(spark: SparkSession, tables: dict[str, DataFrame], params: Params) -> DataFrame:
     points, nodes = (bound(spark, f"SELECT * FROM t_{t}", tables) for t in ("point", "node"))
     found = nearest(points, nodes, 1, "point_id", "node").select(F.col("src").alias("point_id"), F.col("dst").alias("node"), "d")
     return points.select("point_id", "area_id").join(found.hint("merge"), "point_id").select("point_id", "area_id", "node", "d")
 
 
-def _near_dest(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+def _near_dest(spark: SparkSession, tables: dict[str, DataFrame], params: Params) -> DataFrame:
     points, dests = (bound(spark, f"SELECT * FROM t_{t}", tables) for t in ("point", "dest"))
     return nearest(points, dests, 20, "point_id", "dest_id").select(F.col("src").alias("point_id"), F.col("dst").alias("dest_id"), "d", "nth")
 
 
-def _local(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
+def _local(spark: SparkSession, tables: dict[str, DataFrame], params: Params) -> DataFrame:
     """The nearest destinations of each type for every area's centre."""
     areas, dests = (bound(spark, f"SELECT * FROM t_{t}", tables) for t in ("extent", "dest"))
     kinds = dests.select("dest_type").distinct()
@@ -93,7 +104,38 @@ def _local(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     return known.join(dests.hint("merge"), "dest_id").select(F.col("area_id").cast(areas.schema["area_id"].dataType), "dest_id", "dest_type", "x", "y")
 
 
-BUILT: dict[str, Callable[[SparkSession, dict[str, DataFrame]], DataFrame]] = {"near16": _near16, "snap": _snap, "near_dest": _near_dest, "local": _local}
+def _od(spark: SparkSession, tables: dict[str, DataFrame], params: Params) -> DataFrame:
+    """Pairs of points and destinations within reach, and each point's nearest of a type that has none there."""
+    points, dests = bound(spark, "SELECT point_id, x, y FROM t_point", tables), bound(spark, "SELECT dest_id, dest_type, x, y FROM t_dest", tables)
+    radius = params["reach"] / MINUTES * (1 + 1e-9)  # the exact condition follows
+    pairs = within(points, dests, radius, "point_id", "dest_id")
+    kinds = dests.select("dest_type").distinct()  # a few
+    alone = lonely(points, dests, radius, kinds, "dest_type").withColumn("key", F.concat_ws("/", "point_id", "dest_type"))
+    found = pairs.select("src", "dst", "dx", "dy")
+    if not alone.isEmpty():
+        one = nearest(alone, dests, 1, "key", "dest_id", "dest_type").select(F.col("src").alias("key"), "dst")
+        ends = one.join(alone.hint("merge"), "key").join(dests.select(F.col("dest_id").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by")).hint("merge"), "dst")
+        far = ends.select(F.col("point_id").alias("src"), "dst", (F.col("bx") - F.col("x")).alias("dx"), (F.col("by") - F.col("y")).alias("dy"))
+        found = found.withColumn("near", F.lit(True)).unionByName(far.withColumn("near", F.lit(False)))
+    else:
+        found = found.withColumn("near", F.lit(True))
+    kind_of = dests.select(F.col("dest_id").alias("dst"), "dest_type")
+    kind_of = F.broadcast(kind_of) if dests.count() <= BROADCAST_ROWS else kind_of.hint("merge")
+    sql = f"SELECT * FROM (SELECT near, {TIMES} FROM (SELECT src AS point_id, dst AS dest_id, dest_type, dx, dy, sqrt(dx * dx + dy * dy) * 6e0 AS km, near FROM {{found}})) WHERE near = (drive_time <= {_double(params['reach'])})"
+    return spark.sql(sql, found=found.join(kind_of, "dst")).drop("near")
+
+
+def _inside(spark: SparkSession, tables: dict[str, DataFrame], params: Params) -> DataFrame:
+    return contains(bound(spark, "SELECT point_id, x, y FROM t_point", tables), bound(spark, "SELECT poly_id, ring, seq, x, y FROM t_corner", tables))
+
+
+def _band(spark: SparkSession, tables: dict[str, DataFrame], params: Params) -> DataFrame:
+    cut = bound(spark, "SELECT cut FROM t_band_width", tables).first()["cut"]
+    points = bound(spark, "SELECT point_id, area_id, x, y FROM t_point", tables)
+    return band(points, cut if cut is not None else 0.0, "point_id", "area_id")
+
+
+BUILT: dict[str, Callable[[SparkSession, dict[str, DataFrame], Params], DataFrame]] = {"near16": _near16, "snap": _snap, "near_dest": _near_dest, "local": _local, "od": _od, "inside": _inside, "band": _band}
 
 
 def opened(spark: SparkSession, folder: str, sql: str) -> dict[str, DataFrame]:

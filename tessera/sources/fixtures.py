@@ -10,6 +10,11 @@ from .ranks import placed
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "labels", "documents", "embeddings", "pages", "benchmark", "conversations")
 
+#: Travel times of a pair from its distance in kilometres, and minutes by car of one coordinate unit (6 km).
+TIMES = """point_id, dest_id, dest_type, dx, dy, km, km / 5e0 * 60e0 AS walk_time, km / 30e0 * 60e0 AS drive_time,
+ CASE WHEN km >= 2e0 AND km <= 15e0 THEN km / 15e0 * 60e0 + 10e0 ELSE km / 5e0 * 60e0 * 1.5e0 END AS transit_time"""
+MINUTES = 12.0
+
 VIEWS = {
     # points with a known truth and an ancillary weight, both with gaps; the area is a unit square, the subarea a quadrant
     "point": """
@@ -31,7 +36,7 @@ FROM t_area a CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1) i CROSS JOIN (SELECT
 SELECT a.area_id, a.county_id, c.seq, a.minx + c.dx AS x, a.miny + c.dy AS y FROM t_area a CROSS JOIN (SELECT 0 AS seq, 0e0 AS dx, 0e0 AS dy UNION ALL SELECT 1, 1e0, 0e0 UNION ALL SELECT 2, 1e0, 1e0 UNION ALL SELECT 3, 0e0, 1e0) c""",
     "lattice": """
 SELECT CAST(ceil(sqrt(CAST(max(p_partkey) + 1 AS DOUBLE))) AS BIGINT) AS w FROM t_part""",
-    # rings of polygons: a subarea has a notch in its upper side and a hole; their segments; cells that each may cover
+    # rings of polygons: a subarea has a notch in its upper side and a hole; their segments
     "corner": """
 SELECT s.subarea_id AS poly_id, s.area_id, c.ring, c.seq, s.minx + c.dx AS x, s.miny + c.dy AS y FROM t_subarea s CROSS JOIN (
  SELECT 0 AS ring, 0 AS seq, 0e0 AS dx, 0e0 AS dy UNION ALL SELECT 0, 1, 0.5e0, 0e0 UNION ALL SELECT 0, 2, 0.5e0, 0.5e0 UNION ALL SELECT 0, 3, 0.3e0, 0.4e0 UNION ALL SELECT 0, 4, 0e0, 0.5e0
@@ -39,13 +44,10 @@ SELECT s.subarea_id AS poly_id, s.area_id, c.ring, c.seq, s.minx + c.dx AS x, s.
     "segment": """
 SELECT poly_id, area_id, x AS x1, y AS y1, coalesce(lead(x) OVER (PARTITION BY poly_id, ring ORDER BY seq), first_value(x) OVER (PARTITION BY poly_id, ring ORDER BY seq)) AS x2,
  coalesce(lead(y) OVER (PARTITION BY poly_id, ring ORDER BY seq), first_value(y) OVER (PARTITION BY poly_id, ring ORDER BY seq)) AS y2 FROM t_corner""",
-    "polycell": """
-SELECT b.poly_id, b.cx + i.i AS cx, b.cy + j.j AS cy FROM (SELECT poly_id, CAST(floor(min(x) * 2e0) AS BIGINT) AS cx, CAST(floor(max(x) * 2e0) AS BIGINT) AS cx2, CAST(floor(min(y) * 2e0) AS BIGINT) AS cy, CAST(floor(max(y) * 2e0) AS BIGINT) AS cy2 FROM t_corner GROUP BY poly_id) b
-CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1) i CROSS JOIN (SELECT 0 AS j UNION ALL SELECT 1) j WHERE b.cx + i.i <= b.cx2 AND b.cy + j.j <= b.cy2""",
-    # points inside polygons: cells as equi-join key, then the parity of a ray's crossings, so holes and notches count
+    # points inside polygons: the parity of a ray's crossings, so holes and notches count
     "inside": """
-SELECT p.point_id, s.poly_id FROM t_point p JOIN t_polycell c ON CAST(floor(p.x * 2e0) AS BIGINT) = c.cx AND CAST(floor(p.y * 2e0) AS BIGINT) = c.cy JOIN t_segment s ON c.poly_id = s.poly_id
-GROUP BY p.point_id, s.poly_id HAVING sum(CASE WHEN (s.y1 > p.y) <> (s.y2 > p.y) AND p.x < (s.x2 - s.x1) * (p.y - s.y1) / (s.y2 - s.y1) + s.x1 THEN 1 ELSE 0 END) % 2 = 1""",
+SELECT p.point_id, s.poly_id FROM t_point p JOIN (SELECT poly_id, min(x) AS x0, max(x) AS x9, min(y) AS y0, max(y) AS y9 FROM t_corner GROUP BY poly_id) b ON p.x BETWEEN b.x0 AND b.x9 AND p.y BETWEEN b.y0 AND b.y9 JOIN t_segment s ON b.poly_id = s.poly_id
+GROUP BY p.point_id, s.poly_id HAVING sum(CASE WHEN (s.y1 > p.y) <> (s.y2 > p.y) AND p.x < (s.x2 - s.x1) * (p.y - s.y1) / nullif(s.y2 - s.y1, 0e0) + s.x1 THEN 1 ELSE 0 END) % 2 = 1""",
     # numbers of bootstrap draws and of permutations
     "draw": """
 SELECT explode(sequence(1, $draws)) AS draw""",
@@ -68,14 +70,11 @@ SELECT area_id, (min(x) + max(x)) / 2e0 AS cx, (min(y) + max(y)) / 2e0 AS cy, gr
     "local": """
 SELECT area_id, dest_id, dest_type, x, y FROM (SELECT a.area_id, d.dest_id, d.dest_type, d.x, d.y, a.extent, sqrt((a.cx - d.x) * (a.cx - d.x) + (a.cy - d.y) * (a.cy - d.y)) AS d,
  row_number() OVER (PARTITION BY a.area_id, d.dest_type ORDER BY (a.cx - d.x) * (a.cx - d.x) + (a.cy - d.y) * (a.cy - d.y), d.dest_id) AS nth FROM t_extent a CROSS JOIN t_dest d) WHERE nth <= 20 AND d <= 1.5e0 * extent""",
-    "od_all": """
-SELECT point_id, dest_id, dest_type, dx, dy, km, km / 5e0 * 60e0 AS walk_time, km / 30e0 * 60e0 AS drive_time,
- CASE WHEN km >= 2e0 AND km <= 15e0 THEN km / 15e0 * 60e0 + 10e0 ELSE km / 5e0 * 60e0 * 1.5e0 END AS transit_time
-FROM (SELECT p.point_id, d.dest_id, d.dest_type, d.x - p.x AS dx, d.y - p.y AS dy, sqrt((p.x - d.x) * (p.x - d.x) + (p.y - d.y) * (p.y - d.y)) * 6e0 AS km FROM t_point p CROSS JOIN t_dest d)""",
+    "od_all": f"""
+SELECT {TIMES} FROM (SELECT p.point_id, d.dest_id, d.dest_type, d.x - p.x AS dx, d.y - p.y AS dy, sqrt((p.x - d.x) * (p.x - d.x) + (p.y - d.y) * (p.y - d.y)) * 6e0 AS km FROM t_point p CROSS JOIN t_dest d)""",
+    # all destinations within reach by car, and the nearest of a type that has none there
     "od": """
-SELECT point_id, dest_id, dest_type, dx, dy, km, km / 5e0 * 60e0 AS walk_time, km / 30e0 * 60e0 AS drive_time,
- CASE WHEN km >= 2e0 AND km <= 15e0 THEN km / 15e0 * 60e0 + 10e0 ELSE km / 5e0 * 60e0 * 1.5e0 END AS transit_time
-FROM (SELECT p.point_id, d.dest_id, d.dest_type, d.x - p.x AS dx, d.y - p.y AS dy, sqrt((p.x - d.x) * (p.x - d.x) + (p.y - d.y) * (p.y - d.y)) * 6e0 AS km FROM t_point p JOIN t_local d ON p.area_id = d.area_id)""",
+SELECT point_id, dest_id, dest_type, dx, dy, km, walk_time, drive_time, transit_time FROM (SELECT *, row_number() OVER (PARTITION BY point_id, dest_type ORDER BY dx * dx + dy * dy, dest_id) AS nth FROM t_od_all) WHERE drive_time <= $reach OR nth = 1""",
     "road": """
 SELECT a.node AS src, b.node AS dst, 300e0 + CAST((least(a.node, b.node) * 37 + greatest(a.node, b.node) * 11) % 401 AS DOUBLE) AS length
 FROM (SELECT p.p_partkey AS node, step_ AS step, p.p_partkey % g.w AS c, g.w FROM t_part p CROSS JOIN t_lattice g CROSS JOIN (SELECT 0 AS step_ UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3)) a
@@ -129,6 +128,11 @@ SELECT src, dst, area_id, d, nth FROM (SELECT a.point_id AS src, b.point_id AS d
     # the sixteen and the eight nearest points of the own area
     "near": """
 SELECT src, dst, area_id, d, nth FROM t_near16 WHERE nth <= 8""",
+    # the median distance to the eighth nearest point, and all pairs of an area's points no further apart
+    "band_width": """
+SELECT percentile_cont(0.5) WITHIN GROUP (ORDER BY kth) AS cut FROM (SELECT src, max(d) AS kth FROM t_near GROUP BY src)""",
+    "band": """
+SELECT src, dst, area_id, d FROM (SELECT a.point_id AS src, b.point_id AS dst, a.area_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM t_point a JOIN t_point b ON a.area_id = b.area_id AND a.point_id <> b.point_id) CROSS JOIN t_band_width WHERE d <= cut""",
     # recovery of the truth by area and method
     "metric": """
 SELECT method, area_id, min(target) AS target, count(*) AS n, CASE WHEN stddev_pop(value) > 1e-9 AND stddev_pop(truth) > 1e-9 THEN (avg(value * truth) - avg(value) * avg(truth)) / (stddev_pop(value) * stddev_pop(truth)) END AS r, sqrt(avg((value - truth) * (value - truth))) AS rmse, avg(abs(value - truth)) AS mae, stddev_pop(value) AS sd,
