@@ -97,6 +97,18 @@ def test_pipeline_lines_go_from_short_pages_and_copies_stay(spark, sf):
     assert got == {i: (t, len(t)) for i, t in want.items()}
 
 
+def test_a_site_that_mirrors_all_texts_hides_no_boilerplate(spark):
+    """A line on 31 sites in 30 texts, each of which also stands on one and the same site."""
+    line = "All rights reserved by the owners of this page."
+    docs = [(2 * i + k, f"{line}\nown text {i}", ("mirror", f"s{i}")[k]) for i in range(30) for k in (0, 1)]
+    docs += [(1000 + i, f"nine texts\nother {i % 9}", f"t{i}") for i in range(40)] + [(2000 + i, f"nine sites\nother {i}", f"u{i % 9}") for i in range(40)]
+    table = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(table).collect()}
+    assert got == {i: t.removeprefix(f"{line}\n") for i, t, _ in docs}
+    alone = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(table, copies_vote=True).collect()}
+    assert all(alone[i] == t.split("\n")[1] for i, t, s in docs if i < 2000)
+
+
 def test_pipeline_near_duplicates_with_null_and_repeated_ids(spark, sf):
     text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
     rows = [(1, text(1)), (2, text(1)), (None, text(1)), (None, text(2)), (None, text(3)), (None, text(3) + " more"), (7, text(4)), (7, text(5)), (8, text(5)), (3, text(6)), (9, text(7)), (9, text(6)), (4, None), (None, "")]
@@ -154,17 +166,14 @@ def test_pipeline_against_brute_force(spark, sf):
 
     scores = model.scores(np.array([quality_gam.features(r["text"] or "") for r in before.values()]))
     assert set(rows("quality")) == {i for i, s in zip(before, scores, strict=True) if s >= 0.5}
-    votes = defaultdict(set)
-    site = {}
+    sites, texts = defaultdict(set), defaultdict(set)
     for r in rows("quality").values():
-        t = r["text"] or ""
-        site[t] = min(site.get(t, r["source"] or ""), r["source"] or "")
-    for t, s in site.items():
-        for line in t.split("\n"):
+        for line in (r["text"] or "").split("\n"):
             if line.strip(" "):
-                votes[line].add(s)
+                sites[line].add(r["source"] or "")
+                texts[line].add(r["text"])
     for i, r in rows("quality").items():
-        assert rows("lines")[i]["text"] == "\n".join(x for x in (r["text"] or "").split("\n") if len(votes.get(x, ())) < 10)
+        assert rows("lines")[i]["text"] == "\n".join(x for x in (r["text"] or "").split("\n") if min(len(sites.get(x, ())), len(texts.get(x, ()))) < 10)
     sets, component = exact_components({i: r["text"] or "" for i, r in rows("lines").items()})
     assert set(rows("near_duplicates")) == {i for i, c in component.items() if i == c}
     for i, r in rows("near_duplicates").items():
