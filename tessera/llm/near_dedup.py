@@ -18,8 +18,9 @@ large group of near copies costs its members about once; a large cluster of many
 members once for each block. Words are told apart by two polynomials modulo a prime (62 bits), shingles by 64 bits of five words.
 
 Edge cases: null, empty and blank texts have an empty set and are linked with nothing; texts of fewer than five
-words have one shingle, the whole sequence; repeated rows are one class; equal ids are one document; an empty
-table gives an empty table; very long texts cost linear work.
+words have one shingle, the whole sequence; repeated rows are one class; every row of an id counts by its own text,
+and all rows that have their component's id are kept; a null id is linked like others but is no component's id, unless
+all its rows have none; an empty table gives an empty table; very long texts cost linear work.
 """
 
 from __future__ import annotations
@@ -157,7 +158,7 @@ def _chunks(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, h1, h2, tokens, roots): set size, 128-bit hash of the set, 64 16-bit tokens, root paths."""
+    """(id, text_hash, n_shingles, h1, h2, tokens, roots): set size, 128-bit hash of the set, 64 16-bit tokens, root paths."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = _constants()
@@ -178,12 +179,17 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 roots = _mix(low[:, c["roots"]] + c["roots"].astype(_U) * _U(0x9E3779B97F4A7C15))
                 tokens = (_mix(low) >> _U(48)).astype("<u2")
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(n)), pa.array(n, pa.int64()), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), pa.array([t.tobytes() for t in tokens], pa.binary()), pa.array(list(roots.view(np.int64)), pa.list_(pa.int64()))],
-                    ["id", "n_shingles", "h1", "h2", "tokens", "roots"],
+                    [batch.column(0).slice(start, len(n)), batch.column(2).slice(start, len(n)), pa.array(n, pa.int64()), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), pa.array([t.tobytes() for t in tokens], pa.binary()), pa.array(list(roots.view(np.int64)), pa.list_(pa.int64()))],
+                    ["id", "text_hash", "n_shingles", "h1", "h2", "tokens", "roots"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), with_text(docs, text_col).alias("text")).mapInArrow(sign, f"id {kind}, n_shingles long, h1 long, h2 long, tokens binary, roots array<long>")
+    return _texts(docs, id_col, text_col).mapInArrow(sign, f"id {kind}, text_hash long, n_shingles long, h1 long, h2 long, tokens binary, roots array<long>")
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = with_text(docs, text_col)
+    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -368,7 +374,7 @@ def _upto(n):
     return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
 
 
-def _open_tiles(members: DataFrame, rest: DataFrame, kind: str) -> DataFrame:
+def _open_tiles(members: DataFrame, rest: DataFrame) -> DataFrame:
     """Tiles (g, tile, id, hubs) in which all pairs of blocks of a cluster meet, or all rows of rest and all members.
 
     Whichever makes fewer rows for the cluster: each leaves no pair out that could join two components.
@@ -376,7 +382,7 @@ def _open_tiles(members: DataFrame, rest: DataFrame, kind: str) -> DataFrame:
     half = CLUSTER / 2
     few = rest.groupBy("g").agg(F.count(F.lit(1)).alias("s"), F.sum("n_shingles").alias("v"))
     rows = F.greatest(F.ceil(F.col("s") / half), F.ceil(F.col("v") / SHINGLES)).cast("long")
-    whole = members.filter("blocks > 1").withColumn("columns", _blocks(half)).withColumn("g", F.col("low").cast("long")).join(sized(materialise(few, "few")), "g").withColumn("rows", rows)
+    whole = members.filter("blocks > 1").withColumn("columns", _blocks(half)).withColumn("g", F.col("low")).join(sized(materialise(few, "few")), "g").withColumn("rows", rows)
     whole = whole.withColumn("pairs", F.col("n") * (F.col("blocks") - 1) <= F.col("s") * F.col("columns") + F.col("n") * F.col("rows"))
     own, blocks = F.col("own"), F.col("blocks")
     others = F.filter(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda x: x != own)
@@ -385,14 +391,16 @@ def _open_tiles(members: DataFrame, rest: DataFrame, kind: str) -> DataFrame:
     left = whole.filter("NOT pairs").join(rest.select("g", "id").hint("merge"), ["g", "id"]).select("g", "id", "columns", row.alias("i"), _upto(F.col("columns")).alias("j"))
     right = whole.filter("NOT pairs").select("g", "id", "columns", column.alias("j"), _upto(F.col("rows")).alias("i"))
     open_ = left.unionByName(right).select("g", (F.col("i") * F.col("columns") + F.col("j")).alias("tile"), "id").distinct()
-    return two.unionByName(open_).withColumn("hubs", F.lit(None).cast(f"array<{kind}>"))
+    return two.unionByName(open_).withColumn("hubs", F.lit(None).cast("array<long>"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) for every row. The id must be an integer column."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    """(id, n_shingles, component_id, kept) for every row; ids of any ordered type."""
     signed = materialise(signatures(docs, id_col, text_col), "signed")
-    classes = materialise(signed.filter("n_shingles > 0 AND id IS NOT NULL").groupBy("h1", "h2", "n_shingles").agg(F.min_by(F.struct("id", "tokens", "roots"), "id").alias("x")).select("h1", "h2", "n_shingles", "x.*"), "classes")
+    # a class has a number of its own, since rows of one id may have several texts, and a row that stands for it
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")
+    classes = signed.filter("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min_by(F.struct(F.col("id").alias("doc"), "text_hash", "tokens", "roots"), first).alias("x"))
+    classes = materialise(classes.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "n_shingles", "x.*"), "classes")
     clusters = components(_candidates(classes).select("low", "id"))
     members = clusters.unionByName(clusters.select(F.col("low").alias("id"), "low").distinct()).join(classes.select("id", "n_shingles").hint("merge"), "id")
     # in a cluster of several blocks, a few members stand in every block and hold the blocks together
@@ -401,16 +409,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = materialise(sizes.withColumn("blocks", _blocks(CLUSTER)), "sizes")
     members = members.join(sizes.withColumn("hubs", F.when(F.col("blocks") > 1, F.col("hubs"))).hint("merge"), "low")
     members = materialise(members, "members")
-    texts = docs.select(F.col(id_col).alias("id"), with_text(docs, text_col).alias("text")).filter(F.col(id_col).isNotNull())
-    # one text for each class: its members have the id of the class, and equal ids are one document
-    texts = texts.join(sized(materialise(members.select("id").distinct(), "ids")), "id").dropDuplicates(["id"])
+    wanted = members.select("id").distinct().join(classes.select("id", "doc", "text_hash").hint("merge"), "id")
+    wanted = sized(materialise(wanted.select(F.col("id").alias("class"), "doc", F.col("text_hash").alias("hash")), "ids"))
+    texts = _texts(docs, id_col, text_col).join(wanted, F.col("id").eqNullSafe(F.col("doc")) & (F.col("text_hash") == F.col("hash"))).select(F.col("class").alias("id"), "text").dropDuplicates(["id"])
 
     def confirmed(groups: DataFrame) -> DataFrame:
         rows = materialise(groups, "groups").join(texts.hint("merge"), "id").select("g", "tile", "id", "text", "hubs")
-        return materialise(rows.repartition("g", "tile").sortWithinPartitions("g", "tile", "id").mapInArrow(_confirmed, f"low {kind}, id {kind}, g long, mask long"), "links")
+        return materialise(rows.repartition("g", "tile").sortWithinPartitions("g", "tile", "id").mapInArrow(_confirmed, "low long, id long, g long, mask long"), "links")
 
-    own = members.select(F.col("low").cast("long").alias("g"), _at(F.col("blocks")).alias("tile"), "id", "hubs")
-    extra = sizes.filter("blocks > 1").select(F.col("low").cast("long").alias("g"), "hubs", F.explode("hubs").alias("id"), "blocks").select("g", _upto(F.col("blocks")).alias("tile"), "id", "hubs")
+    own = members.select(F.col("low").alias("g"), _at(F.col("blocks")).alias("tile"), "id", "hubs")
+    extra = sizes.filter("blocks > 1").select(F.col("low").alias("g"), "hubs", F.explode("hubs").alias("id"), "blocks").select("g", _upto(F.col("blocks")).alias("tile"), "id", "hubs")
     found = confirmed(own.unionByName(extra).dropDuplicates(["g", "tile", "id"]))
     links = found.filter("low IS NOT NULL").select("low", "id")
     # what lacks the hub with most members, in its component in its block, may have links across the blocks
@@ -418,10 +426,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = [F.sum(F.shiftright("mask", k).bitwiseAND(F.lit(1))) for k in range(HUBS)]
     main = seen.groupBy("g").agg(F.array(*held).alias("n")).select("g", (F.array_position("n", F.array_max("n")) - 1).cast("int").alias("k"))
     rest = seen.join(main.hint("merge"), "g").filter("shiftright(mask, k) % 2 = 0").select("g", "id").distinct()
-    rest = materialise(rest.join(members.select(F.col("low").cast("long").alias("g"), "id", "n_shingles").hint("merge"), ["g", "id"]), "rest")
+    rest = materialise(rest.join(members.select(F.col("low").alias("g"), "id", "n_shingles").hint("merge"), ["g", "id"]), "rest")
     if not rest.isEmpty():
-        links = links.unionByName(confirmed(_open_tiles(members, rest, kind)).select("low", "id"))
+        links = links.unionByName(confirmed(_open_tiles(members, rest)).select("low", "id"))
     final = components(links)
-    of_class = classes.join(final.hint("merge"), "id", "left").select("h1", "h2", "n_shingles", F.coalesce("low", "id").alias("component_id"))
-    out = signed.select("id", "h1", "h2", "n_shingles").join(of_class.hint("merge"), ["h1", "h2", "n_shingles"], "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    final = materialise(final.unionByName(final.select(F.col("low").alias("id"), "low").distinct()), "linked")
+    least = final.join(classes.select("id", "doc").hint("merge"), "id").groupBy("low").agg(F.min("doc").alias("component_id"))
+    linked = classes.join(final.hint("merge"), "id").join(sized(materialise(least, "least")), "low").select("h1", "h2", "n_shingles", "component_id")
+    alone = classes.join(final.select("id").hint("merge"), "id", "left_anti").select("h1", "h2", "n_shingles", F.col("doc").alias("component_id"))
+    out = signed.select("id", "h1", "h2", "n_shingles").join(linked.unionByName(alone).hint("merge"), ["h1", "h2", "n_shingles"], "left")
+    own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", own.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))

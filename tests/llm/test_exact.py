@@ -450,3 +450,19 @@ def test_suffix_dedup_with_several_texts_of_an_id(spark):
     got = sorted(((r["doc_id"] or 0, r["kept"].decode()) for r in suffix_dedup.suffix_dedup(docs).collect()))
     first = [(6, text(2)), (7, "")], [(6, ""), (7, text(3))]
     assert got[:3] == [(0, text(1)), (1, text(1)), (2, "")] and {x[1] for x in got[3:5]} == {text(2), text(3)} and got[5:] in first
+
+
+def test_near_dedup_with_several_texts_of_an_id(spark):
+    text = lambda k: " ".join(f"word{k}x{i}" for i in range(40))
+    long = " ".join(f"token{i} of a text beyond one chunk" for i in range(60_000))
+    rows = [(7, text(1)), (7, text(2)), (8, text(1) + " z"), (9, text(2) + " z"), (None, text(3)), (3, text(3) + " y"), (None, text(4)), (None, text(4)), (7, text(1)), (20, long), (21, long + " end"), (22, long + " x" * 3), (5, None), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs).collect()), key=str)
+    want = [(7, 7, True)] * 3 + [(8, 7, False), (9, 7, False), (None, 3, False), (3, 3, True)] + [(None, None, True)] * 2 + [(20, 20, True), (21, 20, False), (22, 20, False), (5, 5, True), (5, 5, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_near_dedup_of_named_documents(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([("b", text), ("a", text + " z"), ("c", "other")], "doc_id string, text string")
+    assert {tuple(r) for r in near_dedup.near_duplicates(docs).collect()} == {("b", 36, "a", False), ("a", 37, "a", True), ("c", 1, "c", True)}
