@@ -1,28 +1,20 @@
 """Spatial weights and autocorrelation over edge tables."""
 
-_W = "SELECT src, dst, area_id, w / sum(w) OVER (PARTITION BY src) AS w FROM (SELECT src, dst, area_id, sum(w) AS w FROM (SELECT src, dst, area_id, 0.5e0 AS w FROM t_near UNION ALL SELECT dst, src, area_id, 0.5e0 FROM t_near) GROUP BY src, dst, area_id)"
-_Z = "SELECT point_id, area_id, coalesce(truth, 0.5e0) - avg(coalesce(truth, 0.5e0)) OVER (PARTITION BY area_id) AS z FROM t_point"
+_W, _Z = "SELECT * FROM t_weight", "SELECT * FROM t_centred"
 _MORAN = "SELECT w.area_id, sum(w.w * a.z * b.z) / sum(w.w) AS top FROM ({w}) w JOIN ({z}) a ON w.src = a.point_id JOIN ({z}) b ON w.dst = b.point_id GROUP BY w.area_id"
-#: Relabellings: within an area, place i of a permutation takes the value at place i of an md5 order.
-_PERMUTED = f"""SELECT i.draw, i.point_id, i.area_id, v.z FROM (SELECT d.draw, p.point_id, p.area_id, p.nth FROM (SELECT point_id, area_id, row_number() OVER (PARTITION BY area_id ORDER BY point_id) AS nth FROM t_point) p CROSS JOIN t_shuffle d) i
-JOIN (SELECT d.draw, p.area_id, p.z, row_number() OVER (PARTITION BY d.draw, p.area_id ORDER BY md5(CAST(d.draw AS STRING) || '-' || CAST(p.point_id AS STRING))) AS nth FROM ({_Z}) p CROSS JOIN t_shuffle d) v ON i.draw = v.draw AND i.area_id = v.area_id AND i.nth = v.nth"""
 _VAR = f"SELECT area_id, avg(z * z) AS v, count(*) AS n FROM ({_Z}) GROUP BY area_id"
 PLANS = {
     "sps_01_knn_weights": f"SELECT src, dst, round(w, 9) AS w FROM ({_W})",
     "sps_02_threshold_weights": "SELECT src, dst, round(1e0 / count(*) OVER (PARTITION BY src), 9) AS w FROM t_band WHERE d > 0e0",
     "sps_03_inverse_distance_weights": "SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 6) AS w FROM (SELECT src, dst, sum(w) AS w FROM (SELECT src, dst, 0.5e0 / d AS w FROM t_near WHERE d > 0e0 UNION ALL SELECT dst, src, 0.5e0 / d FROM t_near WHERE d > 0e0) GROUP BY src, dst)",
     "sps_04_moran": f"SELECT m.area_id, round(CASE WHEN v.v < 1e-12 THEN 0e0 ELSE m.top / v.v END, 6) AS moran FROM ({_MORAN.format(w=_W, z=_Z)}) m JOIN ({_VAR}) v ON m.area_id = v.area_id",
-    "sps_05_moran_permutations": f"""
-WITH w AS ({_W}), z AS ({_Z}), p AS ({_PERMUTED}), observed AS (SELECT w.area_id, sum(w.w * a.z * b.z) AS top FROM w JOIN z a ON w.src = a.point_id JOIN z b ON w.dst = b.point_id GROUP BY w.area_id),
-draws AS (SELECT w.area_id, a.draw, sum(w.w * a.z * b.z) AS top FROM w JOIN p a ON w.src = a.point_id JOIN p b ON w.dst = b.point_id AND a.draw = b.draw GROUP BY w.area_id, a.draw)
-SELECT o.area_id, round((count_if(abs(d.top) >= abs(o.top) - 1e-9) + 1e0) / (count(*) + 1e0), 6) AS p, round((max(o.top) - avg(d.top)) / nullif(round(stddev_pop(d.top), 9), 0e0), 4) AS zscore FROM observed o JOIN draws d ON o.area_id = d.area_id GROUP BY o.area_id""",
+    "sps_05_moran_permutations": """
+WITH observed AS (SELECT w.area_id, sum(w.w * a.z * b.z) AS top FROM t_weight w JOIN t_centred a ON w.src = a.point_id JOIN t_centred b ON w.dst = b.point_id GROUP BY w.area_id)
+SELECT o.area_id, round((count_if(abs(d.top) >= abs(o.top) - 1e-9) + 1e0) / (count(*) + 1e0), 6) AS p, round((max(o.top) - avg(d.top)) / nullif(round(stddev_pop(d.top), 9), 0e0), 4) AS zscore FROM observed o JOIN t_permuted_top d ON o.area_id = d.area_id GROUP BY o.area_id""",
     "sps_06_local_moran": f"""
-WITH w AS ({_W}), z AS ({_Z}), v AS ({_VAR}), p AS ({_PERMUTED}), lag AS (SELECT w.src, sum(w.w * b.z) AS lag FROM w JOIN z b ON w.dst = b.point_id GROUP BY w.src),
-seen AS (SELECT z.point_id, z.area_id, z.z, lag.lag FROM z JOIN lag ON z.point_id = lag.src),
-draws AS (SELECT w.src, b.draw, sum(w.w * b.z) AS lag FROM w JOIN p b ON w.dst = b.point_id GROUP BY w.src, b.draw),
-tested AS (SELECT s.point_id, (count_if(abs(s.z * d.lag) >= abs(s.z * s.lag) - 1e-12) + 1e0) / (count(*) + 1e0) AS p FROM seen s JOIN draws d ON s.point_id = d.src GROUP BY s.point_id)
-SELECT s.point_id, round(s.z * s.lag / v.v, 6) AS local_i, round(t.p, 6) AS p, CASE WHEN t.p >= $alpha THEN 'Not Sig' WHEN s.z > 0e0 AND s.lag > 0e0 THEN 'High-High' WHEN s.z > 0e0 THEN 'High-Low' WHEN s.lag > 0e0 THEN 'Low-High' ELSE 'Low-Low' END AS cluster
-FROM seen s JOIN tested t ON s.point_id = t.point_id JOIN v ON s.area_id = v.area_id""",
+WITH v AS ({_VAR}), lag AS (SELECT w.src, sum(w.w * b.z) AS lag FROM t_weight w JOIN t_centred b ON w.dst = b.point_id GROUP BY w.src)
+SELECT s.point_id, round(s.z * l.lag / v.v, 6) AS local_i, round(t.p, 6) AS p, CASE WHEN t.p >= $alpha THEN 'Not Sig' WHEN s.z > 0e0 AND l.lag > 0e0 THEN 'High-High' WHEN s.z > 0e0 THEN 'High-Low' WHEN l.lag > 0e0 THEN 'Low-High' ELSE 'Low-Low' END AS cluster
+FROM t_centred s JOIN lag l ON s.point_id = l.src JOIN t_local_p t ON s.point_id = t.point_id JOIN v ON s.area_id = v.area_id""",
     "sps_07_residual_moran": """
 WITH w AS (SELECT src, dst, area_id, w / sum(w) OVER (PARTITION BY src) AS w FROM (SELECT src, dst, area_id, 1e0 AS w FROM t_near)), z AS (SELECT point_id, area_id, r - avg(r) OVER (PARTITION BY area_id) AS z FROM (SELECT point_id, area_id, coalesce(value - truth, 0e0) AS r FROM t_pred WHERE method = 'gradient'))
 SELECT w.area_id, round(sum(w.w * a.z * b.z) / sum(w.w) / max(v.v), 6) AS moran FROM w JOIN z a ON w.src = a.point_id JOIN z b ON w.dst = b.point_id JOIN (SELECT area_id, avg(z * z) AS v FROM z GROUP BY area_id) v ON w.area_id = v.area_id GROUP BY w.area_id""",

@@ -1,20 +1,9 @@
 """Correlation, rank and resampling statistics."""
 
+from ..sources.fixtures import correlation as _corr
 from .windows import average_rank
 
 
-def _corr(a: str, b: str) -> str:
-    """SQL for a correlation that is null where a side does not vary."""
-    return f"CASE WHEN stddev_pop({a}) > 1e-9 AND stddev_pop({b}) > 1e-9 THEN (avg({a} * {b}) - avg({a}) * avg({b})) / (stddev_pop({a}) * stddev_pop({b})) END"
-
-
-#: Bootstrap: in each draw every place of an area takes the row that an md5 of draw, area and place points at.
-_ROWS = """rows_ AS (SELECT area_id, truth, v1, v2, row_number() OVER (PARTITION BY area_id ORDER BY point_id) - 1 AS i, count(*) OVER (PARTITION BY area_id) AS n FROM (
- SELECT area_id, point_id, min(truth) AS truth, max(CASE WHEN method = 'gradient' THEN value END) AS v1, max(CASE WHEN method = 'dasymetric' THEN value END) AS v2 FROM t_pred WHERE truth IS NOT NULL GROUP BY area_id, point_id)),
-picks AS (SELECT d.draw, r.area_id, CAST(conv(substring(md5(CAST(d.draw AS STRING) || '-' || CAST(r.area_id AS STRING) || '-' || CAST(r.i AS STRING)), 1, 8), 16, 10) AS BIGINT) % r.n AS i FROM rows_ r CROSS JOIN t_draw d WHERE r.n >= {least})"""
-_SOME = "boot AS (SELECT p.draw, p.area_id, {what} FROM picks p JOIN rows_ r ON p.area_id = r.area_id AND p.i = r.i GROUP BY p.draw, p.area_id)"
-_BOOT = f"WITH {_ROWS.format(least=10)}, {_SOME.format(what=_corr('r.v1', 'r.truth') + ' AS r1, ' + _corr('r.v2', 'r.truth') + ' AS r2')}"
-_MEDIANS = f"WITH {_ROWS.format(least=2)}, {_SOME.format(what='median(r.truth) AS mid, median(r.v1) - median(r.truth) AS diff')}"
 _CI = "percentile_cont(0.025) WITHIN GROUP (ORDER BY {0})", "percentile_cont(0.975) WITHIN GROUP (ORDER BY {0})"
 _RANKS = f"SELECT area_id, {average_rank('ancillary', 'area_id')} AS ra, {average_rank('truth', 'area_id')} AS rt, {average_rank('x', 'area_id')} AS rx FROM t_point WHERE ancillary IS NOT NULL AND truth IS NOT NULL"
 _USAGE = "SELECT f.feature, avg(f.value) AS m, stddev_pop(f.value) AS s, max(f.value) - min(f.value) AS spread, CASE WHEN stddev_pop(f.value) > 1e-9 AND stddev_pop(p.truth) > 1e-9 THEN (avg(f.value * p.truth) - avg(f.value) * avg(p.truth)) / (stddev_pop(f.value) * stddev_pop(p.truth)) END AS r FROM t_feature f JOIN t_point p ON f.point_id = p.point_id WHERE p.truth IS NOT NULL GROUP BY f.feature"
@@ -24,16 +13,16 @@ PLANS = {
     "sta_04_partial_spearman": f"SELECT area_id, round((xy - xz * yz) / nullif(sqrt(greatest((1e0 - xz * xz) * (1e0 - yz * yz), 0e0)), 0e0), 6) AS rho FROM (SELECT area_id, corr(ra, rt) AS xy, corr(ra, rx) AS xz, corr(rt, rx) AS yz FROM ({_RANKS}) GROUP BY area_id HAVING count(*) >= 20)",
     "sta_05_partial_pearson": "SELECT area_id, round((xy - xz * yz) / nullif(sqrt(greatest((1e0 - xz * xz) * (1e0 - yz * yz), 0e0)), 0e0), 6) AS r FROM (SELECT area_id, corr(ancillary, truth) AS xy, corr(ancillary, y) AS xz, corr(truth, y) AS yz FROM t_point WHERE ancillary IS NOT NULL AND truth IS NOT NULL GROUP BY area_id HAVING count(*) >= 20)",
     "sta_06_component_correlations": "SELECT name, round(corr(c, income), 6) AS r FROM (SELECT 'orders' AS name, CAST(orders_n AS DOUBLE) AS c, income FROM t_counts UNION ALL SELECT 'f', CAST(n_f AS DOUBLE), income FROM t_counts UNION ALL SELECT 'urgent', CAST(n_urgent AS DOUBLE), income FROM t_counts) WHERE income IS NOT NULL GROUP BY name",
-    "sta_07_bootstrap_ci": f"{_BOOT} SELECT area_id, count(*) AS draws, round({_CI[0].format('r1')}, 6) AS lo, round({_CI[1].format('r1')}, 6) AS hi FROM boot WHERE r1 IS NOT NULL GROUP BY area_id",
+    "sta_07_bootstrap_ci": f"SELECT area_id, count(*) AS draws, round({_CI[0].format('r1')}, 6) AS lo, round({_CI[1].format('r1')}, 6) AS hi FROM t_boot WHERE r1 IS NOT NULL GROUP BY area_id",
     "sta_08_bootstrap_difference": f"""
-{_BOOT}, seen AS (SELECT area_id, {_corr('v1', 'truth')} - {_corr('v2', 'truth')} AS diff FROM rows_ GROUP BY area_id),
+WITH seen AS (SELECT area_id, {_corr('v1', 'truth')} - {_corr('v2', 'truth')} AS diff FROM t_paired GROUP BY area_id),
 ci AS (SELECT b.area_id, max(s.diff) AS diff, {_CI[0].format('b.r1 - b.r2')} AS lo, {_CI[1].format('b.r1 - b.r2')} AS hi, greatest(avg(CASE WHEN abs(b.r1 - b.r2 - s.diff) >= abs(s.diff) - 1e-9 THEN 1e0 ELSE 0e0 END), 1e0 / count(*)) AS p
- FROM boot b JOIN seen s ON b.area_id = s.area_id WHERE b.r1 IS NOT NULL AND b.r2 IS NOT NULL AND s.diff IS NOT NULL GROUP BY b.area_id)
+ FROM t_boot b JOIN seen s ON b.area_id = s.area_id WHERE b.r1 IS NOT NULL AND b.r2 IS NOT NULL AND s.diff IS NOT NULL GROUP BY b.area_id)
 SELECT area_id, round(diff, 6) AS diff, round(lo, 6) AS lo, round(hi, 6) AS hi, round(p, 6) AS p, lo > 0e0 OR hi < 0e0 AS significant FROM ci""",
     "sta_09_bootstrap_median": f"""
-{_MEDIANS} SELECT area_id, round({_CI[0].format('mid')}, 6) AS lo, round({_CI[1].format('mid')}, 6) AS hi, round({_CI[0].format('diff')}, 6) AS diff_lo, round({_CI[1].format('diff')}, 6) AS diff_hi FROM boot GROUP BY area_id""",
+SELECT area_id, round({_CI[0].format('mid')}, 6) AS lo, round({_CI[1].format('mid')}, 6) AS hi, round({_CI[0].format('diff')}, 6) AS diff_lo, round({_CI[1].format('diff')}, 6) AS diff_hi FROM t_boot GROUP BY area_id""",
     "sta_10_interval_overlap": f"""
-{_BOOT}, ci AS (SELECT area_id, {_CI[0].format('r1')} AS lo1, {_CI[1].format('r1')} AS hi1, {_CI[0].format('r2')} AS lo2, {_CI[1].format('r2')} AS hi2 FROM boot WHERE r1 IS NOT NULL AND r2 IS NOT NULL GROUP BY area_id)
+WITH ci AS (SELECT area_id, {_CI[0].format('r1')} AS lo1, {_CI[1].format('r1')} AS hi1, {_CI[0].format('r2')} AS lo2, {_CI[1].format('r2')} AS hi2 FROM t_boot WHERE r1 IS NOT NULL AND r2 IS NOT NULL GROUP BY area_id)
 SELECT area_id, lo1 <= hi2 AND lo2 <= hi1 AS overlap, lo1 > 0e0 OR hi1 < 0e0 AS first_separable, lo2 > 0e0 OR hi2 < 0e0 AS second_separable FROM ci""",
     "sta_11_signal_bearing": """
 SELECT area_id, feature, CASE WHEN s < 1e-10 THEN false WHEN flags = n THEN least(ones, n - ones) >= 0.05e0 * n WHEN abs(m) < 1e-8 THEN true ELSE s / abs(m) >= 0.05e0 END AS signal FROM (

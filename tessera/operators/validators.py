@@ -74,9 +74,9 @@ SELECT m.method, count(*) AS subareas, CAST(sum(m.n) AS BIGINT) AS points, max(l
 WITH s AS (SELECT method, area_id, subarea_id, avg(value) AS p, avg(truth) AS a FROM t_pred WHERE method <> 'naive' AND truth IS NOT NULL GROUP BY method, area_id, subarea_id),
 g AS (SELECT method, corr(p, a) AS r, sqrt(avg((p - a) * (p - a))) AS rmse FROM s GROUP BY method),
 e AS (SELECT method, area_id, corr(p, a) AS r, sqrt(avg((p - a) * (p - a))) AS rmse FROM s GROUP BY method, area_id HAVING count(*) >= 3),
-b AS (SELECT e.method, d.draw, e.area_id, row_number() OVER (PARTITION BY e.method, d.draw ORDER BY e.area_id) AS i, count(*) OVER (PARTITION BY e.method, d.draw) AS n FROM e CROSS JOIN t_draw d),
+b AS (SELECT /*+ BROADCAST(d) */ e.method, d.draw, e.area_id, row_number() OVER (PARTITION BY e.method, d.draw ORDER BY e.area_id) AS i, count(*) OVER (PARTITION BY e.method, d.draw) AS n FROM e CROSS JOIN t_draw d),
 k AS (SELECT method, area_id, r, row_number() OVER (PARTITION BY method ORDER BY area_id) AS i FROM e),
-m AS (SELECT b.method, b.draw, median(k.r) AS mid FROM b JOIN k ON k.method = b.method AND k.i = 1 + CAST(conv(substring(md5(CAST(b.draw AS STRING) || '-' || CAST(b.i AS STRING)), 1, 8), 16, 10) AS BIGINT) % b.n GROUP BY b.method, b.draw),
+m AS (SELECT /*+ MERGE(k) */ b.method, b.draw, median(k.r) AS mid FROM b JOIN k ON k.method = b.method AND k.i = 1 + CAST(conv(substring(md5(CAST(b.draw AS STRING) || '-' || CAST(b.i AS STRING)), 1, 8), 16, 10) AS BIGINT) % b.n GROUP BY b.method, b.draw),
 c AS (SELECT method, percentile_cont(0.025) WITHIN GROUP (ORDER BY mid) AS lo, percentile_cont(0.975) WITHIN GROUP (ORDER BY mid) AS hi FROM m GROUP BY method)
 SELECT g.method, round(max(g.r), 6) AS pooled_r, round(max(g.rmse), 6) AS pooled_rmse, round(median(e.r), 6) AS median_r, round(median(e.rmse), 6) AS median_rmse, round(max(c.lo), 6) AS median_lo, round(max(c.hi), 6) AS median_hi FROM g JOIN e ON g.method = e.method JOIN c ON g.method = c.method GROUP BY g.method""",
     "val_21_convergent_validity": f"""

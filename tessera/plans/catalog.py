@@ -16,11 +16,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import resampling
 from ..functions.neighbours import band, lonely, nearest, within
 from ..functions.polygons import contains
 from ..operators import PLANS
 from ..sources.fixtures import BASE, MINUTES, TIMES, VIEWS
-from ..sources.stored import BROADCAST_ROWS
+from ..sources.stored import BROADCAST_ROWS, sized, stored
 
 _NAME = re.compile(r"\bt_([a-z_0-9]+)\b")
 _PARAM = re.compile(r"\$([a-z_0-9]+)")
@@ -135,7 +136,29 @@ def _band(spark: SparkSession, tables: dict[str, DataFrame], params: Params) ->
     return band(points, cut if cut is not None else 0.0, "point_id", "area_id")
 
 
-BUILT: dict[str, Callable[[SparkSession, dict[str, DataFrame], Params], DataFrame]] = {"near16": _near16, "snap": _snap, "near_dest": _near_dest, "local": _local, "od": _od, "inside": _inside, "band": _band}
+def _boot(spark: SparkSession, tables: dict[str, DataFrame], params: Params) -> DataFrame:
+    rows = stored(bound(spark, "SELECT * FROM t_paired", tables, params))
+    few = resampling.bootstrap(rows.filter(F.col("n") <= resampling.MOST_ROWS), params["draws"])
+    many = rows.filter(F.col("n") > resampling.MOST_ROWS)
+    return few if many.isEmpty() else few.unionByName(bound(spark, VIEWS["boot"], {"paired": many}, params))
+
+
+def _resampled(name: str, of: Callable[[DataFrame, DataFrame, int], DataFrame]):
+    def run(spark: SparkSession, tables: dict[str, DataFrame], params: Params) -> DataFrame:
+        points = stored(bound(spark, "SELECT point_id, area_id, z FROM t_centred", tables, params))
+        edges = stored(bound(spark, "SELECT area_id, src, dst, w FROM t_weight", tables, params))
+        large = points.groupBy("area_id").count().filter(F.col("count") > resampling.MOST_ROWS).select("area_id")
+        if large.isEmpty():
+            return of(points, edges, params["permutations"])
+        # areas that no task should hold: the definition by joins
+        large = sized(stored(large))
+        few, many = ([t.join(large, "area_id", how) for t in (points, edges)] for how in ("left_anti", "left_semi"))
+        return of(*few, params["permutations"]).unionByName(bound(spark, VIEWS[name], {"centred": many[0], "weight": many[1]}, params))
+
+    return run
+
+
+BUILT: dict[str, Callable[[SparkSession, dict[str, DataFrame], Params], DataFrame]] = {"near16": _near16, "snap": _snap, "near_dest": _near_dest, "local": _local, "od": _od, "inside": _inside, "band": _band, "boot": _boot, "permuted_top": _resampled("permuted_top", resampling.permuted_moran), "local_p": _resampled("local_p", resampling.permuted_local)}
 
 
 def opened(spark: SparkSession, folder: str, sql: str) -> dict[str, DataFrame]:

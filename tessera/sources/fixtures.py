@@ -10,6 +10,11 @@ from .ranks import placed
 
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "labels", "documents", "embeddings", "pages", "benchmark", "conversations")
 
+def correlation(a: str, b: str) -> str:
+    """SQL for a correlation that is null where a side does not vary."""
+    return f"CASE WHEN stddev_pop({a}) > 1e-9 AND stddev_pop({b}) > 1e-9 THEN (avg({a} * {b}) - avg({a}) * avg({b})) / (stddev_pop({a}) * stddev_pop({b})) END"
+
+
 #: Travel times of a pair from its distance in kilometres, and minutes by car of one coordinate unit (6 km).
 TIMES = """point_id, dest_id, dest_type, dx, dy, km, km / 5e0 * 60e0 AS walk_time, km / 30e0 * 60e0 AS drive_time,
  CASE WHEN km >= 2e0 AND km <= 15e0 THEN km / 15e0 * 60e0 + 10e0 ELSE km / 5e0 * 60e0 * 1.5e0 END AS transit_time"""
@@ -48,6 +53,28 @@ SELECT poly_id, area_id, x AS x1, y AS y1, coalesce(lead(x) OVER (PARTITION BY p
     "inside": """
 SELECT p.point_id, s.poly_id FROM t_point p JOIN (SELECT poly_id, min(x) AS x0, max(x) AS x9, min(y) AS y0, max(y) AS y9 FROM t_corner GROUP BY poly_id) b ON p.x BETWEEN b.x0 AND b.x9 AND p.y BETWEEN b.y0 AND b.y9 JOIN t_segment s ON b.poly_id = s.poly_id
 GROUP BY p.point_id, s.poly_id HAVING sum(CASE WHEN (s.y1 > p.y) <> (s.y2 > p.y) AND p.x < (s.x2 - s.x1) * (p.y - s.y1) / nullif(s.y2 - s.y1, 0e0) + s.x1 THEN 1 ELSE 0 END) % 2 = 1""",
+    # known points with two allocations, numbered within areas
+    "paired": """
+SELECT area_id, truth, v1, v2, row_number() OVER (PARTITION BY area_id ORDER BY point_id) - 1 AS i, count(*) OVER (PARTITION BY area_id) AS n FROM (
+ SELECT area_id, point_id, min(truth) AS truth, max(CASE WHEN method = 'gradient' THEN value END) AS v1, max(CASE WHEN method = 'dasymetric' THEN value END) AS v2 FROM t_pred WHERE truth IS NOT NULL GROUP BY area_id, point_id)""",
+    # bootstrap: in each draw every place of an area takes the row that an md5 of draw, area and place points at
+    "boot": f"""
+SELECT p.draw, p.area_id, CASE WHEN max(p.n) >= 10 THEN {correlation("r.v1", "r.truth")} END AS r1, CASE WHEN max(p.n) >= 10 THEN {correlation("r.v2", "r.truth")} END AS r2, median(r.truth) AS mid, median(r.v1) - median(r.truth) AS diff
+FROM (SELECT d.draw, r.area_id, r.n, CAST(conv(substring(md5(CAST(d.draw AS STRING) || '-' || CAST(r.area_id AS STRING) || '-' || CAST(r.i AS STRING)), 1, 8), 16, 10) AS BIGINT) % r.n AS i FROM t_paired r CROSS JOIN t_draw d WHERE r.n >= 2) p
+JOIN t_paired r ON p.area_id = r.area_id AND p.i = r.i GROUP BY p.draw, p.area_id""",
+    # neighbour weights, values about their area's mean, and relabellings: within an area, place i takes the value at place i of an md5 order
+    "weight": """
+SELECT src, dst, area_id, w / sum(w) OVER (PARTITION BY src) AS w FROM (SELECT src, dst, area_id, sum(w) AS w FROM (SELECT src, dst, area_id, 0.5e0 AS w FROM t_near UNION ALL SELECT dst, src, area_id, 0.5e0 FROM t_near) GROUP BY src, dst, area_id)""",
+    "centred": """
+SELECT point_id, area_id, coalesce(truth, 0.5e0) - avg(coalesce(truth, 0.5e0)) OVER (PARTITION BY area_id) AS z FROM t_point""",
+    "permuted": """
+SELECT i.draw, i.point_id, i.area_id, v.z FROM (SELECT d.draw, p.point_id, p.area_id, p.nth FROM (SELECT point_id, area_id, row_number() OVER (PARTITION BY area_id ORDER BY point_id) AS nth FROM t_centred) p CROSS JOIN t_shuffle d) i
+JOIN (SELECT d.draw, p.area_id, p.z, row_number() OVER (PARTITION BY d.draw, p.area_id ORDER BY md5(CAST(d.draw AS STRING) || '-' || CAST(p.point_id AS STRING))) AS nth FROM t_centred p CROSS JOIN t_shuffle d) v ON i.draw = v.draw AND i.area_id = v.area_id AND i.nth = v.nth""",
+    "permuted_top": """
+SELECT a.draw, w.area_id, sum(w.w * a.z * b.z) AS top FROM t_weight w JOIN t_permuted a ON w.src = a.point_id JOIN t_permuted b ON w.dst = b.point_id AND a.draw = b.draw GROUP BY w.area_id, a.draw""",
+    "local_p": """
+SELECT s.point_id, (count_if(abs(s.z * d.lag) >= abs(s.z * s.lag) - 1e-12) + 1e0) / (count(*) + 1e0) AS p FROM (SELECT z.point_id, z.z, l.lag FROM t_centred z JOIN (SELECT w.src, sum(w.w * b.z) AS lag FROM t_weight w JOIN t_centred b ON w.dst = b.point_id GROUP BY w.src) l ON z.point_id = l.src) s
+JOIN (SELECT w.src, b.draw, sum(w.w * b.z) AS lag FROM t_weight w JOIN t_permuted b ON w.dst = b.point_id GROUP BY w.src, b.draw) d ON s.point_id = d.src GROUP BY s.point_id""",
     # numbers of bootstrap draws and of permutations
     "draw": """
 SELECT explode(sequence(1, $draws)) AS draw""",
