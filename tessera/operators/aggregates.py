@@ -55,8 +55,8 @@ WITH seg AS (SELECT area_id, CASE WHEN target <= q1 THEN 'Low' WHEN target <= q2
 f AS (SELECT s.segment, f.feature, avg(f.value) AS m, var_pop(f.value) AS v FROM t_feature f JOIN seg s ON f.area_id = s.area_id GROUP BY s.segment, f.feature)
 SELECT one, other, feature, round(effect, 6) AS effect, nth FROM (SELECT a.segment AS one, b.segment AS other, a.feature, abs(a.m - b.m) / nullif(sqrt((a.v + b.v) / 2e0), 0e0) AS effect, row_number() OVER (PARTITION BY a.segment, b.segment ORDER BY round(abs(a.m - b.m) / nullif(sqrt((a.v + b.v) / 2e0), 0e0), 9) DESC NULLS LAST, a.feature) AS nth FROM f a JOIN f b ON a.feature = b.feature AND a.segment < b.segment) WHERE nth <= 10""",
     "agg_28_counterintuitive": """
-SELECT c.point_id, round(c.truth, 6) AS target, c.segment FROM (SELECT s.point_id, s.truth, CASE WHEN s.m <= q.q1 THEN 'Low' WHEN s.m <= q.q2 THEN 'Medium' ELSE 'High' END AS segment FROM (SELECT p.point_id, min(p.truth) AS truth, avg(1e0 / (1e0 + a.mean_time)) AS m FROM t_point p JOIN t_access a ON p.point_id = a.point_id GROUP BY p.point_id) s
- CROSS JOIN (SELECT percentile_cont(0.3333) WITHIN GROUP (ORDER BY m) AS q1, percentile_cont(0.6667) WITHIN GROUP (ORDER BY m) AS q2 FROM (SELECT avg(1e0 / (1e0 + mean_time)) AS m FROM t_access GROUP BY point_id)) q) c WHERE (c.truth < $target_low AND c.segment = 'High') OR (c.truth > $target_high AND c.segment = 'Low')""",
+SELECT c.point_id, round(c.truth, 6) AS target, c.segment FROM (SELECT s.point_id, s.truth, CASE WHEN s.m <= q.q1 THEN 'Low' WHEN s.m <= q.q2 THEN 'Medium' ELSE 'High' END AS segment FROM t_reached s CROSS JOIN t_cut_reached q) c
+WHERE (c.truth < $target_low AND c.segment = 'High') OR (c.truth > $target_high AND c.segment = 'Low')""",
     "agg_29_metric_slope": "SELECT method, round(regr_slope(rmse, target), 5) AS slope FROM t_metric GROUP BY method HAVING count(*) >= 3",
     "agg_30_reference_delta": """
 WITH l AS (SELECT method, 'rmse' AS metric, avg(rmse) AS v FROM t_metric GROUP BY method UNION ALL SELECT method, 'gap', avg(gap) FROM t_metric GROUP BY method UNION ALL SELECT method, 'sd', avg(sd) FROM t_metric GROUP BY method)

@@ -16,9 +16,7 @@ SELECT 'property_value', a.area_id, round(coalesce(avg(p.ancillary / 100e0), 0.5
 SELECT subarea_id, round(CASE WHEN orders_n > 0 THEN (n_f) / orders_n * 100e0 END, 6) AS f_rate, round(CASE WHEN orders_n > 0 THEN (n_o) / orders_n * 100e0 END, 6) AS o_rate, round(CASE WHEN orders_n > 0 THEN (n_p) / orders_n * 100e0 END, 6) AS p_rate, round(CASE WHEN orders_n > 0 THEN (n_urgent) / orders_n * 100e0 END, 6) AS urgent_rate, round(CASE WHEN orders_n > 0 THEN (n_high) / orders_n * 100e0 END, 6) AS high_rate, round(CASE WHEN orders_n > 0 THEN (n_medium) / orders_n * 100e0 END, 6) AS medium_rate, round(CASE WHEN orders_n > 0 THEN (n_low) / orders_n * 100e0 END, 6) AS low_rate, round(CASE WHEN orders_n > 0 THEN (n_urgent + n_high) / orders_n * 100e0 END, 6) AS pressing_rate, round(CASE WHEN orders_n > 0 THEN (n_high + n_medium + n_low) / orders_n * 100e0 END, 6) AS calm_rate, round(CASE WHEN orders_n > 0 THEN (n_cheap) / orders_n * 100e0 END, 6) AS cheap_rate, round(CASE WHEN orders_n > 0 THEN (n_dear) / orders_n * 100e0 END, 6) AS dear_rate, round(CASE WHEN total > 0 THEN (orders_n) / total * 100e0 END, 6) AS per_point FROM t_counts""",
     "prj_07_minority_share": "SELECT subarea_id, round(least((1e0 - n_f / nullif(orders_n, 0)) * 100e0 + coalesce(n_urgent / nullif(total, 0) * 100e0, 0e0), 100e0), 6) AS share FROM t_counts",
     "prj_08_building_encoder": """
-WITH b AS (SELECT p_partkey, p_retailprice AS area, CASE WHEN p_size % 9 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS vertices, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_retailprice / (p_size * 10e0) END AS ratio, CASE WHEN p_size % 3 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) / 50e0 END AS acres, p_type FROM t_part),
-m AS (SELECT median(vertices) AS v, median(ratio) AS r FROM b)
-SELECT p_partkey, round(ln(1e0 + coalesce(area, 0e0)), 6) AS log_area, coalesce(vertices, m.v, 6e0) AS vertices, round(coalesce(ratio, m.r, 1e0), 6) AS build_land_ratio, round(coalesce(acres, 0e0), 6) AS acres, CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN 1e0 ELSE 0e0 END AS residential FROM b CROSS JOIN m""",
+SELECT p_partkey, round(ln(1e0 + coalesce(area, 0e0)), 6) AS log_area, coalesce(vertices, m.v, 6e0) AS vertices, round(coalesce(ratio, r.r, 1e0), 6) AS build_land_ratio, round(coalesce(acres, 0e0), 6) AS acres, CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN 1e0 ELSE 0e0 END AS residential FROM t_building LEFT JOIN t_cut_vertices m ON m.g = 0 LEFT JOIN t_cut_ratio r ON r.g = 0""",
     "prj_09_land_use_bins": """
 SELECT p_partkey, CASE WHEN code >= 100 AND code < 200 THEN 1e0 ELSE 0e0 END AS lu_1, CASE WHEN code >= 200 AND code < 300 THEN 1e0 ELSE 0e0 END AS lu_2, CASE WHEN code >= 300 AND code < 400 THEN 1e0 ELSE 0e0 END AS lu_3,
  CASE WHEN code IS NULL OR code < 100 OR code >= 400 THEN 1e0 ELSE 0e0 END AS lu_other FROM (SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_size * 10 END AS code FROM t_part)""",

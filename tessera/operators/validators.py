@@ -45,8 +45,7 @@ p AS (SELECT avg(CASE WHEN ancillary IS NULL THEN 1e0 ELSE 0e0 END) AS missing F
 c AS (SELECT 'features without variance' AS cause, 0.9e0 AS confidence, flat > 0.1e0 AS holds FROM f UNION ALL SELECT 'times do not fall with counts', 0.95e0, r > -0.1e0 FROM a UNION ALL SELECT 'destinations too sparse', 0.75e0, empty > 0.3e0 FROM a UNION ALL SELECT 'times out of range', 0.85e0, unreal > 0.05e0 FROM a UNION ALL SELECT 'missing ancillary values', 0.7e0, missing > 0.02e0 FROM p)
 SELECT cause, confidence, CASE WHEN confidence > 0.8e0 THEN 'HIGH' ELSE 'MEDIUM' END AS priority, row_number() OVER (ORDER BY confidence DESC, cause) AS place FROM c WHERE holds""",
     "val_11_distance_time_check": """
-WITH l AS (SELECT 'walk' AS mode, km, walk_time AS v FROM t_od UNION ALL SELECT 'drive', km, drive_time FROM t_od UNION ALL SELECT 'transit', km, transit_time FROM t_od), q AS (SELECT mode, percentile_cont(0.25) WITHIN GROUP (ORDER BY v) AS q1, percentile_cont(0.75) WITHIN GROUP (ORDER BY v) AS q3 FROM l GROUP BY mode)
-SELECT l.mode, count(*) AS n, round(corr(l.km, l.v), 6) AS r, count(*) >= 10 AND round(corr(l.km, l.v), 9) >= 0.4e0 AS ok FROM l JOIN q ON l.mode = q.mode WHERE l.v BETWEEN q.q1 - 1.5e0 * (q.q3 - q.q1) AND q.q3 + 1.5e0 * (q.q3 - q.q1) GROUP BY l.mode""",
+SELECT l.mode, count(*) AS n, round(corr(l.km, l.v), 6) AS r, count(*) >= 10 AND round(corr(l.km, l.v), 9) >= 0.4e0 AS ok FROM t_times l JOIN t_time_quartile q ON l.mode = q.g WHERE l.v BETWEEN q.q1 - 1.5e0 * (q.q3 - q.q1) AND q.q3 + 1.5e0 * (q.q3 - q.q1) GROUP BY l.mode""",
     "val_12_pair_counts": "SELECT round(avg(CAST(n AS DOUBLE)), 6) AS mean, max(n) AS most, min(n) AS least, count_if(n > 10) AS over_10, round(avg(CASE WHEN n < 2 THEN 1e0 ELSE 0e0 END), 6) AS under_2 FROM (SELECT point_id, count(DISTINCT dest_id) AS n FROM t_od WHERE km < 5e0 GROUP BY point_id)",
     "val_13_feature_check": "SELECT dest_type, round(stddev_pop(min_time), 6) AS sd, round(max(min_time) - min(min_time), 6) AS spread, count_if(count_5 <= 6) AS few, corr(min_time, CAST(count_5 AS DOUBLE)) <= 0.1e0 AS ok FROM t_access GROUP BY dest_type",
     "val_14_matrix_check": """

@@ -39,18 +39,16 @@ SELECT area_id, bin, place <= 10 AND nth <= 2 AS from_bin FROM (SELECT area_id,
     "win_06_percentile_positions": "SELECT DISTINCT p.p, t.area_id FROM (SELECT 5 + 10 * i AS p FROM (SELECT DISTINCT n_nationkey % 10 AS i FROM t_nation)) p JOIN (SELECT area_id, row_number() OVER (ORDER BY target, area_id) - 1 AS pos, count(*) OVER () AS n FROM t_area) t ON t.pos = CAST(floor(p.p / 100e0 * (t.n - 1) + 0.5e0) AS BIGINT)",
     "win_07_fixed_quintile": "SELECT point_id, CASE WHEN truth <= 0.2e0 THEN 'q1' WHEN truth <= 0.4e0 THEN 'q2' WHEN truth <= 0.6e0 THEN 'q3' WHEN truth <= 0.8e0 THEN 'q4' WHEN truth <= 1e0 THEN 'q5' END AS quintile FROM t_point",
     "win_08_access_quintile": f"SELECT point_id, CAST(least(floor((below + row_number() OVER (PARTITION BY g_, cell_, v_ ORDER BY point_id) - 1) / floor(n / 5e0)), 4e0) AS INT) AS quintile FROM ({placed('t_point', 'ancillary')})",
-    "win_09_tercile": "SELECT point_id, CASE WHEN ancillary >= hi THEN 2 WHEN ancillary >= lo THEN 1 ELSE 0 END AS tercile FROM t_point CROSS JOIN (SELECT percentile_cont(0.33) WITHIN GROUP (ORDER BY ancillary) AS lo, percentile_cont(0.67) WITHIN GROUP (ORDER BY ancillary) AS hi FROM t_point) WHERE ancillary IS NOT NULL",
+    "win_09_tercile": "SELECT point_id, CASE WHEN ancillary >= hi THEN 2 WHEN ancillary >= lo THEN 1 ELSE 0 END AS tercile FROM t_point CROSS JOIN t_cut_ancillary WHERE ancillary IS NOT NULL",
     "win_10_min_spread": "SELECT method, area_id, round(CASE WHEN count(*) < 4 THEN 0e0 ELSE greatest(0e0, 0.001e0 - avg(gap)) END, 9) AS hinge FROM (SELECT method, area_id, value - lag(value) OVER (PARTITION BY method, area_id ORDER BY value) AS gap FROM t_pred) GROUP BY method, area_id",
     "win_11_robust_scale": """
-SELECT f.feature, f.point_id, round((f.value - s.q2) / (CASE WHEN s.q3 - s.q1 = 0e0 THEN 1e0 ELSE s.q3 - s.q1 END), 6) AS scaled FROM t_feature f JOIN (SELECT feature, percentile_cont(0.25) WITHIN GROUP (ORDER BY value) q1, percentile_cont(0.5) WITHIN GROUP (ORDER BY value) q2, percentile_cont(0.75) WITHIN GROUP (ORDER BY value) q3 FROM t_feature WHERE CAST(conv(substring(md5('split-' || CAST(area_id AS STRING)), 1, 8), 16, 10) AS BIGINT) % 5 <> 0 GROUP BY feature) s ON f.feature = s.feature""",
+SELECT f.feature, f.point_id, round((f.value - s.q2) / (CASE WHEN s.q3 - s.q1 = 0e0 THEN 1e0 ELSE s.q3 - s.q1 END), 6) AS scaled FROM t_feature f JOIN t_quartile s ON f.feature = s.g""",
     "win_12_standard_scale": "SELECT f.feature, f.point_id, round((f.value - s.m) / (CASE WHEN s.s < 1e-12 THEN 1e0 ELSE s.s END), 6) AS scaled FROM t_feature f JOIN (SELECT feature, avg(value) m, stddev_pop(value) s FROM t_feature GROUP BY feature) s ON f.feature = s.feature",
     "win_13_area_zscore": "SELECT feature, point_id, round((value - m) / (CASE WHEN s < 1e-8 THEN 1e0 ELSE s END), 6) AS z FROM (SELECT *, avg(value) OVER (PARTITION BY area_id, feature) AS m, stddev_pop(value) OVER (PARTITION BY area_id, feature) AS s FROM t_feature)",
     "win_14_zero_variance": "SELECT area_id, feature FROM t_feature GROUP BY area_id, feature HAVING stddev_pop(value) < 1e-8",
     "win_15_top_k": "SELECT method, area_id FROM (SELECT method, area_id, row_number() OVER (PARTITION BY method ORDER BY round(rmse, 9) DESC, area_id) AS nth FROM t_metric) WHERE nth <= 5",
     "win_16_centre_edge": """
-WITH d AS (SELECT value, sqrt((x - avg(x) OVER (PARTITION BY area_id)) * (x - avg(x) OVER (PARTITION BY area_id)) + (y - avg(y) OVER (PARTITION BY area_id)) * (y - avg(y) OVER (PARTITION BY area_id))) AS d FROM t_pred WHERE method = 'gradient'),
-q AS (SELECT percentile_cont(0.33) WITHIN GROUP (ORDER BY d) AS p33, percentile_cont(0.67) WITHIN GROUP (ORDER BY d) AS p67 FROM d),
-g AS (SELECT CASE WHEN d <= p33 THEN 'centre' ELSE 'edge' END AS place, CAST(count(*) AS DOUBLE) AS n, avg(value) AS m, stddev_pop(value) AS s, var_samp(value) AS v FROM d CROSS JOIN q WHERE d <= p33 OR d >= p67 GROUP BY 1)
+WITH g AS (SELECT CASE WHEN d <= p33 THEN 'centre' ELSE 'edge' END AS place, CAST(count(*) AS DOUBLE) AS n, avg(value) AS m, stddev_pop(value) AS s, var_samp(value) AS v FROM t_centre CROSS JOIN t_cut_centre WHERE d <= p33 OR d >= p67 GROUP BY 1)
 SELECT c.n AS n_centre, e.n AS n_edge, round(c.m, 6) AS mean_centre, round(e.m, 6) AS mean_edge, round(c.s, 6) AS sd_centre, round(e.s, 6) AS sd_edge, round((c.m - e.m) / sqrt(((c.n - 1e0) * c.v + (e.n - 1e0) * e.v) / (c.n + e.n - 2e0) * (1e0 / c.n + 1e0 / e.n)), 5) AS t
 FROM g c JOIN g e ON c.place = 'centre' AND e.place = 'edge'""",
     "win_17_fixed_bins": "SELECT point_id, CASE WHEN ancillary <= 5e0 THEN '0-5' WHEN ancillary <= 10e0 THEN '5-10' WHEN ancillary <= 20e0 THEN '10-20' ELSE '20-100' END AS bin FROM t_point WHERE ancillary IS NOT NULL",

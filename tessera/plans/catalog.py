@@ -16,11 +16,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import resampling
+from ..functions import quantiles, resampling
 from ..functions.neighbours import band, lonely, nearest, within
 from ..functions.polygons import contains
 from ..operators import PLANS
-from ..sources.fixtures import BASE, MINUTES, TIMES, VIEWS
+from ..sources.fixtures import BASE, MINUTES, QUANTILES, TIMES, VIEWS
 from ..sources.stored import BROADCAST_ROWS, sized, stored
 
 _NAME = re.compile(r"\bt_([a-z_0-9]+)\b")
@@ -131,7 +131,7 @@ def _inside(spark: SparkSession, tables: dict[str, DataFrame], params: Params) -
 
 
 def _band(spark: SparkSession, tables: dict[str, DataFrame], params: Params) -> DataFrame:
-    cut = bound(spark, "SELECT cut FROM t_band_width", tables).first()["cut"]
+    cut = (bound(spark, "SELECT cut FROM t_band_width", tables).first() or {"cut": None})["cut"]
     points = bound(spark, "SELECT point_id, area_id, x, y FROM t_point", tables)
     return band(points, cut if cut is not None else 0.0, "point_id", "area_id")
 
@@ -161,6 +161,10 @@ def _resampled(name: str, of: Callable[[DataFrame, DataFrame, int], DataFrame]):
 BUILT: dict[str, Callable[[SparkSession, dict[str, DataFrame], Params], DataFrame]] = {"near16": _near16, "snap": _snap, "near_dest": _near_dest, "local": _local, "od": _od, "inside": _inside, "band": _band, "boot": _boot, "permuted_top": _resampled("permuted_top", resampling.permuted_moran), "local_p": _resampled("local_p", resampling.permuted_local)}
 
 
+for _name, (_source, _wanted) in QUANTILES.items():
+    BUILT[_name] = lambda spark, tables, params, source=_source, wanted=_wanted: quantiles.percentiles(bound(spark, source, tables, params), wanted)
+
+
 def opened(spark: SparkSession, folder: str, sql: str) -> dict[str, DataFrame]:
     """The base tables below a statement, from the star schema's Parquet files."""
     return {t: spark.read.parquet(f"{folder}/{t}.parquet") for t in needed(sql)}

@@ -155,13 +155,34 @@ SELECT src, dst, area_id, d, nth FROM (SELECT a.point_id AS src, b.point_id AS d
     # the sixteen and the eight nearest points of the own area
     "near": """
 SELECT src, dst, area_id, d, nth FROM t_near16 WHERE nth <= 8""",
-    # the median distance to the eighth nearest point, and all pairs of an area's points no further apart
-    "band_width": """
-SELECT percentile_cont(0.5) WITHIN GROUP (ORDER BY kth) AS cut FROM (SELECT src, max(d) AS kth FROM t_near GROUP BY src)""",
+    # all pairs of an area's points no further apart than the median distance to the eighth nearest point
     "band": """
 SELECT src, dst, area_id, d FROM (SELECT a.point_id AS src, b.point_id AS dst, a.area_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM t_point a JOIN t_point b ON a.area_id = b.area_id AND a.point_id <> b.point_id) CROSS JOIN t_band_width WHERE d <= cut""",
     # recovery of the truth by area and method
     "metric": """
 SELECT method, area_id, min(target) AS target, count(*) AS n, CASE WHEN stddev_pop(value) > 1e-9 AND stddev_pop(truth) > 1e-9 THEN (avg(value * truth) - avg(value) * avg(truth)) / (stddev_pop(value) * stddev_pop(truth)) END AS r, sqrt(avg((value - truth) * (value - truth))) AS rmse, avg(abs(value - truth)) AS mae, stddev_pop(value) AS sd,
  abs(avg(value) - min(target)) AS gap FROM t_pred WHERE truth IS NOT NULL GROUP BY method, area_id""",
+    # buildings with gaps; distances of allocated points from their area's centre; access of points; times of all modes
+    "building": """
+SELECT p_partkey, p_retailprice AS area, CASE WHEN p_size % 9 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS vertices, CASE WHEN p_size % 5 = 0 THEN NULL ELSE p_retailprice / (p_size * 10e0) END AS ratio, CASE WHEN p_size % 3 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) / 50e0 END AS acres, p_type FROM t_part""",
+    "centre": """
+SELECT value, sqrt((x - avg(x) OVER (PARTITION BY area_id)) * (x - avg(x) OVER (PARTITION BY area_id)) + (y - avg(y) OVER (PARTITION BY area_id)) * (y - avg(y) OVER (PARTITION BY area_id))) AS d FROM t_pred WHERE method = 'gradient'""",
+    "reached": """
+SELECT p.point_id, min(p.truth) AS truth, avg(1e0 / (1e0 + a.mean_time)) AS m FROM t_point p JOIN t_access a ON p.point_id = a.point_id GROUP BY p.point_id""",
+    "times": """
+SELECT 'walk' AS mode, km, walk_time AS v FROM t_od UNION ALL SELECT 'drive', km, drive_time FROM t_od UNION ALL SELECT 'transit', km, transit_time FROM t_od""",
 }
+
+#: Percentiles of large columns: rows (g, v), and the wanted ones by name; a table has a row (g, name, ...) for each g.
+QUANTILES = {
+    "band_width": ("SELECT 0 AS g, max(d) AS v FROM t_near GROUP BY src", {"cut": 0.5}),
+    "cut_ancillary": ("SELECT 0 AS g, ancillary AS v FROM t_point", {"lo": 0.33, "hi": 0.67}),
+    "cut_centre": ("SELECT 0 AS g, d AS v FROM t_centre", {"p33": 0.33, "p67": 0.67}),
+    "cut_vertices": ("SELECT 0 AS g, vertices AS v FROM t_building", {"v": 0.5}),
+    "cut_ratio": ("SELECT 0 AS g, ratio AS v FROM t_building", {"r": 0.5}),
+    "cut_reached": ("SELECT 0 AS g, m AS v FROM t_reached", {"q1": 0.3333, "q2": 0.6667}),
+    "quartile": ("SELECT feature AS g, value AS v FROM t_feature WHERE CAST(conv(substring(md5('split-' || CAST(area_id AS STRING)), 1, 8), 16, 10) AS BIGINT) % 5 <> 0", {"q1": 0.25, "q2": 0.5, "q3": 0.75}),
+    "time_quartile": ("SELECT mode AS g, v FROM t_times", {"q1": 0.25, "q3": 0.75}),
+}
+for _name, (_source, _wanted) in QUANTILES.items():
+    VIEWS[_name] = f"SELECT g, {', '.join(f'percentile_cont({f}) WITHIN GROUP (ORDER BY v) AS {n}' for n, f in _wanted.items())} FROM ({_source}) GROUP BY g"
