@@ -146,11 +146,22 @@ def principal_components(points: DataFrame, features: list[str], target: str, k:
     return points.sparkSession.createDataFrame(made, "component int, variance_ratio double, r double, loadings map<string,double>")
 
 
-def spatial_clusters(points: DataFrame, value: str, k: int = 5) -> DataFrame:
-    """(cluster, n, mean, variance) of k-means on the coordinates."""
+def spatial_clusters(points: DataFrame, value: str, k: int | None = None) -> DataFrame:
+    """(cluster, n, mean, variance, within, between, between_share) of k-means on the coordinates.
+
+    k is a tenth of the points by default, one at least and five at most. within and between split the variance of the
+    value over all points that have one: the clusters' variances and the squared distances of their means, both
+    weighted by n. Points without a value count for the clusters, not for the split.
+    """
     rows = assembled(points, ["x", "y"])
+    k = max(1, min(5, rows.count() // 10)) if k is None else k
     model = KMeans(k=k, seed=1).fit(rows)
-    return model.transform(rows).groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("variance"))
+    found = model.transform(rows).groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("variance"), F.count(value).alias("_w"))
+    every = Window.partitionBy()  # a row for each cluster
+    share = F.col("_w") / F.sum("_w").over(every)
+    middle = F.sum(share * F.col("mean")).over(every)
+    split = found.withColumn("_m", middle).withColumns({"within": F.sum(share * F.col("variance")).over(every), "between": F.sum(share * (F.col("mean") - F.col("_m")) ** 2).over(every)})
+    return split.withColumn("between_share", F.try_divide("between", F.col("within") + F.col("between"))).drop("_w", "_m")
 
 
 def permutation_importance(points: DataFrame, features: list[str], target: str, group: str, key: str, repeats: int = 3, trees: int = 20) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.stored import stored
+from .neighbours import nearest
 
 
 def shortest_paths(roads: DataFrame, sources: DataFrame, cutoff: float) -> DataFrame:
@@ -150,10 +151,10 @@ def network_edges(near: DataFrame, snapped: DataFrame, paths: DataFrame, metres:
     return ends.join(path.hint("merge"), ["na", "nb"]).select("src", "dst", (1 / (1 + F.col("cost") / 500)).alias("w"))
 
 
-def road_knn(near: DataFrame, snapped: DataFrame, roads: DataFrame, k: int, metres: float) -> DataFrame:
-    """(src, dst, nth): the k nearest of 3k planar candidates by road, within a cutoff of five times the furthest
-    candidate and 500 m at least; a pair without a snapped end counts by its planar distance."""
-    close = near.filter(F.col("nth") <= 3 * k)
+def road_knn(points: DataFrame, snapped: DataFrame, roads: DataFrame, k: int, metres: float) -> DataFrame:
+    """(src, dst, nth): the k nearest of the 3k planar candidates of the own area by road, within a cutoff of five times
+    the furthest candidate and 500 m at least; a pair without a snapped end counts by its planar distance."""
+    close = nearest(points, points, 3 * k, "point_id", "point_id", "area_id", same=True)
     cutoff = max(500.0, 5 * metres * (close.agg(F.max("d")).first()[0] or 0.0))
     sources = snapped.filter("node IS NOT NULL").select(F.col("node").alias("src")).distinct()
     paths = shortest_paths(roads, sources, cutoff)

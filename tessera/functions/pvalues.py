@@ -38,24 +38,36 @@ def pearson(r: float, n: float) -> float | None:
     return 0.0 if abs(r) >= 1 else two_sided_t(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
 
 
-def wilcoxon(plus: float, n: float, ties: float) -> float | None:
-    """Two-sided p of the signed-rank sum of the positive differences.
+def _signed_ranks(plus: float, n: int, ties: float) -> tuple[float, float]:
+    """P(W <= plus) and P(W >= plus) of the signed-rank sum of n differences.
 
-    n counts differences other than zero, ties is the sum of m^3 - m over groups of m equal sizes. Up to 50
-    differences without ties the distribution is exact, else normal with the tie correction.
+    ties is the sum of m^3 - m over groups of m equal sizes. Up to 50 differences without ties the distribution is
+    exact, else normal with the tie correction.
     """
-    if plus is None or not n:
-        return None
-    n = int(n)
-    least = min(plus, n * (n + 1) / 2 - plus)
     if n <= 50 and not ties:
         ways = [1] + [0] * (n * (n + 1) // 2)
         for k in range(1, n + 1):
             for s in range(len(ways) - 1, k - 1, -1):
                 ways[s] += ways[s - k]
-        return min(1.0, 2 * sum(ways[: int(least) + 1]) / 2**n)
-    spread = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)
-    return min(1.0, math.erfc((n * (n + 1) / 4 - least) / spread / math.sqrt(2))) if spread else 1.0
+        return sum(ways[: int(plus) + 1]) / 2**n, sum(ways[int(plus) :]) / 2**n
+    spread = math.sqrt(max(n * (n + 1) * (2 * n + 1) / 24 - ties / 48, 0.0))
+    z = (plus - n * (n + 1) / 4) / spread / math.sqrt(2) if spread else 0.0
+    return (math.erfc(-z) / 2, math.erfc(z) / 2) if spread else (1.0, 1.0)
+
+
+def wilcoxon(plus: float, n: float, ties: float) -> float | None:
+    """Two-sided p of the signed-rank sum of the positive differences among n that are not zero."""
+    return None if plus is None or not n else min(1.0, 2 * min(_signed_ranks(plus, int(n), ties)))
+
+
+def wilcoxon_less(plus: float, n: float, ties: float) -> float | None:
+    """One-sided p: how likely the positive differences weigh so little by chance."""
+    return None if plus is None or not n else _signed_ranks(plus, int(n), ties)[0]
+
+
+def wilcoxon_greater(plus: float, n: float, ties: float) -> float | None:
+    """One-sided p: how likely the positive differences weigh so much by chance."""
+    return None if plus is None or not n else _signed_ranks(plus, int(n), ties)[1]
 
 
 def sign(positive: float, n: float) -> float | None:

@@ -97,7 +97,7 @@ def grf_05_network_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grf_06_road_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     snapped = table(spark, sf_dir, "SELECT point_id, CASE WHEN d * $metres <= 500e0 THEN node END AS node FROM t_snap")
-    return paths.road_knn(_all(spark, sf_dir, "near16"), snapped, _all(spark, sf_dir, "road"), 4, METRES)
+    return paths.road_knn(_points(spark, sf_dir), snapped, _all(spark, sf_dir, "road"), 4, METRES)
 
 
 def grf_07_bounded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,18 +129,18 @@ def sta_02_pearson_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("p", pvalues.column(pvalues.pearson, "r", "n"))
 
 
-_SIGNED = """SELECT feature, count(*) AS n, sum(CASE WHEN r > 0e0 THEN place ELSE 0e0 END) AS plus, sum(CASE WHEN nth = 1 THEN CAST(m AS DOUBLE) * m * m - m ELSE 0e0 END) AS ties FROM (
- SELECT feature, r, rank() OVER (PARTITION BY feature ORDER BY size_) + (count(*) OVER (PARTITION BY feature, size_) - 1) / 2e0 AS place, count(*) OVER (PARTITION BY feature, size_) AS m, row_number() OVER (PARTITION BY feature, size_ ORDER BY area_id) AS nth
- FROM (SELECT feature, area_id, r, round(abs(r), 12) AS size_ FROM (SELECT f.feature, f.area_id, corr(f.value, p.truth) AS r FROM t_feature f JOIN t_point p ON f.point_id = p.point_id WHERE p.truth IS NOT NULL AND f.feature <> 'flat' GROUP BY f.feature, f.area_id) WHERE r <> 0e0 AND NOT isnan(r))) GROUP BY feature"""
-_SUMMARY = """SELECT feature, count(*) AS areas, avg(r) AS mean, median(r) AS middle, percentile_cont(0.75) WITHIN GROUP (ORDER BY r) - percentile_cont(0.25) WITHIN GROUP (ORDER BY r) AS iqr, count_if(r > 0e0) AS positive, count_if(r < 0e0) AS negative FROM (
- SELECT f.feature, f.area_id, corr(f.value, p.truth) AS r FROM t_feature f JOIN t_point p ON f.point_id = p.point_id WHERE p.truth IS NOT NULL AND f.feature <> 'flat' GROUP BY f.feature, f.area_id) WHERE NOT isnan(r) GROUP BY feature HAVING count(*) >= 5"""
+_SIGNED = """SELECT feature, count(*) AS n, sum(CASE WHEN rho > 0e0 THEN place ELSE 0e0 END) AS plus, sum(CASE WHEN nth = 1 THEN CAST(m AS DOUBLE) * m * m - m ELSE 0e0 END) AS ties FROM (
+ SELECT feature, rho, rank() OVER (PARTITION BY feature ORDER BY size_) + (count(*) OVER (PARTITION BY feature, size_) - 1) / 2e0 AS place, count(*) OVER (PARTITION BY feature, size_) AS m, row_number() OVER (PARTITION BY feature, size_ ORDER BY area_id) AS nth
+ FROM (SELECT feature, area_id, rho, round(abs(rho), 12) AS size_ FROM t_rho WHERE rho <> 0e0 AND NOT isnan(rho))) GROUP BY feature"""
+_SUMMARY = """SELECT feature, count(*) AS areas, avg(rho) AS mean, median(rho) AS middle, percentile_cont(0.75) WITHIN GROUP (ORDER BY rho) - percentile_cont(0.25) WITHIN GROUP (ORDER BY rho) AS iqr, count_if(rho > 0e0) AS positive, count_if(rho < 0e0) AS negative
+FROM t_rho WHERE NOT isnan(rho) GROUP BY feature HAVING count(*) >= 5"""
 
 
 def sta_13_rank_consistency_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summary with both tests' p values and the flag of consistent features."""
     rows = table(spark, sf_dir, _SUMMARY).join(table(spark, sf_dir, _SIGNED).hint("merge"), "feature")
     rows = rows.withColumn("sign_p", pvalues.column(pvalues.sign, "positive", F.col("positive") + F.col("negative"))).withColumn("wilcoxon_p", pvalues.column(pvalues.wilcoxon, "plus", "n", "ties"))
-    return rows.drop("n", "plus", "ties").withColumn("consistent", (F.col("wilcoxon_p") < 0.05) & (F.abs("middle") >= 0.1))
+    return rows.drop("n", "plus", "ties").withColumn("consistent", (F.col("sign_p") < 0.05) & (F.abs("middle") >= 0.1))
 
 
 def sta_15_wilcoxon_p(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +148,8 @@ def sta_15_wilcoxon_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql = """SELECT method, count(*) AS n, sum(CASE WHEN d > 0e0 THEN place ELSE 0e0 END) AS plus, sum(CASE WHEN nth = 1 THEN CAST(m AS DOUBLE) * m * m - m ELSE 0e0 END) AS ties FROM (
  SELECT method, d, rank() OVER (PARTITION BY method ORDER BY abs(d)) + (count(*) OVER (PARTITION BY method, abs(d)) - 1) / 2e0 AS place, count(*) OVER (PARTITION BY method, abs(d)) AS m, row_number() OVER (PARTITION BY method, abs(d) ORDER BY area_id) AS nth
  FROM (SELECT m.method, m.area_id, round(m.rmse - b.rmse, 9) AS d FROM t_metric m JOIN t_metric b ON m.area_id = b.area_id AND b.method = 'naive' WHERE m.method <> 'naive') WHERE d <> 0e0) GROUP BY method"""
-    return table(spark, sf_dir, sql).select("method", "n", "plus", pvalues.column(pvalues.wilcoxon, "plus", "n", "ties").alias("p"))
+    one = pvalues.column(pvalues.wilcoxon_less, "plus", "n", "ties").alias("p_less")
+    return table(spark, sf_dir, sql).select("method", "n", "plus", pvalues.column(pvalues.wilcoxon, "plus", "n", "ties").alias("p"), one)
 
 
 def sta_20_uncorrelated_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +171,11 @@ def snk_01_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snk_02_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.predictions(table(spark, sf_dir, "SELECT method, point_id, area_id, value FROM t_pred"), shared_dir(spark))
+    """Refused where a row is missing or a method's correlation is not that of the metrics computed apart from it."""
+    rows = table(spark, sf_dir, "SELECT p.method, p.point_id, p.area_id, p.value, p.truth FROM t_pred p")
+    points = table(spark, sf_dir, "SELECT count(*) AS n FROM t_point").first()["n"]
+    known = table(spark, sf_dir, "SELECT method, sqrt(sum(n * rmse * rmse) / sum(n)) AS rmse FROM t_metric GROUP BY method").collect()
+    return sinks.predictions(rows, shared_dir(spark), rows=3 * points, expected={r["method"]: r["rmse"] for r in known})
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -77,8 +77,12 @@ SELECT area_id, dest_id FROM (SELECT area_id, dest_id, row_number() OVER (PARTIT
 SELECT p.point_id, round(ar.target, 6) AS target, {", ".join(f"b.{t}_{c}" for t in _TYPES for c in _BASE)}, {", ".join(f"m.{t}_{c}" for t in _TYPES for c in _MODAL)},
  s.total AS social_total, s.orders_n AS social_orders, s.n_f AS social_f, s.n_urgent AS social_urgent, coalesce(s.income, 50000e0) AS social_income, round(CASE WHEN s.orders_n > 0 THEN s.n_f * 100e0 / s.orders_n END, 6) AS social_f_rate, round(CASE WHEN s.orders_n > 0 THEN s.n_urgent * 100e0 / s.orders_n END, 6) AS social_urgent_rate,
  round(CASE WHEN s.total > 0 THEN s.orders_n * 1e0 / s.total END, 6) AS social_density, round(ln(1e0 + coalesce(s.income, 50000e0)), 6) AS social_log_income, round(ln(1e0 + coalesce(g.p_retailprice, 0e0)), 6) AS building_log_area, coalesce(g.p_size, 6) AS building_vertices,
- CASE WHEN g.p_type IN ('ECONOMY', 'STANDARD') THEN 1e0 ELSE 0e0 END AS building_residential
+ CASE WHEN g.p_type IN ('ECONOMY', 'STANDARD') THEN 1e0 ELSE 0e0 END AS building_residential,
+ round(ln(1e0 + coalesce(g.p_retailprice * g.p_size, 0e0)), 6) AS parcel_log_value, round(coalesce(g.p_retailprice / nullif(g.p_size * 10e0, 0e0), 1e0), 6) AS parcel_ratio, round(ln(1e0 + coalesce(g.p_size / 50e0, 0e0)), 6) AS parcel_log_acres,
+ {", ".join(f"CASE WHEN g.p_size * 10 >= {100 * i} AND g.p_size * 10 < {100 * i + 100} THEN 1e0 ELSE 0e0 END AS land_use_{i}" for i in (1, 2, 3))}, CASE WHEN g.p_size IS NULL OR g.p_size * 10 < 100 OR g.p_size * 10 >= 400 THEN 1e0 ELSE 0e0 END AS land_use_other,
+ {", ".join(f"CASE WHEN c.c_mktsegment = '{k}' THEN 1e0 ELSE 0e0 END AS type_{k.lower()}" for k in ("BUILDING", "MACHINERY", "AUTOMOBILE", "FURNITURE", "HOUSEHOLD"))},
+ CASE WHEN z.in_sfha THEN 1e0 ELSE 0e0 END AS flood_sfha, {", ".join(f"CASE WHEN z.flood_zone = '{k}' THEN 1e0 ELSE 0e0 END AS flood_{k.lower()}" for k in ("AE", "A", "X"))}
 FROM t_point p JOIN t_area ar ON p.area_id = ar.area_id LEFT JOIN ({_pivoted(_BASE, "t_base")}) b ON p.point_id = b.point_id LEFT JOIN ({_pivoted(_MODAL, f"({_MODES})")}) m ON p.point_id = m.point_id
-LEFT JOIN t_counts s ON p.subarea_id = s.subarea_id LEFT JOIN t_part g ON p.point_id = g.p_partkey""",
+LEFT JOIN t_counts s ON p.subarea_id = s.subarea_id LEFT JOIN t_part g ON p.point_id = g.p_partkey LEFT JOIN t_customer c ON p.point_id = c.c_custkey LEFT JOIN t_zone z ON p.subarea_id = z.zone_id""",
     "acc_24_importance_weights": "SELECT dest_id, round(CASE dest_type WHEN 'employment' THEN 0.2e0 + 0.8e0 * least(1e0, coalesce(employees, 1000) / 5000e0) WHEN 'healthcare' THEN 0.3e0 + 0.7e0 * least(1e0, coalesce(employees % 500, 100) / 400e0) ELSE 0.5e0 END, 6) AS weight FROM t_dest",
 }

@@ -36,9 +36,8 @@ FROM (SELECT area_id, subarea_id, count(*) AS n, CAST(count(truth) AS DOUBLE) AS
 SELECT a.area_id, round(a.target, 6) AS target, count(p.point_id) AS n, CASE WHEN count(p.point_id) >= $complete_points THEN 'good' WHEN count(p.point_id) > 0 THEN 'sparse' ELSE 'empty' END AS status FROM t_area a LEFT JOIN t_point p ON a.area_id = p.area_id GROUP BY a.area_id, a.target""",
     "agg_17_weighted_mean_check": "SELECT s.area_id, round(sum(m * n) / sum(n), 6) AS weighted, round(100e0 * abs(sum(m * n) / sum(n) - max(a.target)) / max(a.target), 4) AS gap_pct FROM (SELECT area_id, subarea_id, CAST(count(truth) AS DOUBLE) AS n, avg(truth) AS m FROM t_point GROUP BY area_id, subarea_id) s JOIN t_area a ON s.area_id = a.area_id GROUP BY s.area_id",
     "agg_18_importance_rollup": """
-SELECT feature, round(m, 6) AS mean_drop, round(s, 6) AS sd_drop, areas, row_number() OVER (ORDER BY round(m, 6) DESC, feature) AS place FROM (SELECT feature, avg(v) AS m, stddev_samp(v) AS s, count(*) AS areas FROM (
- SELECT f.feature, f.area_id, regr_r2(p.truth, f.value) * var_pop(p.truth) AS v FROM t_feature f JOIN t_point p ON f.point_id = p.point_id WHERE p.truth IS NOT NULL AND f.feature <> 'flat' GROUP BY f.feature, f.area_id) GROUP BY feature)""",
-    "agg_19_seed_rollup": "SELECT method, round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS sd FROM t_metric WHERE r IS NOT NULL AND NOT isnan(r) AND sd > 1e-9 GROUP BY method",
+SELECT feature, round(m, 6) AS mean_drop, round(s, 6) AS sd_drop, areas, row_number() OVER (ORDER BY round(m, 6) DESC, feature) AS place FROM (SELECT feature, avg(loss) AS m, stddev_samp(loss) AS s, count(loss) AS areas FROM t_importance WHERE NOT isnan(loss) GROUP BY feature)""",
+    "agg_19_seed_rollup": "SELECT metric, count(*) AS seeds, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd FROM (SELECT metric, seed, avg(value) AS v FROM t_ledger WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY metric, seed) GROUP BY metric",
     "agg_20_method_comparison": "SELECT method, row_number() OVER (ORDER BY round(gap, 9), method) AS by_gap, row_number() OVER (ORDER BY round(sd, 9) DESC, method) AS by_spread, round(sd - max(CASE WHEN method = 'naive' THEN sd END) OVER (), 6) AS over_naive FROM (SELECT method, avg(gap) AS gap, avg(sd) AS sd FROM t_metric GROUP BY method)",
     "agg_21_wide_rollup": "SELECT area_id, round(max(CASE WHEN method = 'naive' THEN sd END), 6) AS naive_sd, round(max(CASE WHEN method = 'dasymetric' THEN sd END), 6) AS dasymetric_sd, round(max(CASE WHEN method = 'dasymetric' THEN gap END), 6) AS dasymetric_gap, round(max(CASE WHEN method = 'gradient' THEN sd END), 6) AS gradient_sd FROM t_metric GROUP BY area_id",
     "agg_22_metric_summary": "SELECT method, round(median(r), 6) AS middle, round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS sd, count_if(r > 0.3e0) AS over_30, count_if(r > 0.5e0) AS over_50, round(median(rmse), 6) AS err FROM t_metric WHERE sd > 1e-9 GROUP BY method",
@@ -54,13 +53,16 @@ SELECT subarea_id, count_if(step = 0) AS n, round(min(lo), 6) AS lo, round(max(l
 WITH seg AS (SELECT area_id, CASE WHEN target <= q1 THEN 'Low' WHEN target <= q2 THEN 'Medium' ELSE 'High' END AS segment FROM t_area CROSS JOIN (SELECT percentile_cont(0.3333) WITHIN GROUP (ORDER BY target) AS q1, percentile_cont(0.6667) WITHIN GROUP (ORDER BY target) AS q2 FROM t_area)),
 f AS (SELECT s.segment, f.feature, avg(f.value) AS m, var_pop(f.value) AS v FROM t_feature f JOIN seg s ON f.area_id = s.area_id GROUP BY s.segment, f.feature)
 SELECT one, other, feature, round(effect, 6) AS effect, nth FROM (SELECT a.segment AS one, b.segment AS other, a.feature, abs(a.m - b.m) / nullif(sqrt((a.v + b.v) / 2e0), 0e0) AS effect, row_number() OVER (PARTITION BY a.segment, b.segment ORDER BY round(abs(a.m - b.m) / nullif(sqrt((a.v + b.v) / 2e0), 0e0), 9) DESC NULLS LAST, a.feature) AS nth FROM f a JOIN f b ON a.feature = b.feature AND a.segment < b.segment) WHERE nth <= 10""",
+    "agg_27_segment_features": """
+WITH seg AS (SELECT area_id, CASE WHEN target <= q1 THEN 'Low' WHEN target <= q2 THEN 'Medium' ELSE 'High' END AS segment FROM t_area CROSS JOIN (SELECT percentile_cont(0.3333) WITHIN GROUP (ORDER BY target) AS q1, percentile_cont(0.6667) WITHIN GROUP (ORDER BY target) AS q2 FROM t_area))
+SELECT s.segment, f.feature, count(*) AS n, round(avg(f.value), 6) AS mean, round(stddev_pop(f.value), 6) AS sd FROM t_feature f JOIN seg s ON f.area_id = s.area_id GROUP BY s.segment, f.feature""",
     "agg_28_counterintuitive": """
 SELECT c.point_id, round(c.truth, 6) AS target, c.segment FROM (SELECT s.point_id, s.truth, CASE WHEN s.m <= q.q1 THEN 'Low' WHEN s.m <= q.q2 THEN 'Medium' ELSE 'High' END AS segment FROM t_reached s CROSS JOIN t_cut_reached q) c
 WHERE (c.truth < $target_low AND c.segment = 'High') OR (c.truth > $target_high AND c.segment = 'Low')""",
     "agg_29_metric_slope": "SELECT method, round(regr_slope(rmse, target), 5) AS slope FROM t_metric GROUP BY method HAVING count(*) >= 3",
     "agg_30_reference_delta": """
-WITH l AS (SELECT method, 'rmse' AS metric, avg(rmse) AS v FROM t_metric GROUP BY method UNION ALL SELECT method, 'gap', avg(gap) FROM t_metric GROUP BY method UNION ALL SELECT method, 'sd', avg(sd) FROM t_metric GROUP BY method)
-SELECT a.method, a.metric, round(a.v, 4) AS value, round(b.v, 4) AS reference, round(a.v - b.v, 4) AS delta FROM l a JOIN l b ON a.metric = b.metric AND b.method = 'naive' WHERE a.method <> 'naive'""",
+WITH l AS (SELECT seed, metric, avg(value) AS v FROM t_ledger WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY seed, metric)
+SELECT a.seed, a.metric, round(a.v, 4) AS value, round(b.v, 4) AS reference, round(a.v - b.v, 4) AS delta FROM l a JOIN l b ON a.metric = b.metric AND b.seed = 42 WHERE a.seed <> 42""",
     "agg_31_disaggregation_drift": "SELECT method, count(*) AS areas, round(avg(m - target), 6) AS shift, round(corr(m, target) * corr(m, target), 6) AS r2 FROM (SELECT method, area_id, avg(value) AS m, min(target) AS target FROM t_pred GROUP BY method, area_id) GROUP BY method",
     "agg_32_cross_method_agreement": "SELECT method_a, method_b, round(avg(r), 6) AS r FROM (SELECT a.method AS method_a, b.method AS method_b, a.area_id, corr(a.value, b.value) AS r FROM t_pred a JOIN t_pred b ON a.point_id = b.point_id WHERE a.method <> 'naive' AND b.method <> 'naive' GROUP BY 1, 2, 3) GROUP BY method_a, method_b",
     "agg_33_subarea_agreement": "SELECT a.subarea_id, count(*) AS n, round(corr(a.value, b.value), 5) AS r FROM t_pred a JOIN t_pred b ON a.point_id = b.point_id AND a.method = 'dasymetric' AND b.method = 'gradient' GROUP BY a.subarea_id HAVING count(*) >= 3",

@@ -30,11 +30,12 @@ PLANS = {
     "dis_02_bounded_projection": projected("SELECT p.point_id, p.area_id AS g, least(greatest(coalesce(p.ancillary, 0e0) / 100e0, 0e0), 1e0) AS v, a.target AS t FROM t_point p JOIN t_area a ON p.area_id = a.area_id", "src.point_id"),
     "dis_03_dasymetric": "SELECT point_id, round(value, 6) AS value FROM t_pred WHERE method = 'dasymetric'",
     "dis_05_idw": f"SELECT point_id, round(v * t / nullif(avg(v) OVER (PARTITION BY area_id), 0e0), 6) AS p FROM ({_IDW})",
-    "dis_07_affine_correction": "SELECT p.method, p.point_id, round(least(greatest(c.b * p.value + c.a, 0e0), 1e0), 5) AS value FROM t_pred p JOIN (SELECT method, regr_slope(t, m) AS b, regr_intercept(t, m) AS a FROM (SELECT method, area_id, avg(value * (0.5e0 + 0.02e0 * area_id)) AS m, min(target) AS t FROM t_pred GROUP BY method, area_id) GROUP BY method) c ON p.method = c.method",
+    "dis_07_affine_correction": """
+SELECT p.point_id, round(least(greatest(c.b * p.value + c.a, 0e0), 1e0), 5) AS value FROM t_raw p CROSS JOIN (SELECT regr_slope(t, m) AS b, regr_intercept(t, m) AS a FROM (SELECT area_id, avg(value) AS m, min(target) AS t FROM t_raw GROUP BY area_id)) c""",
     "dis_08_by_construction": "SELECT point_id, round(target + value - avg(value) OVER (PARTITION BY area_id), 6) AS value FROM t_pred WHERE method = 'gradient'",
     "dis_09_subarea_rescale": projected("SELECT s.subarea_id, s.area_id AS g, s.m AS v, least(a.target + 0.05e0, 1e0) AS t FROM (SELECT subarea_id, area_id, avg(truth) AS m FROM t_point GROUP BY subarea_id, area_id) s JOIN t_area a ON s.area_id = a.area_id", "src.subarea_id"),
     "dis_10_qualifying_subareas": """
-SELECT s.subarea_id, count(*) AS n FROM t_subarea s JOIN t_counts c ON s.subarea_id = c.subarea_id JOIN t_area a ON s.area_id = a.area_id JOIN t_point p ON p.subarea_id = s.subarea_id WHERE c.income IS NOT NULL AND a.target IS NOT NULL GROUP BY s.subarea_id HAVING count(*) >= $least_points""",
+SELECT s.subarea_id, count(*) AS n FROM t_subarea s JOIN t_counts c ON s.subarea_id = c.subarea_id JOIN t_area a ON s.area_id = a.area_id JOIN t_split t ON s.area_id = t.area_id AND t.part = 'train' JOIN t_point p ON p.subarea_id = s.subarea_id WHERE c.income IS NOT NULL AND a.target IS NOT NULL GROUP BY s.subarea_id HAVING count(*) >= $least_points""",
     "dis_11_method_comparison": f"""
 WITH p AS (SELECT method, point_id, area_id, target, truth, value FROM t_pred UNION ALL
  SELECT 'idw', i.point_id, i.area_id, i.t, q.truth, least(greatest(i.v * i.t / nullif(avg(i.v) OVER (PARTITION BY i.area_id), 0e0), 0e0), 1e0) FROM ({_IDW}) i JOIN t_point q ON i.point_id = q.point_id),

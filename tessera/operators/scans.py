@@ -1,5 +1,7 @@
 """Sources and sinks as statements over tables: typed reads, lookups, alignment, materialisation keys."""
 
+from ..sources.ranks import placed
+
 PLANS = {
     "src_01_area_polygons": "SELECT trim(CAST(area_id AS STRING)) AS area_key, seq, x, y FROM t_ring WHERE county_id = 2",
     "src_07_destinations_or_literals": "SELECT dest_id, dest_type FROM t_dest WHERE dest_type = 'grocery' UNION ALL SELECT l.dest_id, l.dest_type FROM (SELECT CAST(-1 AS BIGINT) AS dest_id, 'grocery' AS dest_type UNION ALL SELECT -2, 'school') l LEFT ANTI JOIN (SELECT DISTINCT dest_type FROM t_dest) d ON l.dest_type = d.dest_type",
@@ -21,9 +23,9 @@ SELECT p.hash, round((p.v - r.lo) / (CASE WHEN r.hi = r.lo THEN 1e0 ELSE r.hi -
 SELECT b.block, substring(b.block, length(b.block) - 3, 4) AS label, b.jobs, round(b.pay, 2) AS pay, round(b.taxes, 4) AS taxes, round(b.discounts, 4) AS discounts, round(d.x, 6) AS x, round(d.y, 6) AS y FROM (
  SELECT '37' || substring(CAST(1000000 + l_suppkey AS STRING), 2, 6) AS block, min(l_suppkey) AS k, CAST(sum(l_quantity) AS BIGINT) AS jobs, sum(l_extendedprice) AS pay, sum(l_tax) AS taxes, sum(l_discount) AS discounts FROM t_lineitem WHERE l_returnflag LIKE 'A%' GROUP BY 1) b
 JOIN t_dest d ON b.k = d.dest_id WHERE b.jobs >= 10""",
-    "src_06_poi": """
-SELECT row_number() OVER (ORDER BY p_partkey) AS dest_id, coalesce(nullif(trim(p_name), ''), 'poi') AS name, round(coalesce(lon, longitude), 6) AS lon FROM (
- SELECT p_partkey, p_name, CASE WHEN p_size % 2 = 0 THEN p_retailprice / 1000e0 END AS lon, CASE WHEN p_size % 2 = 1 THEN CAST(p_size AS DOUBLE) END AS longitude FROM t_part WHERE p_type = 'ECONOMY')""",
+    "src_06_poi": f"""
+SELECT below + 1 AS dest_id, name, lon, lat FROM ({placed("""(SELECT p_partkey, coalesce(nullif(trim(p_name), ''), 'poi') AS name, round(coalesce(lon, longitude), 6) AS lon, round(coalesce(lat, latitude), 6) AS lat FROM (
+ SELECT p_partkey, p_name, CASE WHEN p_size % 2 = 0 THEN p_retailprice / 1000e0 END AS lon, CASE WHEN p_size % 2 = 1 THEN CAST(p_size AS DOUBLE) END AS longitude, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS DOUBLE) / 10e0 END AS lat, CASE WHEN p_size % 2 = 1 THEN p_retailprice / 100e0 END AS latitude FROM t_part WHERE p_type = 'ECONOMY'))""", "p_partkey")})""",
     "src_08_point_enrichment": """
 SELECT p.point_id, p.area_id, a.n_orders, round(a.mean_price, 1) AS mean_price FROM t_point p LEFT JOIN (SELECT o_custkey, count(*) AS n_orders, avg(o_totalprice) AS mean_price FROM t_orders GROUP BY o_custkey) a ON p.point_id = a.o_custkey""",
     "src_10_chunk_merge": """

@@ -27,15 +27,12 @@ SELECT area_id, lo1 <= hi2 AND lo2 <= hi1 AS overlap, lo1 > 0e0 OR hi1 < 0e0 AS
     "sta_11_signal_bearing": """
 SELECT area_id, feature, CASE WHEN s < 1e-10 THEN false WHEN flags = n THEN least(ones, n - ones) >= 0.05e0 * n WHEN abs(m) < 1e-8 THEN true ELSE s / abs(m) >= 0.05e0 END AS signal FROM (
  SELECT area_id, feature, stddev_pop(value) AS s, avg(value) AS m, count(*) AS n, count_if(value = 0e0 OR value = 1e0) AS flags, count_if(value = 1e0) AS ones FROM t_feature GROUP BY area_id, feature)""",
-    "sta_12_feature_spearman": f"""
-SELECT area_id, feature, round(corr(rv, rt), 6) AS rho FROM (SELECT area_id, feature, {average_rank('value', 'area_id, feature')} AS rv, {average_rank('truth', 'area_id, feature')} AS rt FROM (
- SELECT f.*, p.truth FROM t_feature f JOIN t_point p ON f.point_id = p.point_id JOIN (SELECT area_id, feature FROM t_feature GROUP BY area_id, feature HAVING stddev_pop(value) >= 1e-10 AND (abs(avg(value)) < 1e-8 OR stddev_pop(value) / abs(avg(value)) >= 0.05e0)) s
-  ON f.area_id = s.area_id AND f.feature = s.feature WHERE p.truth IS NOT NULL)) GROUP BY area_id, feature HAVING count(*) >= 50""",
-    "sta_13_rank_consistency": "SELECT feature, count(*) AS areas, round(median(r), 6) AS middle, round(percentile_cont(0.75) WITHIN GROUP (ORDER BY r) - percentile_cont(0.25) WITHIN GROUP (ORDER BY r), 6) AS iqr, count_if(r > 0e0) AS positive, count_if(r < 0e0) AS negative FROM (SELECT f.feature, f.area_id, corr(f.value, p.truth) AS r FROM t_feature f JOIN t_point p ON f.point_id = p.point_id WHERE p.truth IS NOT NULL AND f.feature <> 'flat' GROUP BY f.feature, f.area_id) GROUP BY feature HAVING count(*) >= 5",
+    "sta_12_feature_spearman": "SELECT area_id, feature, round(rho, 6) AS rho FROM t_rho",
+    "sta_13_rank_consistency": "SELECT feature, count(*) AS areas, round(median(rho), 6) AS middle, round(avg(rho), 6) AS mean, round(percentile_cont(0.75) WITHIN GROUP (ORDER BY rho) - percentile_cont(0.25) WITHIN GROUP (ORDER BY rho), 6) AS iqr, count_if(rho > 0e0) AS positive, count_if(rho < 0e0) AS negative FROM t_rho WHERE NOT isnan(rho) GROUP BY feature HAVING count(*) >= 5",
     "sta_14_sign_test": """
-WITH k AS (SELECT feature, count_if(r > 0e0) AS pos, count(*) AS n FROM (SELECT f.feature, f.area_id, corr(f.value, p.truth) AS r FROM t_feature f JOIN t_point p ON f.point_id = p.point_id WHERE p.truth IS NOT NULL AND f.feature <> 'flat' GROUP BY f.feature, f.area_id) GROUP BY feature),
-logs AS (SELECT CAST(n_nationkey AS BIGINT) + 1 AS i, ln(CAST(n_nationkey AS DOUBLE) + 1e0) AS l FROM t_nation), fact AS (SELECT 0 AS i, 0e0 AS f UNION ALL SELECT i, sum(l) OVER (ORDER BY i) FROM logs)
-SELECT k.feature, max(k.pos) AS pos, round(least(1e0, 2e0 * sum(exp(a.f - b.f - c.f - k.n * ln(2e0)))), 6) AS p FROM k JOIN fact a ON a.i = k.n JOIN fact b ON b.i <= least(k.pos, k.n - k.pos) JOIN fact c ON c.i = k.n - b.i GROUP BY k.feature""",
+WITH k AS (SELECT feature, count_if(rho > 0e0) AS pos, count_if(rho <> 0e0) AS n FROM t_rho WHERE NOT isnan(rho) GROUP BY feature),
+fact AS (SELECT CAST(0 AS BIGINT) AS i, 0e0 AS f UNION ALL SELECT CAST(i AS BIGINT), sum(ln(CAST(i AS DOUBLE))) OVER (ORDER BY i) FROM (SELECT explode(sequence(1, n)) AS i FROM (SELECT CAST(max(n) AS INT) AS n FROM k)))
+SELECT /*+ BROADCAST(k) */ k.feature, max(k.pos) AS pos, max(k.n) AS n, round(least(1e0, 2e0 * sum(exp(a.f - b.f - c.f - k.n * ln(2e0)))), 6) AS p FROM k JOIN fact a ON a.i = k.n JOIN fact b ON b.i <= least(k.pos, k.n - k.pos) JOIN fact c ON c.i = k.n - b.i WHERE k.n > 0 GROUP BY k.feature""",
     "sta_15_wilcoxon_w": "SELECT method, round(sum(CASE WHEN d > 0e0 THEN place ELSE 0e0 END), 3) AS w_plus, round(sum(CASE WHEN d < 0e0 THEN place ELSE 0e0 END), 3) AS w_minus FROM (SELECT method, d, rank() OVER (PARTITION BY method ORDER BY abs(d)) + (count(*) OVER (PARTITION BY method, abs(d)) - 1) / 2e0 AS place FROM (SELECT m.method, round(m.rmse - b.rmse, 9) AS d FROM t_metric m JOIN t_metric b ON m.area_id = b.area_id AND b.method = 'naive' WHERE m.method <> 'naive') WHERE d <> 0e0) GROUP BY method",
     "sta_16_summary": "SELECT method, round(median(rmse), 6) AS middle, round(percentile_cont(0.25) WITHIN GROUP (ORDER BY rmse), 6) AS q1, round(percentile_cont(0.75) WITHIN GROUP (ORDER BY rmse), 6) AS q3, count_if(r > 0e0) AS positive FROM t_metric WHERE sd > 1e-9 GROUP BY method",
     "sta_17_pooled_t": "SELECT round((max(CASE WHEN g = 1 THEN m END) - max(CASE WHEN g = 0 THEN m END)) / sqrt((sum((n - 1e0) * v) / (sum(n) - 2e0)) * sum(1e0 / n)), 6) AS t FROM (SELECT CASE WHEN x - floor(x) >= 0.5e0 THEN 1 ELSE 0 END AS g, CAST(count(*) AS DOUBLE) AS n, avg(truth) AS m, var_samp(truth) AS v FROM t_point WHERE truth IS NOT NULL GROUP BY 1)",
@@ -47,13 +44,13 @@ SELECT k.feature, max(k.pos) AS pos, round(least(1e0, 2e0 * sum(exp(a.f - b.f -
     "sta_24_rank_agreement": f"SELECT round(corr(ra, rb), 6) AS rho FROM (SELECT {average_rank('a')} AS ra, {average_rank('b')} AS rb FROM (SELECT area_id, max(CASE WHEN method = 'naive' THEN round(rmse, 9) END) AS a, max(CASE WHEN method = 'gradient' THEN round(rmse, 9) END) AS b FROM t_metric GROUP BY area_id))",
     "sta_25_quadratic_fit": """
 SELECT round(r, 6) AS r, round((rxy * rxy + rqy * rqy - 2e0 * rxy * rqy * rxq) / (1e0 - rxq * rxq), 5) AS r2_quadratic FROM (SELECT corr(x, truth) AS r, corr(x, truth) AS rxy, corr(x * x, truth) AS rqy, corr(x, x * x) AS rxq FROM (SELECT x - floor(x) AS x, truth FROM t_point WHERE truth IS NOT NULL))""",
-    "sta_26_stability": "SELECT 'rmse' AS metric, round(avg(rmse), 6) AS mean, round(stddev_samp(rmse), 6) AS sd, round(max(rmse) - min(rmse), 6) AS spread, max(rmse) - min(rmse) < 0.02e0 AS stable FROM t_metric WHERE method = 'gradient' UNION ALL SELECT 'gap', round(avg(gap), 6), round(stddev_samp(gap), 6), round(max(gap) - min(gap), 6), max(gap) - min(gap) < 0.01e0 FROM t_metric WHERE method = 'gradient'",
+    "sta_26_stability": """
+SELECT metric, count(*) AS runs, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd, round(min(v), 6) AS least, round(max(v), 6) AS most, round(max(v) - min(v), 6) AS spread, max(v) - min(v) < CASE metric WHEN 'gap_pct' THEN 1e0 WHEN 'sd' THEN 0.01e0 ELSE 0.02e0 END AS stable
+FROM (SELECT metric, seed, avg(value) AS v FROM t_ledger WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY metric, seed) GROUP BY metric""",
     "mlr_05_heldout_feature_target": """
 SELECT f.area_id, round(avg((f.value - g.m) / g.s), 6) AS target_z, round(avg((f.value - g.m) / g.s) * max(g.s) + max(g.m), 6) AS target FROM t_feature f CROSS JOIN (SELECT avg(value) AS m, stddev_pop(value) AS s FROM t_feature WHERE feature = 'ancillary') g WHERE f.feature = 'ancillary' GROUP BY f.area_id""",
     "mlr_10_inductive_evaluation": """
-SELECT method, part, count(*) AS areas, round(corr(m, t), 6) AS r, round(avg(abs(m - t)), 6) AS mae, round(sqrt(avg((m - t) * (m - t))), 6) AS rmse FROM (
- SELECT method, area_id, avg(value * (0.5e0 + truth)) AS m, min(target) AS t, CASE WHEN CAST(conv(substring(md5('split-' || CAST(area_id AS STRING)), 1, 8), 16, 10) AS BIGINT) % 5 = 0 THEN 'test' ELSE 'train' END AS part FROM t_pred WHERE truth IS NOT NULL GROUP BY method, area_id)
- GROUP BY method, part HAVING count(*) >= 3""",
+SELECT part, count(*) AS areas, round(corr(m, t), 6) AS r, round(avg(abs(m - t)), 6) AS mae, round(sqrt(avg((m - t) * (m - t))), 6) AS rmse FROM (SELECT part, area_id, avg(value) AS m, min(target) AS t FROM t_raw GROUP BY part, area_id) WHERE t IS NOT NULL GROUP BY part HAVING count(*) >= 3""",
     "mlr_11_loss_terms": """
 WITH area AS (SELECT method, area_id, avg(value) AS m, min(target) AS t, stddev_pop(value) AS s, max(value) - min(value) AS span, avg(greatest(value - 1e0, 0e0) + greatest(-value, 0e0)) AS over FROM t_pred GROUP BY method, area_id),
 sub AS (SELECT method, avg((m - t) * (m - t)) AS mse FROM (SELECT method, subarea_id, avg(value) AS m, avg(truth) AS t FROM t_pred WHERE truth IS NOT NULL GROUP BY method, subarea_id) GROUP BY method),

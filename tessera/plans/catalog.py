@@ -143,9 +143,9 @@ def _boot(spark: SparkSession, tables: dict[str, DataFrame], params: Params) ->
     return few if many.isEmpty() else few.unionByName(bound(spark, VIEWS["boot"], {"paired": many}, params))
 
 
-def _resampled(name: str, of: Callable[[DataFrame, DataFrame, int], DataFrame]):
+def _resampled(name: str, of: Callable[[DataFrame, DataFrame, int], DataFrame], values: str = "centred"):
     def run(spark: SparkSession, tables: dict[str, DataFrame], params: Params) -> DataFrame:
-        points = stored(bound(spark, "SELECT point_id, area_id, z FROM t_centred", tables, params))
+        points = stored(bound(spark, f"SELECT point_id, area_id, z FROM t_{values}", tables, params))
         edges = stored(bound(spark, "SELECT area_id, src, dst, w FROM t_weight", tables, params))
         large = points.groupBy("area_id").count().filter(F.col("count") > resampling.MOST_ROWS).select("area_id")
         if large.isEmpty():
@@ -153,12 +153,12 @@ def _resampled(name: str, of: Callable[[DataFrame, DataFrame, int], DataFrame]):
         # areas that no task should hold: the definition by joins
         large = sized(stored(large))
         few, many = ([t.join(large, "area_id", how) for t in (points, edges)] for how in ("left_anti", "left_semi"))
-        return of(*few, params["permutations"]).unionByName(bound(spark, VIEWS[name], {"centred": many[0], "weight": many[1]}, params))
+        return of(*few, params["permutations"]).unionByName(bound(spark, VIEWS[name], {values: many[0], "weight": many[1]}, params))
 
     return run
 
 
-BUILT: dict[str, Callable[[SparkSession, dict[str, DataFrame], Params], DataFrame]] = {"near16": _near16, "snap": _snap, "near_dest": _near_dest, "local": _local, "od": _od, "inside": _inside, "band": _band, "boot": _boot, "permuted_top": _resampled("permuted_top", resampling.permuted_moran), "local_p": _resampled("local_p", resampling.permuted_local)}
+BUILT: dict[str, Callable[[SparkSession, dict[str, DataFrame], Params], DataFrame]] = {"near16": _near16, "snap": _snap, "near_dest": _near_dest, "local": _local, "od": _od, "inside": _inside, "band": _band, "boot": _boot, "permuted_top": _resampled("permuted_top", resampling.permuted_moran), "permuted_pred_top": _resampled("permuted_pred_top", resampling.permuted_moran, "centred_pred"), "local_p": _resampled("local_p", resampling.permuted_local)}
 
 
 for _name, (_source, _wanted) in QUANTILES.items():

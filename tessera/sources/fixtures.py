@@ -171,8 +171,44 @@ SELECT value, sqrt((x - avg(x) OVER (PARTITION BY area_id)) * (x - avg(x) OVER (
 SELECT p.point_id, min(p.truth) AS truth, avg(1e0 / (1e0 + a.mean_time)) AS m FROM t_point p JOIN t_access a ON p.point_id = a.point_id GROUP BY p.point_id""",
     "times": """
 SELECT 'walk' AS mode, km, walk_time AS v FROM t_od UNION ALL SELECT 'drive', km, drive_time FROM t_od UNION ALL SELECT 'transit', km, transit_time FROM t_od""",
+    # areas split into training and test by a hash; predictions of a line fitted to the points of all training areas
+    "split": """
+SELECT area_id, CASE WHEN CAST(conv(substring(md5('part-' || CAST(area_id AS STRING)), 1, 8), 16, 10) AS BIGINT) % 3 = 0 THEN 'test' ELSE 'train' END AS part FROM t_area""",
+    "raw": """
+SELECT p.point_id, p.area_id, s.part, p.truth, a.target, f.a + f.b * coalesce(p.ancillary, 0e0) / 100e0 AS value FROM t_point p JOIN t_split s ON p.area_id = s.area_id JOIN t_area a ON p.area_id = a.area_id CROSS JOIN (
+ SELECT regr_slope(q.truth, coalesce(q.ancillary, 0e0) / 100e0) AS b, regr_intercept(q.truth, coalesce(q.ancillary, 0e0) / 100e0) AS a FROM t_point q JOIN t_split t ON q.area_id = t.area_id WHERE t.part = 'train' AND q.truth IS NOT NULL) f""",
+    # repeated runs: in each a line is fitted to a random half of an area's points, and its values keep the area's mean; metrics by area
+    "seed": """
+SELECT 42 AS seed UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4""",
+    "sampled": """
+SELECT d.seed, d.point_id, d.area_id, d.truth, a.target, least(greatest(a.target + d.v - avg(d.v) OVER (PARTITION BY d.seed, d.area_id), 0e0), 1e0) AS value FROM (SELECT f.seed, p.point_id, p.area_id, p.truth, coalesce(f.a + f.b * coalesce(p.ancillary, 0e0) / 100e0, f.m) AS v FROM t_point p JOIN (
+ SELECT s.seed, q.area_id, regr_slope(q.truth, coalesce(q.ancillary, 0e0) / 100e0) AS b, regr_intercept(q.truth, coalesce(q.ancillary, 0e0) / 100e0) AS a, avg(q.truth) AS m FROM t_point q CROSS JOIN t_seed s WHERE q.truth IS NOT NULL
+  AND CAST(conv(substring(md5(CAST(s.seed AS STRING) || '-' || CAST(q.point_id AS STRING)), 1, 8), 16, 10) AS BIGINT) % 2 = 0 GROUP BY s.seed, q.area_id) f ON p.area_id = f.area_id) d JOIN t_area a ON d.area_id = a.area_id""",
+    "run": f"""
+SELECT seed, area_id, {correlation("value", "truth")} AS r, sqrt(avg((value - truth) * (value - truth))) AS rmse, 100e0 * abs(avg(value) - min(target)) / min(target) AS gap_pct, stddev_pop(value) AS sd FROM t_sampled WHERE truth IS NOT NULL GROUP BY seed, area_id""",
+    "ledger": " UNION ALL ".join(f"SELECT 'seed-' || CAST(seed AS STRING) AS run, seed, area_id, '{m}' AS metric, {m} AS value FROM t_run" for m in ("r", "rmse", "gap_pct", "sd")),
+    # growth of a line's squared error in an area when the feature's values change places in an md5 order
+    "importance": """
+SELECT o.feature, o.area_id, avg((o.y - f.a - f.b * m.v) * (o.y - f.a - f.b * m.v)) - avg((o.y - f.a - f.b * o.v) * (o.y - f.a - f.b * o.v)) AS loss FROM t_shuffled o JOIN t_shuffled m ON o.feature = m.feature AND o.area_id = m.area_id AND o.i = m.j
+JOIN (SELECT feature, area_id, regr_slope(y, v) AS b, regr_intercept(y, v) AS a FROM t_shuffled GROUP BY feature, area_id) f ON o.feature = f.feature AND o.area_id = f.area_id GROUP BY o.feature, o.area_id""",
+    "shuffled": """
+SELECT f.feature, f.area_id, p.truth AS y, f.value AS v, row_number() OVER (PARTITION BY f.feature, f.area_id ORDER BY f.point_id) AS i, row_number() OVER (PARTITION BY f.feature, f.area_id ORDER BY md5(f.feature || '-' || CAST(f.point_id AS STRING)), f.point_id) AS j
+FROM t_feature f JOIN t_point p ON f.point_id = p.point_id WHERE p.truth IS NOT NULL AND f.feature <> 'flat'""",
+    # rank correlations of signal-bearing features with the truth in areas with enough points
+    "rho": """
+SELECT area_id, feature, corr(rv, rt) AS rho FROM (SELECT area_id, feature, rank() OVER (PARTITION BY area_id, feature ORDER BY value) + (count(*) OVER (PARTITION BY area_id, feature, value) - 1) / 2e0 AS rv, rank() OVER (PARTITION BY area_id, feature ORDER BY truth) + (count(*) OVER (PARTITION BY area_id, feature, truth) - 1) / 2e0 AS rt FROM (
+ SELECT f.*, p.truth FROM t_feature f JOIN t_point p ON f.point_id = p.point_id JOIN (SELECT area_id, feature FROM t_feature GROUP BY area_id, feature HAVING stddev_pop(value) >= 1e-10 AND (abs(avg(value)) < 1e-8 OR stddev_pop(value) / abs(avg(value)) >= 0.05e0)) s
+  ON f.area_id = s.area_id AND f.feature = s.feature WHERE p.truth IS NOT NULL)) GROUP BY area_id, feature HAVING count(*) >= $complete_points""",
+    # allocated values about their area's mean, and uniform noise for comparison
+    "centred_pred": """
+SELECT point_id, area_id, value - avg(value) OVER (PARTITION BY area_id) AS z FROM t_pred WHERE method = 'gradient'""",
+    "noise": """
+SELECT point_id, area_id, u - avg(u) OVER (PARTITION BY area_id) AS z FROM (SELECT point_id, area_id, CAST(CAST(conv(substring(md5('noise-' || CAST(point_id AS STRING)), 1, 8), 16, 10) AS BIGINT) AS DOUBLE) / 4294967296e0 AS u FROM t_point)""",
 }
 
+VIEWS["permuted_pred"] = VIEWS["permuted"].replace("t_centred", "t_centred_pred")
+VIEWS["permuted_pred_top"] = VIEWS["permuted_top"].replace("t_permuted", "t_permuted_pred")
+
 #: Percentiles of large columns: rows (g, v), and the wanted ones by name; a table has a row (g, name, ...) for each g.
 QUANTILES = {
     "band_width": ("SELECT 0 AS g, max(d) AS v FROM t_near GROUP BY src", {"cut": 0.5}),
