@@ -7,8 +7,60 @@ from pyspark.sql import functions as F
 
 from ..sources.stored import BROADCAST_ROWS, sized, stored
 
-#: Points of an average cell of the finest grid, and how much coarser each further pass is.
-PER_CELL, COARSER = 8, 4
+#: Points of an average cell of the base grid, how much finer or coarser the next grid is, points of a cell that is cut
+#: finer, candidates for each wanted neighbour, and finer grids at most.
+PER_CELL, COARSER, DENSE, ENOUGH, FINEST = 8, 4, 128, 3, 12
+
+def _grid(scale: float):
+    """Cells along a side of a group's grid."""
+    return F.greatest(F.floor(F.col("m0") * scale), F.lit(1))
+
+
+def _cell(v: str, low: str, scale: float):
+    m = _grid(scale)
+    return F.least(F.greatest(F.floor((F.col(v) - F.col(low)) / F.col("side") * m), F.lit(0)), m - 1)
+
+
+def _at(rows: DataFrame, x: str, y: str, scale: float) -> DataFrame:
+    return rows.withColumns({"cx": _cell(x, "x0", scale), "cy": _cell(y, "y0", scale)})
+
+
+def _around(cells: DataFrame, *keep: str) -> DataFrame:
+    """Rows in their own cell and the eight around it."""
+    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    return cells.withColumn("o", around).select(*keep, (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
+
+
+def _levels(there: DataFrame, todo: DataFrame, boxes: DataFrame, k: int) -> tuple[DataFrame, DataFrame, int]:
+    """Right rows, left rows with the number of the grid that they start on (0: base), and that of the finest grid.
+
+    Cells of more than DENSE right rows are cut finer until there are none; a left row starts on the finest grid whose
+    nine cells around it hold ENOUGH candidates. Of right rows at one and the same place only the smallest ids can be
+    neighbours of anything.
+    """
+    cell = ["g", "cx", "cy"]
+    most = max(DENSE, 4 * k)
+    count = lambda rows, scale: stored(_at(rows.join(boxes, "g"), "bx", "by", scale).groupBy(*cell).agg(F.count(F.lit(1)).alias("n")))
+    counts, blocks = count(there, 1), []
+    if counts.filter(F.col("n") > most).isEmpty():
+        return there, todo.withColumn("level", F.lit(0)), 0
+    place = Window.partitionBy("g", "bx", "by").orderBy("dst")
+    there = stored(there.withColumn("nth", F.row_number().over(place)).filter(F.col("nth") <= k + 1).drop("nth"))
+    counts = count(there, 1)
+    inside, scale = there, 1
+    while len(blocks) < FINEST:
+        dense = stored(counts.filter(F.col("n") > most).select(*cell))
+        if dense.isEmpty():
+            break
+        inside = stored(_at(inside.join(boxes, "g"), "bx", "by", scale).join(sized(dense), cell, "left_semi").select("g", "dst", "bx", "by"))
+        scale *= COARSER
+        counts = count(inside, scale)
+        blocks.append(stored(_around(counts, "g", "n").groupBy(*cell).agg(F.sum("n").alias("n")).filter(F.col("n") >= ENOUGH * (k + 1)).select(*cell)))
+    todo = todo.withColumn("level", F.lit(0))
+    for i, block in enumerate(blocks):
+        own = _at(todo.join(boxes, "g"), "ax", "ay", COARSER ** (i + 1)).select("g", "src", "ax", "ay", "level", "cx", "cy")
+        todo = own.join(sized(block.withColumn("finer", F.lit(i + 1))), cell, "left").select("g", "src", "ax", "ay", F.coalesce("finer", "level").alias("level"))
+    return there, stored(todo), len(blocks)
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: str, group: str | None = None, same: bool = False) -> DataFrame:
@@ -16,9 +68,10 @@ def nearest(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: s
 
     Both tables have x and y; with a group only rows of one group meet, with `same` a row does not meet its own id.
     Ties go to the smaller id. Every group has a grid over its own bounding box, with PER_CELL points in an average
-    cell. A point meets its own and the eight cells around; if k of these are no further than one cell's side, no
-    other point can be nearer. The few points left go on with cells COARSER times as wide, until one cell holds
-    the group. Points without coordinates have no neighbours.
+    cell, and finer grids where right rows are dense. A point meets its own and the eight cells around, on the finest
+    grid that has enough there; if k of these are no further than one cell's side, no other point can be nearer. The
+    few points left go on with cells COARSER times as wide, until one cell holds the group. Points without
+    coordinates have no neighbours.
     """
     key = F.col(group) if group else F.lit(0)
     todo = left.filter("x IS NOT NULL AND y IS NOT NULL").select(F.col(left_id).alias("src"), key.alias("g"), F.col("x").alias("ax"), F.col("y").alias("ay"))
@@ -26,19 +79,14 @@ def nearest(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: s
     side = F.greatest(F.max("bx") - F.min("bx"), F.max("by") - F.min("by"))
     box = there.groupBy("g").agg(F.min("bx").alias("x0"), F.min("by").alias("y0"), F.when(side > 0, side).otherwise(F.lit(1.0)).alias("side"), F.greatest(F.lit(1), F.floor(F.sqrt(F.count(F.lit(1)) / PER_CELL))).alias("m0"))
     box = stored(box)
-    most, boxes = box.agg(F.max("m0")).first()[0] or 1, sized(box)
-    found, wider = None, 1
+    coarsest, boxes = box.agg(F.max("m0")).first()[0] or 1, sized(box)
+    there, todo, level = _levels(there, todo, boxes, k)
+    found, scale = None, float(COARSER**level)
     each = Window.partitionBy("src")
     while True:
-        m = F.greatest(F.floor(F.col("m0") / wider), F.lit(1))
-
-        def cell(v: str, low: str, m=m):
-            return F.least(F.greatest(F.floor((F.col(v) - F.col(low)) / F.col("side") * m), F.lit(0)), m - 1)
-
-        around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-        cells = there.join(boxes, "g").select("g", "dst", "bx", "by", cell("bx", "x0").alias("cx"), cell("by", "y0").alias("cy"), around.alias("o"))
-        cells = cells.select("g", "dst", "bx", "by", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
-        own = todo.join(boxes, "g").select("g", "src", "ax", "ay", cell("ax", "x0").alias("cx"), cell("ay", "y0").alias("cy"), (F.col("side") / m).alias("reach"), (m == 1).alias("whole"))
+        cells = _around(_at(there.join(boxes, "g"), "bx", "by", scale), "g", "dst", "bx", "by")
+        now = todo.filter(F.col("level") >= level) if level > 0 else todo
+        own = _at(now.join(boxes, "g"), "ax", "ay", scale).select("g", "src", "ax", "ay", "cx", "cy", (F.col("side") / _grid(scale)).alias("reach"), (_grid(scale) == 1).alias("whole"))
         pairs = own.join(cells.hint("merge"), ["g", "cx", "cy"])
         if same:
             pairs = pairs.filter("src <> dst")
@@ -47,12 +95,12 @@ def nearest(left: DataFrame, right: DataFrame, k: int, left_id: str, right_id: s
         settled = F.col("whole") | ((F.count(F.lit(1)).over(each) == k) & (F.sqrt(F.max("d2").over(each)) <= F.col("reach")))
         part = stored(near.withColumn("settled", settled).filter("settled").select("src", "dst", "g", F.sqrt("d2").alias("d"), "nth"))
         found = part if found is None else found.unionByName(part)
-        if most / wider < 2:
+        if level <= 0 and coarsest * scale < 2:
             break
         todo = stored(todo.join(part.select("src").distinct().hint("merge"), "src", "left_anti"))
         if todo.isEmpty():
             break
-        wider *= COARSER
+        scale, level = scale / COARSER, level - 1
     return found.withColumnRenamed("g", group) if group else found.drop("g")
 
 
@@ -107,8 +155,7 @@ def lonely(left: DataFrame, right: DataFrame, radius: float, kinds: DataFrame, k
     """
     side = radius / split
     cell = lambda v: F.floor(F.col(v) / side)
-    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-    near = right.filter("x IS NOT NULL AND y IS NOT NULL").select(kind, cell("x").alias("cx"), cell("y").alias("cy")).distinct().select(kind, "cx", "cy", around.alias("o"))
-    near = stored(near.select(kind, (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy")).distinct())
+    near = right.filter("x IS NOT NULL AND y IS NOT NULL").select(kind, cell("x").alias("cx"), cell("y").alias("cy")).distinct()
+    near = stored(_around(near, kind).distinct())
     rows = left.filter("x IS NOT NULL AND y IS NOT NULL").join(F.broadcast(kinds)).withColumns({"cx": cell("x"), "cy": cell("y")})
     return stored(rows.join(sized(near), [kind, "cx", "cy"], "left_anti").drop("cx", "cy"))

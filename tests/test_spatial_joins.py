@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import polygons
-from tessera.functions.neighbours import band, lonely, within
+from tessera.functions import neighbours, polygons
+from tessera.functions.neighbours import band, lonely, nearest, within
 from tessera.plans import catalog
 
 
@@ -120,3 +120,22 @@ def test_reach_is_a_parameter(spark, sf):
     sizes = [catalog.bound(spark, "SELECT count(*) AS n FROM t_od", tables(), {"reach": r}).first()["n"] for r in (1e-6, 10.0, 1e6)]
     kinds, points, dests = (catalog.bound(spark, f"SELECT count({c}) AS n FROM {t}", tables()).first()["n"] for c, t in (("DISTINCT dest_type", "t_dest"), ("*", "t_point"), ("*", "t_dest")))
     assert sizes[0] == kinds * points < sizes[1] < sizes[2] == points * dests
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_nearest_in_clumps_equals_all_pairs(spark, monkeypatch, same):
+    """Nine tenths of the points in a hundredth of the width, many at one place: same result, few pairs."""
+    monkeypatch.setattr(neighbours, "DENSE", 32)
+    rng = np.random.default_rng(12)
+    xy = np.vstack([rng.uniform(0, 1, (150, 2)), 0.3 + rng.uniform(0, 0.01, (900, 2)), np.full((200, 2), 0.7), 0.9 + rng.normal(0, 1e-7, (150, 2))])
+    rows = [(int(i), 0, float(x), float(y)) for i, (x, y) in zip(rng.permutation(len(xy)), xy, strict=True)]
+    left = rows if same else [(i, 0, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 1, (60, 2)))]
+    got = {}
+    for r in nearest(spark.createDataFrame(left, SCHEMA), spark.createDataFrame(rows, SCHEMA), 5, "id", "id", same=same).orderBy("src", "nth").collect():
+        got.setdefault(r["src"], []).append(r["dst"])
+    ids, at = np.array([r[0] for r in rows]), np.array([r[2:] for r in rows])
+    for i, _, x, y in left:
+        d = (x - at[:, 0]) * (x - at[:, 0]) + (y - at[:, 1]) * (y - at[:, 1])
+        order = np.lexsort((ids, d))
+        assert got[i] == [int(ids[j]) for j in order if not (same and ids[j] == i)][:5]
+    assert len(got) == len(left)
