@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns_of, materialise, partitions, with_text
+from .common import columns_of, materialise, partitions, sized, with_text
 from .near_dedup import _constants, _mix, byte_values, components, hashed_words, whole_groups
 
 #: Content words of a chain, and sets that one group compares at once.
 CHAIN, LARGEST = 2, 512
 #: Text of one task when documents meet their neighbours: the tasks grow with the corpus.
 TASK_BYTES = 64 << 20
+#: Buckets of ids that are put in order together.
+BLOCK = 4096
 #: Anchors: common words of English, German, French and Spanish.
 ANCHORS = (
     "a an and are as at be but by for from had has have he her his i in is it its not of on or she that the their they this to was we were which will with you "
@@ -117,10 +119,15 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), with_text(docs, text_col).alias("text")).withColumn("q", F.coalesce(q, F.lit(0)))
     within = F.least(F.greatest(F.floor((i - F.get(low, F.col("q"))) / F.get(step, F.col("q"))), F.lit(0)), F.lit(parts - 1))
     rows = rows.withColumn("bucket", F.coalesce(F.col("q") * parts + within, F.lit(0)).cast("long")).drop("q")
-    first = rows.groupBy("bucket").agg(F.min("id").alias("first"))  # a row for each bucket
-    order = Window.orderBy("bucket")
-    before = first.withColumn("to", F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.partitionBy()))).select(F.col("first").alias("fid"), "to")
-    both = rows.join(F.broadcast(before), rows["id"] == before["fid"], "left")
+    first = materialise(rows.groupBy("bucket").agg(F.min("id").alias("first")), "first")  # a row for each bucket
+    # the bucket before: within blocks of buckets, and over the blocks' last ones
+    block = F.floor(F.col("bucket") / BLOCK)
+    last = first.groupBy(block.alias("block")).agg(F.max("bucket").alias("last"))
+    order = Window.orderBy("block")  # a row for each BLOCK buckets
+    last = last.select("block", F.coalesce(F.lag("last").over(order), F.max("last").over(Window.partitionBy())).alias("earlier"))
+    before = first.withColumn("block", block).join(F.broadcast(last), "block")
+    before = before.select(F.col("first").alias("fid"), F.coalesce(F.lag("bucket").over(Window.partitionBy("block").orderBy("bucket")), "earlier").alias("to"))
+    both = rows.join(sized(materialise(before, "before")), rows["id"] == F.col("fid"), "left")
     own, extra = F.struct(F.col("bucket").alias("b"), F.lit(0).alias("x")), F.struct(F.col("to").alias("b"), F.lit(1).alias("x"))
     placed = both.select("id", "text", F.explode(F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, extra))).alias("p"))
     return placed.select(F.col("p.b").alias("bucket"), F.col("p.x").alias("extra"), "id", "text").repartition(tasks, "bucket").sortWithinPartitions("bucket", "extra", "id", "text")
@@ -202,11 +209,15 @@ def _spanning(threshold: float):
 
 
 def near_classes(docs: DataFrame, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component_id) of every document with signatures: the classes of fingerprints linked at the threshold.
+    """(id, component_id) of every row: the classes of fingerprints linked at the threshold, by their smallest id.
 
     Sets are partitioned by length; a set meets those of its own and of the next longer partition that share one
     of its rarest signatures, as many of them as any similar set must share one. Equal fingerprints are one class.
-    Groups beyond LARGEST sets are cut into blocks, and every pair of blocks is a group. Ids must be integers.
+    Groups beyond LARGEST sets are cut into blocks, and every pair of blocks is a group.
+
+    Edge cases: a text without signatures (null and empty ones among them) is linked with nothing and has its own id;
+    every row of an id counts by its own text; a null id is linked like others but names no component, so a component
+    of null ids alone has a null one; an empty table gives an empty table; other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -218,9 +229,11 @@ def near_classes(docs: DataFrame, threshold: float = 0.75, id_col: str = "doc_id
                 ["id", "n", "raw", "sigs", "part"],
             )
 
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), with_text(docs, text_col).alias("text")).mapInArrow(sign, f"id {kind}, n int, raw binary, sigs array<long>, part long")
-    signed = materialise(rows.filter("n > 0"), "signed")
-    classes = materialise(signed.groupBy("raw").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sigs").alias("sigs"), F.first("part").alias("part")), "classes")
+    rows = docs.select(F.col(id_col).alias("id"), with_text(docs, text_col).alias("text")).mapInArrow(sign, f"id {kind}, n int, raw binary, sigs array<long>, part long")
+    signed = materialise(rows, "signed")
+    # a class has a number of its own: rows of one id may have several texts
+    classes = signed.filter("n > 0").groupBy("raw").agg(F.min("id").alias("doc"), F.first("n").alias("n"), F.first("sigs").alias("sigs"), F.first("part").alias("part"))
+    classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     each = classes.select("id", "n", "part", F.explode("sigs").alias("sig"))
     ranked = each.join(each.groupBy("sig").agg(F.count(F.lit(1)).alias("df")).hint("merge"), "sig")
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "sig"))
@@ -229,6 +242,9 @@ def near_classes(docs: DataFrame, threshold: float = 0.75, id_col: str = "doc_id
     blocks = F.ceil(F.col("m") / LARGEST).cast("long")
     tiled = shared.select("part", "sig", F.explode(_tiles(blocks, F.pmod(F.xxhash64("id"), blocks))).alias("tile"), "n", "id").join(classes.select("id", "raw").hint("merge"), "id")
     groups = tiled.select("part", "sig", "tile", "n", "id", "raw").repartition("part", "sig", "tile").sortWithinPartitions("part", "sig", "tile", "n", "id")
-    linked = components(groups.mapInArrow(_spanning(threshold), f"low {kind}, id {kind}"))
-    of_class = classes.join(linked.hint("merge"), "id", "left").select("raw", F.coalesce("low", "id").alias("component_id"))
-    return signed.select("id", "raw").join(of_class.hint("merge"), "raw").select(F.col("id").alias(id_col), "component_id")
+    linked = components(groups.mapInArrow(_spanning(threshold), "low long, id long"))
+    linked = materialise(linked.unionByName(linked.select(F.col("low").alias("id"), "low").distinct()), "linked")
+    least = linked.join(classes.select("id", "doc").hint("merge"), "id").groupBy("low").agg(F.min("doc").alias("least"))
+    of_class = classes.join(linked.hint("merge"), "id", "left").join(sized(materialise(least, "least")), "low", "left").select("raw", F.when(F.col("low").isNull(), F.col("doc")).otherwise(F.col("least")).alias("component_id"))
+    out = signed.select("id", "n", "raw").join(of_class.hint("merge"), "raw", "left")
+    return out.select(F.col("id").alias(id_col), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))

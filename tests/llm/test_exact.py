@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import zlib
 from collections import Counter, defaultdict
 
 import duckdb
@@ -156,7 +157,7 @@ def test_spotsigs_classes(spark, texts, largest, monkeypatch):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     got = spotsigs.near_classes(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()
-    assert {r["doc_id"]: r["component_id"] for r in got} == {i: find(i) for i in parent}
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: find(i) if i in parent else i for i in docs}
 
 
 def covered(docs):
@@ -466,3 +467,39 @@ def test_near_dedup_of_named_documents(spark):
     text = " ".join(f"word{i}" for i in range(40))
     docs = spark.createDataFrame([("b", text), ("a", text + " z"), ("c", "other")], "doc_id string, text string")
     assert {tuple(r) for r in near_dedup.near_duplicates(docs).collect()} == {("b", 36, "a", False), ("a", 37, "a", True), ("c", 1, "c", True)}
+
+
+def test_near_classes_of_odd_rows(spark):
+    text = lambda k: " ".join(f"the word{k}x{i} of a thing{k}x{i}" for i in range(60))
+    rows = [(7, text(1)), (7, text(2)), (8, text(1) + " the end"), (9, text(2) + " the end"), (None, text(3)), (3, text(3) + " the end"), (None, text(4)), (5, None), (6, ""), (None, "")]
+    docs = spark.createDataFrame([(*r, "r", 1, 2) for r in rows], "doc_id long, text string, raw string, n int, low int").repartition(4)
+    got = sorted(((r["doc_id"], r["component_id"]) for r in spotsigs.near_classes(docs).collect()), key=str)
+    assert got == sorted([(7, 7), (7, 7), (8, 7), (9, 7), (None, 3), (3, 3), (None, None), (5, 5), (6, 6), (None, None)], key=str)
+    assert spotsigs.near_classes(docs.filter("n > 5")).count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_next_documents_in_blocks_of_buckets(spark, monkeypatch, block):
+    monkeypatch.setattr(spotsigs, "BLOCK", block)
+    rng = random.Random(block)
+    docs = [(rng.randrange(10**6) if i % 2 else i, f"the text {i} of some words " * 3) for i in range(200)]
+    docs = list({i: (i, t) for i, t in docs}.values())
+    got = spotsigs.edited_likeness(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()
+    order = sorted(docs)
+    follows = {i: order[(k + 1) % len(order)][1] for k, (i, _) in enumerate(order)}
+    for r in got:
+        t = dict(docs)[r["doc_id"]]
+        edited = t[: len(t) - len(t) // 2] + follows[r["doc_id"]][: len(t) // 2]
+        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+    assert len(got) == len(docs)
+
+
+def test_packing_pieces_starts_and_checksums(spark, sf, texts, library):
+    """Every column of a piece from the library's ids."""
+    got = defaultdict(dict)
+    for r in queries.op1_best_fit_packing(spark, sf).collect():
+        got[r["doc_id"]][r["piece"]] = (r["start"], r["length"], r["ids_crc32"])
+    for i, text in texts.items():
+        ids = [*library.encode(text, add_special_tokens=False).ids, 0]
+        cut = [ids[k : k + 2048] for k in range(0, len(ids), 2048)]
+        assert got[i] == {k: (2048 * k, len(c), zlib.crc32(struct.pack(f"<{len(c)}I", *c))) for k, c in enumerate(cut)}
