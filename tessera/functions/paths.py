@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.stored import stored
+from ..sources.stored import sized, stored
 from .neighbours import nearest
 
 
@@ -114,32 +115,120 @@ def rewired(edges: DataFrame, rounds: int = 10, seed: int = 7) -> DataFrame:
     return now
 
 
-def spectral(edges: DataFrame, dims: int = 8, rounds: int = 12, seed: int = 5) -> DataFrame:
-    """(node, v): coordinates on the smoothest eigenvectors of the normalised Laplacian of undirected edges (a, b).
+def connected(both: DataFrame) -> DataFrame:
+    """Stored rows (node, component) of edges (a, b) given in both directions: the smallest node of the component.
 
-    Block power iteration with 2I - L, whose leading eigenvectors these are. A round is one join and one aggregation;
-    only a dims x dims matrix of inner products reaches the driver, whose inverse root makes the block orthonormal.
+    In each round a node takes the smallest label around it, then that label's own label.
     """
-    both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    degree = stored(both.groupBy("a").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    now = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("component")))
+    while True:
+        near = both.join(now.select(F.col("node").alias("b"), "component").hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
+        step = stored(now.join(near.hint("merge"), "node").select("node", F.least("component", "m").alias("component"), F.col("component").alias("old")))
+        further = step.select(F.col("node").alias("component"), F.col("component").alias("next"))
+        after = stored(step.join(further.hint("merge"), "component").select("node", F.least("component", "next").alias("component"), "old"))
+        now = after.select("node", "component")
+        if after.filter("component <> old").isEmpty():
+            return now
+
+
+#: Nodes of a component that one task solves as a dense matrix; vectors beyond those asked for, and degree of the filter.
+DENSE, SPARE, DEGREE = 1500, 4, 12
+
+
+def _signed(vectors: np.ndarray) -> np.ndarray:
+    """Columns with their first entry of largest size positive."""
+    if not len(vectors):
+        return vectors
+    top = np.abs(vectors).round(9).argmax(axis=0)
+    return vectors * np.where(vectors[top, np.arange(vectors.shape[1])] < 0, -1.0, 1.0)
+
+
+def spectral(edges: DataFrame, dims: int = 8, tolerance: float = 1e-3, rounds: int = 60, seed: int = 5) -> DataFrame:
+    """(node, component, v, residual): in each component the eigenvectors of the normalised Laplacian of undirected
+    edges (a, b) with the smallest eigenvalues, the trivial one left out.
+
+    A component of up to DENSE nodes is solved exactly in one task, many of them at once. Larger ones go on together
+    by block iteration: a Chebyshev filter of DEGREE joins and aggregations damps all eigenvalues above the block's
+    own, then a small matrix of inner products for each component makes the block orthonormal and turns it to its
+    eigenvectors. It ends when every component's largest residual |Lv - tv| is below the tolerance, or after
+    `rounds`; `residual` tells which. A component of n nodes has n - 1 such vectors at most, the rest of v is 0.
+    """
+    both = stored(edges.filter("a <> b").select("a", "b").unionByName(edges.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = connected(both)
+    degree = stored(both.groupBy("a").agg(F.count(F.lit(1)).cast("double").alias("n")).join(labels.withColumnRenamed("node", "a").hint("merge"), "a"))
+    sizes = degree.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    degree = stored(degree.join(sizes.hint("merge"), "component"))
     weights = both.join(degree.hint("merge"), "a").join(degree.select(F.col("a").alias("b"), F.col("n").alias("m")).hint("merge"), "b")
-    weights = stored(weights.select("a", "b", (1 / F.sqrt(F.col("n") * F.col("m"))).alias("w")))
-    start = F.array(F.sqrt("n"), *((F.pmod(F.xxhash64("a", F.lit(seed), F.lit(j)), F.lit(20_001)) / 10_000 - 1) for j in range(1, dims)))
-    now = stored(degree.select(F.col("a").alias("node"), start.alias("v")))
-
-    def orthonormal(block: DataFrame) -> DataFrame:
-        sums = block.agg(*(F.sum(F.col("v")[i] * F.col("v")[j]).alias(f"g{i}_{j}") for i in range(dims) for j in range(i, dims))).first()
-        gram = np.array([[sums[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(dims)] for i in range(dims)])
-        values, vectors = np.linalg.eigh(gram)
-        root = vectors * np.where(values > 1e-12 * max(values.max(), 1e-300), 1 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
-        root = root[:, ::-1]  # largest first
-        return block.select("node", F.array(*(sum((F.col("v")[i] * float(root[i, j]) for i in range(1, dims)), F.col("v")[0] * float(root[0, j])) for j in range(dims))).alias("v"))
-
-    for _ in range(rounds):
-        sums = weights.join(now.withColumnRenamed("node", "b").hint("merge"), "b").groupBy("a").agg(F.array(*(F.sum(F.col("w") * F.col("v")[j]) for j in range(dims))).alias("s"))
-        moved = now.join(sums.withColumnRenamed("a", "node").hint("merge"), "node").select("node", F.array(*(F.col("v")[j] + F.col("s")[j] for j in range(dims))).alias("v"))
-        now = stored(orthonormal(stored(moved)))
-    return now
+    weights = stored(weights.select("a", "b", "component", "size", (1 / F.sqrt(F.col("n") * F.col("m"))).alias("w")))
+    kind = both.schema["a"].dataType.simpleString()
+    schema = f"node {kind}, component {kind}, v array<double>, residual double"
+
+    def solved(part: pd.DataFrame) -> pd.DataFrame:
+        nodes, a = np.unique(part["a"].to_numpy(), return_inverse=True)
+        laplacian = np.eye(len(nodes))
+        laplacian[a, np.searchsorted(nodes, part["b"].to_numpy())] -= part["w"].to_numpy()
+        values, vectors = np.linalg.eigh(laplacian)
+        found = _signed(vectors[:, 1 : dims + 1])
+        rest = np.linalg.norm(laplacian @ found - found * values[1 : dims + 1], axis=0).max(initial=0.0)
+        found = np.pad(found, ((0, 0), (0, dims - found.shape[1])))
+        return pd.DataFrame({"node": nodes, "component": part["component"].iloc[0], "v": list(found), "residual": rest})
+
+    done = stored(weights.filter(F.col("size") <= DENSE).groupBy("component").applyInPandas(solved, schema))
+    weights, degree = weights.filter(F.col("size") > DENSE), degree.filter(F.col("size") > DENSE)
+    if degree.isEmpty():
+        return done
+    return done.unionByName(_iterated(stored(weights.select("a", "b", "w")), stored(degree.select(F.col("a").alias("node"), "component", "n")), dims, tolerance, rounds, seed, kind))
+
+
+def _iterated(weights: DataFrame, nodes: DataFrame, dims: int, tolerance: float, rounds: int, seed: int, kind: str) -> DataFrame:
+    """spectral for large components: (node, component, v, residual)."""
+    b = dims + 1 + SPARE
+    start = F.array(F.sqrt("n"), *((F.pmod(F.xxhash64("node", F.lit(seed), F.lit(j)), F.lit(20_001)) / 10_000 - 1) for j in range(1, b)))
+    now = stored(nodes.select("node", "component", start.alias("v")))
+    zipped = lambda x, y, of: F.zip_with(x, y, of)
+
+    def applied(block: DataFrame) -> DataFrame:
+        """The block with `l`, its product with the Laplacian."""
+        sums = weights.join(block.select(F.col("node").alias("b"), "v").hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.array(*(F.sum(F.col("w") * F.col("v")[j]) for j in range(b))).alias("s"))
+        return block.join(sums.hint("merge"), "node").withColumn("l", zipped("v", "s", lambda v, s: v - s)).drop("s")
+
+    def turned(part: pd.DataFrame) -> pd.DataFrame:
+        """(component, turn, values) from sums of products of v with v and with l: an orthonormal block of Ritz vectors."""
+        made = []
+        for r in part.itertuples(index=False):
+            gram, ritz = np.zeros((b, b)), np.zeros((b, b))
+            gram[np.triu_indices(b)], ritz[np.triu_indices(b)] = r.g, r.h
+            gram, ritz = gram + np.triu(gram, 1).T, ritz + np.triu(ritz, 1).T
+            d = 1 / np.sqrt(np.maximum(np.diag(gram), 1e-300))
+            values, vectors = np.linalg.eigh(gram * d[:, None] * d)
+            root = d[:, None] * vectors * np.where(values > 1e-10, 1 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
+            inner = root.T @ ritz @ root + np.diag(np.where(values > 1e-10, 0.0, 4.0))  # directions that are lost come last
+            low, turn = np.linalg.eigh(inner)
+            made.append((r.component, (root @ turn).ravel().tolist(), low.tolist()))
+        return pd.DataFrame(made, columns=["component", "turn", "values"])
+
+    pairs = [(i, j) for i in range(b) for j in range(i, b)]
+    for step in range(rounds + 1):
+        block = stored(applied(now))
+        sums = block.groupBy("component").agg(F.array(*(F.sum(F.col("v")[i] * F.col("v")[j]) for i, j in pairs)).alias("g"), F.array(*(F.sum(F.col("v")[i] * F.col("l")[j]) for i, j in pairs)).alias("h"))
+        turns = stored(sums.mapInPandas(lambda parts: map(turned, parts), f"component {kind}, turn array<double>, values array<double>"))
+        times = lambda x: F.transform(F.sequence(F.lit(0), F.lit(b - 1)), lambda j: F.aggregate(F.sequence(F.lit(0), F.lit(b - 1)), F.lit(0.0), lambda t, i: t + F.col(x)[i] * F.col("turn")[i * b + j]))
+        block = stored(block.join(sized(turns), "component").select("node", "component", times("v").alias("v"), times("l").alias("l"), "values"))
+        off = F.array_max(F.array(*(F.sqrt(F.sum((F.col("l")[j] - F.col("values")[j] * F.col("v")[j]) ** 2)) for j in range(1, dims + 1))))
+        state = stored(block.groupBy("component").agg(off.alias("residual"), F.max(F.col("values")[b - 1]).alias("cut")))
+        if step == rounds or state.agg(F.max("residual")).first()[0] < tolerance:
+            found = block.join(sized(state), "component").select("node", "component", F.slice("v", 2, dims).alias("v"), "residual")
+            big = found.groupBy("component").agg(F.array(*(F.max_by(F.col("v")[j], F.struct(F.round(F.abs(F.col("v")[j]), 9), -F.col("node"))) for j in range(dims))).alias("top"))
+            return found.join(sized(stored(big)), "component").select("node", "component", zipped("v", "top", lambda v, t: F.when(t < 0, -v).otherwise(v)).alias("v"), "residual")
+        # Chebyshev polynomial that is small between the block's largest value and 2
+        low = F.least(F.greatest("cut", F.lit(1e-6)), F.lit(1.9))
+        half, middle = (2 - F.col("low")) / 2, (2 + F.col("low")) / 2
+        two = block.drop("values").join(sized(state.select("component", low.alias("low"))), "component")
+        two = two.select("node", "component", "low", F.col("v").alias("before"), zipped("l", "v", lambda l, v: (l - middle * v) / half).alias("v"))
+        for i in range(2, DEGREE + 1):
+            two = applied(two).select("node", "component", "low", F.col("v").alias("before"), zipped(zipped("l", "v", lambda l, v: 2 * (l - middle * v) / half), "before", lambda x, y: x - y).alias("v"))
+            two = stored(two) if i % 3 == 0 else two
+        now = two.select("node", "component", "v")
 
 
 def network_edges(near: DataFrame, snapped: DataFrame, paths: DataFrame, metres: float) -> DataFrame:

@@ -98,15 +98,38 @@ def test_rewiring_keeps_degrees(spark):
     assert len(set(after)) == len(after) == len(before) and all(a < b for a, b in after) and degree(after) == degree(before) and set(after) != before
 
 
-def test_spectral_block_is_close_to_the_eigenvectors(spark):
-    ring = [(i, (i + 1) % 12) for i in range(12)]
-    got = paths.spectral(spark.createDataFrame([(min(e), max(e)) for e in ring], "a long, b long"), dims=3, rounds=25).orderBy("node").collect()
-    block = np.array([r["v"] for r in got])
-    lap = np.eye(12)
-    for a, b in ring:
-        lap[a, b] = lap[b, a] = -0.5
-    values = np.linalg.eigh(lap)[0][:3]
-    assert np.allclose(block.T @ block, np.eye(3), atol=1e-6) and abs(np.trace(block.T @ lap @ block) - values.sum()) < 0.02
+@pytest.mark.parametrize("dense", [1500, 10])
+def test_spectral_vectors_are_eigenvectors(spark, monkeypatch, dense):
+    """By dense matrices and by iteration: small residuals, the smallest eigenvalues, components apart."""
+    monkeypatch.setattr(paths, "DENSE", dense)
+    rng = np.random.default_rng(4)
+    ring = [(i, (i + 1) % 40) for i in range(40)] + [(0, 7), (3, 20)]
+    grid = [(100 + 9 * x + y, 100 + 9 * u + v) for x in range(9) for y in range(9) for u, v in ((x + 1, y), (x, y + 1)) if u < 9 and v < 9 and rng.random() < 0.9]
+    edges = [(min(e), max(e)) for e in [*ring, *grid, (500, 501), (600, 600)]]
+    rows = paths.spectral(spark.createDataFrame(edges, "a long, b long"), dims=3, tolerance=1e-4).collect()
+    parts = {}
+    for r in rows:
+        parts.setdefault(r["component"], {})[r["node"]] = r["v"]
+    assert {0, 500} <= set(parts) and parts[0].keys() == set(range(40)) and parts[500].keys() == {500, 501} and max(r["residual"] for r in rows) < 1e-4
+    for nodes in parts.values():
+        ids = sorted(nodes)
+        block = np.array([nodes[i] for i in ids])
+        lap = np.zeros((len(ids), len(ids)))
+        for a, b in {e for e in edges if e[0] in nodes and e[0] != e[1]}:
+            lap[ids.index(a), ids.index(b)] = lap[ids.index(b), ids.index(a)] = 1
+        d = lap.sum(1)
+        lap = np.eye(len(ids)) - lap / np.sqrt(np.outer(d, d))
+        values = np.linalg.eigh(lap)[0][1:4]
+        k = len(values)
+        assert np.allclose(block[:, :k].T @ block[:, :k], np.eye(k), atol=1e-6) and np.allclose(np.diag(block[:, :k].T @ lap @ block[:, :k]), values, atol=1e-5)
+        assert np.abs(lap @ block[:, :k] - block[:, :k] * values).max() < 1e-3
+
+
+def test_connected_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 101), (7, 3)]
+    both = spark.createDataFrame(edges + [(b, a) for a, b in edges], "a long, b long")
+    got = {r["node"]: r["component"] for r in paths.connected(both).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 90, 90: 90, 101: 90}
 
 
 def test_p_values():
