@@ -155,8 +155,8 @@ def spatial_clusters(points: DataFrame, value: str, k: int | None = None) -> Dat
     """
     rows = assembled(points, ["x", "y"])
     k = max(1, min(5, rows.count() // 10)) if k is None else k
-    model = KMeans(k=k, seed=1).fit(rows)
-    found = model.transform(rows).groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("variance"), F.count(value).alias("_w"))
+    placed = KMeans(k=k, seed=1).fit(rows).transform(rows) if k > 1 else rows.withColumn("prediction", F.lit(0))
+    found = placed.groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.var_pop(value).alias("variance"), F.count(value).alias("_w"))
     every = Window.partitionBy()  # a row for each cluster
     share = F.col("_w") / F.sum("_w").over(every)
     middle = F.sum(share * F.col("mean")).over(every)

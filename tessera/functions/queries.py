@@ -136,13 +136,17 @@ _SUMMARY = """SELECT feature, count(*) AS areas, avg(rho) AS mean, median(rho) A
 FROM t_rho WHERE NOT isnan(rho) GROUP BY feature HAVING count(*) >= 5"""
 
 
-def sta_13_rank_consistency_p(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The summary with both tests' p values and the flag of consistent features."""
-    rows = table(spark, sf_dir, _SUMMARY).join(table(spark, sf_dir, _SIGNED).hint("merge"), "feature")
+def rank_consistency(summary: DataFrame, signed: DataFrame) -> DataFrame:
+    """The summary of rank correlations with both tests' p values and the flag of consistent features."""
+    rows = summary.join(signed.hint("merge"), "feature")
     rows = rows.withColumn("sign_p", pvalues.column(pvalues.sign, "positive", F.col("positive") + F.col("negative"))).withColumn("wilcoxon_p", pvalues.column(pvalues.wilcoxon, "plus", "n", "ties"))
     return rows.drop("n", "plus", "ties").withColumn("consistent", (F.col("sign_p") < 0.05) & (F.abs("middle") >= 0.1))
 
 
+def sta_13_rank_consistency_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_consistency(table(spark, sf_dir, _SUMMARY), table(spark, sf_dir, _SIGNED))
+
+
 def sta_15_wilcoxon_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signed-rank test of each method's error against the uniform one, paired by area."""
     sql = """SELECT method, count(*) AS n, sum(CASE WHEN d > 0e0 THEN place ELSE 0e0 END) AS plus, sum(CASE WHEN nth = 1 THEN CAST(m AS DOUBLE) * m * m - m ELSE 0e0 END) AS ties FROM (

@@ -41,7 +41,7 @@ WITH p AS (SELECT method, point_id, area_id, target, truth, value FROM t_pred UN
  SELECT 'idw', i.point_id, i.area_id, i.t, q.truth, least(greatest(i.v * i.t / nullif(avg(i.v) OVER (PARTITION BY i.area_id), 0e0), 0e0), 1e0) FROM ({_IDW}) i JOIN t_point q ON i.point_id = q.point_id),
 m AS (SELECT method, area_id, abs(avg(value) - min(target)) AS gap, stddev_pop(value) AS sd, sqrt(avg((value - truth) * (value - truth))) AS rmse FROM p GROUP BY method, area_id)
 SELECT method, count(*) AS areas, round(avg(gap), 6) AS gap, round(avg(sd), 6) AS sd, round(avg(rmse), 6) AS rmse, rank() OVER (ORDER BY round(avg(rmse), 6)) AS place FROM m GROUP BY method""",
-    "dis_12_property_means": "SELECT a.area_id, round(coalesce(avg(p.ancillary), max(m.middle)), 6) AS mean FROM t_area a LEFT JOIN t_point p ON p.area_id = a.area_id AND p.area_id % 9 <> 0 CROSS JOIN (SELECT median(v) AS middle FROM (SELECT area_id, avg(ancillary) AS v FROM t_point WHERE area_id % 9 <> 0 GROUP BY area_id)) m GROUP BY a.area_id",
+    "dis_12_property_means": "SELECT a.area_id, round(coalesce(avg(p.value), max(m.middle)), 6) AS mean FROM t_area a LEFT JOIN t_property p ON p.area_id = a.area_id CROSS JOIN (SELECT median(v) AS middle FROM (SELECT area_id, avg(value) AS v FROM t_property GROUP BY area_id)) m GROUP BY a.area_id",
     "dis_14_soft_bands": "SELECT p.point_id, b.band FROM t_point p JOIN (SELECT 'low' AS band, 0e0 AS lo, 0.4e0 AS hi UNION ALL SELECT 'medium', 0.3e0, 0.7e0 UNION ALL SELECT 'high', 0.55e0, 1.01e0) b ON p.truth >= b.lo AND p.truth <= b.hi",
     "dis_15_gated_blend": """
 WITH g AS (SELECT p.point_id, p.area_id, exp(-abs(coalesce(p.ancillary, 0e0) / 100e0 - 0.5e0)) AS e1, exp(-abs(p.x - floor(p.x) - 0.5e0)) AS e2, exp(-0.5e0) AS e3 FROM t_point p),

@@ -39,8 +39,7 @@ SELECT count_if(a.point_id IS NULL) AS only_right, count_if(b.point_id IS NULL)
     "set_01_union": "SELECT area_id, 'east' AS half FROM t_area WHERE minx >= 2e0 UNION ALL SELECT area_id, 'west' FROM t_area WHERE minx < 3e0",
     "set_02_feature_sets": """
 SELECT coalesce(a.f, b.f) AS feature, CASE WHEN b.f IS NULL THEN 'first only' WHEN a.f IS NULL THEN 'second only' WHEN a.s = b.s THEN 'same sign' ELSE 'opposite' END AS kind FROM
- (SELECT p_name AS f, CASE WHEN avg(CAST(p_size AS DOUBLE)) > 25e0 THEN 1 ELSE -1 END AS s FROM t_part WHERE p_partkey % 3 = 0 GROUP BY p_name) a FULL OUTER JOIN
- (SELECT p_name AS f, CASE WHEN avg(CAST(p_size AS DOUBLE)) > 24e0 THEN 1 ELSE -1 END AS s FROM t_part WHERE p_partkey % 5 = 0 GROUP BY p_name) b ON a.f = b.f""",
+ t_set_1 a FULL OUTER JOIN t_set_2 b ON a.f = b.f""",
     "set_03_top_overlap": """
 SELECT count(*) AS shared FROM ((SELECT area_id FROM (SELECT area_id, row_number() OVER (ORDER BY rmse, area_id) AS n FROM t_metric WHERE method = 'naive') WHERE n <= 10) INTERSECT (SELECT area_id FROM (SELECT area_id, row_number() OVER (ORDER BY rmse, area_id) AS n FROM t_metric WHERE method = 'gradient') WHERE n <= 10))""",
 }

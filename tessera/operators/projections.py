@@ -6,7 +6,7 @@ SELECT subarea_id, round(coalesce(n_f * 100e0 / nullif(orders_n, 0), 10e0), 6) A
  round(coalesce(n_high * 100e0 / nullif(orders_n, 0), 10e0), 6) AS pct_no_hs_diploma, round(coalesce(n_medium * 100e0 / nullif(orders_n, 0), 12e0), 6) AS pct_uninsured, round(coalesce(n_cheap * 100e0 / nullif(orders_n, 0), 5e0), 6) AS pct_mobile_homes,
  round(coalesce(n_p * 100e0 / nullif(orders_n, 0), 2e0), 6) AS pct_crowded, coalesce(CAST(nullif(total, 0) AS DOUBLE), 2000e0) AS population, coalesce(CAST(nullif(orders_n, 0) AS DOUBLE), 800e0) AS housing_units FROM t_counts""",
     "prj_02_area_target": """
-SELECT n.n_nationkey AS area_id, round(CASE WHEN a.target IS NULL OR a.target < 0e0 THEN 0.5e0 ELSE a.target END, 6) AS target FROM t_nation n LEFT JOIN (SELECT area_id, CASE WHEN area_id % 7 = 0 THEN -1e0 ELSE target END AS target FROM t_area WHERE area_id % 5 <> 0) a ON n.n_nationkey = a.area_id""",
+SELECT n.n_nationkey AS area_id, round(CASE WHEN a.target IS NULL OR a.target < 0e0 THEN 0.5e0 ELSE a.target END, 6) AS target FROM t_nation n LEFT JOIN t_gap_target a ON n.n_nationkey = a.area_id""",
     "prj_03_target_dispatch": """
 SELECT 'svi' AS kind, area_id, round(target, 6) AS target FROM t_area UNION ALL
 SELECT 'property_value', a.area_id, round(coalesce(avg(p.ancillary / 100e0), 0.5e0), 6) FROM t_area a LEFT JOIN t_point p ON p.area_id = a.area_id GROUP BY a.area_id""",
@@ -19,16 +19,15 @@ SELECT subarea_id, round(CASE WHEN orders_n > 0 THEN (n_f) / orders_n * 100e0 EN
 SELECT p_partkey, round(ln(1e0 + coalesce(area, 0e0)), 6) AS log_area, coalesce(vertices, m.v, 6e0) AS vertices, round(coalesce(ratio, r.r, 1e0), 6) AS build_land_ratio, round(coalesce(acres, 0e0), 6) AS acres, CASE WHEN p_type IN ('ECONOMY', 'STANDARD') THEN 1e0 ELSE 0e0 END AS residential FROM t_building LEFT JOIN t_cut_vertices m ON m.g = 0 LEFT JOIN t_cut_ratio r ON r.g = 0""",
     "prj_09_land_use_bins": """
 SELECT p_partkey, CASE WHEN code >= 100 AND code < 200 THEN 1e0 ELSE 0e0 END AS lu_1, CASE WHEN code >= 200 AND code < 300 THEN 1e0 ELSE 0e0 END AS lu_2, CASE WHEN code >= 300 AND code < 400 THEN 1e0 ELSE 0e0 END AS lu_3,
- CASE WHEN code IS NULL OR code < 100 OR code >= 400 THEN 1e0 ELSE 0e0 END AS lu_other FROM (SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_size * 10 END AS code FROM t_part)""",
+ CASE WHEN code IS NULL OR code < 100 OR code >= 400 THEN 1e0 ELSE 0e0 END AS lu_other FROM t_land_use""",
     "prj_10_one_hot": """
 SELECT c_custkey AS point_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 1e0 ELSE 0e0 END AS is_building, CASE WHEN c_mktsegment = 'MACHINERY' THEN 1e0 ELSE 0e0 END AS is_machinery, CASE WHEN c_mktsegment = 'AUTOMOBILE' THEN 1e0 ELSE 0e0 END AS is_automobile,
  CASE WHEN c_mktsegment = 'FURNITURE' THEN 1e0 ELSE 0e0 END AS is_furniture, CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 1e0 ELSE 0e0 END AS is_household FROM t_customer""",
     "prj_11_parcel_features": "SELECT p_partkey, round(ln(1e0 + coalesce(p_retailprice, 0e0)), 6) AS log_value, round(p_retailprice / nullif(p_size % 5, 0), 6) AS ratio FROM t_part",
     "prj_13_coordinate_features": "SELECT point_id, round((x - mx) / sx, 6) AS zx, round((y - my) / sy, 6) AS zy FROM t_point CROSS JOIN (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy FROM t_point)",
     "prj_14_non_finite_repair": """
-SELECT p_partkey, CASE WHEN isnan(v) THEN 0e0 WHEN v = CAST('Infinity' AS DOUBLE) THEN 999e0 WHEN v = CAST('-Infinity' AS DOUBLE) THEN -999e0 ELSE v END AS v
-FROM (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN CAST('NaN' AS DOUBLE) WHEN 1 THEN CAST('Infinity' AS DOUBLE) WHEN 2 THEN CAST('-Infinity' AS DOUBLE) ELSE p_retailprice END AS v FROM t_part)""",
-    "prj_15_canonical_key": "SELECT s_suppkey, upper(trim(coalesce(s_name, ''))) || '|' || coalesce(nullif(trim(CASE WHEN s_suppkey % 4 = 0 THEN '  ' ELSE 'g' || CAST(s_nationkey AS STRING) END), ''), '') AS parcel_key FROM t_supplier",
+SELECT p_partkey, CASE WHEN isnan(v) THEN 0e0 WHEN v = CAST('Infinity' AS DOUBLE) THEN 999e0 WHEN v = CAST('-Infinity' AS DOUBLE) THEN -999e0 ELSE v END AS v FROM t_non_finite""",
+    "prj_15_canonical_key": "SELECT s_suppkey, upper(trim(coalesce(s_name, ''))) || '|' || coalesce(nullif(trim(group_key), ''), '') AS parcel_key FROM t_parcel_group",
     "prj_16_expected_sign": """
 SELECT DISTINCT feature, CASE WHEN feature LIKE '%count%' THEN 'NEGATIVE' WHEN feature LIKE '%anc%' OR feature LIKE '%time%' THEN 'POSITIVE' ELSE 'UNKNOWN' END AS expected FROM t_feature""",
     "prj_17_range_predicates": "SELECT point_id FROM t_point WHERE CAST(subarea_id AS STRING) LIKE '1%' AND truth BETWEEN 0.2e0 AND 0.8e0",

@@ -29,8 +29,7 @@ SELECT below + 1 AS dest_id, name, lon, lat FROM ({placed("""(SELECT p_partkey,
     "src_08_point_enrichment": """
 SELECT p.point_id, p.area_id, a.n_orders, round(a.mean_price, 1) AS mean_price FROM t_point p LEFT JOIN (SELECT o_custkey, count(*) AS n_orders, avg(o_totalprice) AS mean_price FROM t_orders GROUP BY o_custkey) a ON p.point_id = a.o_custkey""",
     "src_10_chunk_merge": """
-SELECT coalesce(a.k, b.k) AS geoid, a.v AS quantity, b.v AS orders FROM (SELECT '9' || substring(CAST(10000000 + l_partkey AS STRING), 2, 7) AS k, CAST(sum(l_quantity) AS BIGINT) AS v FROM t_lineitem WHERE l_partkey % 3 <> 0 GROUP BY 1) a
-FULL OUTER JOIN (SELECT '9' || substring(CAST(10000000 + p_partkey AS STRING), 2, 7) AS k, CAST(p_size AS BIGINT) AS v FROM t_part WHERE p_partkey % 2 = 0) b ON a.k = b.k""",
+SELECT coalesce(a.k, b.k) AS geoid, a.v AS quantity, b.v AS orders FROM t_chunk_1 a FULL OUTER JOIN t_chunk_2 b ON a.k = b.k""",
     "src_11_external_target": """
 SELECT count(*) AS points, count(v) AS matched, count(*) - count(v) AS missing, count(v) > 0 AS any_match, CAST(count(v) AS DOUBLE) / count(*) < 0.8e0 AS warn, min(v) AS least, max(v) AS most, round(avg(v), 6) AS mean
 FROM t_point p LEFT JOIN (SELECT doc_id, CAST(min(quality) AS DOUBLE) AS v FROM t_labels GROUP BY doc_id) l ON p.point_id = l.doc_id""",
@@ -48,7 +47,7 @@ SELECT operation, cache_type, cache_key, hit, CAST(get_json_object(props, '$.k')
 SELECT point_id, max(CASE WHEN feature = 'ancillary' THEN round(value, 6) END) AS ancillary, max(CASE WHEN feature = 'east' THEN round(value, 6) END) AS east, max(CASE WHEN feature = 'north' THEN round(value, 6) END) AS north,
  max(CASE WHEN feature = 'block_count' THEN value END) AS block_count FROM t_feature GROUP BY point_id HAVING count(DISTINCT area_id) = 1""",
     "snk_04_trial_ledger": """
-SELECT m.method, m.area_id, round(m.rmse, 6) AS rmse FROM t_metric m LEFT ANTI JOIN (SELECT 'naive' AS method, n_nationkey AS area_id FROM t_nation WHERE n_nationkey % 2 = 0) done ON m.method = done.method AND m.area_id = done.area_id""",
+SELECT m.method, m.area_id, round(m.rmse, 6) AS rmse FROM t_metric m LEFT ANTI JOIN t_done_trial done ON m.method = done.method AND m.area_id = done.area_id""",
     "snk_05_content_key": """
 SELECT area_id, md5(string_agg(h, ',') WITHIN GROUP (ORDER BY cell, h)) AS content_key FROM (SELECT area_id, cell, md5(string_agg(k, ',') WITHIN GROUP (ORDER BY k)) AS h FROM (SELECT area_id, CAST(floor(x * 64e0) AS BIGINT) * 100000 + CAST(floor(y * 64e0) AS BIGINT) AS cell, CAST(CAST(round(x * 1e6, 0) AS BIGINT) AS STRING) || ':' || CAST(CAST(round(y * 1e6, 0) AS BIGINT) AS STRING) AS k FROM t_point) GROUP BY area_id, cell) GROUP BY area_id""",
 }

@@ -171,6 +171,19 @@ SELECT value, sqrt((x - avg(x) OVER (PARTITION BY area_id)) * (x - avg(x) OVER (
 SELECT p.point_id, min(p.truth) AS truth, avg(1e0 / (1e0 + a.mean_time)) AS m FROM t_point p JOIN t_access a ON p.point_id = a.point_id GROUP BY p.point_id""",
     "times": """
 SELECT 'walk' AS mode, km, walk_time AS v FROM t_od UNION ALL SELECT 'drive', km, drive_time FROM t_od UNION ALL SELECT 'transit', km, transit_time FROM t_od""",
+    # test data with gaps, as their operators expect them: area targets missing or negative, areas without property values, two chunks of
+    # columns for different keys, land-use codes, values that are not finite, blank group keys, features of two runs, trials done before
+    "gap_target": "SELECT area_id, CASE WHEN area_id % 7 = 0 THEN -1e0 ELSE target END AS target FROM t_area WHERE area_id % 5 <> 0",
+    "property": "SELECT area_id, point_id, CASE WHEN area_id % 9 = 0 THEN NULL ELSE ancillary END AS value FROM t_point",
+    "chunk_1": "SELECT '9' || substring(CAST(10000000 + l_partkey AS STRING), 2, 7) AS k, CAST(sum(l_quantity) AS BIGINT) AS v FROM t_lineitem WHERE l_partkey % 3 <> 0 GROUP BY 1",
+    "chunk_2": "SELECT '9' || substring(CAST(10000000 + p_partkey AS STRING), 2, 7) AS k, CAST(p_size AS BIGINT) AS v FROM t_part WHERE p_partkey % 2 = 0",
+    "land_use": "SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_size * 10 END AS code FROM t_part",
+    "non_finite": "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN CAST('NaN' AS DOUBLE) WHEN 1 THEN CAST('Infinity' AS DOUBLE) WHEN 2 THEN CAST('-Infinity' AS DOUBLE) ELSE p_retailprice END AS v FROM t_part",
+    "parcel_group": "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 4 = 0 THEN '  ' ELSE 'g' || CAST(s_nationkey AS STRING) END AS group_key FROM t_supplier",
+    "set_1": "SELECT p_name AS f, CASE WHEN avg(CAST(p_size AS DOUBLE)) > 25e0 THEN 1 ELSE -1 END AS s FROM t_part WHERE p_partkey % 3 = 0 GROUP BY p_name",
+    "set_2": "SELECT p_name AS f, CASE WHEN avg(CAST(p_size AS DOUBLE)) > 24e0 THEN 1 ELSE -1 END AS s FROM t_part WHERE p_partkey % 5 = 0 GROUP BY p_name",
+    "done_trial": "SELECT 'naive' AS method, n_nationkey AS area_id FROM t_nation WHERE n_nationkey % 2 = 0",
+    "listed_area": "SELECT ' ' || CAST(area_id AS STRING) || ' ' AS area_key FROM t_area WHERE area_id % 2 = 0",
     # areas split into training and test by a hash; predictions of a line fitted to the points of all training areas
     "split": """
 SELECT area_id, CASE WHEN CAST(conv(substring(md5('part-' || CAST(area_id AS STRING)), 1, 8), 16, 10) AS BIGINT) % 3 = 0 THEN 'test' ELSE 'train' END AS part FROM t_area""",
