@@ -48,7 +48,7 @@ SELECT feature, round(m, 6) AS mean_drop, round(s, 6) AS sd_drop, areas, row_num
     "agg_25_pair_preflight": """
 SELECT subarea_id, count_if(step = 0) AS n, round(min(lo), 6) AS lo, round(max(lo), 6) AS hi, CAST(sum(CASE WHEN step = 0 AND lo IS NOT NULL THEN n ELSE 0 END) AS BIGINT) AS pairs FROM (SELECT subarea_id, step, lo, sum(step) OVER (PARTITION BY subarea_id ORDER BY place, step DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM (
  SELECT subarea_id, truth + 0.25e0 AS place, 1 AS step, CAST(NULL AS DOUBLE) AS lo FROM t_point WHERE truth IS NOT NULL UNION ALL SELECT subarea_id, truth, 0, truth FROM t_point)) GROUP BY subarea_id""",
-    "agg_26_ordering_compliance": "SELECT a.method, a.area_id, round(avg(CASE WHEN b.value > a.value THEN 1e0 ELSE 0e0 END), 6) AS compliance FROM t_pred a JOIN t_pred b ON a.method = b.method AND a.subarea_id = b.subarea_id AND b.truth - a.truth >= 0.3e0 GROUP BY a.method, a.area_id",
+    "agg_26_ordering_compliance": "SELECT method, area_id, round(sum(higher) * 1e0 / sum(pairs), 6) AS compliance FROM t_ordered GROUP BY method, area_id",
     "agg_27_segment_profiles": """
 WITH seg AS (SELECT area_id, CASE WHEN target <= q1 THEN 'Low' WHEN target <= q2 THEN 'Medium' ELSE 'High' END AS segment FROM t_area CROSS JOIN (SELECT percentile_cont(0.3333) WITHIN GROUP (ORDER BY target) AS q1, percentile_cont(0.6667) WITHIN GROUP (ORDER BY target) AS q2 FROM t_area)),
 f AS (SELECT s.segment, f.feature, avg(f.value) AS m, var_pop(f.value) AS v FROM t_feature f JOIN seg s ON f.area_id = s.area_id GROUP BY s.segment, f.feature)

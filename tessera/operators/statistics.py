@@ -54,9 +54,9 @@ SELECT part, count(*) AS areas, round(corr(m, t), 6) AS r, round(avg(abs(m - t))
     "mlr_11_loss_terms": """
 WITH area AS (SELECT method, area_id, avg(value) AS m, min(target) AS t, stddev_pop(value) AS s, max(value) - min(value) AS span, avg(greatest(value - 1e0, 0e0) + greatest(-value, 0e0)) AS over FROM t_pred GROUP BY method, area_id),
 sub AS (SELECT method, avg((m - t) * (m - t)) AS mse FROM (SELECT method, subarea_id, avg(value) AS m, avg(truth) AS t FROM t_pred WHERE truth IS NOT NULL GROUP BY method, subarea_id) GROUP BY method),
-pairs AS (SELECT method, avg(greatest(0e0, 0.01e0 - (value - before))) AS hinge FROM (SELECT method, value, lag(value) OVER (PARTITION BY method, subarea_id ORDER BY truth, point_id) AS before FROM t_pred WHERE truth IS NOT NULL) WHERE before IS NOT NULL GROUP BY method)
+pairs AS (SELECT method, sum(hinge) / sum(pairs) AS hinge FROM t_ordered GROUP BY method)
 SELECT a.method, round(avg((a.m - a.t) * (a.m - a.t)), 9) AS constraint_mse, round(avg(greatest(0e0, 0.05e0 - a.s)), 6) AS variation_hinge, round(avg(a.over), 6) AS bounds, round(avg(greatest(0e0, 0.2e0 - a.span)), 6) AS range_hinge, round(max(p.hinge), 6) AS ordering_hinge, round(max(s.mse), 9) AS subarea_mse
-FROM area a JOIN sub s ON a.method = s.method JOIN pairs p ON a.method = p.method GROUP BY a.method""",
+FROM area a JOIN sub s ON a.method = s.method LEFT JOIN pairs p ON a.method = p.method GROUP BY a.method""",
     "mlr_12_convergence_check": """
 SELECT p.method, round(max(c.mean_error), 6) AS mean_error, max(c.mean_error) < 20e0 AS converged, round(corr(p.value, f.m), 6) AS r_mean_feature FROM t_pred p JOIN (SELECT point_id, avg(value) AS m FROM t_feature GROUP BY point_id) f ON p.point_id = f.point_id
 JOIN (SELECT method, avg(e) AS mean_error FROM (SELECT method, area_id, 100e0 * abs(avg(value) - min(target)) / min(target) AS e FROM t_pred GROUP BY method, area_id) GROUP BY method) c ON p.method = c.method GROUP BY p.method""",

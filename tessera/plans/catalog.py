@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import quantiles, resampling
+from ..functions import pairs, quantiles, resampling
 from ..functions.neighbours import band, lonely, nearest, within
 from ..functions.polygons import contains
 from ..operators import PLANS
@@ -39,6 +39,7 @@ DEFAULTS: dict[str, float | int] = {
     "target_high": 0.7,
     "complete_points": 50,
     "reach": 30.0,
+    "gap": 0.3,
 }
 
 
@@ -109,10 +110,10 @@ def _od(spark: SparkSession, tables: dict[str, DataFrame], params: Params) -> Da
     """Pairs of points and destinations within reach, and each point's nearest of a type that has none there."""
     points, dests = bound(spark, "SELECT point_id, x, y FROM t_point", tables), bound(spark, "SELECT dest_id, dest_type, x, y FROM t_dest", tables)
     radius = params["reach"] / MINUTES * (1 + 1e-9)  # the exact condition follows
-    pairs = within(points, dests, radius, "point_id", "dest_id")
+    reached = within(points, dests, radius, "point_id", "dest_id")
     kinds = dests.select("dest_type").distinct()  # a few
     alone = lonely(points, dests, radius, kinds, "dest_type").withColumn("key", F.concat_ws("/", "point_id", "dest_type"))
-    found = pairs.select("src", "dst", "dx", "dy")
+    found = reached.select("src", "dst", "dx", "dy")
     if not alone.isEmpty():
         one = nearest(alone, dests, 1, "key", "dest_id", "dest_type").select(F.col("src").alias("key"), "dst")
         ends = one.join(alone.hint("merge"), "key").join(dests.select(F.col("dest_id").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by")).hint("merge"), "dst")
@@ -143,6 +144,18 @@ def _boot(spark: SparkSession, tables: dict[str, DataFrame], params: Params) ->
     return few if many.isEmpty() else few.unionByName(bound(spark, VIEWS["boot"], {"paired": many}, params))
 
 
+def _ordered(spark: SparkSession, tables: dict[str, DataFrame], params: Params) -> DataFrame:
+    keys = ["method", "area_id", "subarea_id"]
+    rows = stored(bound(spark, "SELECT method, area_id, subarea_id, truth, value FROM t_pred WHERE truth IS NOT NULL", tables, params))
+    large = rows.groupBy(*keys).count().filter(F.col("count") > pairs.MOST_ROWS).select(*keys)
+    if large.isEmpty():
+        return pairs.ordered(rows, keys, params["gap"], 0.02)
+    # groups that no task should hold: the definition by a join
+    large = sized(stored(large))
+    few, many = (rows.join(large, keys, how) for how in ("left_anti", "left_semi"))
+    return pairs.ordered(few, keys, params["gap"], 0.02).unionByName(bound(spark, VIEWS["ordered"], {"pred": many}, params))
+
+
 def _resampled(name: str, of: Callable[[DataFrame, DataFrame, int], DataFrame], values: str = "centred"):
     def run(spark: SparkSession, tables: dict[str, DataFrame], params: Params) -> DataFrame:
         points = stored(bound(spark, f"SELECT point_id, area_id, z FROM t_{values}", tables, params))
@@ -158,7 +171,7 @@ def _resampled(name: str, of: Callable[[DataFrame, DataFrame, int], DataFrame],
     return run
 
 
-BUILT: dict[str, Callable[[SparkSession, dict[str, DataFrame], Params], DataFrame]] = {"near16": _near16, "snap": _snap, "near_dest": _near_dest, "local": _local, "od": _od, "inside": _inside, "band": _band, "boot": _boot, "permuted_top": _resampled("permuted_top", resampling.permuted_moran), "permuted_pred_top": _resampled("permuted_pred_top", resampling.permuted_moran, "centred_pred"), "local_p": _resampled("local_p", resampling.permuted_local)}
+BUILT: dict[str, Callable[[SparkSession, dict[str, DataFrame], Params], DataFrame]] = {"near16": _near16, "snap": _snap, "near_dest": _near_dest, "local": _local, "od": _od, "inside": _inside, "band": _band, "boot": _boot, "ordered": _ordered, "permuted_top": _resampled("permuted_top", resampling.permuted_moran), "permuted_pred_top": _resampled("permuted_pred_top", resampling.permuted_moran, "centred_pred"), "local_p": _resampled("local_p", resampling.permuted_local)}
 
 
 for _name, (_source, _wanted) in QUANTILES.items():

@@ -158,6 +158,9 @@ SELECT src, dst, area_id, d, nth FROM t_near16 WHERE nth <= 8""",
     # all pairs of an area's points no further apart than the median distance to the eighth nearest point
     "band": """
 SELECT src, dst, area_id, d FROM (SELECT a.point_id AS src, b.point_id AS dst, a.area_id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM t_point a JOIN t_point b ON a.area_id = b.area_id AND a.point_id <> b.point_id) CROSS JOIN t_band_width WHERE d <= cut""",
+    # pairs of a subarea's points whose truths lie $gap or more apart: how many, in how many the allocations stand in the same order, and by how much they miss it
+    "ordered": """
+SELECT a.method, a.area_id, a.subarea_id, count(*) AS pairs, count_if(b.value > a.value) AS higher, sum(greatest(0e0, 0.02e0 - (b.value - a.value))) AS hinge FROM t_pred a JOIN t_pred b ON a.method = b.method AND a.area_id = b.area_id AND a.subarea_id = b.subarea_id AND b.truth - a.truth >= $gap GROUP BY a.method, a.area_id, a.subarea_id""",
     # recovery of the truth by area and method
     "metric": """
 SELECT method, area_id, min(target) AS target, count(*) AS n, CASE WHEN stddev_pop(value) > 1e-9 AND stddev_pop(truth) > 1e-9 THEN (avg(value * truth) - avg(value) * avg(truth)) / (stddev_pop(value) * stddev_pop(truth)) END AS r, sqrt(avg((value - truth) * (value - truth))) AS rmse, avg(abs(value - truth)) AS mae, stddev_pop(value) AS sd,
