@@ -44,3 +44,13 @@ def test_sinks(spark, tmp_path):
     for _ in range(2):
         sinks.append_new(df.select("method"), str(tmp_path / "ledger"), ["method"])
     assert spark.read.parquet(str(tmp_path / "ledger")).count() == 2
+
+
+def test_leaking_features_go_for_a_property_target(spark, sf):
+    from tessera.functions import features
+    from tessera.plans import catalog
+
+    made = catalog.read(spark, sf, "prj_08_building_encoder")
+    assert features.for_target(made, "property_value").columns == ["p_partkey"] and features.for_target(made, "svi").columns == made.columns
+    raw = spark.createDataFrame([(1, 2, 3, 4)], "id int, LUCODE int, in_sfha int, log_acres int")
+    assert features.for_target(raw, "property_value").columns == ["id", "in_sfha"]
