@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import columns_of, materialise, partitions, sized, with_text
-from .near_dedup import _constants, _mix, byte_values, components, hashed_words, whole_groups
+from .near_dedup import _chunks, _constants, _mix, byte_values, components, hashed_words, whole_groups
 
 #: Content words of a chain, and sets that one group compares at once.
 CHAIN, LARGEST = 2, 512
@@ -223,11 +223,12 @@ def near_classes(docs: DataFrame, threshold: float = 0.75, id_col: str = "doc_id
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = signature_sets(batch.column(1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([s.astype("i8") for s in sets], pa.list_(pa.int64())), pa.array([length_partition(len(s), threshold) for s in sets], pa.int64())],
-                ["id", "n", "raw", "sigs", "part"],
-            )
+            for start, texts in _chunks(batch.column(1)):
+                sets = signature_sets(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(start, len(sets)), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([s.astype("i8") for s in sets], pa.list_(pa.int64())), pa.array([length_partition(len(s), threshold) for s in sets], pa.int64())],
+                    ["id", "n", "raw", "sigs", "part"],
+                )
 
     rows = docs.select(F.col(id_col).alias("id"), with_text(docs, text_col).alias("text")).mapInArrow(sign, f"id {kind}, n int, raw binary, sigs array<long>, part long")
     signed = materialise(rows, "signed")
