@@ -208,12 +208,40 @@ def _spanning(threshold: float):
     return run
 
 
+def meetings(classes: DataFrame, threshold: float) -> DataFrame:
+    """(part, sig, id, n, m): the m sets that meet at a signature, from distinct sets (id, raw); n is a set's size.
+
+    A set stands under as many of its rarest signatures as any similar set must share one, in its own length partition
+    and the next longer one. Signatures at which the same sets meet give the same links, so one of them is kept; equal
+    meetings are told by their size and 128 bits of their ids.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, LARGEST):
+                ids, raw = batch.column(0).slice(start, LARGEST).to_numpy(), batch.column(1).slice(start, LARGEST).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(r) // 4 for r in raw])), pa.array(np.frombuffer(b"".join(raw), "<i4"))], ["id", "sig"])
+
+    each = classes.select("id", "raw").mapInArrow(spread, "id long, sig int")
+    ranked = each.join(each.groupBy("sig").agg(F.count(F.lit(1)).alias("df")).hint("merge"), "sig")
+    own = Window.partitionBy("id")
+    rare = ranked.select("id", "sig", F.row_number().over(own.orderBy("df", "sig")).alias("k"), F.count(F.lit(1)).over(own).alias("n")).filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
+    part = F.floor(F.log("n") / -math.log(threshold)).cast("int")
+    prefix = materialise(rare.select("id", F.col("n").cast("int").alias("n"), "sig", part.alias("part")), "prefix")
+    prefix = prefix.select("id", "n", "sig", F.explode(F.array("part", F.col("part") + 1)).alias("part"))
+    met = prefix.groupBy("part", "sig").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("a"), F.bit_xor(F.xxhash64("id", F.lit("b"))).alias("b")).filter("m > 1")
+    met = met.groupBy("m", "a", "b").agg(F.min(F.struct("part", "sig")).alias("g")).select("g.part", "g.sig", "m")
+    return prefix.join(met.hint("merge"), ["part", "sig"])
+
+
 def near_classes(docs: DataFrame, threshold: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component_id) of every row: the classes of fingerprints linked at the threshold, by their smallest id.
 
     Sets are partitioned by length; a set meets those of its own and of the next longer partition that share one
     of its rarest signatures, as many of them as any similar set must share one. Equal fingerprints are one class.
-    Groups beyond LARGEST sets are cut into blocks, and every pair of blocks is a group.
+    Only ids and signatures are shuffled to find who meets; of signatures that the same sets share, one stays, so near
+    copies of a long text are compared once and not for every signature. Groups beyond LARGEST sets are cut into
+    blocks, and every pair of blocks is a group.
 
     Edge cases: a text without signatures (null and empty ones among them) is linked with nothing and has its own id;
     every row of an id counts by its own text; a null id is linked like others but names no component, so a component
@@ -225,21 +253,13 @@ def near_classes(docs: DataFrame, threshold: float = 0.75, id_col: str = "doc_id
         for batch in batches:
             for start, texts in _chunks(batch.column(1)):
                 sets = signature_sets(texts)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, len(sets)), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([s.astype("i8") for s in sets], pa.list_(pa.int64())), pa.array([length_partition(len(s), threshold) for s in sets], pa.int64())],
-                    ["id", "n", "raw", "sigs", "part"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(sets)), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "raw"])
 
-    rows = docs.select(F.col(id_col).alias("id"), with_text(docs, text_col).alias("text")).mapInArrow(sign, f"id {kind}, n int, raw binary, sigs array<long>, part long")
+    rows = docs.select(F.col(id_col).alias("id"), with_text(docs, text_col).alias("text")).mapInArrow(sign, f"id {kind}, n int, raw binary")
     signed = materialise(rows, "signed")
     # a class has a number of its own: rows of one id may have several texts
-    classes = signed.filter("n > 0").groupBy("raw").agg(F.min("id").alias("doc"), F.first("n").alias("n"), F.first("sigs").alias("sigs"), F.first("part").alias("part"))
-    classes = materialise(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
-    each = classes.select("id", "n", "part", F.explode("sigs").alias("sig"))
-    ranked = each.join(each.groupBy("sig").agg(F.count(F.lit(1)).alias("df")).hint("merge"), "sig")
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "sig"))
-    prefix = ranked.withColumn("k", place).filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1).select("id", "n", "sig", F.explode(F.array("part", F.col("part") + 1)).alias("part"))
-    shared = materialise(prefix.join(prefix.groupBy("part", "sig").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").hint("merge"), ["part", "sig"]), "shared")
+    classes = materialise(signed.filter("n > 0").groupBy("raw").agg(F.min("id").alias("doc")).withColumn("id", F.monotonically_increasing_id()), "classes")
+    shared = materialise(meetings(classes, threshold), "shared")
     blocks = F.ceil(F.col("m") / LARGEST).cast("long")
     tiled = shared.select("part", "sig", F.explode(_tiles(blocks, F.pmod(F.xxhash64("id"), blocks))).alias("tile"), "n", "id").join(classes.select("id", "raw").hint("merge"), "id")
     groups = tiled.select("part", "sig", "tile", "n", "id", "raw").repartition("part", "sig", "tile").sortWithinPartitions("part", "sig", "tile", "n", "id")

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -478,6 +479,18 @@ def test_near_classes_of_odd_rows(spark):
     assert spotsigs.near_classes(docs.filter("n > 5")).count() == 0
 
 
+def test_near_classes_of_long_copies_meet_once(spark):
+    """Near copies of a long text share thousands of rare signatures; the sets travel for a few of them only."""
+    base = [f"the word{i} of a thing{i}" for i in range(3000)]
+    docs = [(i, " ".join(base[: 3000 - 20 * i])) for i in range(6)] + [(10 + i, " ".join(f"the other{i}x{k} of a matter{i}x{k}" for k in range(50))) for i in range(3)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["component_id"] for r in spotsigs.near_classes(table).collect()} == dict.fromkeys(range(6), 0) | {10 + i: 10 + i for i in range(3)}
+    sets = spotsigs.signature_sets(pa.array([t for _, t in docs]))
+    classes = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "id long, raw binary")
+    met = spotsigs.meetings(classes, 0.75).collect()
+    assert len({(r["part"], r["sig"]) for r in met}) < 30 and {r["id"] for r in met} == set(range(6))
+
+
 @pytest.mark.parametrize("block", [1, 3, 4096])
 def test_next_documents_in_blocks_of_buckets(spark, monkeypatch, block):
     monkeypatch.setattr(spotsigs, "BLOCK", block)
