@@ -24,7 +24,7 @@ from .common import with_text
 SPACES = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Rows on which rules are timed (a documented bound; only the order of the rules depends on it).
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 500
 #: Timed passes over the sample for each rule.
 REPEATS = 3
 
@@ -124,7 +124,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     base = base_statistics(docs, id_col, text_col).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     n = docs.count()
     # a bounded sample, cached so that the filter on its statistics does not compute them again and again
-    some = base_statistics(docs.sample(min(1.0, 4 * SAMPLE_ROWS / max(1, n)), seed=8), id_col, text_col).cache()
+    some = base_statistics(docs.sample(min(1.0, 2 * SAMPLE_ROWS / max(1, n)), seed=8), id_col, text_col).cache()
     order = [rule for rule, _, _ in order_rules(some.filter("n_words >= 50 AND 100 * n_repeat_words <= 50 * n_words"), rules)]
     some.unpersist()
     return base.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(~rejected(order)))
