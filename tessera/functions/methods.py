@@ -18,7 +18,7 @@ from ..operators import PLANS
 from ..operators.disaggregation import SEED
 from ..plans import catalog
 from ..sources.stored import stored
-from . import paths
+from . import models, paths, switches
 from .neighbours import nearest
 
 Method = Callable[[DataFrame, DataFrame], DataFrame]
@@ -97,21 +97,43 @@ def compare(points: DataFrame, areas: DataFrame, names: tuple[str, ...] | None =
 
 @dataclass(frozen=True)
 class Settings:
-    """Switches of a run: the target column, the method, how its values are corrected, and the areas in scope."""
+    """Switches of a run: target column, method, correction of its values, areas in scope, and what a regression reads.
+
+    The method `regression` learns from the columns `features` without those in `dropped`, in one of the feature modes,
+    with the means of the features over the neighbours in one of the graphs.
+    """
 
     target: str = "target"
     method: str = "dasymetric"
     correction: str = "shift"  # "none", "shift" or "clip"
     areas: tuple[int, ...] | None = None
-
-    def run(self, points: DataFrame, areas: DataFrame) -> DataFrame:
-        """(point_id, area_id, value) as the switches say."""
-        if self.method not in METHODS or self.correction not in ("none", "shift", "clip"):
-            raise ValueError(f"unknown method or correction: {self.method}, {self.correction}")
+    prefix: str = ""  # of the areas' ids, as text
+    features: tuple[str, ...] = ()
+    dropped: tuple[str, ...] = ()
+    feature_mode: str = "full"
+    graph: str = "none"
+    neighbours: int = 10
+
+    def _regression(self, points: DataFrame, areas: DataFrame, edges: DataFrame | None) -> DataFrame:
+        kept = [f for f in self.features if f not in self.dropped]
+        if not kept:
+            raise ValueError("a regression needs features")
+        rows, names = switches.substituted(switches.repaired(points, kept), kept, self.feature_mode)
+        links = switches.graph(points, self.graph, self.neighbours, edges=edges)
+        if links is not None:
+            rows, names = switches.with_neighbour_means(rows, names, links)
+        return models.guided(rows, areas, names).select("point_id", "value")
+
+    def run(self, points: DataFrame, areas: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+        """(point_id, area_id, value) as the switches say; edges (src, dst, w) are those of the graph `given`."""
+        if self.method not in (*METHODS, "regression") or self.correction not in ("none", "shift", "clip") or self.feature_mode not in switches.FEATURE_MODES or self.graph not in switches.GRAPHS:
+            raise ValueError(f"unknown switch: {self.method}, {self.correction}, {self.feature_mode}, {self.graph}")
         areas = areas.withColumn("target", F.col(self.target))
         if self.areas is not None:
             areas, points = areas.filter(F.col("area_id").isin(*self.areas)), points.filter(F.col("area_id").isin(*self.areas))
-        value = METHODS[self.method](points, areas)
+        if self.prefix:
+            areas, points = (t.filter(F.col("area_id").cast("string").startswith(self.prefix)) for t in (areas, points))
+        value = self._regression(points, areas, edges) if self.method == "regression" else METHODS[self.method](points, areas)
         rows = points.select("point_id", "area_id").join(value.hint("merge"), "point_id").join(areas.select("area_id", F.col("target").alias("t")).hint("merge"), "area_id")
         rows = rows.select("point_id", "area_id", "t", F.col("value").alias("v"))
         if self.correction != "none":

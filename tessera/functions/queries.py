@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..plans import catalog
 from ..plans.catalog import table
 from ..sources import sinks
-from ..sources.stored import shared_dir
-from . import methods, models, paths, pvalues
+from ..sources.stored import shared_dir, stored
+from . import methods, models, paths, pvalues, switches
 
 FEATURES = ["ancillary", "x", "y", "block", "east", "north"]
 METRES = catalog.DEFAULTS["metres"]
@@ -84,6 +84,23 @@ def dis_13_regression_guided(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.guided(_points(spark, sf_dir), _areas(spark, sf_dir), ["ancillary", "block", "east", "north"])
 
 
+def udf_04_switched_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gap, spread and correlation with the truth of a regression under each feature mode and graph, over all areas."""
+    points, areas = stored(_points(spark, sf_dir)), stored(_areas(spark, sf_dir))
+    roads = grf_06_road_knn(spark, sf_dir).select("src", "dst", F.lit(1.0).alias("w"))
+    features = ("ancillary", "block", "east", "north")
+    runs = [(mode, "none") for mode in switches.FEATURE_MODES] + [("full", graph) for graph in switches.GRAPHS if graph != "none"]
+    found = None
+    for mode, graph in runs:
+        made = methods.Settings(method="regression", features=features, feature_mode=mode, graph=graph).run(points, areas, roads)
+        made = made.select(F.lit(mode).alias("feature_mode"), F.lit(graph).alias("graph"), "point_id", "area_id", "value")
+        found = made if found is None else found.unionByName(made)
+    rows = found.join(points.select("point_id", "truth").hint("merge"), "point_id").join(areas.select("area_id", "target").hint("merge"), "area_id")
+    r = F.try_divide(F.covar_pop("value", "truth"), F.nullif(F.stddev_pop("value") * F.stddev_pop("truth"), F.lit(0.0)))
+    by_area = rows.groupBy("feature_mode", "graph", "area_id").agg(F.count(F.lit(1)).alias("n"), F.abs(F.avg("value") - F.max("target")).alias("gap"), F.stddev_pop("value").alias("sd"), r.alias("r"))
+    return by_area.groupBy("feature_mode", "graph").agg(F.count(F.lit(1)).alias("areas"), F.sum("n").alias("points"), *(F.avg(c).alias(c) for c in ("gap", "sd", "r")))
+
+
 def acc_22_spatial_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points that no earlier kept point lies within 100 m of."""
     return paths.thinned(_points(spark, sf_dir), 100 / METRES).select("point_id", "x", "y")
@@ -186,7 +203,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         mlr_01_ridge, mlr_02_boosted_out_of_fold, mlr_03_recovery_by_model, mlr_04_redundancy_filter, mlr_06_leakage_audit, mlr_07_permutation_importance, mlr_08_forest_importance, mlr_09_principal_components,
-        sps_11_spatial_clusters, dis_04_pycnophylactic, dis_06_kriging, dis_11_registered_methods, dis_13_regression_guided, acc_22_spatial_dedupe, grf_05_network_edges, grf_06_road_knn, grf_07_bounded_paths,
+        sps_11_spatial_clusters, dis_04_pycnophylactic, dis_06_kriging, dis_11_registered_methods, dis_13_regression_guided, udf_04_switched_runs, acc_22_spatial_dedupe, grf_05_network_edges, grf_06_road_knn, grf_07_bounded_paths,
         grf_10_rewired, grf_13_spectral, set_04_neighbour_jaccard, sta_02_pearson_p, sta_13_rank_consistency_p, sta_15_wilcoxon_p, sta_20_uncorrelated_features, snk_01_results, snk_02_provenance,
     )
 }

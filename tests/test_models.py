@@ -2,13 +2,14 @@
 
 import heapq
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tessera.functions import methods, models, paths, pvalues
+from tessera.functions import methods, models, paths, pvalues, switches
 from tessera.plans import catalog
 from tessera.sources import sinks
 from tessera.functions.queries import QUERIES
@@ -242,3 +243,65 @@ def test_written_results_are_whole(spark, sf):
     got = {r["name"]: (r["rows"], r["columns"]) for r in QUERIES["snk_01_results"](spark, sf).collect()}
     sizes = {n: catalog.table(spark, sf, f"SELECT count(*) AS n FROM t_{t}").first()["n"] for n, t in (("predictions", "pred"), ("features", "feature"), ("summary", "metric"))}
     assert got == {n: (sizes[n], c) for n, c in (("predictions", 4), ("features", 4), ("summary", 6))}
+
+
+def test_feature_modes_and_neighbour_means(spark):
+    rng = np.random.default_rng(4)
+    at = rng.random((40, 2))
+    rows = [(i, i % 2, float(at[i, 0]), float(at[i, 1]), None if i % 9 == 0 else float(i), float("inf") if i == 3 else 1.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "point_id long, area_id int, x double, y double, a double, b double")
+    fixed = switches.repaired(df, ["a", "b"])
+    assert {r["point_id"]: (r["a"], r["b"]) for r in fixed.collect()} == {i: (0.0 if i % 9 == 0 else float(i), 999.0 if i == 3 else 1.0) for i in range(40)}
+    z = (at - at.mean(0)) / (at.std(0) + 1e-8)
+    for mode, names in (("coordinates", 2), ("noise", 3), ("coordinates_noise", 3)):
+        made, kept = switches.substituted(df, ["a", "b", "x"], mode)
+        got = np.array([[r[c] for c in kept] for r in made.orderBy("point_id").collect()])
+        assert got.shape == (40, names) and np.isfinite(got).all()
+        if mode != "noise":
+            np.testing.assert_allclose(got[:, :2], z, atol=1e-9)
+    big = switches.substituted(spark.range(20000).select(F.col("id").alias("point_id"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), ["p", "q"], "noise")
+    m = np.array([[r[c] for c in big[1]] for r in big[0].collect()])
+    assert abs(m.mean()) < 0.02 and abs(m.std() - 1) < 0.02 and abs(np.corrcoef(m.T)[0, 1]) < 0.03
+    edges = [(i, j, w) for i, j, w in zip(rng.integers(0, 30, 90).tolist(), rng.integers(0, 40, 90).tolist(), (rng.random(90) + 0.1).tolist(), strict=True)]
+    made, names = switches.with_neighbour_means(df, ["a"], spark.createDataFrame(edges, "src long, dst long, w double"))
+    for r in made.collect():
+        near = [(w, rows[j][4]) for i, j, w in edges if i == r["point_id"] and rows[j][4] is not None]
+        want = sum(w * v for w, v in near) / sum(w for w, _ in near) if near else r["a"]
+        assert (r["mean_a"] is None and want is None) or abs(r["mean_a"] - want) < 1e-9
+    assert names == ["a", "mean_a"]
+
+
+def test_graph_variants(spark):
+    rng = np.random.default_rng(6)
+    at = rng.random((30, 2)) / 100
+    points = spark.createDataFrame([(i, i % 2, float(at[i, 0]), float(at[i, 1])) for i in range(30)], "point_id long, area_id int, x double, y double")
+    near = {i: sorted((j for j in range(30) if j != i and j % 2 == i % 2), key=lambda j: (np.hypot(*(at[i] - at[j])), j))[:4] for i in range(30)}
+    pairs = {(min(i, j), max(i, j)) for i, js in near.items() for j in js}
+    edges = lambda variant, **more: {(r["src"], r["dst"]): r["w"] for r in switches.graph(points, variant, 4, **more).collect()}
+    assert edges("self") == {(i, i): 1.0 for i in range(30)}
+    assert edges("knn") == {e: 1.0 for a, b in pairs for e in ((a, b), (b, a))}
+    degree = lambda es: sorted(Counter(a for a, _ in es).items())
+    assert degree(edges("rewired")) == degree(edges("knn")) and edges("rewired") != edges("knn")
+    metres = catalog.DEFAULTS["metres"]
+    want = {(i, j): round(float(np.exp(-np.hypot(*(at[i] - at[j])) * metres / 300)), 6) for i, js in near.items() for j in js if np.hypot(*(at[i] - at[j])) * metres < 1000}
+    assert edges("geographic") == pytest.approx(want, abs=2e-6)
+    assert switches.graph(points, "none") is None and switches.graph(points, "given", edges=points) is points
+    for bad in ("given", "of another kind"):
+        with pytest.raises(ValueError):
+            switches.graph(points, bad)
+
+
+def test_switched_regressions_keep_targets(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, 10 + i % 3 + 10 * (i % 2), *rng.random(4).tolist()) for i in range(120)]
+    points = spark.createDataFrame(rows, "point_id long, area_id int, x double, y double, a double, b double")
+    areas = spark.createDataFrame([(k, 0.1 + 0.02 * k) for k in sorted({r[1] for r in rows})], "area_id int, target double")
+    for switch in ({"feature_mode": "coordinates"}, {"feature_mode": "noise", "graph": "self"}, {"graph": "rewired", "dropped": ("b",)}, {"prefix": "2", "areas": (20, 11, 22)}):
+        got = methods.Settings(method="regression", features=("a", "b"), neighbours=3, **switch).run(points, areas)
+        means = {r["area_id"]: (r["n"], r["m"]) for r in got.groupBy("area_id").agg(F.count("*").alias("n"), F.avg("value").alias("m")).collect()}
+        asked = {20, 22} if "prefix" in switch else {r[1] for r in rows}
+        assert set(means) == asked & {r[1] for r in rows}
+        assert all(n == sum(r[1] == k for r in rows) and abs(m - 0.1 - 0.02 * k) < 1e-9 for k, (n, m) in means.items())
+    for bad in ({"feature_mode": "half"}, {"graph": "of another kind"}, {"dropped": ("a", "b")}):
+        with pytest.raises(ValueError):
+            methods.Settings(method="regression", features=("a", "b"), **bad).run(points, areas)
