@@ -1,7 +1,9 @@
 """Tallies of destinations within reach against the plans' own statements over all pairs."""
 
+import numpy as np
 import pytest
 
+from tessera.functions import reach
 from tessera.operators import PLANS
 from tessera.plans import catalog
 from tessera.sources.fixtures import VIEWS
@@ -38,3 +40,28 @@ def test_repeated_point_ids_are_one_point(spark, sf):
     od = catalog.bound(spark, "SELECT * FROM t_od", dict(tables))
     got, want = catalog.planned(spark, "acc_14_connectivity", dict(tables)), catalog.bound(spark, PLANS["acc_14_connectivity"], tables | {"od": od})
     assert near(rows(got), rows(want))
+
+
+@pytest.mark.parametrize("points, dests, side, minutes", [(1500, 9000, 0.2, 30.0), (300, 50, 0.8, 30.0), (600, 2000, 2.0, 40.0), (700, 2000, 0.2, 10.0), (1200, 6000, 0.3, 70.0)])
+def test_tiles_equal_the_pairs_of_each_point(points, dests, side, minutes):
+    rng = np.random.default_rng(points)
+    x, y, bx, by = rng.uniform(1, 1 + side, points), rng.uniform(2, 2 + side, points), rng.uniform(0, 5, dests), rng.uniform(0, 5, dests)
+    bx[:20], by[:20] = x[:20], y[:20]
+    tile = reach.Tile(x, y, bx, by, minutes)
+    made, modes = {k: f(tile) for k, f in reach.TILED.items()}, reach.modes.tiled(tile)
+    for i in [*range(10), *rng.choice(points, 30).tolist()]:
+        dx, dy = bx - x[i], by - y[i]
+        km = np.sqrt(dx * dx + dy * dy) * 6.0
+        near = km / 30.0 * 60.0 <= minutes
+        assert made["n"][i] == near.sum()
+        if near.any():
+            pairs = reach.Pairs(1, np.flatnonzero(near), dx[near], dy[near], km[near], km[near] / 30.0 * 60.0)
+            for k, v in made.items():
+                assert v[i] == pytest.approx(reach.SUMMARIES[k][1](pairs), rel=1e-10, abs=1e-10), k
+            for got, want in zip(modes, reach.modes(pairs), strict=True):
+                assert got[0] == want[0] and [v[i] for v in got[1:]] == pytest.approx(list(want[1:]), rel=1e-9, abs=1e-9)
+
+
+def test_access_takes_no_arrays_of_single_points():
+    for name in ("acc_14_connectivity", "val_01_time_realism", "val_12_pair_counts"):
+        assert catalog.TALLIED[name][0][0].tiled
