@@ -31,10 +31,11 @@ REPEATS = 3
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule by name; reject is an SQL condition on a column named text."""
+    """A rule by name; reject is an SQL condition on a column named text, counted the same on the columns of base_statistics."""
 
     name: str
     reject: str
+    counted: str = ""
 
 
 #: Shares are of code points outside white space, or of lines that hold a word.
@@ -42,9 +43,9 @@ RULES = (
     Rule("symbols", "length(text) - length(translate(text, '#*$%&|<>', '')) > 0.04 * length(text)"),
     Rule("exclamation", "length(text) - length(translate(text, '!', '')) > 0.04 * length(text)"),
     Rule("shouting", "length(text) - length(regexp_replace(text, '\\\\p{Lu}', '')) > 0.3 * length(text)"),
-    Rule("few_letters", "length(regexp_replace(text, '[^\\\\p{L}]+', '')) < 0.6 * length(regexp_replace(text, '[\\\\x20\\\\x09-\\\\x0D]+', ''))"),
-    Rule("word_length", "length(regexp_replace(text, '[\\\\x20\\\\x09-\\\\x0D]+', '')) NOT BETWEEN 2.5 * regexp_count(text, '[^\\\\x20\\\\x09-\\\\x0D]+') AND 12 * regexp_count(text, '[^\\\\x20\\\\x09-\\\\x0D]+')"),
-    Rule("duplicate_lines", "size(array_distinct(filter(split(text, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]'))) < 0.5 * size(filter(split(text, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]'))"),
+    Rule("few_letters", "length(regexp_replace(text, '[^\\\\p{L}]+', '')) < 0.6 * length(regexp_replace(text, '[\\\\x20\\\\x09-\\\\x0D]+', ''))", "length(regexp_replace(text, '[^\\\\p{L}]+', '')) < 0.6 * word_chars"),
+    Rule("word_length", "length(regexp_replace(text, '[\\\\x20\\\\x09-\\\\x0D]+', '')) NOT BETWEEN 2.5 * regexp_count(text, '[^\\\\x20\\\\x09-\\\\x0D]+') AND 12 * regexp_count(text, '[^\\\\x20\\\\x09-\\\\x0D]+')", "word_chars NOT BETWEEN 2.5 * n_words AND 12 * n_words"),
+    Rule("duplicate_lines", "size(array_distinct(filter(split(text, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]'))) < 0.5 * size(filter(split(text, '\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]'))", "n_lines - n_dup_lines < 0.5 * n_lines"),
 )
 
 
@@ -59,13 +60,13 @@ def _seconds(sample: DataFrame, reject: str) -> float:
 
 
 def order_rules(rows: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, seconds, share rejected of what is left) for rows with a column text, by rejections per second.
+    """(rule, seconds, share rejected of what is left) for rows with the columns that the rules name, by rejections per second.
 
     Timed on a random sample of about sample_rows rows. The next rule is always the one that rejects most per
     second of the sampled rows that no rule before it rejects.
     """
     n = rows.count()
-    sample = rows.select("text")
+    sample = rows
     if n > sample_rows:
         sample = sample.sample(sample_rows / n, seed=8)
     sample = sample.cache()
@@ -114,14 +115,16 @@ def base_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.size("words").cast("long").alias("n_words"),
         F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("long").alias("n_dup_lines"),
+        F.transform(F.array(lines), lambda x: F.struct(F.size(x).cast("long").alias("all"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))[0].alias("lines"),
         F.when(n > 0, 3 * n - overlap).otherwise(0).cast("long").alias("n_repeat_words"),
-    )
+    ).withColumns({"n_lines": F.col("lines")["all"], "n_dup_lines": F.col("lines")["dup"]}).drop("lines")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Base statistics with base_failed and kept: whether neither the base rule nor any other rejects the text."""
     base = base_statistics(docs, id_col, text_col).withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    # words and lines are counted already
+    rules = tuple(Rule(r.name, r.counted or r.reject) for r in rules)
     n = docs.count()
     # a bounded sample, cached so that the filter on its statistics does not compute them again and again
     some = base_statistics(docs.sample(min(1.0, 2 * SAMPLE_ROWS / max(1, n)), seed=8), id_col, text_col).cache()

@@ -280,6 +280,13 @@ def test_rule_order_does_not_change_the_verdict(spark, sf):
     assert both[0] == both[1]
 
 
+def test_rules_on_counts_reject_the_same_texts(spark, sf):
+    docs = quality_rules.base_statistics(spark.read.parquet(f"{sf}/documents.parquet"))
+    counted = [r for r in quality_rules.RULES if r.counted]
+    differ = [F.count_if(F.expr(r.reject) != F.expr(r.counted)).alias(r.name) for r in counted]
+    assert len(counted) == 3 and set(docs.agg(*differ).first()) == {0}
+
+
 def test_rule_order_is_by_rejections_of_what_is_left(spark, monkeypatch):
     rules = tuple(quality_rules.Rule(n, f"text LIKE '%{n}%'") for n in ("a", "b", "c"))
     docs = spark.createDataFrame([(t,) for t in ["ab"] * 5 + ["a"] * 4 + ["c"] * 3 + ["b"] * 2 + ["x"] * 6], "text string")
