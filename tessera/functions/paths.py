@@ -69,9 +69,41 @@ def pycnophylactic(seed: DataFrame, edges: DataFrame, rounds: int = 50) -> DataF
 def thinned(points: DataFrame, distance: float, key: str = "point_id") -> DataFrame:
     """The rows that greedy thinning in key order keeps: a row goes if a kept row of smaller key lies within distance.
 
-    In rounds: a row is kept once no undecided row before it is near, and every row near a kept one before it goes.
-    Near pairs come from cells of the distance's width. The pairs must be few for a sensible distance.
+    Cells are so small that any two rows of one are near: of a cell's undecided rows only the first may be kept, and it is
+    once no undecided row before it is near; then every row near a kept one goes. A round compares each undecided row with
+    the firsts of the 25 cells around, so work and storage do not grow with the pairs of near rows. Rows of a key
+    that repeats share one fate, which takes the pairs.
     """
+    repeated = points.groupBy(key).count().filter("count > 1")
+    if not repeated.isEmpty():
+        return _thinned_pairs(points, distance, key)
+    cell = lambda v: F.floor(F.col(v) / (distance / 2**0.5 * (1 - 1e-9)))
+    rows = points.filter(F.col(key).isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull())
+    undecided = stored(rows.select(F.col(key).alias("a"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), cell("x").alias("cx"), cell("y").alias("cy")))
+    around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3))))
+    near = (F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2 <= distance * distance
+
+    def copies(firsts: DataFrame) -> DataFrame:
+        made = firsts.withColumn("o", around).select("b", "bx", "by", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
+        return sized(stored(made))
+
+    gone = None
+    while not undecided.isEmpty():
+        first = undecided.groupBy("cx", "cy").agg(F.min(F.struct("a", "x", "y")).alias("r"))
+        firsts = stored(first.select(F.col("r.a").alias("b"), F.col("r.x").alias("bx"), F.col("r.y").alias("by"), "cx", "cy"))
+        waiting = stored(undecided.join(copies(firsts), ["cx", "cy"]).filter((F.col("a") < F.col("b")) & near).select("b").distinct())
+        keep = stored(firsts.join(sized(waiting), "b", "left_anti"))
+        left = undecided.join(sized(keep.select(F.col("b").alias("a"))), "a", "left_anti")
+        close = copies(keep).withColumnsRenamed({"cx": "ox", "cy": "oy"})
+        touched = (F.col("cx") == F.col("ox")) & (F.col("cy") == F.col("oy")) & near
+        drop = stored(left.join(close, touched, "left_semi"))
+        gone = drop.select("a") if gone is None else gone.unionByName(drop.select("a"))
+        undecided = stored(left.join(close, touched, "left_anti"))
+    return points if gone is None else points.join(gone.withColumnRenamed("a", key).hint("merge"), key, "left_anti")
+
+
+def _thinned_pairs(points: DataFrame, distance: float, key: str) -> DataFrame:
+    """thinned by all pairs of near rows, from cells of the distance's width."""
     cell = lambda v: F.floor(F.col(v) / distance)
     rows = points.select(F.col(key).alias("a"), "x", "y", cell("x").alias("cx"), cell("y").alias("cy"))
     around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
