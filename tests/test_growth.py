@@ -1,8 +1,10 @@
 """Steps whose work or storage must not grow with the pairs of dense places."""
 
+from hashlib import md5
+
 import numpy as np
 
-from tessera.functions import paths
+from tessera.functions import digests, paths, resampling
 
 
 def test_thinning_of_dense_points_writes_no_pairs(spark, monkeypatch):
@@ -23,3 +25,18 @@ def test_thinning_of_repeated_keys_takes_one_fate(spark):
     rows = [(1, 0.0, 0.0), (2, 0.05, 0.0), (2, 5.0, 5.0), (3, 5.05, 5.0)]
     got = paths.thinned(spark.createDataFrame(rows, "point_id long, x double, y double"), 0.1)
     assert [r["point_id"] for r in got.collect()] in ([1, 3], [3, 1])
+
+
+def test_marks_equal_md5():
+    for ids in ([5, -17, 3], [7, -12, 123456789012345, *range(95, 1200)]):
+        marks = digests.Marks(np.array(ids))
+        first, last = marks.halves("42-")
+        short = marks.first("7-12-")
+        for i, x in enumerate(ids):
+            want = md5(f"42-{x}".encode()).digest()
+            assert (int(first[i]), int(last[i])) == (int.from_bytes(want[:8], "big"), int.from_bytes(want[8:], "big"))
+            assert int(short[i]) == int.from_bytes(md5(f"7-12-{x}".encode()).digest()[:4], "big")
+
+
+def test_draws_hold_few_picks_at_once():
+    assert resampling.BLOCK <= 250_000
