@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import PLANS
 from ..operators.disaggregation import SEED
 from ..plans import catalog
 from ..sources.stored import stored
@@ -33,7 +32,7 @@ def add_method(name: str, method: Method) -> None:
 
 def _plan(name: str, value: str) -> Method:
     def run(points: DataFrame, areas: DataFrame) -> DataFrame:
-        return catalog.bound(points.sparkSession, f"SELECT point_id, {value} AS value FROM ({PLANS[name]})", {"point": points, "area": areas})
+        return catalog.bound(points.sparkSession, f"SELECT point_id, {value} AS value FROM ({catalog.statement(name)})", {"point": points, "area": areas})
 
     return run
 

@@ -3,8 +3,11 @@
 from hashlib import md5
 
 import numpy as np
+import pytest
 
-from tessera.functions import digests, paths, resampling
+from tessera.functions import digests, pairs, paths, resampling
+from tessera.operators import PLANS
+from tessera.plans import catalog
 
 
 def test_thinning_of_dense_points_writes_no_pairs(spark, monkeypatch):
@@ -40,3 +43,54 @@ def test_marks_equal_md5():
 
 def test_draws_hold_few_picks_at_once():
     assert resampling.BLOCK <= 250_000
+
+
+def same(a, b):
+    return sorted(a.collect(), key=repr) == sorted(b.select(*a.columns).collect(), key=repr)
+
+
+def dests_of(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, "ab"[i % 2], float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 1, (90, 2)))]
+    rows += [(200, "a", None, 0.5), (7, "b", 0.25, 0.5), (201, None, 0.1, 0.1), (None, "a", 0.2, 0.2), (300, "c", 0.1, 0.1)]
+    return spark.createDataFrame(rows, "dest_id long, dest_type string, x double, y double")
+
+
+def test_dispersion_by_blocks_equals_the_statement(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "SIDE", 16)
+    name, tables = "sps_13_destination_dispersion", {"dest": dests_of(spark)}
+    assert same(catalog.planned(spark, name, dict(tables)), catalog.bound(spark, PLANS[name], dict(tables)))
+
+
+@pytest.mark.parametrize("name", ["join_07_nearest_within", "join_11_mode_merge"])
+def test_rebuilt_joins_equal_their_statements(spark, name):
+    rng = np.random.default_rng(4)
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 1.5, (60, 2)))] + [(900, None, 0.1)], "point_id long, x double, y double")
+    for dests in (dests_of(spark).filter("dest_id IS NOT NULL AND dest_id <> 7 AND dest_type IS NOT NULL"), dests_of(spark).filter("dest_id < 50 AND dest_type IS NOT NULL")):
+        got = catalog.planned(spark, name, {"point": points, "dest": dests})
+        assert same(got, catalog.bound(spark, PLANS[name], {"point": points, "dest": dests})) and got.count() > 20
+
+
+def test_inverse_distances_need_no_row_for_each_centroid(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, i % 14, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 5, (80, 2)))] + [(900, 3, None, 0.1), (901, None, 1.0, 1.0), (902, 77, 1.0, 1.0)]
+    areas = [(a, 0.1 + a / 20 if a != 4 else None, float(a % 5), float(a // 5)) for a in range(13)]
+    for some in (areas, areas[:6], areas[:1]):
+        given = lambda: {"point": spark.createDataFrame(rows, "point_id long, area_id int, x double, y double"), "area": spark.createDataFrame(some, "area_id int, target double, minx double, miny double")}  # noqa: B023, E731
+        got = catalog.planned(spark, "dis_05_idw", given())
+        assert same(got, catalog.bound(spark, PLANS["dis_05_idw"], given()))
+    assert "row_number" not in catalog.statement("dis_05_idw") + catalog.statement("dis_11_method_comparison")
+
+
+@pytest.mark.parametrize("name", ["val_06_missing_profile", "val_14_matrix_check", "val_16_direction_index", "val_22_suite_checklist"])
+def test_access_makes_only_what_is_read(spark, sf, name, monkeypatch):
+    made = []
+
+    def tally(spark, tables, params, make, columns, kind=None):
+        made.append(columns)
+        raise LookupError
+
+    monkeypatch.setattr(catalog, "_tally", tally)
+    with pytest.raises(LookupError):
+        catalog.planned(spark, name, catalog.opened(spark, sf, PLANS[name]))
+    assert len(made[0].split(", ")) <= 2 and all(c.split()[0] in PLANS[name] for c in made[0].split(", "))
