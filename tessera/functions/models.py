@@ -118,9 +118,16 @@ def leakage(points: DataFrame, features: list[str], target: str, group: str, key
     return wide.join(ranks.hint("merge"), group, "left")
 
 
+#: Rows that one task of a forest reads in each pass.
+FOREST_ROWS = 100_000
+
+
 def forest(points: DataFrame, features: list[str], target: str, trees: int = 100):
     """A fitted random forest and its table of rows."""
     rows = assembled(points.filter(F.col(target).isNotNull()), features)
+    parts = -(-rows.count() // FOREST_ROWS)
+    if parts > 1:  # the files' own splits may be few and large, and the trees' points are cached as they come
+        rows = rows.repartition(parts, *features)
     return RandomForestRegressor(labelCol=target, numTrees=trees, maxDepth=6, seed=1).fit(rows), rows
 
 

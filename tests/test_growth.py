@@ -5,7 +5,7 @@ from hashlib import md5
 import numpy as np
 import pytest
 
-from tessera.functions import digests, pairs, paths, resampling
+from tessera.functions import digests, models, pairs, paths, resampling
 from tessera.operators import PLANS
 from tessera.plans import catalog
 
@@ -94,3 +94,10 @@ def test_access_makes_only_what_is_read(spark, sf, name, monkeypatch):
     with pytest.raises(LookupError):
         catalog.planned(spark, name, catalog.opened(spark, sf, PLANS[name]))
     assert len(made[0].split(", ")) <= 2 and all(c.split()[0] in PLANS[name] for c in made[0].split(", "))
+
+
+def test_forest_deals_its_rows_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(models, "FOREST_ROWS", 40)
+    points = spark.range(200, numPartitions=1).selectExpr("id AS point_id", "CAST(id % 17 AS DOUBLE) AS a", "CAST(id AS DOUBLE) AS b", "CAST(id % 5 AS DOUBLE) AS truth")
+    _, rows = models.forest(points, ["a", "b"], "truth", trees=2)
+    assert rows.rdd.getNumPartitions() == 5 and rows.count() == 200
