@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, with_text
+from .common import materialise, partitions, small_batches, with_text
 from .near_dedup import _chunks, _constants, _mix, hashed_words
 from .spotsigs import WORDS
 
@@ -114,6 +114,7 @@ def _parts(docs: DataFrame, target: Column, id_col: str, text_col: str) -> DataF
         if held:
             yield stored()
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), with_text(docs, text_col).alias("text"), F.coalesce(target, F.lit(False)).alias("t"))
     return materialise(rows.mapInArrow(run, "part long, size long, rows binary"), "parts")
 

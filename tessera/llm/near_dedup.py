@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, materialise, sized, with_text
+from .common import columns_of, materialise, sized, small_batches, with_text
 
 TOKENS, TREES, PATHS = 64, 6, 2
 #: Largest node compared at once, largest cluster confirmed at once (and block of a larger one) in documents and in
@@ -188,6 +188,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    small_batches(docs.sparkSession)
     text = with_text(docs, text_col)
     return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import in_groups
-from .common import fresh, with_text
+from .common import fresh, small_batches, with_text
 
 FEATURES = ("log_words", "word_length", "log_longest_word", "distinct_words", "top_word", "repeated_pairs", "repeated_neighbours", "duplicate_lines", "log_words_a_line", "line_ends", "symbols", "exclamation", "upper", "digits", "other_marks", "non_ascii")
 LABELLED_ROWS = 60_000
@@ -160,6 +160,7 @@ def _mapped(docs: DataFrame, keep: list[str], text_col: str, names: list[str], o
                 yield pa.RecordBatch.from_arrays([*(c.slice(at, len(part)) for c in batch.columns[:-1]), *(pa.array(c, pa.float64()) for c in made)], [*keep, *names])
                 at += len(part)
 
+    small_batches(docs.sparkSession)
     (text,) = fresh(docs, "text")
     return docs.select(*keep, with_text(docs, text_col).alias(text)).mapInArrow(run, schema)
 

@@ -3,6 +3,7 @@
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,3 +192,23 @@ def test_pipeline_against_brute_force(spark, sf):
         sizes[r["doc_id"]] += r["length"]
         bins[r["sequence_id"]] += r["length"]
     assert sizes == {i: len(library.encode(r["text"], add_special_tokens=False).ids) + 1 for i, r in rows("personal_data").items()} and max(bins.values()) <= 2048
+
+
+def test_python_tasks_get_texts_in_small_batches(spark):
+    name, default = "spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b"
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "concat('w', id, repeat(' abcdefg', 500)) AS text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    try:
+        for use in (lambda: near_dedup.signatures(docs), lambda: lm_scoring.gram_counts(docs, F.lit(True)), lambda: quality_gam.score(docs, quality_gam.Gam())):
+            spark.conf.set(name, default)
+            use()
+            assert docs.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 5 << 20
+        spark.conf.set(name, f"{1 << 20}b")  # a session's own limit stays
+        near_dedup.signatures(docs)
+        assert spark.conf.get(name) == f"{1 << 20}b"
+    finally:
+        spark.conf.unset(name)
