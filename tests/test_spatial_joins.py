@@ -139,3 +139,13 @@ def test_nearest_in_clumps_equals_all_pairs(spark, monkeypatch, same):
         order = np.lexsort((ids, d))
         assert got[i] == [int(ids[j]) for j in order if not (same and ids[j] == i)][:5]
     assert len(got) == len(left)
+
+
+def test_pairs_within_are_dealt_to_tasks_by_their_number(spark):
+    rng = np.random.default_rng(11)
+    a, b = rng.uniform(0, 5, (3000, 2)), rng.uniform(0, 5, (4000, 2))
+    left, right = (spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)], "id long, x double, y double").coalesce(1) for at in (a, b))
+    found = neighbours.within(left, right, 0.5, "id", "id")
+    assert found.rdd.getNumPartitions() == 3
+    near = ((a[:, None] - b) ** 2).sum(2) <= 0.25
+    assert found.count() == near.sum() and found.agg(F.sum("src"), F.sum("dst")).first()[:] == (int(np.nonzero(near)[0].sum()), int(np.nonzero(near)[1].sum()))
