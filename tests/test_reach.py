@@ -65,3 +65,16 @@ def test_tiles_equal_the_pairs_of_each_point(points, dests, side, minutes):
 def test_access_takes_no_arrays_of_single_points():
     for name in ("acc_14_connectivity", "val_01_time_realism", "val_12_pair_counts"):
         assert catalog.TALLIED[name][0][0].tiled
+
+
+def test_drive_advantage_makes_no_sums_over_pairs(spark, sf):
+    assert "mean" not in catalog.TALLIED["acc_03_drive_advantage"][0][1]
+    tables = catalog.opened(spark, sf, "SELECT * FROM t_od")
+    point = "point_id long, area_id int, subarea_id int, x double, y double, ancillary double, truth double"
+    tables["point"] = spark.createDataFrame([(1, 0, 0, 0.5, 0.5, None, None), (2, 0, 0, 4.5, 4.5, None, None), (3, 0, 0, None, 1.0, None, None)], point)
+    tables["dest"] = spark.createDataFrame([(1, "a", 0.5, 0.5, 9), (2, "b", 0.5, 0.6, 9), (3, "b", 0.5, 0.5, 9)], "dest_id long, dest_type string, x double, y double, employees long")
+    od = catalog.bound(spark, VIEWS["od"], dict(tables))
+    want = catalog.bound(spark, PLANS["acc_03_drive_advantage"], tables | {"od": od.filter("km IS NOT NULL")})
+    got = rows(catalog.planned(spark, "acc_03_drive_advantage", dict(tables)))
+    assert got == rows(want)
+    assert (1, "a", -0.2) in got  # its only pair has no distance
