@@ -165,6 +165,8 @@ def connected(both: DataFrame) -> DataFrame:
 
 #: Nodes of a component that one task solves as a dense matrix; vectors beyond those asked for, and degree of the filter.
 DENSE, SPARE, DEGREE = 1500, 4, 12
+#: Nodes, and edges in both directions, of a component whose iteration one task holds in memory (about 0.4 GB).
+HELD_NODES, HELD_EDGES = 300_000, 6_000_000
 
 
 def _signed(vectors: np.ndarray) -> np.ndarray:
@@ -179,19 +181,22 @@ def spectral(edges: DataFrame, dims: int = 8, tolerance: float = 1e-3, rounds: i
     """(node, component, v, residual): in each component the eigenvectors of the normalised Laplacian of undirected
     edges (a, b) with the smallest eigenvalues, the trivial one left out.
 
-    A component of up to DENSE nodes is solved exactly in one task, many of them at once. Larger ones go on together
-    by block iteration: a Chebyshev filter of DEGREE joins and aggregations damps all eigenvalues above the block's
-    own, then a small matrix of inner products for each component makes the block orthonormal and turns it to its
-    eigenvectors. It ends when every component's largest residual |Lv - tv| is below the tolerance, or after
-    `rounds`; `residual` tells which. A component of n nodes has n - 1 such vectors at most, the rest of v is 0.
+    A component of up to DENSE nodes is solved exactly in one task, many of them at once. Larger ones go on by block
+    iteration: a Chebyshev filter of DEGREE products with the Laplacian damps all eigenvalues above the block's own, then
+    a small matrix of inner products for each component makes the block orthonormal and turns it to its eigenvectors. It
+    ends when the component's largest residual |Lv - tv| is below the tolerance, or after `rounds`; `residual` tells
+    which. The task of a component of up to HELD_NODES and HELD_EDGES iterates in memory; those beyond go on together,
+    with joins and aggregations for products, until all are done. A component of n nodes has n - 1 such vectors at
+    most, the rest of v is 0.
     """
     both = stored(edges.filter("a <> b").select("a", "b").unionByName(edges.filter("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = connected(both)
     degree = stored(both.groupBy("a").agg(F.count(F.lit(1)).cast("double").alias("n")).join(labels.withColumnRenamed("node", "a").hint("merge"), "a"))
-    sizes = degree.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    size, ends = F.count(F.lit(1)), F.sum("n")
+    sizes = degree.groupBy("component").agg(F.when(size <= DENSE, "dense").when((size <= HELD_NODES) & (ends <= HELD_EDGES), "held").otherwise("joined").alias("way"))
     degree = stored(degree.join(sizes.hint("merge"), "component"))
     weights = both.join(degree.hint("merge"), "a").join(degree.select(F.col("a").alias("b"), F.col("n").alias("m")).hint("merge"), "b")
-    weights = stored(weights.select("a", "b", "component", "size", (1 / F.sqrt(F.col("n") * F.col("m"))).alias("w")))
+    weights = stored(weights.select("a", "b", "component", "way", (1 / F.sqrt(F.col("n") * F.col("m"))).alias("w")))
     kind = both.schema["a"].dataType.simpleString()
     schema = f"node {kind}, component {kind}, v array<double>, residual double"
 
@@ -205,18 +210,67 @@ def spectral(edges: DataFrame, dims: int = 8, tolerance: float = 1e-3, rounds: i
         found = np.pad(found, ((0, 0), (0, dims - found.shape[1])))
         return pd.DataFrame({"node": nodes, "component": part["component"].iloc[0], "v": list(found), "residual": rest})
 
-    done = stored(weights.filter(F.col("size") <= DENSE).groupBy("component").applyInPandas(solved, schema))
-    weights, degree = weights.filter(F.col("size") > DENSE), degree.filter(F.col("size") > DENSE)
-    if degree.isEmpty():
+    done = stored(weights.filter("way = 'dense'").groupBy("component").applyInPandas(solved, schema))
+    nodes = degree.select(F.col("a").alias("node"), "component", _start(dims + 1 + SPARE, seed).alias("v"), "way")
+    held, joined = nodes.filter("way = 'held'"), nodes.filter("way = 'joined'")
+    if not held.isEmpty():
+        found = weights.filter("way = 'held'").select("a", "b", "w", "component").groupBy("component")
+        done = done.unionByName(stored(found.cogroup(held.select("node", "component", "v").groupBy("component")).applyInPandas(_held(dims, tolerance, rounds), schema)))
+    if joined.isEmpty():
         return done
-    return done.unionByName(_iterated(stored(weights.select("a", "b", "w")), stored(degree.select(F.col("a").alias("node"), "component", "n")), dims, tolerance, rounds, seed, kind))
-
-
-def _iterated(weights: DataFrame, nodes: DataFrame, dims: int, tolerance: float, rounds: int, seed: int, kind: str) -> DataFrame:
-    """spectral for large components: (node, component, v, residual)."""
+    return done.unionByName(_iterated(stored(weights.filter("way = 'joined'").select("a", "b", "w")), stored(joined.drop("way")), dims, tolerance, rounds, kind))
+
+
+def _start(b: int, seed: int):
+    """The block that the iteration starts with: the trivial vector, and noise."""
+    return F.array(F.sqrt("n"), *((F.pmod(F.xxhash64("a", F.lit(seed), F.lit(j)), F.lit(20_001)) / 10_000 - 1) for j in range(1, b)))
+
+
+def _turn(gram: np.ndarray, ritz: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What turns a block to orthonormal Ritz vectors, and their values, from its inner products with itself and its product."""
+    d = 1 / np.sqrt(np.maximum(np.diag(gram), 1e-300))
+    values, vectors = np.linalg.eigh(gram * d[:, None] * d)
+    root = d[:, None] * vectors * np.where(values > 1e-10, 1 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
+    inner = root.T @ ritz @ root + np.diag(np.where(values > 1e-10, 0.0, 4.0))  # directions that are lost come last
+    low, turn = np.linalg.eigh(inner)
+    return root @ turn, low
+
+
+def _held(dims: int, tolerance: float, rounds: int):
+    """spectral for one component in memory: from its edges (a, b, w) and nodes (node, component, v)."""
+
+    def solve(edges: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        nodes = nodes.sort_values("node")
+        ids, now = nodes["node"].to_numpy(), np.ascontiguousarray(np.stack(nodes["v"].to_numpy()).T)
+        a, to, w = np.searchsorted(ids, edges["a"].to_numpy()), np.searchsorted(ids, edges["b"].to_numpy()), edges["w"].to_numpy(float)
+        order = np.argsort(a, kind="stable")
+        first, to, w = np.searchsorted(a[order], np.arange(len(ids))), to[order], w[order]
+
+        def product(v: np.ndarray) -> np.ndarray:
+            return v - np.stack([np.add.reduceat(w * x[to], first) for x in v])
+
+        for step in range(rounds + 1):
+            l = product(now)  # noqa: E741
+            ritz = np.triu(now @ l.T)
+            turn, values = _turn(now @ now.T, ritz + np.triu(ritz, 1).T)
+            now, l = turn.T @ now, turn.T @ l  # noqa: E741
+            residual = float(np.linalg.norm(l[1 : dims + 1] - values[1 : dims + 1, None] * now[1 : dims + 1], axis=1).max())
+            if step == rounds or residual < tolerance:
+                found = _signed(now[1 : dims + 1].T)
+                return pd.DataFrame({"node": ids, "component": nodes["component"].to_numpy(), "v": list(found), "residual": residual})
+            # Chebyshev polynomial that is small between the block's largest value and 2
+            low = min(max(values[-1], 1e-6), 1.9)
+            half, middle = (2 - low) / 2, (2 + low) / 2
+            before, now = now, (l - middle * now) / half
+            for _ in range(2, DEGREE + 1):
+                before, now = now, 2 * (product(now) - middle * now) / half - before
+
+    return solve
+
+
+def _iterated(weights: DataFrame, now: DataFrame, dims: int, tolerance: float, rounds: int, kind: str) -> DataFrame:
+    """spectral for the largest components: (node, component, v, residual)."""
     b = dims + 1 + SPARE
-    start = F.array(F.sqrt("n"), *((F.pmod(F.xxhash64("node", F.lit(seed), F.lit(j)), F.lit(20_001)) / 10_000 - 1) for j in range(1, b)))
-    now = stored(nodes.select("node", "component", start.alias("v")))
     zipped = lambda x, y, of: F.zip_with(x, y, of)
 
     def applied(block: DataFrame) -> DataFrame:
@@ -231,12 +285,8 @@ def _iterated(weights: DataFrame, nodes: DataFrame, dims: int, tolerance: float,
             gram, ritz = np.zeros((b, b)), np.zeros((b, b))
             gram[np.triu_indices(b)], ritz[np.triu_indices(b)] = r.g, r.h
             gram, ritz = gram + np.triu(gram, 1).T, ritz + np.triu(ritz, 1).T
-            d = 1 / np.sqrt(np.maximum(np.diag(gram), 1e-300))
-            values, vectors = np.linalg.eigh(gram * d[:, None] * d)
-            root = d[:, None] * vectors * np.where(values > 1e-10, 1 / np.sqrt(np.maximum(values, 1e-300)), 0.0)
-            inner = root.T @ ritz @ root + np.diag(np.where(values > 1e-10, 0.0, 4.0))  # directions that are lost come last
-            low, turn = np.linalg.eigh(inner)
-            made.append((r.component, (root @ turn).ravel().tolist(), low.tolist()))
+            turn, low = _turn(gram, ritz)
+            made.append((r.component, turn.ravel().tolist(), low.tolist()))
         return pd.DataFrame(made, columns=["component", "turn", "values"])
 
     pairs = [(i, j) for i in range(b) for j in range(i, b)]
